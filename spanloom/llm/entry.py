@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat, mixing, simhash
+from spanloom.llm import chat, langid, mixing, quality, simhash
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_language_id": langid.op4_language_id,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
