@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table
+from spanloom.llm.common import received, ship, table
 
 Q = 8
 #: Edits allowed, as a share of the item's length; items shorter than LEAST characters are matched whole
@@ -164,13 +164,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     out = None
     for items in shares(benchmark):
-        shipped = docs.sparkSession.sparkContext.broadcast(items)
+        shipped = ship(docs.sparkSession, items)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            items = received(shipped)
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), []
                 for doc, text in zip(ids, batch.column(1).to_pylist(), strict=True):
-                    rows += [(doc, *m) for m in matches(normal(text), shipped.value)] if text else []
+                    rows += [(doc, *m) for m in matches(normal(text), items)] if text else []
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["doc_id", "item_id", "edits", "start", "end"])
 
         part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, item_id bigint, edits bigint, start bigint, end bigint")
@@ -181,12 +182,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a benchmark passage; columns and other rows are unchanged."""
     for items in shares(benchmark):
-        shipped = docs.sparkSession.sparkContext.broadcast(items)
+        shipped = ship(docs.sparkSession, items)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            items = received(shipped)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                yield batch.filter(pa.array([not (t and matches(normal(t), shipped.value)) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not (t and matches(normal(t), items)) for t in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

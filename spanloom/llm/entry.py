@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat, html, langid, mixing, pii, quality, simhash
+from spanloom.llm import chat, decontaminate, html, langid, mixing, pii, quality, simhash
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_pii_spans": pii.op9_pii_spans,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
 ORACLE = {

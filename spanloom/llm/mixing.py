@@ -81,24 +81,24 @@ def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     Running totals are taken within hash buckets and over the buckets, so no source is one task."""
     rows = sizes.count()
     digits = max(1, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)))
-    docs = sizes.join(sources.select("source", "no"), sizes.source.eqNullSafe(sources.source)).select("no", "doc_id", "size")
+    docs = sizes.join(sources.select("source", "no"), sizes.source.eqNullSafe(sources.source)).drop("source")
     docs = docs.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("h", 1, digits))
     before = W.partitionBy("no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     base = docs.groupBy("no", "bucket").agg(F.sum("size").alias("n")).select("no", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = W.partitionBy("no", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     docs = docs.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return docs.join(base, ["no", "bucket"]).select("no", "doc_id", "size", (F.col("base") + F.col("inside")).alias("start"))
+    return docs.join(base, ["no", "bucket"]).withColumn("start", F.col("base") + F.col("inside")).drop("h", "bucket", "base", "inside")
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: int = MOST_PASSES, block: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+def mix(docs: DataFrame, share: float = SHARE, most: int = MOST_PASSES, block: int = BLOCK_WORDS, carry: tuple = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, *carry) for every row of ``docs``.
 
     Null or empty text has size 0 and gives 0 words; a null source is a source of its own, last in
     order. Repeated rows are documents of their own; rows with equal ids are told apart by size, and
     beyond that are alike. A table with no words has targets of 0; an empty one gives no rows. Only
     doc_id, text and source are read. Reruns agree: the order is a hash of the id.
     """
-    sizes = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sizes = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry))
     sources = durable(source_targets(sizes, share, most, block))
     start = F.expr(f"rank div blocks * source_size + rank % blocks * {block}")
     length = F.least(F.lit(block), F.expr(f"source_size - rank % blocks * {block}"))
@@ -114,10 +114,10 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST_PASSES, block: i
     part_high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("part"))
     given = (high - low) * F.col("whole") + F.greatest(F.lit(0), part_high - low)
     taken = spans.join(takes, ["no", "block"], "left").groupBy("no", "start").agg(
-        F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.coalesce(F.sum(given), F.lit(0)).alias("taken")
+        *[F.first(c).alias(c) for c in ("doc_id", "size", *carry)], F.coalesce(F.sum(given), F.lit(0)).alias("taken")
     )
-    empty = at.where("size = 0").select("no", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(empty).join(sources, "no").select("doc_id", "source", "size", "source_size", "target", "taken")
+    empty = at.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    return taken.unionByName(empty).join(sources, "no").select("doc_id", "source", "size", "source_size", "target", "taken", *carry)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import durable, joined_bytes, pieces, table
 
 ORDER = 5
-#: The quantile of the trusted documents' log perplexity, by language, and the slack beyond it in
-#: units of the spread between the median and that quantile.
-QUANTILE, SLACK = 0.99, 1.0
+#: A language's limit: the upper quartile of held-back trusted documents' log perplexity, plus SLACK
+#: times its distance to the median (LEAST_SPREAD at least; few documents give odd distances). Quartiles
+#: stand firm against single odd documents among the trusted. One trusted text in FOLDS is held back
+#: from the counts, so the limit isn't drawn from text that the model has seen.
+QUANTILE, SLACK, LEAST_SPREAD, FOLDS = 0.75, 8.0, 0.03, 5
 #: Means over few bytes scatter: the limit on a log perplexity rises by SHORT / sqrt(bytes).
 SHORT = 3.0
 #: Answers that are broadcast at most (12 bytes each), and labels (8 bytes each).
@@ -222,16 +224,18 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
     if ids.count() <= BROADCAST_LABELS:
         ids = F.broadcast(ids)
     trusted = docs.select("doc_id", "model_lang", "text").join(ids, "doc_id", "left_semi")
-    counts = durable(gram_counts(trusted.select(F.col("model_lang").alias("lang"), "text")))
+    trusted = trusted.withColumn("held_back", F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0)
+    counts = durable(gram_counts(trusted.where("not held_back").select(F.col("model_lang").alias("lang"), "text")))
     asked = gram_counts(docs.select(F.col("model_lang").alias("lang"), "text")).select("lang", "gram")
     table_ = durable(answers(counts, asked))
-    bins = scored(trusted.select("model_lang", "text"), table_).where("log_ppl is not null")
-    bins = durable(bins.groupBy("model_lang", F.ceil(F.col("log_ppl") / STEP).alias("bin")).agg(F.count("*").alias("n")))
+    bins = scored(trusted.select("model_lang", "held_back", "text"), table_).where("log_ppl is not null")
+    bins = durable(bins.groupBy("model_lang", "held_back", F.ceil(F.col("log_ppl") / STEP).alias("bin")).agg(F.count("*").alias("n")))
     upto = W.partitionBy("model_lang").orderBy("bin")
     whole = W.partitionBy("model_lang")
+    bins = bins.withColumn("any", F.max("held_back").over(whole)).where("held_back = any")  # all, where none is held back
     ranked = bins.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(whole))
     at = [(F.min(F.when(F.col("share") >= q, F.col("bin"))) * STEP).alias(name) for q, name in ((0.5, "mid"), (quantile, "high"))]
-    limits = ranked.groupBy("model_lang").agg(*at).select("model_lang", (F.col("high") + slack * (F.col("high") - F.col("mid"))).alias("threshold"))
+    limits = ranked.groupBy("model_lang").agg(*at).select("model_lang", (F.col("high") + slack * F.greatest(F.col("high") - F.col("mid"), F.lit(LEAST_SPREAD))).alias("threshold"))
     limits = docs.sparkSession.createDataFrame(limits.collect(), limits.schema)  # a row a language
     out = scored(docs, table_).join(F.broadcast(limits), "model_lang", "left")
     size = F.coalesce(F.octet_length("text"), F.lit(0))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import durable, table
@@ -27,14 +28,15 @@ from spanloom.llm.components import components
 SEED = 42
 #: Runs of a key up to this length are compared pair by pair; longer ones breadth-first.
 SHORT_RUN = 48
+#: Smallest shingle hashes that stand for a text when a link is verified.
+SKETCH = 512
 
 
-def text_fingerprint(text: bytes, words: int, seed: int = SEED) -> int:
-    """Signed 64-bit SimHash over all word shingles, repeats counted; fewer words make one
-    shingle, no word gives zero."""
+def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of all word shingles in order, repeats included; fewer words make one shingle."""
     parts = text.lower().split()  # bytes: lowers A-Z only and parts at ASCII white space only
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
@@ -42,17 +44,23 @@ def text_fingerprint(text: bytes, words: int, seed: int = SEED) -> int:
     n = max(1, len(parts) - words + 1)
     stops = ends[words - 1 :] if len(parts) >= words else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)), dtype=np.uint64, count=n
-    )
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)), dtype=np.uint64, count=n)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash: a bit is set if it is in over half of the hashes; none gives zero."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # very long texts
+    for at in range(0, hashes.size, 1 << 16):  # very long texts
         some = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > n, bitorder="little")
+    bits = np.packbits(counts * 2 > hashes.size, bitorder="little")
     return int(bits.view("<i8")[0])
 
 
+def text_fingerprint(text: bytes, words: int, seed: int = SEED) -> int:
+    return fingerprint_of(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int, carry: str = "doc_id") -> DataFrame:
     """(``carry``, fp): one row per document; null text counts as empty."""
 
@@ -73,48 +81,57 @@ def segments_of(bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def variants(fps: DataFrame, bits: int) -> DataFrame:
-    """(hole, kept, fp): every fingerprint under each of its 64 one-wildcard keys."""
+def variants(nodes: DataFrame, bits: int) -> DataFrame:
+    """(hole, kept, fp, node): every fingerprint under each of its 64 one-wildcard keys."""
     masks = []
     for first, width in segments_of(bits):
         whole = ((1 << width) - 1) << first
         masks += [(whole & ~(1 << b)) for b in range(first, first + width)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     array = F.array(*[F.lit(m).cast("bigint") for m in signed])
-    return fps.select("fp", F.posexplode(array).alias("hole", "mask")).select(
-        F.col("hole").cast("tinyint").alias("hole"), F.col("fp").bitwiseAND(F.col("mask")).alias("kept"), "fp"
+    return nodes.select("fp", "node", F.posexplode(array).alias("hole", "mask")).select(
+        F.col("hole").cast("tinyint").alias("hole"), F.col("fp").bitwiseAND(F.col("mask")).alias("kept"), "fp", "node"
     )
 
 
-def _crowd(fp: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Spanning links of one crowded key: breadth-first over the members not reached yet."""
-    left, right, rest = [], [], fp
+def _crowd(fp: np.ndarray, bits: int, each: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links (as places) of one crowded key, breadth-first over the members still looked for: each is
+    reached ``each`` times before it counts as found, and once reached it looks for others itself."""
+    left, right = [], []
+    reached = np.zeros(fp.size, np.int64)
+    looked = np.zeros(fp.size, bool)
+    rest = np.arange(fp.size)
     while rest.size > 1:
-        queue, rest = [rest[0]], rest[1:]
+        queue = [int(rest[0])]
         while queue and rest.size:
             x = queue.pop()
-            near = np.bitwise_count(rest ^ x) <= bits
-            if near.any():
-                found = rest[near]
+            if looked[x]:
+                continue
+            looked[x] = True
+            rest = rest[rest != x]
+            near = np.bitwise_count(fp[rest] ^ fp[x]) <= bits
+            found = rest[near]
+            if found.size:
                 left.append(np.full(found.size, x))
                 right.append(found)
-                queue.extend(found)
-                rest = rest[~near]
+                queue.extend(found[reached[found] == 0].tolist())
+                reached[found] += 1
+                rest = rest[reached[rest] < each]
     return left, right
 
 
-def _meetings(hole: np.ndarray, kept: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links of whole runs of equal keys."""
+def _meetings(hole: np.ndarray, kept: np.ndarray, fp: np.ndarray, bits: int, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links (as places) of whole runs of equal keys."""
     new = np.flatnonzero((hole[1:] != hole[:-1]) | (kept[1:] != kept[:-1])) + 1
     starts = np.concatenate(([0], new))
     lengths = np.diff(np.concatenate((starts, [fp.size])))
     left, right = [], []
     for at in np.flatnonzero(lengths > SHORT_RUN):
-        a, b = _crowd(fp[starts[at] : starts[at] + lengths[at]], bits)
-        left += a
-        right += b
+        a, b = _crowd(fp[starts[at] : starts[at] + lengths[at]], bits, each)
+        left += [x + starts[at] for x in a]
+        right += [x + starts[at] for x in b]
     run = np.repeat(np.arange(starts.size), lengths)
-    use = np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths)
+    use = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths))
     run, few = run[use], fp[use]
     for step in range(1, SHORT_RUN):
         if few.size <= step:
@@ -123,45 +140,45 @@ def _meetings(hole: np.ndarray, kept: np.ndarray, fp: np.ndarray, bits: int) ->
         if not same.any():
             break
         ok = same & (np.bitwise_count(few[step:] ^ few[:-step]) <= bits)
-        left.append(few[:-step][ok])
-        right.append(few[step:][ok])
-    none = np.zeros(0, np.uint64)
+        left.append(use[:-step][ok])
+        right.append(use[step:][ok])
+    none = np.zeros(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def links(fps: DataFrame, bits: int) -> DataFrame:
-    """(u, v): links between distinct fingerprints that differ in 1 to ``bits`` bits, enough of
-    them to hold every component together."""
+def links(nodes: DataFrame, bits: int, each: int = 1) -> DataFrame:
+    """(u, v): links between nodes whose fingerprints differ in at most ``bits`` bits; ``nodes``: (fp,
+    node). With ``each`` of 1, enough of them to hold every component together; a higher one gives
+    members of crowded keys that many links, for callers that verify them further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def out(parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            u, v = _meetings(*parts, bits)
-            if u.size:
-                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in pairs], names=["u", "v"])
+        def out(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            hole, kept, fp, node = (np.concatenate(x) for x in zip(*parts, strict=True))
+            a, b = _meetings(hole, kept, fp.view(np.uint64), bits, each)
+            if a.size:
+                pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hole, kept, fp = (np.asarray(batch.column(i)) for i in range(3))
-            fp = fp.astype(np.int64).view(np.uint64)
+            hole, kept, fp, node = (np.asarray(batch.column(i)).astype(np.int64) for i in range(4))
             if held and (held[-1][0][-1] != hole[0] or held[-1][1][-1] != kept[0]):
-                yield from out(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield from out(held)
                 held = []
             last = np.flatnonzero((hole != hole[-1]) | (kept != kept[-1]))
             cut = int(last[-1]) + 1 if last.size else 0  # the last run may go on
             if cut:
-                parts = [*held, (hole[:cut], kept[:cut], fp[:cut])]
-                yield from out(tuple(np.concatenate(x) for x in zip(*parts, strict=True)))
+                yield from out([*held, (hole[:cut], kept[:cut], fp[:cut], node[:cut])])
                 held = []
-            held.append((hole[cut:], kept[cut:], fp[cut:]))
+            held.append((hole[cut:], kept[cut:], fp[cut:], node[cut:]))
         if held:
-            yield from out(tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from out(held)
 
-    spread = variants(fps, bits).repartition("hole", "kept").sortWithinPartitions("hole", "kept", "fp")
-    return spread.mapInArrow(run, "u bigint, v bigint")
+    spread = variants(nodes, bits).repartition("hole", "kept").sortWithinPartitions("hole", "kept", "fp")
+    return spread.mapInArrow(run, "u bigint, v bigint").where("u <> v").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
@@ -174,13 +191,80 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """
     prints = durable(fingerprints(docs, words))
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(firsts.select("fp"), bits))
+    roots = components(links(firsts.select("fp", F.col("fp").alias("node")), bits))
     rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def sketches(texts: DataFrame, words: int, size: int = SKETCH) -> DataFrame:
+    """(node, fp, sketch) of (node, text): the SimHash of the distinct words, and the ``size`` smallest
+    hashes of the distinct shingles of ``words`` words, 4 bytes each. The whole text is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, made = [], []
+            for t in batch.column("text"):
+                text = t.as_py() or b""
+                fps.append(fingerprint_of(np.unique(shingle_hashes(text, 1))))
+                made.append(np.unique((shingle_hashes(text, words) >> np.uint64(32)).astype(np.uint32))[:size].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(made, pa.binary())], names=["node", "fp", "sketch"])
+
+    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node bigint, fp bigint, sketch binary")
+
+
+def alike(a: bytes, b: bytes, size: int = SKETCH) -> float:
+    """Jaccard similarity of two shingle sets: exact up to ``size`` shingles in both together, estimated
+    from the ``size`` smallest beyond."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.union1d(x, y)[:size]
+    return np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean() if both.size else 1.0
+
+
+def verified(found: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The links whose shingle sets have a similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok = [alike(a, b) >= least for a, b in zip(left, right, strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    at = nodes.select("node", "sketch")
+    one = found.join(at.withColumnsRenamed({"node": "u", "sketch": "a"}), "u")
+    both = one.join(at.withColumnsRenamed({"node": "v", "sketch": "b"}), "v").select("u", "v", "a", "b")
+    return both.mapInArrow(run, "u bigint, v bigint")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 7, each: int = 4) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one with the smallest doc_id, then
+    the smallest row of it.
+
+    Candidates are texts whose fingerprints over distinct words differ in at most ``bits`` bits; a
+    change of one word moves these less than it moves shingles. Candidates are links if their sets of
+    ``words``-word shingles have a similarity of ``least`` or more. Equal texts are one node, and
+    null text counts as empty. A null doc_id comes last. Columns stay as they are; an empty table
+    gives no rows.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*docs.columns).alias("row"))
+    keyed = docs.select(key.alias("node"), first.alias("first"), F.coalesce("text", F.lit("")).alias("text"))
+    firsts = durable(keyed.groupBy("node").agg(F.min("first").alias("first")))
+    one_each = keyed.join(firsts, ["node", "first"], "left_semi").select("node", "text")
+    nodes = durable(sketches(one_each, words).dropDuplicates(["node"]))
+    found = verified(links(nodes, bits, each), nodes, least)
+    roots = components(found)
+    rooted = firsts.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    row = F.xxhash64(*docs.columns)
+    marked = docs.withColumns({"_row": row, "_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()})
+    kept = kept.select(F.col("row").alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("last").alias("_none"))
+    twin = F.row_number().over(W.partitionBy("_id", "_none", "_row").orderBy(F.lit(1)))
+    left = marked.join(kept, ["_row", "_id", "_none"], "left_semi")
+    return left.withColumn("_twin", twin).where("_twin = 1").select(*docs.columns)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints over 4-word shingles, linked at 4 or fewer differing bits."""
     return near_groups(table(spark, sf_dir, "documents"), words=4, bits=4).select(
