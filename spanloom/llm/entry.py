@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat, decontaminate, html, langid, mixing, pii, quality, simhash
+from spanloom.llm import chat, decontaminate, html, langid, mixing, pii, quality, simhash, suffix_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op3_chat_format": chat.op3_chat_format,
     "op4_language_id": langid.op4_language_id,
     "op5_html_extraction": html.op5_html_extraction,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_pii_spans": pii.op9_pii_spans,
