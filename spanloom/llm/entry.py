@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat, decontaminate, html, langid, mixing, pii, quality, simhash, suffix_dedup
+from spanloom.llm import chat, decontaminate, html, langid, mixing, pii, quality, search, simhash, suffix_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
+    "op2_bm25_search": search.op2_bm25_search,
     "op3_chat_format": chat.op3_chat_format,
     "op4_language_id": langid.op4_language_id,
     "op5_html_extraction": html.op5_html_extraction,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_bm25_search": search.OP2_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
