@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from spanloom.plans import lists
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _part in (lists,):
+    QUERIES.update(_part.QUERIES)
+    ORACLE.update(_part.ORACLE)
