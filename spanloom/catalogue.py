@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from spanloom.plans import lists
+from spanloom.plans import feeds, lists, upkeep
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (lists,):
+for _part in (lists, feeds, upkeep):
     QUERIES.update(_part.QUERIES)
     ORACLE.update(_part.ORACLE)
