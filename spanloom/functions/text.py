@@ -10,19 +10,20 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Limits and the words that fields may hold.
 MOST_ID, MOST_ENVIRONMENT = 512, 64
 LEVELS, TYPES, SOURCES = ("debug", "default", "warning", "error"), ("span", "generation", "event"), ("api", "eval", "annotation")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode's composed form; Spark has no function for it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON text with the keys of objects in order; null where it isn't JSON."""
 
@@ -38,7 +39,7 @@ def canonical_json(text: pd.Series) -> pd.Series:
 def hmac_sha256(body: Column, secret: str) -> Column:
     """Hex signature of a body."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def sign(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else hmac.new(secret.encode(), t.encode(), hashlib.sha256).hexdigest())
 
@@ -83,8 +84,11 @@ def otlp_span_id(observation_id: Column) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """VARIANT of JSON text; null where it isn't JSON. JSON's own null isn't SQL's."""
-    return F.try_parse_json(text)
+    """VARIANT of JSON text; null where it isn't JSON. JSON's own null isn't SQL's. The parser alone
+    would pass over what follows a value; inside brackets nothing may."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.coalesce(F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1, F.lit(False))
+    return F.when(alone, F.try_parse_json(text))
 
 
 def json_map(text: Column) -> Column:

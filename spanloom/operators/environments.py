@@ -42,7 +42,7 @@ def rebuilt(traces: DataFrame, watermark, capacity: int = CAPACITY) -> DataFrame
 
 
 def listing(registry: DataFrame) -> DataFrame:
-    return registry.orderBy("hidden", F.desc("last_seen_at"), "name")
+    return registry.orderBy("hidden", F.desc("last_seen_at"), "name", "project_id")
 
 
 def set_hidden(registry: DataFrame, project_id: str, name: str, hidden: bool) -> DataFrame:

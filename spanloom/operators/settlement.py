@@ -22,14 +22,15 @@ def activity(traces: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def versioned(traces: DataFrame, observations: DataFrame, settled_before: datetime | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """Live traces with their version; of ``ids`` (project_id, trace_id) only, if given."""
+    """Live traces with their ``trace_version``; of ``ids`` (project_id, trace_id) only, if given."""
     if ids is not None:
         traces = traces.join(ids.select("project_id", F.col("trace_id").alias("id")), ["project_id", "id"], "left_semi")
         observations = observations.join(ids, FEED_KEY, "left_semi")
     clock = activity(traces, observations)
     if settled_before is not None:
         clock = clock.where(F.col("version") <= F.lit(settled_before))
-    return latest(traces, "traces").join(clock.withColumnRenamed("trace_id", "id"), ["project_id", "id"])
+    clock = clock.select("project_id", F.col("trace_id").alias("id"), F.col("version").alias("trace_version"))
+    return latest(traces, "traces").join(clock, ["project_id", "id"])
 
 
 def publish(activities: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 #: A row is (id, parent): the parent in the tree, null for roots; depth from 0; the place in depth-first
 #: order; and whether the row is a root.
@@ -57,9 +59,6 @@ def observation_tree(observations: DataFrame) -> DataFrame:
 
 def visible(tree: DataFrame, collapsed: DataFrame) -> DataFrame:
     """Rows in depth-first order without what lies under the collapsed (project_id, trace_id, id)."""
-    from pyspark.sql import Window as W
-    from pyspark.sql import functions as F
-
     key = ["project_id", "trace_id"]
     marked = tree.join(collapsed.withColumn("_shut", F.lit(True)), [*key, "id"], "left")
     # a node hides the rows after it until the depth is no longer below its own
@@ -68,4 +67,4 @@ def visible(tree: DataFrame, collapsed: DataFrame) -> DataFrame:
     shut = F.collect_list(F.when(F.col("_shut"), F.struct("place", "depth"))).over(before)
     lows = F.collect_list(F.struct("place", "depth")).over(before)
     hidden = F.exists(shut, lambda s: (s["depth"] < F.col("depth")) & ~F.exists(lows, lambda r: (r["place"] > s["place"]) & (r["depth"] <= s["depth"])))
-    return marked.where(~F.coalesce(hidden, F.lit(False))).drop("_shut")
+    return marked.withColumn("_hidden", F.coalesce(hidden, F.lit(False))).where("not _hidden").drop("_shut", "_hidden")

@@ -53,7 +53,7 @@ JOINED = f"{EVT} SELECT t.project_id, t.id, epoch_us(timestamp) AS timestamp, ep
 
 
 def _versioned(df: DataFrame) -> DataFrame:
-    return df.select("project_id", "id", us("timestamp"), us("version"))
+    return df.select("project_id", "id", us("timestamp"), us("trace_version", "version"))
 
 
 @query("settled_trace_versions", f"{JOINED} WHERE version <= {SETTLED_SQL}")
@@ -76,7 +76,7 @@ def activity_join_batch(spark, sf):
 
 @query("settled_keyset_page", f"{JOINED} WHERE version <= {SETTLED_SQL} AND (version, t.id) > (TIMESTAMP '2024-01-05', 'u1') ORDER BY version, t.id LIMIT 101")
 def settled_keyset_page(spark, sf):
-    return _versioned(paging.keyset_page(settlement.versioned(*_evt(spark, sf), SETTLED), ["version", "id"], 100, (datetime(2024, 1, 5), "u1")))
+    return _versioned(paging.keyset_page(settlement.versioned(*_evt(spark, sf), SETTLED), ["trace_version", "id"], 100, (datetime(2024, 1, 5), "u1")))
 
 
 @query("late_reopens", f"{EVT} SELECT project_id, trace_id, epoch_us(version) AS version, version <= {SETTLED_SQL} AS was_settled, version + INTERVAL 1 MINUTE <= {SETTLED_SQL} AND trace_id NOT LIKE '%20240103' AS still_settled FROM clock")

@@ -63,7 +63,7 @@ def environment_merge(spark, sf):
     return _env_rows(environments.merged(registry(spark), environments.statistics(_live(spark, sf))), "hidden")
 
 
-@query("environment_listing", f"{MERGED} SELECT {ENV_ROW}, hidden FROM merged ORDER BY hidden, last_seen_at DESC, name LIMIT 7")
+@query("environment_listing", f"{MERGED} SELECT {ENV_ROW}, hidden FROM merged ORDER BY hidden, last_seen_at DESC, name, project_id LIMIT 7")
 def environment_listing(spark, sf):
     merged_ = environments.merged(registry(spark), environments.statistics(_live(spark, sf)))
     return _env_rows(environments.listing(merged_).limit(7), "hidden")
