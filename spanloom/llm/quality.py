@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ QUANTILE, SLACK, LEAST_SPREAD, FOLDS = 0.75, 8.0, 0.03, 5
 #: Means over few bytes scatter: the limit on a log perplexity rises by SHORT / sqrt(bytes).
 SHORT = 3.0
 #: Answers that are broadcast at most (12 bytes each), and labels (8 bytes each).
-BROADCAST_GRAMS, BROADCAST_LABELS = 4_000_000, 4_000_000
+BROADCAST_GRAMS, BROADCAST_LABELS = 3_000_000, 4_000_000
 #: Log perplexities are ranked in steps of this size, so that quantiles need one short table.
 STEP = 0.002
 #: Bytes of text whose n-grams are counted at once.
@@ -172,8 +173,11 @@ def scored(docs: DataFrame, table_: DataFrame) -> DataFrame:
     empty or its language has no model. Needs ``lang`` without nulls in ``model_lang``."""
     spark = docs.sparkSession
     if table_.count() <= BROADCAST_GRAMS:
-        rows = table_.toPandas()
-        model = {lang: (g["gram"].to_numpy(), g["logp"].to_numpy(np.float32)) for lang, g in rows.sort_values("gram").groupby("lang")}
+        rows = table_.select("lang", "gram", F.col("logp").cast("float").alias("logp")).toArrow()
+        model = {}
+        for lang in rows.column("lang").unique().to_pylist():
+            own = rows.filter(pa.compute.equal(rows.column("lang"), lang)).sort_by("gram")
+            model[lang] = tuple(own.column(c).to_numpy() for c in ("gram", "logp"))
         shipped = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
