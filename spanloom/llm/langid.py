@@ -33,6 +33,8 @@ FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes}
 
 BUCKETS = 1 << 12
 SAMPLE_PER_LANG = 300
+#: Languages that are learned at most.
+MOST_LANGS = 10_000
 #: Characters of a training vector's text are all read; rounds and strength of the SVMs' training.
 ROUNDS, LAMBDA = 12, 1e-4
 STEP = 1 << 20
@@ -121,8 +123,8 @@ def predict(model: dict, v: np.ndarray | None) -> tuple[str, float]:
 
 
 def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict:
-    """``labelled``: (text, lang). The sample is taken before vectors are made; the driver gets at
-    most ``per_lang`` vectors a language."""
+    """``labelled``: (text, lang). The sample is taken before vectors are made, of distinct texts; the
+    driver gets at most ``per_lang`` vectors a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,9 +134,12 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), vectors], names=["lang", "v"])
 
     keys = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    bins = keys.withColumn("part", F.pmod("h", F.lit(64)))
-    some = bins.withColumn("r", F.row_number().over(W.partitionBy("lang", "part").orderBy("h"))).where(F.col("r") <= per_lang)
-    some = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_lang)
+    # what can be among the smallest hashes, told from the number of rows, so that other texts don't move
+    place = F.pmod("h", F.lit(1 << 40))
+    sizes = keys.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS)
+    near = keys.join(F.broadcast(sizes), "lang").where(place * F.col("n").cast("double") < float((4 * per_lang + 64) << 40))
+    distinct = near.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    some = distinct.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(place, "h"))).where(F.col("r") <= per_lang)
     rows = some.select("lang", "text").mapInArrow(run, "lang string, v binary").collect()
     return fit(sorted(((r.lang, np.frombuffer(r.v, np.float32).astype(np.float64)) for r in rows), key=lambda r: (r[0], r[1].tobytes())))
 

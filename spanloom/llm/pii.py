@@ -224,6 +224,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def learn(scanned: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     """The span classifier's weights. Vote patterns are counted over all candidates; the fit takes a
     sample of at most ``sample`` of them, spread over the patterns by hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [c for f in batch.column(0).to_pylist() for c in json.loads(f)]
@@ -231,13 +232,18 @@ def learn(scanned: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
 
     rows = scanned.where("found is not null").select("found").mapInArrow(run, "votes string, features string")
     kinds = durable(rows.groupBy("votes", "features").agg(F.count("*").alias("n")))
-    patterns = {tuple(json.loads(r.votes)): r.n for r in kinds.groupBy("votes").agg(F.sum("n").alias("n")).collect()}
+    found = kinds.groupBy("votes").agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect()  # 3 ** labelers at most
+    patterns = {tuple(json.loads(r.votes)): r.n for r in found}
     if not patterns:
         return None
     told = reliabilities(patterns)
-    order = W.partitionBy("votes").orderBy(F.xxhash64("features"), "features")
-    each = kinds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, sample // len(patterns)))
-    some = each.select("votes", "features").collect()
+    each = max(1, sample // len(patterns))
+    sizes = kinds.sparkSession.createDataFrame([(r.votes, r.m) for r in found], "votes string, m bigint")
+    place = F.pmod(F.xxhash64("features"), F.lit(1 << 40))
+    near = kinds.join(F.broadcast(sizes), "votes").where(place * F.col("m").cast("double") < float((4 * each + 64) << 40))
+    order = W.partitionBy("votes").orderBy(place, "features")
+    some = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
+    some = some.select("votes", "features").collect()
     return fit(sorted((json.loads(r.features), told[tuple(json.loads(r.votes))]) for r in some))
 
 

@@ -27,7 +27,10 @@ from spanloom.llm.suffix_dedup import BASES, Prefixes, mix
 #: The parameters of BM25.
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_BYTES, BLOCK = 32 << 20, 32
+SHARD_BYTES, BLOCK = 16 << 20, 32
+#: Tasks of a search, as a multiple of the cluster's cores: a task goes through its shards one by one, and
+#: the threshold that a query has reached in one holds in the next.
+TASKS_PER_CORE = 2
 #: Terms of the queries that are broadcast at once (16 bytes each).
 QUERY_TERMS = 2_000_000
 _SPACES = np.zeros(256, bool)
@@ -88,7 +91,7 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, current = [], 0, None
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 1 << 19):
             shard = np.asarray(batch.column("shard"))
             for s in np.unique(shard):
                 own = batch.filter(pa.array(shard == s))
@@ -138,12 +141,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 class ShardIndex:
-    def __init__(self, ids: list, lengths: bytes, terms: bytes, ends: bytes, docs: bytes, tfs: bytes, mean: float, block: int = BLOCK):
-        self.ids, self.terms, self.block = ids, np.frombuffer(terms, "<u8"), block
-        self.docs = np.frombuffer(docs, "<i4").astype(np.int64)
-        tf, length = np.frombuffer(tfs, "<i4").astype(np.float64), np.frombuffer(lengths, "<i4").astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs] / max(mean, 1e-9)))
-        ends = np.frombuffer(ends, "<i4").astype(np.int64)
+    def __init__(self, batch: pa.RecordBatch, row: int, mean: float, block: int = BLOCK):
+        packed = lambda name, kind: np.frombuffer(batch.column(name)[row].as_buffer(), kind)  # noqa: E731  no copy
+        self.ids, self.terms, self.block = batch.column("ids")[row].as_py(), packed("terms", "<u8"), block
+        self.docs = packed("docs", "<i4")
+        tf, length = packed("tfs", "<i4").astype(np.float64), packed("lengths", "<i4").astype(np.float64)
+        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / max(mean, 1e-9)))[self.docs])
+        ends = packed("ends", "<i4").astype(np.int64)
         of = self.docs // block
         cut = np.ones(of.size, bool)
         cut[1:] = of[1:] != of[:-1]
@@ -154,8 +158,9 @@ class ShardIndex:
         self.piece = np.append(self.piece, of.size)
         self.term_piece = np.searchsorted(self.piece, np.concatenate(([0], ends)))
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[list, list]:
-        """The k best of the shard, by score, then id (null last); documents that share no term are none."""
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, best: list) -> list:
+        """The k best of ``best`` and the shard as (-score, id is null, id), in order; documents that share no
+        term are none."""
         at = np.searchsorted(self.terms, terms)
         at[at == self.terms.size] = 0
         known = np.flatnonzero(self.terms[at] == terms) if self.terms.size else np.zeros(0, np.int64)
@@ -166,7 +171,6 @@ class ShardIndex:
         bound = np.bincount(block, weights=weight * self.piece_max[pieces_], minlength=-(-len(self.ids) // self.block)) * (1 + 1e-9)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best: list[tuple[float, bool, int]] = []
         done, step = 0, 2
         while done < order.size and (len(best) < k or bound[order[done]] >= -best[k - 1][0]):
             chosen = order[done : done + step]
@@ -183,7 +187,7 @@ class ShardIndex:
                 hit = hit[score[hit] >= np.partition(score[hit], hit.size - k)[hit.size - k]]
             best = sorted(best + [(-float(score[d]), self.ids[d] is None, self.ids[d] or 0) for d in hit])[:k]
             done, step = done + step, step * 2
-        return [None if none else i for _, none, i in best], [-s for s, _, _ in best]
+        return best
 
 
 def ragged(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -206,7 +210,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int =
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = durable(asked.join(df, "term").groupBy("query_id", "term", idf.alias("idf")).agg(F.sum("qtf").alias("qtf")))
     blocks = max(1, -(-asked.count() // query_terms_))
-    out = None
+    out, tasks = None, max(1, TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism)
     for i in range(blocks):
         some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")).toArrow()
         some = some.sort_by([("query_id", "ascending"), ("term", "ascending")])
@@ -216,15 +220,16 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int =
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             ids, bounds, terms, weights = received(shipped)
+            best: list[list] = [[] for _ in ids]
             for batch in batches:
-                for row in batch.to_pylist():
-                    shard, found = ShardIndex(**row, mean=mean), []
-                    for q, a, b in zip(ids.tolist(), bounds[:-1], bounds[1:], strict=True):
-                        docs_, scores = shard.top(terms[a:b], weights[a:b], k)
-                        found += [(q, d, s) for d, s in zip(docs_, scores, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
-
-        part = durable(index.mapInArrow(run, "query_id bigint, doc_id bigint, score double"))
+                for row in range(batch.num_rows):
+                    shard = ShardIndex(batch, row, mean)
+                    for q, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                        best[q] = shard.top(terms[a:b], weights[a:b], k, best[q])
+            found = [(q, None if none else d, -s) for q, some in zip(ids.tolist(), best, strict=True) for s, none, d in some]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
+
+        part = durable(index.coalesce(tasks).mapInArrow(run, "query_id bigint, doc_id bigint, score double"))
         out = part if out is None else out.unionByName(part)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")

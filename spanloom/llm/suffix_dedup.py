@@ -32,8 +32,9 @@ from spanloom.llm.common import durable, joined_bytes, pieces, table
 LEAST, GRAM = 200, 32
 #: Windows of an anchor that are sorted together at most.
 CROWD = 512
-#: Bytes of text in a vectorised step, and starts of a text that are looked at together at most.
-STEP_BYTES, PIECE = 4 << 20, 1 << 22
+#: Bytes of text in a vectorised step (small enough for a core's cache), and starts of a text that are
+#: looked at together at most.
+STEP_BYTES, PIECE = 1 << 18, 1 << 18
 #: Bytes of windows that are sorted together, about (runs of equal anchors stay whole).
 SORT_BYTES = 8 << 20
 
@@ -51,19 +52,28 @@ def mix(h: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0]))
 
 
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse, kept for the next call."""
+    if base not in _powers or _powers[base][0].size < n:
+        made = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            row = np.full(max(n, 1 << 19), np.uint64(b))
+            row[0] = 1
+            made.append(np.multiply.accumulate(row))
+        _powers[base] = tuple(made)
+    return tuple(x[:n] for x in _powers[base])
+
+
 class Prefixes:
     """Prefix polynomial hashes of a byte array, modulo 2 to the 64."""
 
     def __init__(self, raw: np.ndarray, base: int):
-        inverse = pow(base, -1, 1 << 64)
-        powers = np.full(raw.size + 1, np.uint64(base))
-        powers[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        self.undo = np.full(raw.size + 1, np.uint64(inverse))
-        self.undo[0] = 1
-        np.multiply.accumulate(self.undo, out=self.undo)
+        up, self.undo = powers(base, raw.size + 1)
         self.sums = np.zeros(raw.size + 1, np.uint64)
-        np.cumsum(_BYTES[raw] * powers[:-1], out=self.sums[1:])
+        np.cumsum(_BYTES[raw] * up[:-1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return (self.sums[start + length] - self.sums[start]) * self.undo[start]
@@ -293,15 +303,16 @@ def halved_windows(found: DataFrame, least: int = LEAST) -> DataFrame:
     while size >= 1:
         # from >= to: bytes before the anchor of the first and last start that the window has here
         hull = F.substring("bytes", F.col("place") - F.col("from") + 1, F.col("from") - F.col("to") + least)
-        core = F.substring("bytes", F.col("place") - (F.col("far") - size + 1) + 1, F.lit(least - size + 1)) if size <= least else F.lit(None).cast("binary")
-        keyed = blocks.withColumns({"hull": F.md5(hull), "core": F.md5(core)})
-        whole = keyed.groupBy("anchor", "from", "to", "hull").agg(F.count("*").alias("wholes"))
+        core = F.md5(F.substring("bytes", F.col("place") - (F.col("far") - size + 1) + 1, F.lit(least - size + 1))) if size <= least else F.lit("")
+        keyed = blocks.withColumns({"hull": F.md5(hull), "core": core})
+        whole = keyed.groupBy("anchor", "from", "to", "hull").agg(F.count("*").alias("wholes"), F.min("content").alias("lead"))
         parts = keyed.groupBy("anchor", "far", "core").agg(F.count("*").alias("cores"))
-        told = durable(keyed.join(whole, ["anchor", "from", "to", "hull"]).join(parts, keyed["core"].eqNullSafe(parts["core"]) & (keyed["anchor"] == parts["anchor"]) & (keyed["far"] == parts["far"])).select(*[keyed[c] for c in blocks.columns], "wholes", "cores"))
+        told = durable(keyed.join(whole, ["anchor", "from", "to", "hull"]).join(parts, ["anchor", "far", "core"]).select(*blocks.columns, "wholes", "lead", "cores"))
         done = told.where("wholes > 1").select("anchor", "content", (F.col("place") - F.col("from")).alias("low"), (F.col("place") - F.col("to")).alias("high"))
         out = done if out is None else out.unionByName(done)
         half = size // 2
-        rest = told.where("wholes = 1 and cores > 1").drop("wholes", "cores")
+        # of blocks that are told, one each stays: part of another block may have its twin there
+        rest = told.where("cores > 1 and (wholes = 1 or content = lead)").drop("wholes", "lead", "cores")
         if not half or not rest.head(1):
             break
         sides = F.explode(F.array(F.col("far"), F.col("far") - half))
@@ -334,7 +345,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in pieces(batches, "text", STEP_BYTES):
+        for batch in pieces(batches, "text"):
             made = [pack.compress(memoryview(t.as_buffer())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array(made, pa.binary())], names=["doc_id", "k", "z"])
 
@@ -344,25 +355,24 @@ def _packed(docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """(k, marks): for each text with repeated strings the list of (p0, n, mask) of its windows; a null mask
     means every start."""
-    found = text_windows(docs.select("k", "text"))
+    found = durable(text_windows(docs.select("k", "text")))
+    distinct = found.groupBy("anchor", "content").agg(F.count("*").alias("c"))
+    shared = distinct.groupBy("anchor").agg(F.count("*").alias("g"), F.sum("c").alias("all"))
+    known = distinct.join(shared, "anchor").where("c > 1 or g > 1").select("anchor", "content", "c", "g")
+    occurring = durable(found.join(known, ["anchor", "content"]))
     one = F.min(F.struct("k", "p0", "n", "place")).alias("one")
-    distinct = found.groupBy("anchor", "content").agg(F.count("*").alias("c"), one)
-    shared = distinct.groupBy("anchor").agg(F.count("*").alias("g")).where("g > 1")
-    known = durable(distinct.join(shared, "anchor", "left").where("c > 1 or g > 1"))
-    wanted = known.where("g > 1").select("anchor", "content", (F.col("g") > CROWD).alias("crowd"), "one.*")
+    wanted = occurring.where("g > 1").groupBy("anchor", "content").agg(one, (F.first("g") > CROWD).alias("crowd")).select("anchor", "content", "crowd", "one.*")
     contexts = durable(_contexts(packed, wanted))
-    masks = sorted_windows(contexts.where("not crowd"))
-    verdict = masks.select("anchor", "content", "mask", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
+    ranges = [F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high")]
+    verdict = sorted_windows(contexts.where("not crowd")).select("anchor", "content", "mask", *ranges)
     crowds = contexts.where("crowd")
     if crowds.head(1):
         verdict = verdict.unionByName(halved_windows(crowds).withColumn("mask", F.lit(None).cast("binary")))
-    alone = known.where("c = 1").select("anchor", "content")
-    verdict = verdict.join(alone, ["anchor", "content"], "left_semi")
-    whole = known.where("c > 1").select("anchor", "content", F.lit(None).cast("binary").alias("mask"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
-    marks = found.select("k", "p0", "n", "anchor", "content").join(verdict.unionByName(whole), ["anchor", "content"])
-    first = F.col("p0") + F.coalesce("low", F.lit(0))
-    count = F.coalesce(F.col("high") - F.col("low") + 1, F.col("n"))
-    return marks.groupBy("k").agg(F.collect_set(F.struct(first.alias("p0"), count.cast("int").alias("n"), "mask")).alias("marks"))
+    whole = occurring.where("c > 1").select("k", "p0", "n", F.lit(None).cast("binary").alias("mask"))
+    alone = occurring.where("c = 1").select("k", "p0", "n", "anchor", "content").join(verdict, ["anchor", "content"])
+    first, count = F.col("p0") + F.coalesce("low", F.lit(0)), F.coalesce(F.col("high") - F.col("low") + 1, F.col("n"))
+    marks = whole.unionByName(alone.select("k", first.alias("p0"), count.cast("int").alias("n"), "mask"))
+    return marks.groupBy("k").agg(F.collect_set(F.struct("p0", "n", "mask")).alias("marks"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
