@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from spanloom.plans import exports, feeds, lists, upkeep
+from spanloom.plans import exports, feeds, ingest, lists, upkeep
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (lists, feeds, upkeep, exports):
+for _part in (lists, feeds, upkeep, exports, ingest):
     QUERIES.update(_part.QUERIES)
     ORACLE.update(_part.ORACLE)

@@ -62,7 +62,7 @@ def _string(name: str) -> Column:
 def _record_id() -> Column:
     """The body's id, or one made from what the event holds."""
     content = F.to_json(F.array(F.col("first.type"), F.col("first.event_id"), F.coalesce("first.sent_at", F.lit("")), F.coalesce(text.canonical_json(F.col("first.body")), F.lit(""))))
-    return F.coalesce(_string("id"), text.record_id(content))
+    return F.coalesce(text.identifier(_string("id")), text.record_id(content))
 
 
 _NO_MAP = "cast(map() as map<string,string>)"
