@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Providers whose prefix a table may carry, in the order they are tried.
@@ -42,6 +42,13 @@ def usable_overrides(rows: list[tuple]) -> list[tuple]:
     return out
 
 
+def read_prices(spark: SparkSession, path: str) -> DataFrame:
+    """A price list as JSON: {"syncedAt": ..., "models": {name: {provider, input, output, cache_read, cache_write}}}."""
+    entry = "provider:string," + ",".join(f"{c}:decimal(24,15)" for c in COMPONENTS)
+    listed = spark.read.schema(f"syncedAt string, models map<string,struct<{entry}>>").option("multiLine", True).json(path)
+    return listed.select(F.col("syncedAt").alias("synced_at"), F.explode("models").alias("model", "p")).select("model", "p.*", "synced_at")
+
+
 def _prices() -> Column:
     return F.struct(*COMPONENTS)
 

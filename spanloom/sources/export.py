@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spanloom.functions import text
 from spanloom.functions.time import to_iso, to_unix_nano
@@ -116,3 +120,50 @@ def webhook_bodies(traces: DataFrame, secret: str) -> DataFrame:
 def compat_item(df: DataFrame) -> Column:
     """A trace as the compatible read form: camel case, absent fields left out."""
     return F.to_json(F.struct("id", to_iso(F.col("timestamp")).alias("timestamp"), "name", F.col("user_id").alias("userId"), F.col("session_id").alias("sessionId"), "tags", "environment"))
+
+
+def tree_response(traces: DataFrame, tree: DataFrame, observations: DataFrame) -> DataFrame:
+    """(project_id, id, body): a trace with its observations nested below their parents, as JSON."""
+    rows = tree.join(observations, ["project_id", "trace_id", "id"]).select(
+        "project_id", F.col("trace_id").alias("trace"), "place", "depth", F.to_json(F.struct("id", "name", "type", to_iso(F.col("start_time")).alias("startTime"), to_iso(F.col("end_time")).alias("endTime"), "level", "model")).alias("node")
+    )
+    lists = rows.groupBy("project_id", F.col("trace").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "depth", "node"))).alias("nodes"))
+    head = F.to_json(F.struct("id", "name", to_iso(F.col("timestamp")).alias("timestamp"), "tags"))
+    return traces.select("project_id", "id", head.alias("head")).join(lists, ["project_id", "id"], "left").select("project_id", "id", nested_json(F.col("head"), F.col("nodes.depth"), F.col("nodes.node")).alias("body"))
+
+
+@F.pandas_udf(StringType())
+def nested_json(head: pd.Series, depths: pd.Series, nodes: pd.Series) -> pd.Series:
+    """Nodes in depth-first order put below each other by their depth."""
+
+    def one(h: str, ds: object, ns: object) -> str:
+        out = json.loads(h)
+        path = [out]
+        out["observations"] = []
+        for d, n in zip(ds if ds is not None else (), ns if ns is not None else (), strict=True):
+            node = {**json.loads(n), "children": []}
+            del path[d + 1 :]
+            path[-1]["observations" if len(path) == 1 else "children"].append(node)
+            path.append(node)
+        return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+
+    return pd.Series([one(*x) for x in zip(head, depths, nodes, strict=True)], dtype=object)
+
+
+def content_hash(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, content_hash) of everything that rows with the key hold, whatever their order."""
+    line = F.to_json(F.struct(*sorted(c for c in rows.columns if c not in key)))
+    return rows.groupBy(*key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("content_hash"))
+
+
+def raw_slice(index: DataFrame, events: DataFrame, most_objects: int, most_bytes: int) -> DataFrame:
+    """(project_id, trace_id, object_key, event_id, match, truncated) for the indexed objects of traces: their
+    events that concern the trace, objects beyond the caps named with why they are left out."""
+    from spanloom.operators.refs import within_caps
+    from spanloom.sources.raw import concerns
+
+    sizes = events.groupBy("project_id", "object_key").agg(F.sum(F.octet_length("body")).alias("size"))
+    capped = within_caps(index.join(sizes, ["project_id", "object_key"]), most_objects, most_bytes)
+    open_ = capped.where("truncated is null").join(events.withColumnRenamed("id", "event_id").drop("received_at"), ["project_id", "object_key"]).withColumn("match", concerns(F.col("trace_id"))).where("match <> 'NO'")
+    shut = capped.where("truncated is not null").select("project_id", "trace_id", "object_key", F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("match"), "truncated")
+    return open_.select("project_id", "trace_id", "object_key", "event_id", "match", F.lit(None).cast("string").alias("truncated")).unionByName(shut)
