@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +92,16 @@ def scoped(observations: DataFrame, traces: DataFrame) -> DataFrame:
     return observations.join(ids, ["project_id", "trace_id"], "left_semi")
 
 
+def whole_days(traces: DataFrame, f: TraceFilter) -> DataFrame:
+    """All versions of the days that the range touches. The day is part of the key, so this may come before
+    versions collapse, and it reaches the scan."""
+    if f.since is not None:
+        traces = traces.where(F.col("timestamp") >= F.lit(f.since.replace(hour=0, minute=0, second=0, microsecond=0)))
+    if f.until is not None:
+        traces = traces.where(F.col("timestamp") < F.lit(f.until.replace(hour=0, minute=0, second=0, microsecond=0) + timedelta(days=1)))
+    return traces
+
+
 def matched(traces: DataFrame, observations: DataFrame, f: TraceFilter, scope: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Live traces that match, and the live observations that may count for them. Takes all versions.
 
@@ -99,7 +109,7 @@ def matched(traces: DataFrame, observations: DataFrame, f: TraceFilter, scope: b
     their versions collapse; by default if the filter narrows by time, user or session."""
     if f.project_id:
         traces, observations = (d.where(F.col("project_id") == f.project_id) for d in (traces, observations))
-    live = _where(latest(traces, "traces"), trace_conditions(f))
+    live = _where(latest(whole_days(traces, f), "traces"), trace_conditions(f))
     if f.narrows if scope is None else scope:
         observations = scoped(observations, live)
     seen = latest(observations, "observations")

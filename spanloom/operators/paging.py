@@ -17,6 +17,18 @@ def keyset_page(df: DataFrame, keys: list[str], limit: int, after: tuple | None
     return df.orderBy(*[F.desc(k) if descending else F.asc(k) for k in keys]).limit(limit + 1)
 
 
+def held(page: DataFrame) -> tuple[DataFrame, list]:
+    """A page, held by the driver (it has ``limit + 1`` rows at most), so that what is looked up for it
+    needn't find it again."""
+    rows = page.collect()
+    return page.sparkSession.createDataFrame(rows, page.schema), rows
+
+
+def of_page(children: DataFrame, rows: list) -> DataFrame:
+    """All versions of the children of a page's traces. The ids are literals: they reach the scan."""
+    return children.where(F.col("project_id").isin(sorted({r.project_id for r in rows})) & F.col("trace_id").isin(sorted({r.id for r in rows})))
+
+
 def cut_page(rows: list, limit: int) -> tuple[list, bool]:
     return rows[:limit], len(rows) > limit
 

@@ -203,9 +203,11 @@ PAGE_ROW = f"project_id, id, epoch_us(timestamp) AS timestamp, name, user_id, en
 
 
 def _page(spark, sf, after=None):
-    live, seen = filters.matched(*_ord(spark, sf), PAGE)
-    page = paging.keyset_page(live, ["timestamp", "id"], filters.DEFAULT_LIMIT, after, descending=True)
-    rows = figures.with_metrics(page, figures.trace_metrics(filters.scoped(seen, page)))
+    traces, observations = _ord(spark, sf)
+    live, _ = filters.matched(traces, observations, PAGE)
+    page, found = paging.held(paging.keyset_page(live, ["timestamp", "id"], filters.DEFAULT_LIMIT, after, descending=True))
+    children = versions.latest(paging.of_page(observations, found), "observations")
+    rows = figures.with_metrics(page, figures.trace_metrics(children))
     return rows.select("project_id", "id", us("timestamp"), "name", "user_id", "environment", *_figures(rows))
 
 
