@@ -63,12 +63,10 @@ def latency_percentiles(observations: DataFrame, at: tuple[float, ...] = (0.5, 0
 def aggregates(traces: DataFrame, observations: DataFrame) -> DataFrame:
     """One row for a matched set: trace_count, token and cost totals as maps, latency percentiles."""
     as_map = lambda df, name: df.agg(F.map_from_entries(F.collect_list(F.struct("key", "total"))).alias(name))  # noqa: E731  a row per key name
-    return (
-        traces.agg(F.count("*").alias("trace_count"))
-        .join(as_map(map_totals(observations, "usage_details"), "tokens"))
-        .join(as_map(map_totals(observations, "cost_details"), "costs"))
-        .join(latency_percentiles(observations))
-    )
+    out = traces.agg(F.count("*").alias("trace_count"))
+    for part in (as_map(map_totals(observations, "usage_details"), "tokens"), as_map(map_totals(observations, "cost_details"), "costs"), latency_percentiles(observations)):
+        out = out.unionByName(part, allowMissingColumns=True)  # one row each
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns])
 
 
 def first_key(totals: Column, keys: tuple[str, ...]) -> Column:
