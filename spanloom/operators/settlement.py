@@ -107,3 +107,15 @@ def forward_only_cutoffs(recorded: DataFrame, proposed: DataFrame) -> DataFrame:
 def seed_cutoffs(recorded: DataFrame, proposed: DataFrame) -> DataFrame:
     """Recorded cutoffs, and proposed ones for projects that have none."""
     return recorded.select("project_id", "cutoff").unionByName(proposed.select("project_id", "cutoff").join(recorded, "project_id", "left_anti"))
+
+
+def next_batch(statuses: DataFrame, cursor: tuple | None, limit: int) -> tuple[list, tuple | None]:
+    """The entries that one run exports, and where the next run begins: feed order from the cursor
+    (published_at, trace_id) of one project, up to the first blocked entry, ``limit`` entries at most. Entries
+    that are stepped over move the cursor too. The cursor is stored once the run's files are."""
+    if cursor is not None:
+        statuses = statuses.where(F.struct("published_at", "trace_id") > F.struct(F.lit(cursor[0]).cast("timestamp").alias("published_at"), F.lit(cursor[1]).alias("trace_id")))
+    seen = statuses.orderBy("published_at", "trace_id").limit(limit).collect()
+    stop = next((i for i, r in enumerate(seen) if r.status == "blocked"), len(seen))
+    done = seen[:stop]
+    return [r for r in done if r.status == "emit"], ((done[-1].published_at, done[-1].trace_id) if done else cursor)

@@ -3,7 +3,7 @@ with feedback."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text, usage
@@ -93,3 +93,10 @@ def map_feedback(pulled: DataFrame, runs: DataFrame, project_id: str) -> DataFra
         F.when(F.col("score").isNotNull(), "numeric").otherwise("categorical").alias("data_type"), F.col("score").cast("double").alias("value"), F.col("value").alias("string_value"),
         F.lit("api").alias("source"), F.lit("langsmith").alias("import_source"), "comment", F.to_timestamp("created_at").alias("timestamp"),
     )
+
+
+def read_pulled(spark: SparkSession, path: str, row: str) -> DataFrame:
+    """Rows of pages that a pull has saved: JSON files of the form {"data": [...], "meta": ...}; ``row`` is the
+    DDL of an entry, as ``name:type`` pairs."""
+    pages = spark.read.schema(f"data array<struct<{row}>>").option("multiLine", True).json(path)
+    return pages.select(F.explode("data").alias("d")).select("d.*")

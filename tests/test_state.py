@@ -128,3 +128,23 @@ def test_raw_slice(spark):
     events = spark.createDataFrame([("p", "o0", "e0", "trace-upsert", "native", '{"id":"t"}'), ("p", "o0", "e1", "trace-upsert", "native", '{"id":"u"}'), ("p", "o1", "e2", "otlp-export", "otlp", '{"x":"t"}'), ("p", "o2", "e3", "otlp-export", "otlp", '{"x":"t"}')], "project_id string, object_key string, id string, type string, source string, body string").withColumn("received_at", F.lit(NOW))
     got = {(r.object_key, r.event_id, r.match, r.truncated) for r in export.raw_slice(index, events, 2, 1000).collect()}
     assert got == {("o0", "e0", "EXACT", None), ("o1", "e2", "POSSIBLE", None), ("o2", None, None, "object_limit")}
+
+
+def test_export_batches_follow_the_feed(spark):
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    feed = spark.createDataFrame([(at(1), "a", "emit"), (at(2), "b", "step_over"), (at(3), "c", "emit"), (at(4), "d", "blocked"), (at(5), "e", "emit")], "published_at timestamp, trace_id string, status string")
+    rows, cursor = settlement.next_batch(feed, None, 2)
+    assert [r.trace_id for r in rows] == ["a"] and cursor == (at(2), "b")
+    rows, cursor = settlement.next_batch(feed, cursor, 10)
+    assert [r.trace_id for r in rows] == ["c"] and cursor == (at(3), "c")
+    assert settlement.next_batch(feed, cursor, 10) == ([], cursor)
+
+
+def test_pulled_pages(spark, tmp_path):
+    from spanloom.sources import importers
+
+    for i in range(2):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"data": [{"id": f"s{i}", "traceId": "t", "name": "n", "value": i, "source": "EVAL"}, {"id": "none", "traceId": "t", "name": "n"}], "meta": {"page": i}}))
+    row = "id:string,traceId:string,observationId:string,name:string,dataType:string,value:double,stringValue:string,source:string,comment:string,timestamp:string"
+    got = importers.map_list_scores(importers.read_pulled(spark, str(tmp_path), row), "p").orderBy("id").collect()
+    assert [(r.id, r.value, r.data_type, r.source) for r in got] == [("s0", 0.0, "numeric", "eval"), ("s1", 1.0, "numeric", "eval")]
