@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import durable, joined_bytes, pieces, table
 
 LEAST, GRAM = 200, 32
-#: Windows of an anchor that are sorted together at most.
-CROWD = 512
+#: Windows of an anchor that are sorted together at most (5 MB of bytes).
+CROWD = 16_384
 #: Bytes of text in a vectorised step (small enough for a core's cache), and starts of a text that are
 #: looked at together at most.
 STEP_BYTES, PIECE = 1 << 18, 1 << 18
 #: Bytes of windows that are sorted together, about (runs of equal anchors stay whole).
-SORT_BYTES = 8 << 20
+SORT_BYTES = 4 << 20
 
 #: Bases of the polynomial hashes, odd.
 BASES = (0x9E37_79B9_7F4A_7C15, 0xC2B2_AE3D_27D4_EB4F)
