@@ -27,7 +27,9 @@ from spanloom.llm.suffix_dedup import BASES, Prefixes, mix
 #: The parameters of BM25.
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_BYTES, BLOCK = 16 << 20, 32
+SHARD_BYTES, BLOCK = 16 << 20, 64
+#: Blocks that a query scores first, and how many times more from step to step.
+FIRST_BLOCKS, GROWTH = 8, 4
 #: Tasks of a search, as a multiple of the cluster's cores: a task goes through its shards one by one, and
 #: the threshold that a query has reached in one holds in the next.
 TASKS_PER_CORE = 2
@@ -90,23 +92,19 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in packed]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, current = [], 0, None
+        parts, size = [], 0
         for batch in pieces(batches, "text", 1 << 19):
-            shard = np.asarray(batch.column("shard"))
-            for s in np.unique(shard):
-                own = batch.filter(pa.array(shard == s))
-                if parts and (s != current or size > 2 * shard_bytes):
-                    yield pack(parts)
-                    parts, size = [], 0
-                current = s
-                raw, bounds = joined_bytes(own.column("text"))
-                parts.append((own.column("doc_id").to_pylist(), *term_counts(*words_of(raw, bounds))))
-                size += raw.size
+            raw, bounds = joined_bytes(batch.column("text"))
+            if parts and size + raw.size > 2 * shard_bytes:
+                yield pack(parts)
+                parts, size = [], 0
+            parts.append((batch.column("doc_id").to_pylist(), *term_counts(*words_of(raw, bounds))))
+            size += raw.size
         if parts:
             yield pack(parts)
 
-    dealt = docs.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
-    return durable(dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, fields))
+    # dealt out in turn: shards are even whatever ids and texts repeat
+    return durable(docs.repartition(shards).mapInArrow(run, fields))
 
 
 def collection_statistics(index: DataFrame) -> tuple[int, float, DataFrame]:
@@ -158,20 +156,24 @@ class ShardIndex:
         self.piece = np.append(self.piece, of.size)
         self.term_piece = np.searchsorted(self.piece, np.concatenate(([0], ends)))
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, best: list) -> list:
-        """The k best of ``best`` and the shard as (-score, id is null, id), in order; documents that share no
-        term are none."""
+    def places(self, terms: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of queries whose terms lie end to end: the rows of the terms that the shard has, which of all the terms
+        these are, and each query's bounds among them."""
         at = np.searchsorted(self.terms, terms)
         at[at == self.terms.size] = 0
-        known = np.flatnonzero(self.terms[at] == terms) if self.terms.size else np.zeros(0, np.int64)
-        at, weights = at[known], weights[known]
+        known = self.terms[at] == terms if self.terms.size else np.zeros(terms.size, bool)
+        return at[known], np.flatnonzero(known), np.concatenate(([0], np.cumsum(known)))[bounds]
+
+    def top(self, at: np.ndarray, weights: np.ndarray, k: int, best: list) -> list:
+        """The k best of ``best`` and the shard for terms in the rows ``at``, as (-score, id is null, id), in
+        order; documents that share no term are none."""
         pieces_ = ragged(self.term_piece[at], self.term_piece[at + 1])
         weight = np.repeat(weights, self.term_piece[at + 1] - self.term_piece[at])
         block = self.piece_block[pieces_]
         bound = np.bincount(block, weights=weight * self.piece_max[pieces_], minlength=-(-len(self.ids) // self.block)) * (1 + 1e-9)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        done, step = 0, 2
+        done, step = 0, FIRST_BLOCKS
         while done < order.size and (len(best) < k or bound[order[done]] >= -best[k - 1][0]):
             chosen = order[done : done + step]
             if len(best) >= k:
@@ -186,7 +188,7 @@ class ShardIndex:
             if hit.size > k:  # all that reach the k-th score
                 hit = hit[score[hit] >= np.partition(score[hit], hit.size - k)[hit.size - k]]
             best = sorted(best + [(-float(score[d]), self.ids[d] is None, self.ids[d] or 0) for d in hit])[:k]
-            done, step = done + step, step * 2
+            done, step = done + step, step * GROWTH
         return best
 
 
@@ -224,8 +226,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int =
             for batch in batches:
                 for row in range(batch.num_rows):
                     shard = ShardIndex(batch, row, mean)
-                    for q, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                        best[q] = shard.top(terms[a:b], weights[a:b], k, best[q])
+                    at, which, ends = shard.places(terms, bounds)
+                    own = weights[which]
+                    for q, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                        best[q] = shard.top(at[a:b], own[a:b], k, best[q])
             found = [(q, None if none else d, -s) for q, some in zip(ids.tolist(), best, strict=True) for s, none, d in some]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
