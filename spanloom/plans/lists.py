@@ -205,6 +205,7 @@ PAGE_ROW = f"project_id, id, epoch_us(timestamp) AS timestamp, name, user_id, en
 def _page(spark, sf, after=None):
     traces, observations = _ord(spark, sf)
     live, _ = filters.matched(traces, observations, PAGE)
+    live = live.select("project_id", "id", "timestamp", "name", "user_id", "environment")
     page, found = paging.held(paging.keyset_page(live, ["timestamp", "id"], filters.DEFAULT_LIMIT, after, descending=True))
     children = versions.latest(paging.of_page(observations, found), "observations")
     rows = figures.with_metrics(page, figures.trace_metrics(children))
