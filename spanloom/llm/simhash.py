@@ -8,10 +8,13 @@ verified on the whole fingerprints. Equal fingerprints are one entry of the inde
 exact copies cost one row; a crowded key is searched breadth-first over the members not yet
 reached, which is close to linear when they are near each other, and gives a spanning set of
 links and never all pairs.
+
+``drop_near_copies`` doesn't use fingerprints: it joins whole shingle sets by prefix filtering.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import durable, table
+from spanloom.llm.common import durable, pieces, table
 from spanloom.llm.components import components
 
 #: Fixed value: the seed of the hash of a shingle.
 SEED = 42
 #: Runs of a key up to this length are compared pair by pair; longer ones breadth-first.
 SHORT_RUN = 48
-#: Smallest shingle hashes that stand for a text when a link is verified.
-SKETCH = 512
+#: One text in LOOK tells which shingles are frequent; so many of these are known at most.
+LOOK, MOST_FREQUENT = 8, 1_000_000
+#: Members of a crowded key that the others are compared with before all that are left are.
+HUBS = 4
+#: Against rounding where a bound is met exactly.
+EPS = 1e-9
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
@@ -198,28 +205,62 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def sketches(texts: DataFrame, words: int, size: int = SKETCH) -> DataFrame:
-    """(node, fp, sketch) of (node, text): the SimHash of the distinct words, and the ``size`` smallest
-    hashes of the distinct shingles of ``words`` words, 4 bytes each. The whole text is read."""
+def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that stand in many texts, in order, and in how many of the texts looked at (one in
+    ``LOOK``). They only order shingles; no result depends on them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, made = [], []
-            for t in batch.column("text"):
-                text = t.as_py() or b""
-                fps.append(fingerprint_of(np.unique(shingle_hashes(text, 1))))
-                made.append(np.unique((shingle_hashes(text, words) >> np.uint64(32)).astype(np.uint32))[:size].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(made, pa.binary())], names=["node", "fp", "sketch"])
+            for part in pieces([batch], "text"):
+                made = [np.unique(shingle_hashes(t.as_py() or b"", words)) for t in part.column("text")]
+                found, n = np.unique(np.concatenate(made), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(LOOK)) == 0).select(F.col("text").cast("binary").alias("text"))
+    counts = some.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    h, n = np.asarray(top.column("h").combine_chunks()).view(np.uint64), np.asarray(top.column("n").combine_chunks())
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix_of(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that any set with a similarity of ``least`` has one of them
+    among its own rarest; an empty set has the shingle 0."""
+    if not found.size:
+        return np.zeros(1, np.uint64)
+    known, counts = common
+    if known.size:
+        at = np.minimum(np.searchsorted(known, found), known.size - 1)
+        found = found[np.argsort(np.where(known[at] == found, counts[at], 0), kind="stable")]
+    return found[: found.size - math.ceil(least * found.size - EPS) + 1]
+
+
+def shingle_sets(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(node, size, keys, shingles) of (node, text): number of distinct shingles of ``words`` words, the
+    prefix (8 bytes each), and all of them (32 bits of each hash)."""
+    shipped = texts.sparkSession.sparkContext.broadcast(frequent(texts, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", words)) for t in batch.column("text")]
+            keys = [prefix_of(s, shipped.value, least).tobytes() for s in sets]
+            kept = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]  # in order, as the hashes are
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.size for s in sets], pa.int32()), pa.array(keys, pa.binary()), pa.array(kept, pa.binary())], names=["node", "size", "keys", "shingles"]
+            )
 
-    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node bigint, fp bigint, sketch binary")
+    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node bigint, size int, keys binary, shingles binary")
 
 
-def alike(a: bytes, b: bytes, size: int = SKETCH) -> float:
-    """Jaccard similarity of two shingle sets: exact up to ``size`` shingles in both together, estimated
-    from the ``size`` smallest beyond."""
+def alike(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two whole shingle sets."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.union1d(x, y)[:size]
-    return np.isin(both, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean() if both.size else 1.0
+    if not x.size and not y.size:
+        return 1.0
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    shared = np.count_nonzero(both[1:] == both[:-1])
+    return shared / (both.size - shared)
 
 
 def verified(found: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -227,23 +268,143 @@ def verified(found: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [alike(a, b) >= least for a, b in zip(left, right, strict=True)]
+            ok = [alike(a.as_py(), b.as_py()) >= least - EPS for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    at = nodes.select("node", "sketch")
-    one = found.join(at.withColumnsRenamed({"node": "u", "sketch": "a"}), "u")
-    both = one.join(at.withColumnsRenamed({"node": "v", "sketch": "b"}), "v").select("u", "v", "a", "b")
+    at = nodes.select("node", "shingles")
+    one = found.join(at.withColumnsRenamed({"node": "u", "shingles": "a"}), "u")
+    both = one.join(at.withColumnsRenamed({"node": "v", "shingles": "b"}), "v").select("u", "v", "a", "b")
     return both.mapInArrow(run, "u bigint, v bigint")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 7, each: int = 4) -> DataFrame:
+def _possible(size: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether members (places) can be alike if the shingle they meet at is the first that they share: true
+    at the first shared shingle of any two that are alike, so no such pair is lost."""
+    shared = np.minimum(size[a] - pos[a], size[b] - pos[b])
+    return shared >= least / (1 + least) * (size[a] + size[b]) - EPS
+
+
+def _across(node: np.ndarray, size: np.ndarray, pos: np.ndarray, root: np.ndarray, least: float, step: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pairs (as places) of members of one crowded key that aren't in one component yet: those with a few
+    members (the same ones under every key, others each ``step``), or, with a ``step`` of -1, all."""
+    names, of, n = np.unique(root, return_inverse=True, return_counts=True)
+    if names.size < 2:
+        return [], []
+    places = np.arange(node.size)
+    if step < 0:
+        outside = places[of != n.argmax()]
+        rank = np.full(node.size, -1)
+        rank[outside] = np.arange(outside.size)
+    else:
+        mixed = (node.view(np.uint64) ^ np.uint64(step)) * np.uint64(0x9E37_79B9_7F4A_7C15)
+        outside = np.argsort(mixed ^ (mixed >> np.uint64(29)), kind="stable")[:HUBS]
+    left, right = [], []
+    for x in outside.tolist():
+        other = places[of != of[x]]
+        if step < 0:
+            other = other[(rank[other] < 0) | (rank[other] > rank[x])]
+        other = other[_possible(size, pos, np.full(other.size, x), other, least)]
+        left.append(np.full(other.size, x))
+        right.append(other)
+    return left, right
+
+
+def prefix_pairs(spread: DataFrame, least: float, step: int) -> DataFrame:
+    """(u, v, key, size, pos) of (key, node, size, pos, root): the pairs that meet under a key and can be
+    alike, key null. Of keys of over SHORT_RUN members only some of the pairs, see ``_across``; with a
+    ``step`` of 0 their members come too, v null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            key, node, size, pos, root = (np.concatenate(x) for x in zip(*parts, strict=True))
+            starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+            lengths = np.diff(np.concatenate((starts, [key.size])))
+            left, right = [], []
+            for at in np.flatnonzero(lengths > SHORT_RUN):
+                inside = slice(starts[at], starts[at] + lengths[at])
+                a, b = _across(node[inside], size[inside], pos[inside], root[inside], least, step)
+                left += [x + starts[at] for x in a]
+                right += [x + starts[at] for x in b]
+            run_of = np.repeat(np.arange(starts.size), lengths)
+            use = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths))
+            for back in range(1, SHORT_RUN):
+                if use.size <= back:
+                    break
+                a, b = use[:-back], use[back:]
+                same = run_of[a] == run_of[b]
+                if not same.any():
+                    break
+                a, b = a[same], b[same]
+                ok = _possible(size, pos, a, b, least)
+                left.append(a[ok])
+                right.append(b[ok])
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+            pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            made = [[pa.array(pairs[0]), pa.array(pairs[1]), none, none, none]]
+            if step == 0:
+                crowd = np.flatnonzero(np.repeat(lengths > SHORT_RUN, lengths))
+                made.append([pa.array(node[crowd]), pa.nulls(crowd.size, pa.int64()), pa.array(key[crowd]), pa.array(size[crowd]), pa.array(pos[crowd])])
+            for columns in made:
+                if len(columns[0]):
+                    yield from pa.Table.from_arrays(columns, names=["u", "v", "key", "size", "pos"]).to_batches(max_chunksize=50_000)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = tuple(np.asarray(batch.column(i)).astype(np.int64) for i in range(5))
+            if held and held[-1][0][-1] != rows[0][0]:
+                yield from out(held)
+                held = []
+            last = np.flatnonzero(rows[0] != rows[0][-1])
+            cut = int(last[-1]) + 1 if last.size else 0  # the last run may go on
+            if cut:
+                yield from out([*held, tuple(x[:cut] for x in rows)])
+                held = []
+            held.append(tuple(x[cut:] for x in rows))
+        if held:
+            yield from out(held)
+
+    dealt = spread.select("key", "node", "size", "pos", "root").repartition("key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(run, "u bigint, v bigint, key bigint, size bigint, pos bigint")
+
+
+def near_roots(nodes: DataFrame, least: float) -> DataFrame:
+    """(node, root) of all nodes that have a link: ``nodes`` is what ``shingle_sets`` makes.
+
+    Nothing is lost: two sets with a similarity of ``least`` share a shingle of their prefixes. Crowded
+    keys send pairs with a few members first; what has come together by verified links counts as one
+    then, and in the last step all pairs that are still apart are compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "keys"):
+            keys = [np.frombuffer(k.as_py(), np.int64) for k in batch.column("keys")]
+            n = [k.size for k in keys]
+            node, size = (np.repeat(np.asarray(batch.column(i)), n) for i in range(2))
+            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node), pa.array(size), pa.array(pos)], names=["key", "node", "size", "pos"])
+
+    spread = nodes.select("node", "size", "keys").mapInArrow(run, "key bigint, node bigint, size int, pos int")
+    met = durable(prefix_pairs(spread.withColumn("root", F.col("node")), least, 0))
+    crowd = met.where("v is null").select("key", F.col("u").alias("node"), "size", "pos")
+    found = durable(verified(met.where("v is not null").select("u", "v").distinct(), nodes, least))
+    if crowd.isEmpty():
+        return components(found)
+    for step in (1, -1):
+        rooted = crowd.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = prefix_pairs(rooted, least, step).select("u", "v").distinct()
+        found = durable(found.unionByName(verified(more, nodes, least)))
+    return components(found)
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id, then
     the smallest row of it.
 
-    Candidates are texts whose fingerprints over distinct words differ in at most ``bits`` bits; a
-    change of one word moves these less than it moves shingles. Candidates are links if their sets of
-    ``words``-word shingles have a similarity of ``least`` or more. Equal texts are one node, and
+    Texts are linked if their sets of ``words``-word shingles have a similarity of ``least`` or more: all
+    such pairs are found by prefix filtering and verified on the whole sets. Equal texts are one node, and
     null text counts as empty. A null doc_id comes last. Columns stay as they are; an empty table
     gives no rows.
     """
@@ -252,9 +413,8 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bits:
     keyed = docs.select(key.alias("node"), first.alias("first"), F.coalesce("text", F.lit("")).alias("text"))
     firsts = durable(keyed.groupBy("node").agg(F.min("first").alias("first")))
     one_each = keyed.join(firsts, ["node", "first"], "left_semi").select("node", "text")
-    nodes = durable(sketches(one_each, words).dropDuplicates(["node"]))
-    found = verified(links(nodes, bits, each), nodes, least)
-    roots = components(found)
+    nodes = durable(shingle_sets(one_each.dropDuplicates(["node"]), words, least))
+    roots = near_roots(nodes, least)
     rooted = firsts.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     row = F.xxhash64(*docs.columns)
