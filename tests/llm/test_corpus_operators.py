@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import components, decontaminate, mixing, quality, search, simhash, suffix_dedup
+from spanloom.llm import components, mixing, quality, search, simhash, suffix_dedup
 from spanloom.llm import entry as llm
 
 
@@ -227,46 +227,6 @@ def test_quality_odd_rows_and_joined_scores(spark, monkeypatch):
         assert r.log_ppl is None or r.log_ppl == pytest.approx(mine.log_ppl, rel=1e-4)
 
 
-def edits(item, text):
-    row = [0] * (len(text) + 1)
-    for i, c in enumerate(item, 1):
-        new = [i]
-        for j, d in enumerate(text, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
-        row = new
-    return min(row)
-
-
-def test_contamination_against_full_alignment(spark):
-    rng = np.random.default_rng(8)
-    word = lambda: bytes(rng.integers(97, 123, int(rng.integers(2, 8))).astype(np.uint8)).decode()
-    prose = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, prose(20)) for i in range(4)] + [(9, None), (10, "")]
-    texts = []
-    for i in range(4):
-        item = items[i][1]
-        for change in (0, 3, 6, 9, 14, 30):
-            t = list(item)
-            for at in rng.choice(len(t), change, replace=False):
-                t[at] = rng.choice(["", "é", t[at] + "q"])
-            texts.append(prose(30) + " " + "".join(t).upper() + "  \n" + prose(30))
-    texts += [prose(60), None, "", items[0][1][: len(items[0][1]) // 2]]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(docs, benchmark).collect()}
-    want = {}
-    for d, t in enumerate(texts):
-        for i, item in items[:4]:
-            a, b = decontaminate.normal(item), decontaminate.normal(t)
-            e = edits(a, b)
-            if e <= int(len(a) * decontaminate.BUDGET):
-                want[d, i] = e
-    assert got == want
-    kept = {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()}
-    assert kept == set(range(len(texts))) - {d for d, _ in want}
-    assert decontaminate.contaminated(docs.where("false"), benchmark).count() == 0 and decontaminate.clean(docs, benchmark.where("false")).count() == len(texts)
-
-
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
