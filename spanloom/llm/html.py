@@ -1,66 +1,72 @@
 """HTML extraction by host suffix arrays.
 
-Pages are cut into text blocks, each with the region it stands in. The pages of a host are dealt into
-cohorts of at most ``COHORT`` pages; a cohort's token streams are laid end to end, page ends told apart,
-and their suffix array is built by prefix doubling. Runs of ``LEAST`` tokens or more that stand on
-several distinct pages are repeated; what they cover is boilerplate unless the page's own markup says
-that it is the article:
-
-* regions of navigation, headers, footers, sidebars, notices, adverts, forms and comments never count;
-* a block of the article goes only if it is covered whole and stands on most pages of its cohort;
-* elsewhere covered tokens go and the unique runs stay.
+1. Pages are cut into text blocks, menus, headers, footers and the like left out by their elements, roles
+   and classes. Where a page has an article or main element, only what stands in one counts.
+2. A host's pages are dealt into cohorts of about ``COHORT_BYTES``. A cohort's pages are laid end to end as
+   tokens, blocks parted by a token of their own, and their suffix array is built by prefix doubling. The
+   suffixes that share their first ``LEAST`` tokens are a run; a run counts once for each distinct page.
+3. What makes a run boilerplate is the share of the host's distinct pages it stands on. A run can only
+   reach a share of the host if it reaches that share in some cohort, so each cohort proposes the runs
+   that do, every cohort counts all that its host proposes, and the sums are exact for the whole
+   host, whatever its size (Savasere, Omiecinski and Navathe's partition algorithm).
+4. Tokens that boilerplate runs cover go and the unique runs stay. On a page with an article or main
+   element, where markup has already told the rest apart, a block goes only if it is covered whole, and
+   by runs that nearly all pages of the host have: articles quote each other.
 
 Pages with the same blocks count once, so that copies of a page don't make its article boilerplate.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table
+from spanloom.llm.common import durable, table
+from spanloom.llm.suffix_dedup import BASES, Prefixes, mix
 
-COHORT = 256
-#: Hosts whose sizes are broadcast at most; beyond that they are joined by a shuffle.
-BROADCAST_HOSTS = 200_000
-#: Tokens of a repeated run, pages it must stand on, and the share of a cohort's distinct pages (and the
-#: least number of them) on which a block of an article must stand to be boilerplate.
-LEAST, PAGES = 6, 2
-MOST_SHARE, MOST_PAGES = 0.9, 20
+COHORT_BYTES = 2 << 20
+#: Tokens of a run. The share of a host's distinct pages that makes a run boilerplate, and the least number
+#: of them: on pages without an article or main element, and on pages that have one.
+LEAST = 6
+SHARES, PAGES = (0.02, 0.9), (2, 20)
 
 #: Elements by what they are to the reader.
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video title select textarea button".split())
+SILENT = frozenset("script style noscript template svg iframe object canvas audio video title select textarea button".split())
 #: Elements that swallow the rest of a page if they are never closed.
 RAW = frozenset("script style title textarea".split())
-CHROME = frozenset("nav header footer aside form menu dialog figcaption".split())
+CHROME = frozenset("nav header footer aside form menu dialog".split())
 ARTICLE = frozenset(("article", "main"))
 BLOCKS = frozenset(
     "p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure"
     " figcaption address hr body html nav header footer aside form fieldset details summary menu dialog".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CHROME_WORDS = frozenset(
-    "ad ads advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice gdpr newsletter"
-    " subscribe subscription sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments"
-    " disqus replies related recommended share sharing social popup modal overlay widget toolbar pagination login signup form".split()
+#: Whole class names and ids of what isn't the article.
+CHROME_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising ad-slot ad-unit ad-banner ad-container adsbygoogle sponsor sponsored sponsored-content promo banner"
+    " cookie cookies cookie-banner cookie-notice cookie-consent cookie-bar consent consent-banner gdpr notice site-notice newsletter newsletter-signup subscribe subscription"
+    " sidebar side-bar widget widget-area nav navbar nav-bar navigation site-navigation main-navigation main-nav menu main-menu breadcrumb breadcrumbs pagination toolbar"
+    " header site-header page-header masthead footer site-footer page-footer comments comment-list comment-section comments-area disqus disqus_thread replies respond"
+    " related related-posts related-articles recommended recommendations share-buttons share-bar sharing social social-links social-share popup modal overlay login signup search-form".split()
 )
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 #: An end tag closes these if they stand open inside.
 P_ENDS = BLOCKS - frozenset(("html", "body"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"[\s]+")
-
-IN_ARTICLE, ELSEWHERE = 0, 1
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SILENT}
 
 
 def _is_chrome(tag: str, attributes: str) -> bool:
@@ -69,28 +75,34 @@ def _is_chrome(tag: str, attributes: str) -> bool:
     if tag in ARTICLE or tag in ("html", "body"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
-        words = set(_WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
-        if words & (CHROME_ROLES if m[1].lower() == "role" else CHROME_WORDS):
+        names = (m[2] or m[3] or m[4] or "").lower().split()
+        if not (CHROME_ROLES if m[1].lower() == "role" else CHROME_NAMES).isdisjoint(names):
             return True
     return False
 
 
-def blocks_of(page: str) -> list[tuple[int, str]]:
-    """(region, text) of a page's visible blocks in order, chrome and silent elements left out."""
-    out: list[tuple[int, str]] = []
+def blocks_of(page: str) -> list[tuple[bool, str]]:
+    """(in an article or main element, text) of a page's visible blocks in order, chrome left out."""
+    out: list[tuple[bool, str]] = []
     words: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, in chrome, in an article
+    opened: dict[str, int] = {}
     at = 0
 
     def flush(article: bool) -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(words))).strip()
         words.clear()
         if text:
-            out.append((IN_ARTICLE if article else ELSEWHERE, text))
+            out.append((article, text))
 
     def place() -> tuple[bool, bool]:
         return stack[-1][1:] if stack else (False, False)
 
+    def close(tag: str) -> None:
+        while (last := stack.pop()[0]) != tag:
+            opened[last] -= 1
+        opened[tag] -= 1
+
     while at < len(page):
         start = page.find("<", at)
         found = _TOKEN.match(page, start) if start >= 0 else None
@@ -108,147 +120,243 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if not tag:
             continue
         if found[1]:
-            if any(x[0] == tag for x in stack):
-                if tag in BLOCKS:
-                    flush(article)
-                while stack.pop()[0] != tag:
-                    pass
-            elif tag in BLOCKS:
+            if tag in BLOCKS:
                 flush(article)
+            if opened.get(tag):
+                close(tag)
             continue
         if tag in SILENT:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = _END[tag].search(page, at)
             if end or tag in RAW:
                 at = end.end() if end else len(page)
             continue
         if tag in BLOCKS:
             flush(article)
-            if tag in P_ENDS and any(x[0] == "p" for x in stack) and stack[-1][0] in ("p", "b", "i", "em", "strong", "a", "span", "u", "small", "font"):
-                while stack.pop()[0] != "p":
-                    pass
+            if tag in P_ENDS and opened.get("p") and stack[-1][0] in ("p", "b", "i", "em", "strong", "a", "span", "u", "small", "font"):
+                close("p")
                 chrome, article = place()
         elif tag == "br":
             words.append("\n")
         if tag not in VOID and not found[3].endswith("/"):
             stack.append((tag, chrome or _is_chrome(tag, found[3]), article or tag in ARTICLE))
+            opened[tag] = opened.get(tag, 0) + 1
     flush(place()[1])
     return out
 
 
-def suffix_array(tokens: np.ndarray, most: int) -> np.ndarray:
-    """Positions in the order of their suffixes, told apart by their first ``most`` tokens or more."""
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    order, reach = np.argsort(rank, kind="stable"), 1
-    while reach < most:
-        second = np.full(rank.size, -1, np.int64)
-        second[: rank.size - reach] = rank[reach:]
-        key = rank * (rank.size + 1) + second + 1
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], (np.diff(key[order]) != 0).cumsum()))
-        rank = np.empty_like(rank)
-        rank[order] = new
-        reach *= 2
-    return order
-
-
-def covered(tokens: np.ndarray, page: np.ndarray, least: int, pages: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each token lies in a run of ``least`` tokens that stands on ``pages`` distinct pages, and
-    on how many pages the widest spread run over it stands. Page ends must be tokens of their own."""
-    n = tokens.size
-    spread = np.zeros(n, np.int64)
-    if n < least:
-        return spread >= pages, spread
-    order = suffix_array(tokens, least)
-    order = order[order <= n - least]
-    same = np.ones(order.size - 1, bool)
-    for k in range(least):
-        same &= tokens[order[1:] + k] == tokens[order[:-1] + k]
-    run = np.concatenate(([0], (~same).cumsum()))
-    pairs = np.unique(run * (int(page.max()) + 1) + page[order])
-    count = np.bincount(pairs // (int(page.max()) + 1), minlength=run[-1] + 1)
-    starts = np.zeros(n, np.int64)
-    starts[order] = count[run]
-    for k in range(least):
-        spread[k:] = np.maximum(spread[k:], starts[: n - k])
-    return spread >= pages, spread
-
-
-def _cohort(pdf: pd.DataFrame) -> pd.DataFrame:
-    kinds, texts = pdf["kinds"].tolist(), pdf["texts"].tolist()
-    codes: dict[str, int] = {}
-    stream, page, where = [], [], []
-    firsts: dict[tuple, int] = {}
-    same_as = [firsts.setdefault(tuple(t), i) for i, t in enumerate(texts)]
-    for i, blocks in enumerate(texts):
-        if same_as[i] != i:
-            continue
-        for j, text in enumerate(blocks):
-            for token in text.split(" "):
-                stream.append(codes.setdefault(token, len(codes)))
-                page.append(i)
-                where.append(j)
-            stream.append(-len(stream) - 1)  # blocks end apart: no run crosses them
-            page.append(i)
-            where.append(j)
-    tokens, page_of, block_of = (np.array(x, np.int64) for x in (stream, page, where))
-    hit, spread = covered(tokens, page_of, LEAST, PAGES)
-    most = max(MOST_PAGES, MOST_SHARE * len(firsts))
-    out: dict[int, str] = {}
-    bounds = np.flatnonzero(np.diff(page_of, prepend=-1, append=-1)) if tokens.size else np.zeros(0, np.int64)
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        i, kept = int(page_of[a]), []
-        cuts = np.flatnonzero(np.diff(block_of[a:b], prepend=-1, append=-1)) + a
-        for c, d in zip(cuts, cuts[1:], strict=False):
-            j, inside = int(block_of[c]), slice(c, d - 1)
-            text = texts[i][j]
-            if kinds[i][j] == IN_ARTICLE:
-                if not (hit[inside].all() and spread[inside].min() >= most):
-                    kept.append(text)
-            elif not hit[inside].any():
-                kept.append(text)
-            else:
-                rest = " ".join(t for t, gone in zip(text.split(" "), hit[inside], strict=True) if not gone)
+def parsed(page: str) -> tuple[bool, list[str]]:
+    """Whether the page has an article or main element with text, and the texts of its blocks: those that
+    stand in such an element if there are any, else all."""
+    found = blocks_of(page)
+    inside = [t for article, t in found if article]
+    return bool(inside), inside or [t for _, t in found]
+
+
+class Stream:
+    """Pages laid end to end as hashed tokens; ``pages`` are pairs as ``parsed`` returns them."""
+
+    def __init__(self, pages: list[tuple[bool, list[str]]]):
+        # a block has no line feed and single spaces: "\n" becomes the token between blocks
+        texts = [" \n ".join(blocks).encode(errors="surrogatepass") for _, blocks in pages]
+        raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        space = np.flatnonzero(raw == 32)
+        start = np.concatenate(([0], space[:-1] + 1)) if space.size else space
+        size = space - start
+        tokens = mix(Prefixes(raw, BASES[0]).of(start, size) + size.astype(np.uint64)) if space.size else np.zeros(0, np.uint64)
+        ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+        self.page = np.searchsorted(ends, start, side="right")
+        self.tokens = tokens
+        self.between = (size == 1) & (raw[start] == 10) if space.size else np.zeros(0, bool)
+        self.article = np.array([a for a, _ in pages], bool)
+        n = max(0, tokens.size - LEAST + 1)
+        run = np.zeros(n, np.uint64)
+        for k in range(LEAST):
+            run = run * np.uint64(BASES[1]) + tokens[k : k + n]
+        whole = self.page[:n] == self.page[LEAST - 1 : LEAST - 1 + n]
+        self.starts = np.flatnonzero(whole)
+        # runs on pages of both kinds are told apart
+        self.runs = mix(run[whole] + self.article[self.page[self.starts]].astype(np.uint64))
+
+    def suffix_array(self) -> np.ndarray:
+        """Starts in the order of their suffixes, told apart by their first LEAST tokens or more."""
+        rank = np.unique(self.tokens, return_inverse=True)[1].astype(np.int64)
+        order, reach = np.argsort(rank, kind="stable"), 1
+        while reach < LEAST:
+            second = np.full(rank.size, -1, np.int64)
+            second[: rank.size - reach] = rank[reach:]
+            key = rank * (rank.size + 1) + second + 1
+            order = np.argsort(key, kind="stable")
+            new = np.concatenate(([0], (np.diff(key[order]) != 0).cumsum()))
+            rank = np.empty_like(rank)
+            rank[order] = new
+            reach *= 2
+        return order
+
+    def spread(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, of pages with an article, number of pages) of the runs, by the suffix array: neighbours in it
+        with the same first LEAST tokens on pages of one kind are a run."""
+        if not self.starts.size:
+            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
+        which = np.full(self.tokens.size, -1, np.int64)
+        which[self.starts] = np.arange(self.starts.size)
+        order = self.suffix_array()
+        order = order[which[order] >= 0]
+        same = np.ones(max(0, order.size - 1), bool)
+        for k in range(LEAST):
+            same &= self.tokens[order[1:] + k] == self.tokens[order[:-1] + k]
+        block = np.concatenate(([0], (~same).cumsum()))
+        page = self.page[order]
+        kind = self.article[page]
+        seen = np.unique(((block * 2 + kind) * (page.max() + 1) + page).astype(np.int64), return_index=True)[1]
+        runs = self.runs[which[order[seen]]]
+        found, first, n = np.unique(runs, return_index=True, return_counts=True)
+        return found, kind[seen][first], n
+
+    def count(self, wanted: np.ndarray) -> np.ndarray:
+        """On how many pages each of the wanted runs (in order) stands."""
+        at = np.minimum(np.searchsorted(wanted, self.runs), max(0, wanted.size - 1))
+        ok = wanted[at] == self.runs if wanted.size else np.zeros(self.runs.size, bool)
+        page = self.page[self.starts[ok]]
+        pairs = np.unique(at[ok] * (int(page.max(initial=0)) + 1) + page)
+        return np.bincount(pairs // (int(page.max(initial=0)) + 1), minlength=wanted.size)
+
+    def left(self, boilerplate: np.ndarray, pages: list[tuple[bool, list[str]]]) -> list[str]:
+        """The pages' texts without what boilerplate runs (in order) cover."""
+        change = np.zeros(self.tokens.size + 1, np.int64)
+        if boilerplate.size:
+            at = np.minimum(np.searchsorted(boilerplate, self.runs), boilerplate.size - 1)
+            hit = self.starts[boilerplate[at] == self.runs]
+            np.add.at(change, hit, 1)
+            np.add.at(change, hit + LEAST, -1)
+        gone = np.cumsum(change)[:-1] > 0
+        touched = set(self.page[gone].tolist())
+        bounds = np.searchsorted(self.page, np.arange(len(pages) + 1))
+        out = []
+        for i, (article, blocks) in enumerate(pages):
+            if i not in touched:
+                out.append("\n".join(blocks))
+                continue
+            own, between = gone[bounds[i] : bounds[i + 1]], self.between[bounds[i] : bounds[i + 1]]
+            kept = []
+            for block, cut in zip(blocks, np.split(own, np.flatnonzero(between)), strict=True):
+                cut = cut[-(block.count(" ") + 1) :]  # without the token before the block
+                if article or not cut.any():
+                    rest = "" if cut.all() else block
+                else:
+                    rest = " ".join(t for t, out_ in zip(block.split(" "), cut.tolist(), strict=True) if not out_)
                 if rest:
                     kept.append(rest)
-        out[i] = "\n".join(kept)
-    made = [out.get(same_as[i], "") for i in range(len(texts))]
-    return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": made})
+            out.append("\n".join(kept))
+        return out
 
 
-def extract(pages: DataFrame, cohort: int = COHORT) -> DataFrame:
-    """(page_id, url, text) of every page.
+def _packed(pages: list[tuple[bool, list[str]]]) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(json.dumps(pages, ensure_ascii=True).encode())
 
-    Where a page has an article or main element, only what stands in one counts. Null html is an empty
-    page and gives an empty text; null or odd urls make one host, ''. Repeated rows each get their row.
-    Other columns are ignored; an empty table gives no rows. A host of any size is dealt into cohorts by
-    a hash of the page, so no task gets more than a cohort's pages at a time.
-    """
+
+def _unpacked(blob: bytes) -> list[tuple[bool, list[str]]]:
+    return [(a, t) for a, t in json.loads(zstandard.ZstdDecompressor().decompress(blob))]
+
+
+COHORT_FIELDS = "host string, pages binary, n bigint, page_ids array<bigint>, urls array<string>, of array<int>, articles binary, elsewhere binary"
+
+
+def _cohort(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row: the distinct pages, the rows that have them, and the runs that the cohort proposes."""
+    pdf = pdf.sort_values(["page_id", "url"], kind="stable")
+    codes, first = pd.factorize(pdf["content"])
+    distinct = [_unpacked(b)[0] for b in pdf.drop_duplicates("content")["page"]]
+    run, article, n = Stream(distinct).spread()
+    alone = int(pdf["parts"].iloc[0]) == 1  # then these are the host's figures already
+    need = [max(PAGES[k] if alone else 1, SHARES[k] * len(first) - 1e-9) for k in (0, 1)]
+    proposed = [run[(article == bool(k)) & (n >= need[k])].tobytes() for k in (0, 1)]
+    ids = [None if pd.isna(x) else int(x) for x in pdf["page_id"]]
+    row = [key[0], _packed(distinct), len(first), ids, [None if pd.isna(u) else u for u in pdf["url"]], codes.astype(np.int32).tolist(), proposed[1], proposed[0]]
+    return pd.DataFrame([row], columns=["host", "pages", "n", "page_ids", "urls", "of", "articles", "elsewhere"])
+
+
+def cohorts(pages: DataFrame, cohort_bytes: int = COHORT_BYTES) -> DataFrame:
+    """A row per cohort, as COHORT_FIELDS says. Pages travel compressed; a page's cohort is told by a hash
+    of its blocks, so copies meet in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, texts = [], []
-            for page in batch.column(2).to_pylist():
-                found = blocks_of(page or "")
-                if any(k == IN_ARTICLE for k, _ in found):
-                    found = [x for x in found if x[0] == IN_ARTICLE]
-                kinds.append([k for k, _ in found])
-                texts.append([t for _, t in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["page_id", "url", "kinds", "texts"])
+            made = [[parsed(page or "")] for page in batch.column(3).to_pylist()]
+            content = [hashlib.sha256(json.dumps(m).encode()).digest()[:16] for m in made]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(content, pa.binary()), pa.array([_packed(m) for m in made], pa.binary())],
+                names=["host", "page_id", "url", "content", "page"],
+            )
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    mixed = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30))
-    sizes = pages.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
-    sizes = sizes.select("host", F.ceil(F.col("n") / cohort).cast("int").alias("parts"))
-    cut = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id bigint, url string, kinds array<int>, texts array<string>")
-    if sizes.count() <= BROADCAST_HOSTS:
-        sizes = F.broadcast(sizes)
-    dealt = cut.withColumn("host", host).join(sizes, "host").withColumn("part", (mixed % F.col("parts")).cast("int"))
+    rows = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    sizes = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes"))
+    sizes = sizes.select("host", F.ceil(F.greatest("bytes", F.lit(1)) / cohort_bytes).cast("int").alias("parts"))
+    cut = rows.mapInArrow(run, "host string, page_id bigint, url string, content binary, page binary")
+    dealt = cut.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts")))
     dealt = dealt.repartition("host", "part")  # else a host's cohorts would stay in the one task that joined it
-    return dealt.groupBy("host", "part").applyInPandas(_cohort_of, "page_id bigint, url string, text string")
+    return durable(dealt.groupBy("host", "part").applyInPandas(_cohort, COHORT_FIELDS))
+
 
+def proposals(dealt: DataFrame) -> DataFrame:
+    """(host, run, article): the runs that any cohort proposes."""
 
-def _cohort_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _cohort(pdf.sort_values("page_id", kind="stable").reset_index(drop=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, *sides in zip(*(batch.column(c).to_pylist() for c in ("host", "elsewhere", "articles")), strict=True):
+                for article, runs in enumerate(sides):
+                    found = np.frombuffer(runs, np.int64)
+                    for at in range(0, found.size, 50_000):
+                        some = found[at : at + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([host] * some.size, pa.string()), pa.array(some), pa.array([bool(article)] * some.size)], names=["host", "run", "article"])
+
+    return dealt.select("host", "elsewhere", "articles").mapInArrow(run, "host string, run bigint, article boolean").distinct()
+
+
+def boilerplate(dealt: DataFrame) -> DataFrame:
+    """(host, runs): each host's boilerplate runs, counted over all of its cohorts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                wanted = np.sort(np.asarray(batch.column("runs")[i].values).view(np.uint64))
+                n = Stream(_unpacked(batch.column("pages")[i].as_py())).count(wanted)
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("host")[i], n.size), pa.array(wanted.view(np.int64)), pa.array(n)], names=["host", "run", "pages"])
+
+    wanted = durable(proposals(dealt))
+    asked = dealt.select("host", "pages").join(wanted.groupBy("host").agg(F.collect_list("run").alias("runs")), "host")
+    counts = asked.select("host", "pages", "runs").mapInArrow(run, "host string, run bigint, pages bigint").groupBy("host", "run").agg(F.sum("pages").alias("pages"))
+    whole = dealt.groupBy("host").agg(F.sum("n").alias("n"))
+    article, least = F.col("article"), F.when(F.col("article"), F.lit(PAGES[1])).otherwise(F.lit(PAGES[0]))
+    need = F.greatest(least, F.col("n") * F.when(article, F.lit(SHARES[1])).otherwise(F.lit(SHARES[0])) - 1e-9)
+    found = counts.join(wanted, ["host", "run"]).join(whole, "host").where(F.col("pages") >= need)
+    return found.groupBy("host").agg(F.collect_list("run").alias("runs"))
+
+
+def extract(pages: DataFrame, cohort_bytes: int = COHORT_BYTES) -> DataFrame:
+    """(page_id, url, text) of every page.
+
+    Null html is an empty page and gives an empty text; null or odd urls make one host, ''. Repeated rows
+    each get their row; pages with equal blocks get equal texts. Other columns are ignored; an empty table
+    gives no rows. A host of any size is dealt into cohorts, so no task gets more than one at a time, or
+    one page if that is larger; the result doesn't depend on how they are dealt.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                distinct = _unpacked(batch.column("pages")[i].as_py())
+                runs = batch.column("runs")[i]
+                runs = np.sort(np.asarray(runs.values).view(np.uint64)) if runs.is_valid else np.zeros(0, np.uint64)
+                texts = Stream(distinct).left(runs, distinct) if runs.size else ["\n".join(blocks) for _, blocks in distinct]
+                of = batch.column("of")[i].as_py()
+                columns = [batch.column("page_ids")[i].values, batch.column("urls")[i].values]
+                for at in range(0, len(of), 500):  # a page may have many copies
+                    yield pa.RecordBatch.from_arrays([*[c.slice(at, 500) for c in columns], pa.array([texts[k] for k in of[at : at + 500]], pa.string())], names=["page_id", "url", "text"])
+
+    dealt = cohorts(pages, cohort_bytes)
+    told = dealt.select("host", "pages", "page_ids", "urls", "of").join(boilerplate(dealt), "host", "left")
+    return told.select("pages", "page_ids", "urls", "of", "runs").mapInArrow(run, "page_id bigint, url string, text string")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

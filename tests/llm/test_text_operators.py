@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, html, langid, pii
+from spanloom.llm import chat, langid, pii
 
 
 def test_chat_round_trip_of_hostile_texts():
@@ -61,46 +61,6 @@ def test_language_odd_rows(spark):
     assert langid.identify(docs, langid.train(learned.where("false"))).where("lang_pred <> 'und'").count() == 0
 
 
-PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav>Home Menu</nav><div class="cookie-banner">Accept all cookies</div>
-<article><h1>Head &amp; more</h1><p>One  two<br>three</p><script>x()</script><p>a &lt; b <b>bold</b></p><div class="comments">no</div></article><footer>end</footer></body></html>"""
-
-
-def test_page_blocks():
-    assert [t for _, t in html.blocks_of(PAGE)] == ["Head & more", "One two three", "a < b bold"]
-    assert html.blocks_of("") == [] and html.blocks_of("<p") == []
-    assert [t for _, t in html.blocks_of("a < b<p>c")] == ["a < b", "c"]
-
-
-def test_page_boilerplate_by_suffix_array(spark):
-    line = "all rights of this fine site are reserved by its many owners"
-    rows = [(i, f"http://h.example/{i}", f"<body><p>{line}</p><p>page {i} says thing number {i * 7} here</p></body>") for i in range(8)]
-    rows += [(100, None, None), (101, "odd", ""), (0, "http://h.example/0", rows[0][2])]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html.extract(pages).collect()}
-    assert got[3] == "page 3 says thing number 21 here" and got[100] == "" and got[101] == ""
-    assert html.extract(pages).count() == 11 and html.extract(pages.where("false")).count() == 0
-
-
-def test_covered_runs_against_brute_force():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    tokens, page = [], []
-    for p in range(6):
-        tokens += rng.integers(0, 3, 30).tolist() + [-p - 1]
-        page += [p] * 31
-    tokens, page = np.array(tokens), np.array(page)
-    hit, _ = html.covered(tokens, page, 5, 2)
-    runs = {}
-    for i in range(len(tokens) - 4):
-        runs.setdefault(tuple(tokens[i : i + 5]), set()).add(int(page[i]))
-    want = np.zeros(len(tokens), bool)
-    for i in range(len(tokens) - 4):
-        if len(runs[tuple(tokens[i : i + 5])]) > 1:
-            want[i : i + 5] = True
-    assert (hit == want).all()
-
-
 def brute_base(text):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
