@@ -35,6 +35,8 @@ from spanloom.llm.common import durable, table
 from spanloom.llm.suffix_dedup import BASES, Prefixes, mix
 
 COHORT_BYTES = 2 << 20
+#: Runs that are broadcast at most (8 bytes each).
+BROADCAST_RUNS = 2_000_000
 #: Tokens of a run. The share of a host's distinct pages that makes a run boilerplate, and the least number
 #: of them: on pages without an article or main element, and on pages that have one.
 LEAST = 6
@@ -313,8 +315,16 @@ def proposals(dealt: DataFrame) -> DataFrame:
     return dealt.select("host", "elsewhere", "articles").mapInArrow(run, "host string, run bigint, article boolean").distinct()
 
 
+def by_host(runs: DataFrame) -> DataFrame:
+    """(host, runs) of a written (host, run, ...): broadcast while runs are few, so that the cohorts, which hold
+    all text, needn't move; beyond that Spark joins them as it sees fit."""
+    few = runs.count() <= BROADCAST_RUNS
+    each = runs.groupBy("host").agg(F.collect_list("run").alias("runs"))
+    return F.broadcast(each) if few else each
+
+
 def boilerplate(dealt: DataFrame) -> DataFrame:
-    """(host, runs): each host's boilerplate runs, counted over all of its cohorts."""
+    """(host, run): each host's boilerplate runs, counted over all of its cohorts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,13 +334,13 @@ def boilerplate(dealt: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("host")[i], n.size), pa.array(wanted.view(np.int64)), pa.array(n)], names=["host", "run", "pages"])
 
     wanted = durable(proposals(dealt))
-    asked = dealt.select("host", "pages").join(wanted.groupBy("host").agg(F.collect_list("run").alias("runs")), "host")
+    asked = dealt.select("host", "pages").join(by_host(wanted), "host")
     counts = asked.select("host", "pages", "runs").mapInArrow(run, "host string, run bigint, pages bigint").groupBy("host", "run").agg(F.sum("pages").alias("pages"))
     whole = dealt.groupBy("host").agg(F.sum("n").alias("n"))
     article, least = F.col("article"), F.when(F.col("article"), F.lit(PAGES[1])).otherwise(F.lit(PAGES[0]))
     need = F.greatest(least, F.col("n") * F.when(article, F.lit(SHARES[1])).otherwise(F.lit(SHARES[0])) - 1e-9)
     found = counts.join(wanted, ["host", "run"]).join(whole, "host").where(F.col("pages") >= need)
-    return found.groupBy("host").agg(F.collect_list("run").alias("runs"))
+    return durable(found.select("host", "run"))
 
 
 def extract(pages: DataFrame, cohort_bytes: int = COHORT_BYTES) -> DataFrame:
@@ -355,7 +365,7 @@ def extract(pages: DataFrame, cohort_bytes: int = COHORT_BYTES) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*[c.slice(at, 500) for c in columns], pa.array([texts[k] for k in of[at : at + 500]], pa.string())], names=["page_id", "url", "text"])
 
     dealt = cohorts(pages, cohort_bytes)
-    told = dealt.select("host", "pages", "page_ids", "urls", "of").join(boilerplate(dealt), "host", "left")
+    told = dealt.select("host", "pages", "page_ids", "urls", "of").join(by_host(boilerplate(dealt)), "host", "left")
     return told.select("pages", "page_ids", "urls", "of", "runs").mapInArrow(run, "page_id bigint, url string, text string")
 
 
