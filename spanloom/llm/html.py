@@ -35,8 +35,8 @@ from spanloom.llm.common import durable, table
 from spanloom.llm.suffix_dedup import BASES, Prefixes, mix
 
 COHORT_BYTES = 2 << 20
-#: Runs that are broadcast at most (8 bytes each).
-BROADCAST_RUNS = 2_000_000
+#: Runs (8 bytes each) and hosts that are broadcast at most.
+BROADCAST_RUNS, BROADCAST_HOSTS = 2_000_000, 200_000
 #: Tokens of a run. The share of a host's distinct pages that makes a run boilerplate, and the least number
 #: of them: on pages without an article or main element, and on pages that have one.
 LEAST = 6
@@ -293,7 +293,9 @@ def cohorts(pages: DataFrame, cohort_bytes: int = COHORT_BYTES) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
     sizes = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes"))
-    sizes = sizes.select("host", F.ceil(F.greatest("bytes", F.lit(1)) / cohort_bytes).cast("int").alias("parts"))
+    sizes = durable(sizes.select("host", F.ceil(F.greatest("bytes", F.lit(1)) / cohort_bytes).cast("int").alias("parts")))
+    if sizes.count() <= BROADCAST_HOSTS:
+        sizes = F.broadcast(sizes)
     cut = rows.mapInArrow(run, "host string, page_id bigint, url string, content binary, page binary")
     dealt = cut.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts")))
     dealt = dealt.repartition("host", "part")  # else a host's cohorts would stay in the one task that joined it
