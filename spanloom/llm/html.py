@@ -37,6 +37,8 @@ from spanloom.llm.suffix_dedup import BASES, Prefixes, mix
 COHORT_BYTES = 2 << 20
 #: Runs (8 bytes each) and hosts that are broadcast at most.
 BROADCAST_RUNS, BROADCAST_HOSTS = 2_000_000, 200_000
+#: Pages that a task knows to have sent.
+MOST_SEEN = 1_000_000
 #: Tokens of a run. The share of a host's distinct pages that makes a run boilerplate, and the least number
 #: of them: on pages without an article or main element, and on pages that have one.
 LEAST = 6
@@ -260,35 +262,46 @@ def _unpacked(blob: bytes) -> list[tuple[bool, list[str]]]:
     return [(a, t) for a, t in json.loads(zstandard.ZstdDecompressor().decompress(blob))]
 
 
-COHORT_FIELDS = "host string, pages binary, n bigint, page_ids array<bigint>, urls array<string>, of array<int>, articles binary, elsewhere binary"
+COHORT_FIELDS = "host string, pages binary, n bigint, page_ids array<bigint>, urls array<string>, of array<int>, contents array<binary>, articles binary, elsewhere binary"
 
 
 def _cohort(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row: the distinct pages, the rows that have them, and the runs that the cohort proposes."""
+    """One row: the distinct pages, the rows that have them, and the runs that the cohort proposes; of copies
+    (a negative part) just the rows, with what tells their pages."""
     pdf = pdf.sort_values(["page_id", "url"], kind="stable")
-    codes, first = pd.factorize(pdf["content"])
-    distinct = [_unpacked(b)[0] for b in pdf.drop_duplicates("content")["page"]]
-    run, article, n = Stream(distinct).spread()
-    alone = int(pdf["parts"].iloc[0]) == 1  # then these are the host's figures already
-    need = [max(PAGES[k] if alone else 1, SHARES[k] * len(first) - 1e-9) for k in (0, 1)]
-    proposed = [run[(article == bool(k)) & (n >= need[k])].tobytes() for k in (0, 1)]
-    ids = [None if pd.isna(x) else int(x) for x in pdf["page_id"]]
-    row = [key[0], _packed(distinct), len(first), ids, [None if pd.isna(u) else u for u in pdf["url"]], codes.astype(np.int32).tolist(), proposed[1], proposed[0]]
-    return pd.DataFrame([row], columns=["host", "pages", "n", "page_ids", "urls", "of", "articles", "elsewhere"])
+    rows = [[None if pd.isna(x) else int(x) for x in pdf["page_id"]], [None if pd.isna(u) else u for u in pdf["url"]]]
+    if key[1] < 0:
+        row = [key[0], None, 0, *rows, [], pdf["content"].tolist(), b"", b""]
+    else:
+        codes, contents = pd.factorize(pdf["content"])
+        distinct = [_unpacked(b)[0] for b in pdf.drop_duplicates("content")["page"]]
+        run, article, n = Stream(distinct).spread()
+        alone = int(pdf["parts"].iloc[0]) == 1  # then these are the host's figures already
+        need = [max(PAGES[k] if alone else 1, SHARES[k] * len(distinct) - 1e-9) for k in (0, 1)]
+        proposed = [run[(article == bool(k)) & (n >= need[k])].tobytes() for k in (0, 1)]
+        row = [key[0], _packed(distinct), len(distinct), *rows, codes.astype(np.int32).tolist(), list(contents), proposed[1], proposed[0]]
+    return pd.DataFrame([row], columns=["host", "pages", "n", "page_ids", "urls", "of", "contents", "articles", "elsewhere"])
 
 
 def cohorts(pages: DataFrame, cohort_bytes: int = COHORT_BYTES) -> DataFrame:
-    """A row per cohort, as COHORT_FIELDS says. Pages travel compressed; a page's cohort is told by a hash
-    of its blocks, so copies meet in one."""
+    """Rows of COHORT_FIELDS: cohorts of distinct pages, and rows of copies without pages. Pages travel
+    compressed; a page's cohort is told by a hash of its blocks, so it is the same wherever the page
+    stands. A task sends a page once and its further copies as bare rows, dealt evenly over groups of their
+    own, so no group grows with the copies of a page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            made = [[parsed(page or "")] for page in batch.column(3).to_pylist()]
-            content = [hashlib.sha256(json.dumps(m).encode()).digest()[:16] for m in made]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(content, pa.binary()), pa.array([_packed(m) for m in made], pa.binary())],
-                names=["host", "page_id", "url", "content", "page"],
-            )
+            contents, blobs = [], []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                made = [parsed(page or "")]
+                contents.append(hashlib.sha256(json.dumps(made).encode()).digest()[:16])
+                key = contents[-1] + host.encode()
+                blobs.append(None if key in seen else _packed(made))
+                if len(seen) >= MOST_SEEN:  # a page may be sent once more than needed then
+                    seen.clear()
+                seen.add(key)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(contents, pa.binary()), pa.array(blobs, pa.binary())], names=["host", "page_id", "url", "content", "page"])
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
@@ -297,8 +310,9 @@ def cohorts(pages: DataFrame, cohort_bytes: int = COHORT_BYTES) -> DataFrame:
     if sizes.count() <= BROADCAST_HOSTS:
         sizes = F.broadcast(sizes)
     cut = rows.mapInArrow(run, "host string, page_id bigint, url string, content binary, page binary")
-    dealt = cut.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("content"), F.col("parts")))
-    dealt = dealt.repartition("host", "part")  # else a host's cohorts would stay in the one task that joined it
+    copy = -1 - F.pmod(F.xxhash64("page_id", "url", F.spark_partition_id()), F.col("parts"))
+    part = F.when(F.col("page").isNull(), copy).otherwise(F.pmod(F.xxhash64("content"), F.col("parts")))
+    dealt = cut.join(sizes, "host").withColumn("part", part).repartition("host", "part")  # else a host's cohorts would stay in one task
     return durable(dealt.groupBy("host", "part").applyInPandas(_cohort, COHORT_FIELDS))
 
 
@@ -345,6 +359,35 @@ def boilerplate(dealt: DataFrame) -> DataFrame:
     return durable(found.select("host", "run"))
 
 
+def _cleaned(batch: pa.RecordBatch, i: int) -> list[str]:
+    """The texts of a cohort's distinct pages; the batch begins with (pages, runs)."""
+    distinct, runs = _unpacked(batch.column(0)[i].as_py()), batch.column(1)[i]
+    runs = np.sort(np.asarray(runs.values).view(np.uint64)) if runs.is_valid else np.zeros(0, np.uint64)
+    return Stream(distinct).left(runs, distinct) if runs.size else ["\n".join(blocks) for _, blocks in distinct]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, text) of (pages, runs, of, page_ids, urls)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            texts, of = _cleaned(batch, i), batch.column(2)[i].as_py()
+            for at in range(0, len(of), 500):
+                rows = [batch.column(c)[i].values.slice(at, 500) for c in (3, 4)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array([texts[k] for k in of[at : at + 500]], pa.string())], names=["page_id", "url", "text"])
+
+
+def _copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, run, text) of (pages, runs, contents, host, wanted): the texts of the wanted contents."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            contents, wanted = batch.column(2)[i].as_py(), set(batch.column(4)[i].as_py())
+            if wanted.isdisjoint(contents):
+                continue
+            texts = _cleaned(batch, i)
+            rows = [(c, t) for c, t in zip(contents, texts, strict=True) if c in wanted]
+            yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(3)[i], len(rows)), pa.array([c for c, _ in rows], pa.binary()), pa.array([t for _, t in rows], pa.string())], names=["host", "run", "text"])
+
+
 def extract(pages: DataFrame, cohort_bytes: int = COHORT_BYTES) -> DataFrame:
     """(page_id, url, text) of every page.
 
@@ -354,21 +397,17 @@ def extract(pages: DataFrame, cohort_bytes: int = COHORT_BYTES) -> DataFrame:
     one page if that is larger; the result doesn't depend on how they are dealt.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                distinct = _unpacked(batch.column("pages")[i].as_py())
-                runs = batch.column("runs")[i]
-                runs = np.sort(np.asarray(runs.values).view(np.uint64)) if runs.is_valid else np.zeros(0, np.uint64)
-                texts = Stream(distinct).left(runs, distinct) if runs.size else ["\n".join(blocks) for _, blocks in distinct]
-                of = batch.column("of")[i].as_py()
-                columns = [batch.column("page_ids")[i].values, batch.column("urls")[i].values]
-                for at in range(0, len(of), 500):  # a page may have many copies
-                    yield pa.RecordBatch.from_arrays([*[c.slice(at, 500) for c in columns], pa.array([texts[k] for k in of[at : at + 500]], pa.string())], names=["page_id", "url", "text"])
-
     dealt = cohorts(pages, cohort_bytes)
-    told = dealt.select("host", "pages", "page_ids", "urls", "of").join(by_host(boilerplate(dealt)), "host", "left")
-    return told.select("pages", "page_ids", "urls", "of", "runs").mapInArrow(run, "page_id bigint, url string, text string")
+    held = dealt.where("pages is not null")
+    told = held.join(by_host(boilerplate(held)), "host", "left")
+    own = told.select("pages", "runs", "of", "page_ids", "urls").mapInArrow(_texts, "page_id bigint, url string, text string")
+    copies = dealt.where("pages is null").select("host", F.explode(F.arrays_zip("page_ids", "urls", "contents")).alias("row"))
+    copies = copies.select("host", F.col("row.page_ids").alias("page_id"), F.col("row.urls").alias("url"), F.col("row.contents").alias("run"))
+    if copies.isEmpty():
+        return own
+    wanted = by_host(durable(copies.select("host", "run").distinct())).withColumnRenamed("runs", "wanted")
+    texts = told.join(wanted, "host").select("pages", "runs", "contents", "host", "wanted").mapInArrow(_copied, "host string, run binary, text string")
+    return own.unionByName(copies.join(texts.dropDuplicates(["host", "run"]), ["host", "run"]).select("page_id", "url", "text"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
