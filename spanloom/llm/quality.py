@@ -1,38 +1,37 @@
 """Quality classifier: interpolated modified Kneser-Ney perplexity against trusted text.
 
 The model counts byte n-grams up to ``ORDER`` over every trusted document, one model for each
-language. Bytes keep the table small beside the corpus (its distinct n-grams level off), so that counts
-are summed within a task before they are shuffled, and an n-gram fits one 64-bit integer exactly: no
-hashing, no collisions.
-
-The distinct n-grams of the documents to be scored meet the counts in shards, by language and by the
-context's last byte: a shard holds every count that the probabilities of its n-grams need. The answers
-are joined to the documents' n-grams. While they are few (``BROADCAST_GRAMS``, checked by counting them
-first) each task gets all of them and no text is shuffled; beyond that documents send their n-grams to
-the answers' shards.
+language. Bytes keep the table small beside the corpus, so that counts are summed within a task before
+they are shuffled, and an n-gram fits one 64-bit integer exactly: no hashing, no collisions.
+
+The distinct n-grams of the documents to be scored meet the counts by plain joins, a length at a time from
+single bytes up: on the n-gram, on its context and on its tail. Each key has 256 rows at most, so
+Spark's hash shards are even however large a language is. The answers are joined to the documents'
+n-grams. While they are few (``BROADCAST_GRAMS``, checked by counting them first) each task gets all of
+them and no text is shuffled; beyond that documents send their n-grams to the answers' shards. Both
+ways add up the same numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from spanloom.llm.common import durable, joined_bytes, pieces, table
+from spanloom.llm.common import durable, joined_bytes, pieces, table, unused
 
 ORDER = 5
-#: A language's limit: the upper quartile of held-back trusted documents' log perplexity, plus SLACK
-#: times its distance to the median (LEAST_SPREAD at least; few documents give odd distances). Quartiles
-#: stand firm against single odd documents among the trusted. One trusted text in FOLDS is held back
-#: from the counts, so the limit isn't drawn from text that the model has seen.
-QUANTILE, SLACK, LEAST_SPREAD, FOLDS = 0.75, 8.0, 0.03, 5
-#: Means over few bytes scatter: the limit on a log perplexity rises by SHORT / sqrt(bytes).
+#: A language's limit is this quantile of the log perplexity of its held-back trusted documents: one trusted
+#: text in FOLDS is held back from the counts, so the limit isn't drawn from text that the model has seen.
+QUANTILE, FOLDS = 0.98, 5
+#: Means over few bytes scatter: a document's threshold is the limit and SHORT / sqrt(bytes).
 SHORT = 3.0
 #: Answers that are broadcast at most (12 bytes each), and labels (8 bytes each).
 BROADCAST_GRAMS, BROADCAST_LABELS = 3_000_000, 4_000_000
@@ -90,108 +89,86 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return some.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _tail(gram: np.ndarray, n: int) -> np.ndarray:
-    return gram & np.uint64((1 << (8 * n)) - 1)
-
-
-def level_statistics(counts: DataFrame, order: int = ORDER) -> dict[str, dict]:
-    """For each language the discounts of every length and the distribution of single bytes: at most
-    ``order`` rows and 256 rows a language."""
-    level = counts.select("lang", "gram", F.col("n").alias("c"))
-    stats: dict[str, dict] = {}
-    for n in range(order, 0, -1):
-        if n < order:
-            level = level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (8 * n)) - 1)).alias("gram")).agg(F.count("*").alias("c"))
-        for r in level.groupBy("lang").agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect():
-            d = [0.5, 0.75, 0.9]  # where counts of counts are too few to tell
-            if min(r.n1, r.n2, r.n3, r.n4):
-                y = r.n1 / (r.n1 + 2 * r.n2)
-                told = [1 - 2 * y * r.n2 / r.n1, 2 - 3 * y * r.n3 / r.n2, 3 - 4 * y * r.n4 / r.n3]
-                d = [t if 0 < t < k else other for k, t, other in zip((1, 2, 3), told, d, strict=True)]
-            stats.setdefault(r.lang, {})[n] = d
-    for lang in stats:
-        stats[lang]["bytes"] = np.zeros(256)
-    for r in level.collect():
-        stats[r.lang]["bytes"][r.gram] = r.c
-    for s in stats.values():
-        c, d = s["bytes"], np.array([0.0, *s[1]])
-        cut = d[np.minimum(c, 3).astype(int)]
-        s["bytes"] = (c - cut) / c.sum() + cut.sum() / c.sum() / 256
-    return stats
-
-
-def shard_answers(known: np.ndarray, counted: np.ndarray, asked: np.ndarray, stats: dict, order: int = ORDER) -> np.ndarray:
-    """Log probabilities of the last byte of each asked n-gram, given the counts of its shard."""
-    p = stats["bytes"][_tail(asked, 1).astype(np.int64)]
-    levels = {order: (known, counted.astype(np.float64))}
-    for n in range(order - 1, 1, -1):
-        levels[n] = tuple(np.unique(_tail(levels[n + 1][0], n), return_counts=True))
-    for n in range(2, order + 1):
-        keys, c = levels[n]
-        if not keys.size:
-            continue
-        cut = np.array([0.0, *stats[n]])[np.minimum(c, 3).astype(np.int64)]
-        contexts, of = np.unique(keys >> np.uint64(8), return_inverse=True)
-        total, left = np.bincount(of, weights=c), np.bincount(of, weights=cut)
-        key = _tail(asked, n)
-        at = np.minimum(np.searchsorted(keys, key), keys.size - 1)
-        own = np.where(keys[at] == key, c[at] - cut[at], 0.0)
-        context = key >> np.uint64(8)
-        where = np.minimum(np.searchsorted(contexts, context), contexts.size - 1)
-        p = np.where(contexts[where] == context, (own + left[where] * p) / total[where], p)
-    return np.log(p)
+def _low(gram: str, n: int) -> Column:
+    return F.col(gram).bitwiseAND(F.lit((1 << (8 * n)) - 1))
 
 
-def answers(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, logp) for the asked (lang, gram) of languages that have trusted text."""
-    stats = level_statistics(counts, order)
+def levels(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """(lang, gram, c) of the n-grams of 1 to ``order`` bytes: how often the longest stand in the text, and
+    after how many different bytes the shorter ones do."""
+    out = [durable(counts.select("lang", "gram", F.col("n").alias("c")))]
+    for n in range(order - 1, 0, -1):
+        out.append(durable(out[-1].groupBy("lang", _low("gram", n).alias("gram")).agg(F.count("*").alias("c"))))
+    return out[::-1]
+
+
+def discounts(level: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): Chen and Goodman's discounts of counts of 1, 2, and 3 or more; fixed ones where
+    counts of counts are too few to tell. A row a language."""
+    n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    enough = F.least(n1, n2, n3, n4) > 0
+    told = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+    some = [F.when(enough, F.when((t > 0) & (t < k), t)) for k, t in zip((1, 2, 3), told, strict=True)]
+    sizes = level.groupBy("lang").agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    return sizes.select("lang", *[F.coalesce(t, F.lit(d)).alias(f"d{k}") for k, t, d in zip((1, 2, 3), some, (0.5, 0.75, 0.9), strict=True)])
 
-    def run(key: tuple, known: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if wanted.empty or key[0] not in stats:
-            return pd.DataFrame({"lang": [], "gram": [], "logp": []}).astype({"lang": str, "gram": "int64", "logp": "float64"})
-        known = known.sort_values("gram")
-        gram = wanted["gram"].to_numpy(np.int64)
-        logp = shard_answers(known["gram"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(), gram.view(np.uint64), stats[key[0]], order)
-        return pd.DataFrame({"lang": key[0], "gram": gram, "logp": logp})
 
-    shard = F.shiftright("gram", 8).bitwiseAND(F.lit(255)).alias("shard")
-    left = counts.select("lang", "gram", "n", shard).groupBy("lang", "shard")
-    right = asked.select("lang", "gram", shard).groupBy("lang", "shard")
-    return left.cogroup(right).applyInPandas(run, "lang string, gram bigint, logp double")
+def answers(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, logp) for the asked (lang, gram) of languages that have trusted text: log probabilities of
+    the last byte after the others, in the precision of 32 bits."""
+    tables = levels(counts, order)
+    cut = durable(reduce(DataFrame.unionByName, [discounts(t).withColumn("n", F.lit(n)) for n, t in enumerate(tables, 1)]))
+    asked = durable(asked.join(tables[0].select("lang").distinct(), "lang", "left_semi"))
+    p = None
+    for n in range(1, order + 1):
+        own = cut.where(F.col("n") == n).drop("n")
+        discount = F.when(F.col("c") >= 3, F.col("d3")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d1"))
+        cutted = tables[n - 1].join(F.broadcast(own), "lang").select("lang", "gram", F.col("c"), discount.alias("d"))
+        contexts = cutted.groupBy("lang", F.shiftright("gram", 8).alias("context")).agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
+        wanted = (asked if n == order else asked.select("lang", _low("gram", n).alias("gram")).distinct()).withColumns({"context": F.shiftright("gram", 8), "tail": _low("gram", n - 1)})
+        if p is None:
+            wanted = wanted.withColumn("lower", F.lit(1 / 256))
+        else:
+            wanted = wanted.join(p, ["lang", "tail"])
+        wanted = wanted.join(contexts, ["lang", "context"], "left").join(cutted.select("lang", "gram", (F.col("c") - F.col("d")).alias("seen")), ["lang", "gram"], "left")
+        told = (F.coalesce("seen", F.lit(0.0)) + F.col("left") * F.col("lower")) / F.col("total")
+        p = wanted.select("lang", F.col("gram").alias("tail"), F.coalesce(told, "lower").alias("lower"))
+    return p.select("lang", F.col("tail").alias("gram"), F.log("lower").cast("float").alias("logp"))
 
 
 def _per_document(raw: np.ndarray, bounds: np.ndarray, keys: np.ndarray, logp: np.ndarray) -> np.ndarray:
     found = grams(raw, bounds)
     at = np.minimum(np.searchsorted(keys, found), keys.size - 1)
-    total = np.concatenate(([0.0], np.cumsum(logp[at])))
+    total = np.concatenate(([0.0], np.cumsum(logp[at], dtype=np.float64)))
     size = np.diff(bounds)
     return np.where(size > 0, -(total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(size, 1), np.nan)
 
 
-def scored(docs: DataFrame, table_: DataFrame) -> DataFrame:
-    """``docs`` with ``log_ppl``, the mean negative log probability of a byte; null where the text is
-    empty or its language has no model. Needs ``lang`` without nulls in ``model_lang``."""
+def scored(docs: DataFrame, table_: DataFrame, lang: str = "model_lang", out: str = "log_ppl") -> DataFrame:
+    """``docs`` with ``out``, the mean negative log probability of a byte; null where the text is empty or
+    its language has no model. Needs ``lang`` without nulls; ``out`` must be no column yet."""
     spark = docs.sparkSession
     if table_.count() <= BROADCAST_GRAMS:
-        rows = table_.select("lang", "gram", F.col("logp").cast("float").alias("logp")).toArrow()
+        rows = table_.select("lang", "gram", "logp").toArrow()
         model = {}
-        for lang in rows.column("lang").unique().to_pylist():
-            own = rows.filter(pa.compute.equal(rows.column("lang"), lang)).sort_by("gram")
-            model[lang] = tuple(own.column(c).to_numpy() for c in ("gram", "logp"))
+        for name in rows.column("lang").unique().to_pylist():
+            own = rows.filter(pa.compute.equal(rows.column("lang"), name)).sort_by("gram")
+            model[name] = tuple(own.column(c).to_numpy() for c in ("gram", "logp"))
         shipped = spark.sparkContext.broadcast(model)
+        at = docs.columns.index(lang)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text"):
-                langs = np.array(batch.column("model_lang").to_pylist(), dtype=object)
-                out = np.full(batch.num_rows, np.nan)
-                for lang in set(langs) & set(shipped.value):
-                    pick = np.flatnonzero(langs == lang)
-                    keys, logp = shipped.value[lang]
-                    out[pick] = _per_document(*joined_bytes(batch.column("text").take(pa.array(pick)).cast(pa.binary())), keys.view(np.uint64), logp)
-                yield batch.append_column("log_ppl", pa.array(out, pa.float64(), mask=np.isnan(out)))
+                langs = np.array(batch.column(at).to_pylist(), dtype=object)
+                told = np.full(batch.num_rows, np.nan)
+                for name in set(langs) & set(shipped.value):
+                    pick = np.flatnonzero(langs == name)
+                    keys, logp = shipped.value[name]
+                    told[pick] = _per_document(*joined_bytes(batch.column("text").take(pa.array(pick)).cast(pa.binary())), keys.view(np.uint64), logp)
+                yield batch.append_column(out, pa.array(told, pa.float64(), mask=np.isnan(told)))
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        return docs.mapInArrow(run, f"{fields}, log_ppl double")
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,13 +177,13 @@ def scored(docs: DataFrame, table_: DataFrame) -> DataFrame:
                 for at in range(0, found.size, 50_000):
                     k = found[at : at + 50_000]
                     columns = [pa.repeat(batch.column(0)[i], k.size), pa.repeat(batch.column(1)[i], k.size), pa.array(k.view(np.int64)), pa.array(n[at : at + 50_000])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["h", "lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "lang", "gram", "n"])
 
-    key = F.xxhash64("model_lang", "text").alias("h")
-    sent = docs.select(key, F.col("model_lang").alias("lang"), F.col("text").cast("binary").alias("text")).dropDuplicates(["h"])
-    sent = sent.mapInArrow(own, "h bigint, lang string, gram bigint, n bigint")
-    sums = sent.join(table_, ["lang", "gram"]).groupBy("h").agg((-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("log_ppl"))
-    return docs.withColumn("h", key).join(sums, "h", "left").drop("h")
+    key, hidden = F.sha2(F.concat_ws("\x00", lang, F.coalesce("text", F.lit(""))), 256), unused("key", docs)
+    sent = docs.select(key.alias("key"), F.col(lang).alias("lang"), F.col("text").cast("binary").alias("text")).dropDuplicates(["key"])
+    sent = sent.mapInArrow(own, "key string, lang string, gram bigint, n bigint")
+    sums = sent.join(table_, ["lang", "gram"]).groupBy("key").agg((-F.sum(F.col("n") * F.col("logp").cast("double")) / F.sum("n")).alias(out))
+    return docs.withColumn(hidden, key).join(sums.withColumnRenamed("key", hidden), hidden, "left").drop(hidden)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -215,37 +192,51 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).where("good").select("doc_id")
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """``docs`` with log_ppl, threshold and keep.
-
-    A document is kept up to its language's threshold. A language without trusted text has no
-    threshold and keeps everything; null lang is a language of its own. Null and empty texts are
-    not kept. Repeated rows are judged alike; other columns pass through. An empty table gives none.
-    """
-    columns = docs.columns
-    docs = docs.withColumn("model_lang", F.coalesce("lang", F.lit("")))
+def verdicts(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, Column, Column, Column]:
+    """``docs`` with some more columns, whose names clash with none, and what they say: log_ppl, threshold and
+    keep, see ``judged``."""
+    lang, ppl, limit = (unused(c, docs) for c in ("model_lang", "log_ppl", "limit"))
+    docs = docs.withColumn(lang, F.coalesce("lang", F.lit("")))
     ids = durable(trusted_ids(labels))
     if ids.count() <= BROADCAST_LABELS:
         ids = F.broadcast(ids)
-    trusted = docs.select("doc_id", "model_lang", "text").join(ids, "doc_id", "left_semi")
+    trusted = docs.select("doc_id", F.col(lang).alias("model_lang"), "text").join(ids, "doc_id", "left_semi")
     trusted = trusted.withColumn("held_back", F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0)
     counts = durable(gram_counts(trusted.where("not held_back").select(F.col("model_lang").alias("lang"), "text")))
-    asked = gram_counts(docs.select(F.col("model_lang").alias("lang"), "text")).select("lang", "gram")
+    asked = gram_counts(docs.select(F.col(lang).alias("lang"), "text")).select("lang", "gram")
     table_ = durable(answers(counts, asked))
+    short = SHORT / F.sqrt(F.greatest(F.octet_length("text"), F.lit(1)))
     bins = scored(trusted.select("model_lang", "held_back", "text"), table_).where("log_ppl is not null")
     bins = durable(bins.groupBy("model_lang", "held_back", F.ceil(F.col("log_ppl") / STEP).alias("bin")).agg(F.count("*").alias("n")))
     upto = W.partitionBy("model_lang").orderBy("bin")
     whole = W.partitionBy("model_lang")
     bins = bins.withColumn("any", F.max("held_back").over(whole)).where("held_back = any")  # all, where none is held back
     ranked = bins.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(whole))
-    at = [(F.min(F.when(F.col("share") >= q, F.col("bin"))) * STEP).alias(name) for q, name in ((0.5, "mid"), (quantile, "high"))]
-    limits = ranked.groupBy("model_lang").agg(*at).select("model_lang", (F.col("high") + slack * F.greatest(F.col("high") - F.col("mid"), F.lit(LEAST_SPREAD))).alias("threshold"))
-    limits = docs.sparkSession.createDataFrame(limits.collect(), limits.schema)  # a row a language
-    out = scored(docs, table_).join(F.broadcast(limits), "model_lang", "left")
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    limit = F.col("threshold") + SHORT / F.sqrt(F.greatest(size, F.lit(1)))
-    keep = (size > 0) & F.coalesce(F.col("log_ppl") <= limit, F.lit(True))
-    return out.select(*columns, "log_ppl", limit.alias("threshold"), keep.alias("keep"))
+    limits = ranked.groupBy(F.col("model_lang").alias(lang)).agg((F.min(F.when(F.col("share") >= quantile, F.col("bin"))) * STEP).alias(limit))
+    out = scored(docs, table_, lang, ppl).join(durable(limits), lang, "left")
+    threshold = F.col(limit) + short
+    keep = (F.coalesce(F.octet_length("text"), F.lit(0)) > 0) & F.coalesce(F.col(ppl) <= threshold, F.lit(True))
+    return out, F.col(ppl), threshold, keep
+
+
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """``docs`` with log_ppl, threshold and keep; own columns of these names give way.
+
+    A document is kept up to its language's threshold: the ``quantile`` of trusted documents, which
+    rises a little for short texts. A language without trusted text has no threshold and keeps
+    everything; null lang is a language of its own. Null and empty texts are not kept. Repeated
+    rows are judged alike, and ties with the threshold are kept. Other columns pass through. An empty
+    table gives none.
+    """
+    out, ppl, threshold, keep = verdicts(docs, labels, quantile)
+    columns = [F.col(c) for c in docs.columns if c.lower() not in ("log_ppl", "threshold", "keep")]
+    return out.select(*columns, ppl.alias("log_ppl"), threshold.alias("threshold"), keep.alias("keep"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with all their own columns and no others."""
+    out, _, _, keep = verdicts(docs, labels, quantile)
+    return out.where(keep).select(*docs.columns)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

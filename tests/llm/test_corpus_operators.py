@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import components, mixing, quality, search, simhash, suffix_dedup
+from spanloom.llm import components, mixing, search, simhash, suffix_dedup
 from spanloom.llm import entry as llm
 
 
@@ -172,61 +172,6 @@ def test_mix_odd_rows(spark):
     assert {r.taken for r in mixing.mix(docs.where("doc_id in (2, 3)")).collect()} == {0}
 
 
-def test_kneser_ney_against_plain_counts(spark):
-    texts = ["abcabd abcab", "abcx abd", "bca bcd abc"] * 3 + ["zzz", "abd zab"]
-    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
-    counts = quality.gram_counts(docs)
-    made = {r.gram: r.logp for r in quality.answers(counts, counts.select("lang", "gram")).collect()}
-    stats = quality.level_statistics(counts)["en"]
-    levels = {5: Counter()}
-    for t in texts:
-        b = b"\0\0\0\0" + t.encode()
-        levels[5].update(b[i - 4 : i + 1] for i in range(4, len(b)))
-    for n in (4, 3, 2):
-        levels[n] = Counter(g[1:] for g in levels[n + 1])
-
-    def p(g):
-        if len(g) == 1:
-            return stats["bytes"][g[0]]
-        same = [(h, c) for h, c in levels[len(g)].items() if h[:-1] == g[:-1]]
-        total = sum(c for _, c in same)
-        if not total:
-            return p(g[1:])
-        d = [0.0, *stats[len(g)]]
-        c = levels[len(g)][g]
-        return (c - d[min(c, 3)] + sum(d[min(x, 3)] for _, x in same) * p(g[1:])) / total
-
-    for g, logp in made.items():
-        assert logp == pytest.approx(np.log(p(int(g).to_bytes(8, "big")[3:])), rel=1e-6)
-    seen = {g[:-1] for g in levels[5]}
-    for context in list(seen)[:4]:
-        assert sum(p(context + bytes([x])) for x in range(256)) == pytest.approx(1)
-
-
-def test_quality_keeps_good_and_drops_junk(spark, sf_dir):
-    docs, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
-    out = quality.judged(docs, labels).join(labels, "doc_id")
-    good, bad = out.where("quality = 1 and toxic = 0"), out.where("quality = 0")
-    assert good.where("keep").count() >= 0.97 * good.count()
-    assert bad.where("not keep").count() >= 0.85 * bad.count()
-
-
-def test_quality_odd_rows_and_joined_scores(spark, monkeypatch):
-    text = "the cat sat on the mat and the dog sat on the log " * 4
-    rows = [(i, text + str(i), "en", 1) for i in range(12)] + [(50, None, "en", 2), (51, "", None, 3), (52, "qqqq zzzz", "xx", 4), (53, "#%&*!" * 50, "en", 5), (0, text + "0", "en", 6)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_back int")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)] + [(0, None, None), (99, 1, 0)], "doc_id long, quality int, toxic int")
-    judged = {r.held_back if r.doc_id > 11 else -r.doc_id: r for r in quality.judged(docs, labels).collect()}
-    assert not judged[2].keep and not judged[3].keep and judged[4].keep and not judged[5].keep and judged[-3].keep
-    assert quality.judged(docs.where("false"), labels).count() == 0
-    monkeypatch.setattr(quality, "BROADCAST_GRAMS", 0)
-    monkeypatch.setattr(quality, "BROADCAST_LABELS", 0)
-    for r in quality.judged(docs, labels).collect():
-        mine = judged[r.held_back if r.doc_id > 11 else -r.doc_id]
-        assert (r.log_ppl is None) == (mine.log_ppl is None)
-        assert r.log_ppl is None or r.log_ppl == pytest.approx(mine.log_ppl, rel=1e-4)
-
-
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
