@@ -9,7 +9,10 @@ exact copies cost one row; a crowded key is searched breadth-first over the memb
 reached, which is close to linear when they are near each other, and gives a spanning set of
 links and never all pairs.
 
-``drop_near_copies`` doesn't use fingerprints: it joins whole shingle sets by prefix filtering.
+``drop_near_copies`` links texts by the similarity of their shingle sets. Fingerprints that are near by
+deletion variants are compared first and bring most copies together; but at a similarity of 0.8
+fingerprints differ in ten bits or more, which no selective key reaches, so the texts that are still apart
+are joined by prefix filtering, which loses none. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import durable, pieces, table
+from spanloom.llm.common import durable, pieces, table, unused
 from spanloom.llm.components import components
 
 #: Fixed value: the seed of the hash of a shingle.
@@ -33,6 +36,8 @@ SEED = 42
 SHORT_RUN = 48
 #: One text in LOOK tells which shingles are frequent; so many of these are known at most.
 LOOK, MOST_FREQUENT = 8, 1_000_000
+#: Nodes whose ids are broadcast at most, to tell whose sets are needed.
+BROADCAST_IDS = 4_000_000
 #: Members of a crowded key that the others are compared with before all that are left are.
 HUBS = 4
 #: Against rounding where a bound is met exactly.
@@ -237,25 +242,26 @@ def prefix_of(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: f
 
 
 def shingle_sets(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(node, size, keys, shingles) of (node, text): number of distinct shingles of ``words`` words, the
-    prefix (8 bytes each), and all of them (32 bits of each hash)."""
+    """(node, fp, size, keys, shingles) of (node, text): the fingerprint, the number of distinct shingles of
+    ``words`` words, the prefix and all of them (64-bit hashes, in order)."""
     shipped = texts.sparkSession.sparkContext.broadcast(frequent(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            sets = [np.unique(shingle_hashes(t.as_py() or b"", words)) for t in batch.column("text")]
-            keys = [prefix_of(s, shipped.value, least).tobytes() for s in sets]
-            kept = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]  # in order, as the hashes are
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.size for s in sets], pa.int32()), pa.array(keys, pa.binary()), pa.array(kept, pa.binary())], names=["node", "size", "keys", "shingles"]
-            )
+            hashes = [shingle_hashes(t.as_py() or b"", words) for t in batch.column("text")]
+            sets = [np.unique(h) for h in hashes]
+            columns = [
+                pa.array([fingerprint_of(h) for h in hashes], pa.int64()), pa.array([s.size for s in sets], pa.int32()),
+                pa.array([prefix_of(s, shipped.value, least).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], names=["node", "fp", "size", "keys", "shingles"])
 
-    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node bigint, size int, keys binary, shingles binary")
+    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node bigint, fp bigint, size int, keys binary, shingles binary")
 
 
 def alike(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two whole shingle sets."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not x.size and not y.size:
         return 1.0
     both = np.sort(np.concatenate((x, y)), kind="stable")
@@ -264,14 +270,17 @@ def alike(a: bytes, b: bytes) -> float:
 
 
 def verified(found: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The links whose shingle sets have a similarity of ``least`` or more."""
+    """The links of ``found`` whose shingle sets have a similarity of ``least`` or more. Only sets of linked
+    nodes are sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [alike(a.as_py(), b.as_py()) >= least - EPS for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    at = nodes.select("node", "shingles")
+    found = durable(found.select("u", "v").distinct())
+    ids = durable(found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct())
+    at = nodes.select("node", "shingles").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
     one = found.join(at.withColumnsRenamed({"node": "u", "shingles": "a"}), "u")
     both = one.join(at.withColumnsRenamed({"node": "v", "shingles": "b"}), "v").select("u", "v", "a", "b")
     return both.mapInArrow(run, "u bigint, v bigint")
@@ -336,6 +345,7 @@ def prefix_pairs(spread: DataFrame, least: float, step: int) -> DataFrame:
                 same = run_of[a] == run_of[b]
                 if not same.any():
                     break
+                same &= root[a] != root[b]
                 a, b = a[same], b[same]
                 ok = _possible(size, pos, a, b, least)
                 left.append(a[ok])
@@ -371,58 +381,59 @@ def prefix_pairs(spread: DataFrame, least: float, step: int) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint, key bigint, size bigint, pos bigint")
 
 
-def near_roots(nodes: DataFrame, least: float) -> DataFrame:
+def near_roots(nodes: DataFrame, least: float, bits: int = 4) -> DataFrame:
     """(node, root) of all nodes that have a link: ``nodes`` is what ``shingle_sets`` makes.
 
-    Nothing is lost: two sets with a similarity of ``least`` share a shingle of their prefixes. Crowded
-    keys send pairs with a few members first; what has come together by verified links counts as one
-    then, and in the last step all pairs that are still apart are compared."""
+    Nothing is lost: two sets with a similarity of ``least`` share a shingle of their prefixes. What near
+    fingerprints have brought together counts as one then. Crowded keys send pairs with a few members
+    first, and in the last step all pairs that are still apart are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "keys"):
             keys = [np.frombuffer(k.as_py(), np.int64) for k in batch.column("keys")]
             n = [k.size for k in keys]
-            node, size = (np.repeat(np.asarray(batch.column(i)), n) for i in range(2))
+            node, size, root = (np.repeat(np.asarray(batch.column(i)), n) for i in range(3))
             pos = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node), pa.array(size), pa.array(pos)], names=["key", "node", "size", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), node, size, pos, root)], names=["key", "node", "size", "pos", "root"])
 
-    spread = nodes.select("node", "size", "keys").mapInArrow(run, "key bigint, node bigint, size int, pos int")
-    met = durable(prefix_pairs(spread.withColumn("root", F.col("node")), least, 0))
+    found = durable(verified(links(nodes.select("fp", "node"), bits), nodes, least))
+    rooted = nodes.select("node", "size", "keys").join(components(found), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "keys")
+    met = durable(prefix_pairs(rooted.mapInArrow(run, "key bigint, node bigint, size int, pos int, root bigint"), least, 0))
     crowd = met.where("v is null").select("key", F.col("u").alias("node"), "size", "pos")
-    found = durable(verified(met.where("v is not null").select("u", "v").distinct(), nodes, least))
+    found = durable(found.unionByName(verified(met.where("v is not null"), nodes, least)))
     if crowd.isEmpty():
         return components(found)
     for step in (1, -1):
         rooted = crowd.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = prefix_pairs(rooted, least, step).select("u", "v").distinct()
-        found = durable(found.unionByName(verified(more, nodes, least)))
+        found = durable(found.unionByName(verified(prefix_pairs(rooted, least, step), nodes, least)))
     return components(found)
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id, then
-    the smallest row of it.
+    the smallest row of it by a hash; of equal rows any.
 
-    Texts are linked if their sets of ``words``-word shingles have a similarity of ``least`` or more: all
-    such pairs are found by prefix filtering and verified on the whole sets. Equal texts are one node, and
-    null text counts as empty. A null doc_id comes last. Columns stay as they are; an empty table
-    gives no rows.
+    Texts are linked if their sets of ``words``-word shingles have a similarity of ``least`` or more, at any
+    length, see ``near_roots``. Equal texts (by a 128-bit hash) are one node, and null text counts as
+    empty; so do texts without words, which are alike. A null doc_id comes last. Columns stay as they
+    are, whatever they are called; an empty table gives no rows.
     """
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*docs.columns).alias("row"))
-    keyed = docs.select(key.alias("node"), first.alias("first"), F.coalesce("text", F.lit("")).alias("text"))
-    firsts = durable(keyed.groupBy("node").agg(F.min("first").alias("first")))
-    one_each = keyed.join(firsts, ["node", "first"], "left_semi").select("node", "text")
-    nodes = durable(shingle_sets(one_each.dropDuplicates(["node"]), words, least))
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*plain).alias("row"), F.xxhash64(F.lit(1), *plain).alias("row2"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"), first.alias("first"), text.alias("text"))
+    # a number for each distinct text, told once: the table that holds it is written
+    firsts = durable(keyed.groupBy("key").agg(F.min("first").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    texts = keyed.join(firsts, ["key", "first"]).select("node", "text").dropDuplicates(["node"])
+    nodes = durable(shingle_sets(texts, words, least))
     roots = near_roots(nodes, least)
     rooted = firsts.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    row = F.xxhash64(*docs.columns)
-    marked = docs.withColumns({"_row": row, "_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()})
-    kept = kept.select(F.col("row").alias("_row"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("last").alias("_none"))
-    twin = F.row_number().over(W.partitionBy("_id", "_none", "_row").orderBy(F.lit(1)))
-    left = marked.join(kept, ["_row", "_id", "_none"], "left_semi")
-    return left.withColumn("_twin", twin).where("_twin = 1").select(*docs.columns)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    mark, twin = unused("mark", docs), unused("twin", docs)
+    kept = kept.select(F.struct(F.col("first.last"), F.coalesce("first.doc_id", F.lit(0)).alias("doc_id"), F.col("first.row"), F.col("first.row2")).alias(mark))
+    own = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64(*plain).alias("row"), F.xxhash64(F.lit(1), *plain).alias("row2"))
+    left = docs.withColumn(mark, own).join(kept, mark, "left_semi")
+    return left.withColumn(twin, F.row_number().over(W.partitionBy(mark).orderBy(F.lit(1)))).where(F.col(twin) == 1).select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

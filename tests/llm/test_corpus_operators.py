@@ -135,21 +135,6 @@ def test_components_against_union_find(spark):
     assert components.components(links.where("false")).count() == 0
 
 
-def test_drop_near_copies(spark):
-    rng = np.random.default_rng(7)
-    words = [f"w{i}" for i in range(5000)]
-    base = [str(w) for w in rng.choice(words, 300)]
-    near = [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in (20, 150, 280)]
-    clean = [" ".join(map(str, rng.choice(words, 300))) for _ in range(5)]
-    texts = [" ".join(base), *near, " ".join(base), *clean, None, "", " ".join(sorted(base))]
-    rows = [(10 + i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(10, " ".join(base), "en", "s", 0), (None, " ".join(base), "en", "s", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    left = simhash.drop_near_copies(docs)
-    assert left.columns == docs.columns
-    assert sorted(r.doc_id for r in left.collect()) == [10, 15, 16, 17, 18, 19, 20, 22]
-    assert simhash.drop_near_copies(docs.where("false")).count() == 0
-
-
 def test_mix_meets_targets(spark, sf_dir):
     rows = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
