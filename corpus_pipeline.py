@@ -9,12 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontaminate, mixing, pii, quality, simhash
-from spanloom.llm.common import shared_dir, table
+from spanloom.llm.common import shared_dir, table, unused
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; a text that is null or empty goes."""
-    return quality.judged(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +33,18 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of which the mix takes words, with the words taken (repeats counted).
-
-    Rows meet their figures by a hash of the row and, among equal rows, by number."""
-    row = F.xxhash64(*docs.columns)
-    number = F.row_number().over(W.partitionBy("_row").orderBy(F.lit(1)))
-    keyed = docs.withColumn("_row", row)
-    figures = mixing.mix(keyed, carry=("_row",)).where("taken > 0").select("_row", "size", "source_size", "target", "taken")
-    figures = figures.withColumn("_no", F.row_number().over(W.partitionBy("_row").orderBy(F.desc("taken"))))
-    return keyed.withColumn("_no", number).join(figures, ["_row", "_no"]).drop("_row", "_no")
+    """The documents of which the mix takes words, with the words taken (repeats counted) and the figures of
+    their sources; own columns of these names give way.
+
+    Rows meet their figures by two hashes of the row and, among equal rows, by number."""
+    names = ("size", "source_size", "target", "taken")
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    row, no = unused("mixed_row", docs), unused("mixed_no", docs)
+    keyed = docs.withColumn(row, F.struct(F.xxhash64(*plain).alias("a"), F.xxhash64(F.lit(1), *plain).alias("b")))
+    figures = mixing.mix(keyed, carry=(row,)).where("taken > 0").select(row, *names)
+    figures = figures.withColumn(no, F.row_number().over(W.partitionBy(row).orderBy(F.desc("taken"))))
+    keyed = keyed.withColumn(no, F.row_number().over(W.partitionBy(row).orderBy(F.lit(1))))
+    return keyed.drop(*names).join(figures, [row, no]).drop(row, no)
 
 
 STAGES = [
