@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import durable
+from spanloom.llm.common import durable, forget
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     if not before[0]:
         return links.toDF("node", "root")
     for _ in range(most_rounds):
-        links = durable(_small_star(_large_star(links).where("u <> v").distinct()).where("u <> v").distinct())
+        last, links = links, durable(_small_star(_large_star(links).where("u <> v").distinct()).where("u <> v").distinct())
+        forget(last)
         now = state(links)
         if now == before:
             return links.toDF("node", "root")

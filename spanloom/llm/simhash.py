@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from spanloom.llm.common import durable, pieces, table, unused
+from spanloom.llm.common import durable, forget, pieces, table, unused
 from spanloom.llm.components import components
 
 #: Fixed value: the seed of the hash of a shingle.
@@ -37,7 +38,9 @@ SHORT_RUN = 48
 #: One text in LOOK tells which shingles are frequent; so many of these are known at most.
 LOOK, MOST_FREQUENT = 8, 1_000_000
 #: Nodes whose ids are broadcast at most, to tell whose sets are needed.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
+#: The same for keys of prefixes: a run's members are often all alike.
+FEW = 8
 #: Members of a crowded key that the others are compared with before all that are left are.
 HUBS = 4
 #: Against rounding where a bound is met exactly.
@@ -221,7 +224,7 @@ def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
                 found, n = np.unique(np.concatenate(made), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(LOOK)) == 0).select(F.col("text").cast("binary").alias("text"))
+    some = texts.where(F.pmod(F.xxhash64("key"), F.lit(LOOK)) == 0).select(F.col("text").cast("binary").alias("text"))
     counts = some.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
     top = counts.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
     h, n = np.asarray(top.column("h").combine_chunks()).view(np.uint64), np.asarray(top.column("n").combine_chunks())
@@ -241,22 +244,42 @@ def prefix_of(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: f
     return found[: found.size - math.ceil(least * found.size - EPS) + 1]
 
 
-def shingle_sets(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(node, fp, size, keys, shingles) of (node, text): the fingerprint, the number of distinct shingles of
-    ``words`` words, the prefix and all of them (64-bit hashes, in order)."""
+def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(node, key, first, fp, size, keys) of the distinct texts of (key, first, text): a number, the smallest
+    ``first``, the fingerprint, the number of distinct shingles of ``words`` words, and the prefix (8
+    bytes each). Written; texts themselves aren't shuffled."""
     shipped = texts.sparkSession.sparkContext.broadcast(frequent(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple] = {}
         for batch in pieces(batches, "text"):
-            hashes = [shingle_hashes(t.as_py() or b"", words) for t in batch.column("text")]
-            sets = [np.unique(h) for h in hashes]
-            columns = [
-                pa.array([fingerprint_of(h) for h in hashes], pa.int64()), pa.array([s.size for s in sets], pa.int32()),
-                pa.array([prefix_of(s, shipped.value, least).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], names=["node", "fp", "size", "keys", "shingles"])
+            made = []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                if key not in known:
+                    if len(known) >= 1000:  # copies often stand together
+                        known.clear()
+                    hashes = shingle_hashes(text.as_py() or b"", words)
+                    own = np.unique(hashes)
+                    known[key] = (fingerprint_of(hashes), own.size, prefix_of(own, shipped.value, least).tobytes())
+                made.append(known[key])
+            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("first"), *columns], names=["key", "first", "fp", "size", "keys"])
+
+    fields = StructType([*texts.schema.fields[:2], *StructType.fromDDL("fp bigint, size int, keys binary").fields])
+    made = texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, fields)
+    each = made.groupBy("key").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")])
+    return durable(each.withColumn("node", F.monotonically_increasing_id()))
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(key, shingles) of (key, text): the 64-bit hashes of all shingles, in order."""
 
-    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node bigint, fp bigint, size int, keys binary, shingles binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", words)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], names=["key", "shingles"])
+
+    return texts.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key binary, shingles binary")
 
 
 def alike(a: bytes, b: bytes) -> float:
@@ -269,9 +292,9 @@ def alike(a: bytes, b: bytes) -> float:
     return shared / (both.size - shared)
 
 
-def verified(found: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The links of ``found`` whose shingle sets have a similarity of ``least`` or more. Only sets of linked
-    nodes are sent."""
+def verified(found: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The links of ``found`` whose shingle sets have a similarity of ``least`` or more, written. Sets are made
+    anew from the texts that are in a link, so that no table of all sets is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,11 +302,16 @@ def verified(found: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     found = durable(found.select("u", "v").distinct())
-    ids = durable(found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct())
-    at = nodes.select("node", "shingles").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
+    ids = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct()
+    ids = durable(nodes.select("node", "key", "first").join(ids, "node", "left_semi"))
+    few = ids.count() <= BROADCAST_IDS
+    at = texts.join(F.broadcast(ids) if few else ids, ["key", "first"]).select("node", "key", "text")
+    at = durable(shingle_sets(at, words).join(ids.select("key", "node"), "key").dropDuplicates(["node"]).select("node", "shingles"))
     one = found.join(at.withColumnsRenamed({"node": "u", "shingles": "a"}), "u")
     both = one.join(at.withColumnsRenamed({"node": "v", "shingles": "b"}), "v").select("u", "v", "a", "b")
-    return both.mapInArrow(run, "u bigint, v bigint")
+    sure = durable(both.mapInArrow(run, "u bigint, v bigint"))
+    forget(found, ids, at)
+    return sure
 
 
 def _possible(size: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -320,7 +348,7 @@ def _across(node: np.ndarray, size: np.ndarray, pos: np.ndarray, root: np.ndarra
 
 def prefix_pairs(spread: DataFrame, least: float, step: int) -> DataFrame:
     """(u, v, key, size, pos) of (key, node, size, pos, root): the pairs that meet under a key and can be
-    alike, key null. Of keys of over SHORT_RUN members only some of the pairs, see ``_across``; with a
+    alike, key null. Of keys of over FEW members only some of the pairs, see ``_across``; with a
     ``step`` of 0 their members come too, v null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,14 +359,14 @@ def prefix_pairs(spread: DataFrame, least: float, step: int) -> DataFrame:
             starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
             lengths = np.diff(np.concatenate((starts, [key.size])))
             left, right = [], []
-            for at in np.flatnonzero(lengths > SHORT_RUN):
+            for at in np.flatnonzero(lengths > FEW):
                 inside = slice(starts[at], starts[at] + lengths[at])
                 a, b = _across(node[inside], size[inside], pos[inside], root[inside], least, step)
                 left += [x + starts[at] for x in a]
                 right += [x + starts[at] for x in b]
             run_of = np.repeat(np.arange(starts.size), lengths)
-            use = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= SHORT_RUN), lengths))
-            for back in range(1, SHORT_RUN):
+            use = np.flatnonzero(np.repeat((lengths > 1) & (lengths <= FEW), lengths))
+            for back in range(1, FEW):
                 if use.size <= back:
                     break
                 a, b = use[:-back], use[back:]
@@ -355,7 +383,7 @@ def prefix_pairs(spread: DataFrame, least: float, step: int) -> DataFrame:
             none = pa.nulls(pairs.shape[1], pa.int64())
             made = [[pa.array(pairs[0]), pa.array(pairs[1]), none, none, none]]
             if step == 0:
-                crowd = np.flatnonzero(np.repeat(lengths > SHORT_RUN, lengths))
+                crowd = np.flatnonzero(np.repeat(lengths > FEW, lengths))
                 made.append([pa.array(node[crowd]), pa.nulls(crowd.size, pa.int64()), pa.array(key[crowd]), pa.array(size[crowd]), pa.array(pos[crowd])])
             for columns in made:
                 if len(columns[0]):
@@ -381,8 +409,8 @@ def prefix_pairs(spread: DataFrame, least: float, step: int) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint, key bigint, size bigint, pos bigint")
 
 
-def near_roots(nodes: DataFrame, least: float, bits: int = 4) -> DataFrame:
-    """(node, root) of all nodes that have a link: ``nodes`` is what ``shingle_sets`` makes.
+def near_roots(nodes: DataFrame, texts: DataFrame, words: int, least: float, bits: int = 4) -> DataFrame:
+    """(node, root) of all nodes that have a link: ``nodes`` is what ``prefixes`` makes of ``texts``.
 
     Nothing is lost: two sets with a similarity of ``least`` share a shingle of their prefixes. What near
     fingerprints have brought together counts as one then. Crowded keys send pairs with a few members
@@ -396,17 +424,19 @@ def near_roots(nodes: DataFrame, least: float, bits: int = 4) -> DataFrame:
             pos = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), node, size, pos, root)], names=["key", "node", "size", "pos", "root"])
 
-    found = durable(verified(links(nodes.select("fp", "node"), bits), nodes, least))
+    sure = lambda pairs: verified(pairs, nodes, texts, words, least)
+    found = sure(links(nodes.select("fp", "node"), bits))
     rooted = nodes.select("node", "size", "keys").join(components(found), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "keys")
     met = durable(prefix_pairs(rooted.mapInArrow(run, "key bigint, node bigint, size int, pos int, root bigint"), least, 0))
     crowd = met.where("v is null").select("key", F.col("u").alias("node"), "size", "pos")
-    found = durable(found.unionByName(verified(met.where("v is not null"), nodes, least)))
-    if crowd.isEmpty():
-        return components(found)
-    for step in (1, -1):
-        rooted = crowd.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = durable(found.unionByName(verified(prefix_pairs(rooted, least, step), nodes, least)))
-    return components(found)
+    found = found.unionByName(sure(met.where("v is not null")))
+    if not crowd.isEmpty():
+        for step in (1, -1):
+            rooted = crowd.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            found = found.unionByName(sure(prefix_pairs(rooted, least, step)))
+    roots = components(found)
+    forget(met)
+    return roots
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -419,20 +449,15 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> Dat
     are, whatever they are called; an empty table gives no rows.
     """
     plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
-    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*plain).alias("row"), F.xxhash64(F.lit(1), *plain).alias("row2"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64(*plain).alias("row"), F.xxhash64(F.lit(1), *plain).alias("row2"))
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"), first.alias("first"), text.alias("text"))
-    # a number for each distinct text, told once: the table that holds it is written
-    firsts = durable(keyed.groupBy("key").agg(F.min("first").alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    texts = keyed.join(firsts, ["key", "first"]).select("node", "text").dropDuplicates(["node"])
-    nodes = durable(shingle_sets(texts, words, least))
-    roots = near_roots(nodes, least)
-    rooted = firsts.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    texts = docs.select(F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"), first.alias("first"), text.alias("text"))
+    nodes = prefixes(texts, words, least)
+    roots = near_roots(nodes, texts, words, least)
+    rooted = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     mark, twin = unused("mark", docs), unused("twin", docs)
-    kept = kept.select(F.struct(F.col("first.last"), F.coalesce("first.doc_id", F.lit(0)).alias("doc_id"), F.col("first.row"), F.col("first.row2")).alias(mark))
-    own = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64(*plain).alias("row"), F.xxhash64(F.lit(1), *plain).alias("row2"))
-    left = docs.withColumn(mark, own).join(kept, mark, "left_semi")
+    kept = rooted.groupBy("root").agg(F.min("first").alias(mark)).select(mark)
+    left = docs.withColumn(mark, first).join(kept, mark, "left_semi")
     return left.withColumn(twin, F.row_number().over(W.partitionBy(mark).orderBy(F.lit(1)))).where(F.col(twin) == 1).select(*docs.columns)
 
 

@@ -65,9 +65,9 @@ def edited(rng, words, kind, share):
     return w
 
 
-@pytest.mark.parametrize("short_run", [48, 3])
-def test_every_kind_of_edit(spark, monkeypatch, short_run):
-    monkeypatch.setattr(simhash, "SHORT_RUN", short_run)
+@pytest.mark.parametrize("few", [8, 48, 3])
+def test_every_kind_of_edit(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(3000)]
     texts = []
