@@ -38,7 +38,7 @@ BROADCAST_GRAMS, BROADCAST_LABELS = 3_000_000, 4_000_000
 #: Log perplexities are ranked in steps of this size, so that quantiles need one short table.
 STEP = 0.002
 #: Bytes of text whose n-grams are counted at once.
-COUNT_BYTES = 1 << 20
+COUNT_BYTES = 1 << 19
 
 
 def grams(raw: np.ndarray, bounds: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -78,9 +78,9 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 found = np.unique(grams(*joined_bytes(part.column("text"))), return_counts=True)
                 parts = held.setdefault(lang, [])
                 parts.append(found)
-                if len(parts) >= 16:
+                if len(parts) >= 8:
                     held[lang] = [merged(parts)]
-                    if held[lang][0][0].size > 2_000_000:  # a table of rare n-grams goes out in parts
+                    if held[lang][0][0].size > 1_000_000:  # a table of rare n-grams goes out in parts
                         yield from rows(lang, *held.pop(lang)[0])
         for lang, parts in held.items():
             yield from rows(lang, *merged(parts))

@@ -272,14 +272,14 @@ def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(key, shingles) of (key, text): the 64-bit hashes of all shingles, in order."""
+    """(node, shingles) of (node, text): the 64-bit hashes of all shingles, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             sets = [np.unique(shingle_hashes(t.as_py() or b"", words)).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], names=["key", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return texts.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key binary, shingles binary")
+    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node bigint, shingles binary")
 
 
 def alike(a: bytes, b: bytes) -> float:
@@ -292,6 +292,11 @@ def alike(a: bytes, b: bytes) -> float:
     return shared / (both.size - shared)
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """A written table of one row a node: broadcast up to BROADCAST_IDS rows, else left to Spark's joins."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def verified(found: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The links of ``found`` whose shingle sets have a similarity of ``least`` or more, written. Sets are made
     anew from the texts that are in a link, so that no table of all sets is kept."""
@@ -304,9 +309,9 @@ def verified(found: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, l
     found = durable(found.select("u", "v").distinct())
     ids = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct()
     ids = durable(nodes.select("node", "key", "first").join(ids, "node", "left_semi"))
-    few = ids.count() <= BROADCAST_IDS
-    at = texts.join(F.broadcast(ids) if few else ids, ["key", "first"]).select("node", "key", "text")
-    at = durable(shingle_sets(at, words).join(ids.select("key", "node"), "key").dropDuplicates(["node"]).select("node", "shingles"))
+    at = texts.join(few(ids), ["key", "first"]).select("node", "text")
+    # equal rows give a set each: one of them stays
+    at = durable(shingle_sets(at, words).groupBy("node").agg(F.first("shingles").alias("shingles")))
     one = found.join(at.withColumnsRenamed({"node": "u", "shingles": "a"}), "u")
     both = one.join(at.withColumnsRenamed({"node": "v", "shingles": "b"}), "v").select("u", "v", "a", "b")
     sure = durable(both.mapInArrow(run, "u bigint, v bigint"))
@@ -426,13 +431,13 @@ def near_roots(nodes: DataFrame, texts: DataFrame, words: int, least: float, bit
 
     sure = lambda pairs: verified(pairs, nodes, texts, words, least)
     found = sure(links(nodes.select("fp", "node"), bits))
-    rooted = nodes.select("node", "size", "keys").join(components(found), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "keys")
+    rooted = nodes.select("node", "size", "keys").join(few(components(found)), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "keys")
     met = durable(prefix_pairs(rooted.mapInArrow(run, "key bigint, node bigint, size int, pos int, root bigint"), least, 0))
     crowd = met.where("v is null").select("key", F.col("u").alias("node"), "size", "pos")
     found = found.unionByName(sure(met.where("v is not null")))
     if not crowd.isEmpty():
         for step in (1, -1):
-            rooted = crowd.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rooted = crowd.join(few(components(found)), "node", "left").withColumn("root", F.coalesce("root", "node"))
             found = found.unionByName(sure(prefix_pairs(rooted, least, step)))
     roots = components(found)
     forget(met)
