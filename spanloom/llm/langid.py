@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import table
+from spanloom.llm.common import durable, table
 
 #: Families of languages by their codes; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -32,9 +32,8 @@ FAMILIES = {
 FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes}
 
 BUCKETS = 1 << 12
-SAMPLE_PER_LANG = 300
-#: Languages that are learned at most.
-MOST_LANGS = 10_000
+#: Documents of a language that are learned from at most, and languages whose sizes are broadcast.
+SAMPLE_PER_LANG, BROADCAST_LANGS = 300, 100_000
 #: Characters of a training vector's text are all read; rounds and strength of the SVMs' training.
 ROUNDS, LAMBDA = 12, 1e-4
 STEP = 1 << 20
@@ -134,10 +133,12 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), vectors], names=["lang", "v"])
 
     keys = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    # what can be among the smallest hashes, told from the number of rows, so that other texts don't move
+    # what can be among the smallest hashes, told from the number of distinct texts, so that other texts don't move
     place = F.pmod("h", F.lit(1 << 40))
-    sizes = keys.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS)
-    near = keys.join(F.broadcast(sizes), "lang").where(place * F.col("n").cast("double") < float((4 * per_lang + 64) << 40))
+    sizes = durable(keys.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")))
+    if sizes.count() <= BROADCAST_LANGS:
+        sizes = F.broadcast(sizes)
+    near = keys.join(sizes, "lang").where(place * F.col("n").cast("double") < float((4 * per_lang + 64) << 40))
     distinct = near.groupBy("lang", "h").agg(F.first("text").alias("text"))
     some = distinct.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(place, "h"))).where(F.col("r") <= per_lang)
     rows = some.select("lang", "text").mapInArrow(run, "lang string, v binary").collect()

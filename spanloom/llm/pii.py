@@ -88,10 +88,10 @@ ENDINGS = frozenset("com net org edu gov info io de fr es eu uk co us ch at it n
 TITLES = frozenset("mr mrs ms dr prof herr frau señor señora sr sra monsieur madame mme".split())
 
 _SPELLED = re.compile(
-    r"(?<![\w.])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}\s?(?:\(at\)|\[at\]|\{at\}|\bat\b)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\bdot\b)\s?[A-Za-z]{2,20})+(?!\w)", re.I
+    r"(?<![\w.])[A-Za-z0-9][A-Za-z0-9._+-]*+\s?(?:\(at\)|\[at\]|\{at\}|\bat\b)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\bdot\b)\s?[A-Za-z]{2,20})+(?!\w)", re.I
 )
 _NUMBER = re.compile(r"(?<![\w.,$€£+-])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{2,6}(?:[ .-][0-9]{2,6}){0,2}(?![\w,%]|[.-][0-9])")
-_SECRET = re.compile(r"(?i)\b(?:api[_-]?key|token|secret|passw(?:or)?d|pwd)\b\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{12,256})[\"']?")
+_SECRET = re.compile(r"(?i)\b(?:api[_-]?key|token|secret|passw(?:or)?d|pwd)\b\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.~-]{12,}+)[\"']?")
 _NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame|Mme)\.?\s([A-ZÀ-Ý][\w'-]{1,30}(?:\s[A-ZÀ-Ý][\w'-]{1,30})?)")
 _WORD = re.compile(r"[^\W_]+(?:[-_][^\W_]+)*")
 

@@ -103,6 +103,27 @@ def test_pii_redacts_and_odd_rows(spark):
     assert pii.find(docs).where(F.col("base") != "").count() == 2
 
 
+def test_added_spans(spark):
+    """Spelled addresses, numbers and secrets of any length, beside what only looks like them."""
+    key, name = "Ab9" * 150, "long" * 20
+    rows = [f"write to jane{i} (at) mail (dot) org or call 555 010 {1000 + 37 * i} now" for i in range(30)] + [f"api_key = {key}{i}" for i in range(10)] + [f"mail {name} [at] host [dot] com"] + ["page 12 of 40, version 1.2, total 3,400"] * 20
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s] for r in pii.find(docs).collect()}
+    cut = lambda i: {(s.split(":")[0], rows[i][int(s.split(":")[1]) : int(s.split(":")[2])]) for s in got[i]}
+    assert all(("email", f"jane{i} (at) mail (dot) org") in cut(i) for i in range(30))
+    assert all(cut(30 + i) == {("secret", f"{key}{i}")} for i in range(10))
+    assert cut(40) == {("email", f"{name} [at] host [dot] com")} and not any(got[i] for i in range(41, 61))
+    left = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert left[30] == "api_key = [SECRET]"
+
+
+def test_language_of_many_copies_is_learned(spark):
+    learned = spark.createDataFrame([("der und die das " * 9, "de")] * 4000 + [(f"the and of that {i} it " * 5, "en") for i in range(400)], "text string, lang string")
+    model = langid.train(learned)
+    docs = spark.createDataFrame([(1, "die und das"), (2, "the of it")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()} == {1: "de", 2: "en"}
+
+
 def test_expectation_maximisation_tells_reliable_labelers():
     patterns = {(1, 1, 1): 40, (-1, -1, 1): 40, (1, 1, -1): 40, (-1, -1, -1): 40, (1, -1, 0): 4, (-1, 1, 0): 4}
     told = pii.reliabilities(patterns)
