@@ -8,8 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A row is (id, parent): the parent in the tree, null for roots; depth from 0; the place in depth-first
-#: order; and whether the row is a root.
-TREE = "project_id string, trace_id string, id string, parent_id string, depth int, place int, is_root boolean, n_children int"
+#: order; whether the row is a root; its children; and the place of the last row below it (or its own).
+TREE = "project_id string, trace_id string, id string, parent_id string, depth int, place int, is_root boolean, n_children int, last int"
 
 
 def _cyclic(parent: dict[str, str | None]) -> set[str]:
@@ -27,7 +27,7 @@ def _cyclic(parent: dict[str, str | None]) -> set[str]:
 
 
 def build(rows: list[tuple[str, str | None, object]]) -> list[tuple]:
-    """(id, parent, depth, place, is root, children) of (id, parent, start); siblings by start, then id. Of
+    """(id, parent, depth, place, is root, children, last) of (id, parent, start); siblings by start, then id. Of
     rows with one id the last counts."""
     last = {r[0]: r for r in rows}
     parent = {i: (p if p in last else None) for i, p, _ in last.values()}
@@ -42,7 +42,11 @@ def build(rows: list[tuple[str, str | None, object]]) -> list[tuple]:
         below = children.get(i, [])
         out.append((i, parent[i], depth, len(out), parent[i] is None, len(below)))
         stack += [(c, depth + 1) for c in reversed(below)]
-    return out
+    end = {r[0]: r[3] for r in out}
+    for r in reversed(out):  # children come before their parents
+        if r[1] is not None:
+            end[r[1]] = max(end[r[1]], end[r[0]])
+    return [(*r, end[r[0]]) for r in out]
 
 
 def observation_tree(observations: DataFrame) -> DataFrame:
@@ -51,8 +55,8 @@ def observation_tree(observations: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(i, None if pd.isna(p) else p, s) for i, p, s in zip(pdf["id"], pdf["parent_observation_id"], pdf["start_time"], strict=True)]
-        made = pd.DataFrame(build(rows), columns=["id", "parent_id", "depth", "place", "is_root", "n_children"])
-        return made.assign(project_id=pdf["project_id"].iloc[0], trace_id=pdf["trace_id"].iloc[0])[["project_id", "trace_id", "id", "parent_id", "depth", "place", "is_root", "n_children"]]
+        made = pd.DataFrame(build(rows), columns=["id", "parent_id", "depth", "place", "is_root", "n_children", "last"])
+        return made.assign(project_id=pdf["project_id"].iloc[0], trace_id=pdf["trace_id"].iloc[0])[["project_id", "trace_id", "id", "parent_id", "depth", "place", "is_root", "n_children", "last"]]
 
     return observations.select("project_id", "trace_id", "id", "parent_observation_id", "start_time").groupBy("project_id", "trace_id").applyInPandas(run, TREE)
 
@@ -61,10 +65,7 @@ def visible(tree: DataFrame, collapsed: DataFrame) -> DataFrame:
     """Rows in depth-first order without what lies under the collapsed (project_id, trace_id, id)."""
     key = ["project_id", "trace_id"]
     marked = tree.join(collapsed.withColumn("_shut", F.lit(True)), [*key, "id"], "left")
-    # a node hides the rows after it until the depth is no longer below its own
-    at = W.partitionBy(*key).orderBy("place")
-    before = at.rowsBetween(W.unboundedPreceding, -1)
-    shut = F.collect_list(F.when(F.col("_shut"), F.struct("place", "depth"))).over(before)
-    lows = F.collect_list(F.struct("place", "depth")).over(before)
-    hidden = F.exists(shut, lambda s: (s["depth"] < F.col("depth")) & ~F.exists(lows, lambda r: (r["place"] > s["place"]) & (r["depth"] <= s["depth"])))
-    return marked.withColumn("_hidden", F.coalesce(hidden, F.lit(False))).where("not _hidden").drop("_shut", "_hidden")
+    # rows below a node stand right behind it, up to its last one
+    before = W.partitionBy(*key).orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    shut_to = F.max(F.when(F.col("_shut"), F.col("last"))).over(before)
+    return marked.withColumn("_hidden", F.coalesce(shut_to >= F.col("place"), F.lit(False))).where("not _hidden").drop("_shut", "_hidden")

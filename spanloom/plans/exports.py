@@ -70,15 +70,15 @@ def trace_detail(spark, sf):
     return live.select("id", "name", us("timestamp"), F.array_join("tags", ",").alias("tags"), F.col("metadata")["source"].alias("source"), F.md5(F.col("input").cast("binary")).alias("input_md5"))
 
 
-@query("trace_scores", f"{with_sql('doc_scores')} SELECT trace_id, id, name, data_type, value FROM doc_scores WHERE CAST(trace_id AS BIGINT) % 5 = 0")
+@query("trace_scores", f"{with_sql('doc_scores')} SELECT trace_id, id, name, data_type, value FROM doc_scores")
 def trace_scores(spark, sf):
-    scores = versions.latest(P.doc_scores(spark, sf).where(F.col("trace_id").cast("long") % 5 == 0), "scores")
+    scores = versions.latest(P.doc_scores(spark, sf), "scores")
     return scores.orderBy("timestamp", "id").select("trace_id", "id", "name", "data_type", "value")
 
 
-@query("children_ordered", f"{with_sql('live_obs')} SELECT project_id, trace_id, string_agg(id, ',' ORDER BY start_time, id) AS ids FROM live_obs WHERE CAST(trace_id AS BIGINT) % 3 = 0 GROUP BY ALL")
+@query("children_ordered", f"{with_sql('live_obs')} SELECT project_id, trace_id, string_agg(id, ',' ORDER BY start_time, id) AS ids FROM live_obs GROUP BY ALL")
 def children_ordered(spark, sf):
-    live = versions.latest(P.ord_observations(spark, sf).where(F.col("trace_id").cast("long") % 3 == 0), "observations")
+    live = versions.latest(P.ord_observations(spark, sf), "observations")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("start_time", "id"))), lambda s: s["id"])
     return live.groupBy("project_id", "trace_id").agg(F.array_join(ids, ",").alias("ids"))
 
@@ -134,10 +134,10 @@ def _versions(spark, sf) -> DataFrame:
     return settlement.activity(*_evt(spark, sf))
 
 
-@query("exported_traces", f"{EXPORT} SELECT t.id, trace_version, (SELECT count(*) FROM evt_observations o WHERE o.trace_id = t.id) AS observations, (SELECT count(*) FROM evt_scores s WHERE s.trace_id = t.id) AS scores FROM evt_traces t JOIN v ON v.trace_id = t.id WHERE t.user_id IN ('1', '2', '3')")
+@query("exported_traces", f"{EXPORT} SELECT t.id, trace_version, coalesce(o.n, 0) AS observations, coalesce(s.n, 0) AS scores FROM evt_traces t LEFT JOIN (SELECT trace_id, count(*) AS n FROM evt_observations GROUP BY ALL) o ON o.trace_id = t.id LEFT JOIN (SELECT trace_id, count(*) AS n FROM evt_scores GROUP BY ALL) s ON s.trace_id = t.id JOIN v ON v.trace_id = t.id")
 def exported_traces(spark, sf):
     traces, observations = _evt(spark, sf)
-    some = export.stamped(traces.where(F.col("user_id").isin("1", "2", "3")), _versions(spark, sf), "id")
+    some = export.stamped(traces, _versions(spark, sf), "id")
     made = export.attach(some, observations, P.evt_scores(spark, sf))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c)
     return made.select("id", "trace_version", F.greatest(size("observations"), F.lit(0)).alias("observations"), F.greatest(size("scores"), F.lit(0)).alias("scores"))
@@ -161,26 +161,37 @@ def export_scores_table(spark, sf):
     return out.select("id", "trace_id", "observation_id", "value", "data_type", us("timestamp"), "trace_version")
 
 
-@query("json_lines_export", f"{EXPORT} SELECT trace_id, count(*) AS lines FROM (SELECT id AS trace_id FROM evt_traces UNION ALL SELECT trace_id FROM evt_observations UNION ALL SELECT trace_id FROM evt_scores) GROUP BY ALL")
+@query("json_lines_export", f"""{EXPORT}, lines AS (SELECT id AS trace_id, 'trace:' || id AS event, user_id AS a, environment AS b FROM evt_traces UNION ALL SELECT trace_id, 'observation:' || id, name, level FROM evt_observations UNION ALL SELECT trace_id, 'score:' || id, 'numeric', observation_id FROM evt_scores)
+SELECT trace_id, event, a, b, trace_version FROM lines JOIN v USING (trace_id)""")
 def json_lines_export(spark, sf):
+    """The lines, read back: a field or two of every kind."""
     at = _versions(spark, sf)
     lines = export.json_lines(export.stamped(P.evt_traces(spark, sf), at, "id"), export.stamped(P.evt_observations(spark, sf), at), export.stamped(P.evt_scores(spark, sf), at))
-    return lines.groupBy("trace_id").agg(F.count_if(F.get_json_object("line", "$.body.id").isNotNull()).alias("lines"))
+    get = lambda *names: F.coalesce(*[F.get_json_object("line", f"$.{n}") for n in names])
+    return lines.select("trace_id", get("id").alias("event"), get("body.userId", "body.dataType", "body.name").alias("a"), get("body.environment", "body.level", "body.observationId").alias("b"), get("traceVersion").alias("trace_version"))
+
+
+SPANS = f"""{with_sql('evt_observations')} , spans AS (SELECT trace_id AS trace, id, start_time, substr(sha256('trace:' || trace_id), 1, 32) AS traceId, substr(sha256('span:' || id), 1, 16) AS spanId, coalesce(name, id) AS name, CAST(epoch_us(start_time) // 1000 AS VARCHAR) || '000000' AS startTimeUnixNano,
+CAST(epoch_us(end_time) // 1000 AS VARCHAR) || '000000' AS endTimeUnixNano, CASE level WHEN 'error' THEN 2 ELSE 1 END AS statusCode FROM evt_observations)"""
 
 
-@query("otlp_reemission_spans", f"""{with_sql('evt_observations')} SELECT substr(sha256('trace:' || trace_id), 1, 32) AS traceId, substr(sha256('span:' || id), 1, 16) AS spanId, CAST(epoch_us(start_time) // 1000 AS VARCHAR) || '000000' AS startTimeUnixNano,
-CAST(epoch_us(coalesce(end_time, start_time)) // 1000 AS VARCHAR) || '000000' AS endTimeUnixNano, CASE level WHEN 'error' THEN 2 ELSE 0 END AS statusCode FROM evt_observations""")
+@query("otlp_reemission_spans", f"{SPANS} SELECT traceId, spanId, name, startTimeUnixNano, endTimeUnixNano, statusCode FROM spans")
 def otlp_reemission_spans(spark, sf):
     traces, observations = _evt(spark, sf)
     spans = export.otlp_spans(traces, tree.observation_tree(observations), observations)
-    return spans.select("traceId", "spanId", "startTimeUnixNano", "endTimeUnixNano", "statusCode")
+    return spans.select("traceId", "spanId", "name", "startTimeUnixNano", "endTimeUnixNano", "statusCode")
 
 
-@query("otlp_requests", f"{with_sql('evt_observations')} SELECT trace_id, count(*) AS spans FROM evt_observations GROUP BY ALL")
+@query("otlp_requests", f"""{SPANS} SELECT trace AS trace_id, count(*) AS spans, count(endTimeUnixNano) AS ends, sum(statusCode) AS codes, string_agg(spanId, ',' ORDER BY start_time, id) AS span_ids FROM spans GROUP BY ALL""")
 def otlp_requests(spark, sf):
+    """The requests' bodies, read back."""
     traces, observations = _evt(spark, sf)
     made = export.otlp_requests(export.otlp_spans(traces, tree.observation_tree(observations), observations))
-    return made.select("trace_id", F.regexp_count("body", F.lit('"spanId"')).cast("long").alias("spans"))
+    shape = "resourceSpans array<struct<scopeSpans:array<struct<spans:array<struct<spanId:string,endTimeUnixNano:string,status:struct<code:bigint>>>>>>>"
+    spans = F.from_json("body", shape)["resourceSpans"][0]["scopeSpans"][0]["spans"]
+    total = F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["status"]["code"])
+    ends = F.size(F.filter(spans, lambda s: s["endTimeUnixNano"].isNotNull())).cast("long")
+    return made.select("trace_id", F.size(spans).cast("long").alias("spans"), ends.alias("ends"), total.alias("codes"), F.array_join(F.transform(spans, lambda s: s["spanId"]), ",").alias("span_ids"))
 
 
 @query("versioned_trace", f"{with_sql('live_traces', 'live_obs')} SELECT t.id, epoch_us(timestamp) AS timestamp, epoch_us(greatest(t.event_ts, (SELECT max(event_ts) FROM live_obs o WHERE o.trace_id = t.id))) AS version FROM live_traces t WHERE id = '1001'")
@@ -250,7 +261,12 @@ def raw_day_cutoff(spark, sf):
     return e.where(text.parse_raw_key(key)["day"] < cut).select("event_id")
 
 
-@query("signed_bodies", f"{with_sql('evt_observations', 'evt_traces')} SELECT id, 64 AS signature_chars FROM evt_traces WHERE user_id = '5'")
+def _pad(byte: int) -> str:
+    """The key ``secret`` of HMAC's inner or outer hash, as hex."""
+    return bytes(c ^ byte for c in b"secret".ljust(64, b"\0")).hex()
+
+
+@query("signed_bodies", f"""{with_sql('evt_observations', 'evt_traces')} SELECT id, body, sha256(from_hex('{_pad(0x5C)}') || from_hex(sha256(from_hex('{_pad(0x36)}') || encode(body)))) AS signature FROM (SELECT id,
+'{{"id":"' || id || '","name":"day","timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(timestamp) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z","userId":"' || user_id || '","tags":[]}}' AS body FROM evt_traces)""")
 def signed_bodies(spark, sf):
-    made = export.webhook_bodies(P.evt_traces(spark, sf).where("user_id = '5'"), "secret")
-    return made.select("id", F.char_length("signature").alias("signature_chars"))
+    return export.webhook_bodies(P.evt_traces(spark, sf), "secret").select("id", "body", "signature")

@@ -178,13 +178,12 @@ def feed_orphans(spark, sf):
     return retention.feed_orphans(observations.select("project_id", "trace_id").distinct(), traces)
 
 
-@query("visible_trace_ids", f"{with_sql('live_traces', 'live_obs')} SELECT project_id, trace_id FROM (SELECT project_id, id AS trace_id FROM live_traces UNION SELECT project_id, trace_id FROM live_obs) WHERE CAST(trace_id AS BIGINT) % 22 = 0")
+@query("visible_trace_ids", f"{with_sql('live_traces', 'live_obs', 'evt_scores')} SELECT project_id, id AS trace_id FROM live_traces UNION SELECT project_id, trace_id FROM live_obs UNION SELECT project_id, trace_id FROM evt_scores")
 def visible_trace_ids(spark, sf):
     from spanloom.operators import refs
 
-    traces, observations = (d.where(F.col(c).cast("long") % 22 == 0) for d, c in zip(_ord(spark, sf), ("id", "trace_id"), strict=True))
-    none = P.evt_scores(spark, sf).where("false")
-    return refs.visible(versions.latest(traces, "traces"), versions.latest(observations, "observations"), none)
+    traces, observations = _ord(spark, sf)
+    return refs.visible(versions.latest(traces, "traces"), versions.latest(observations, "observations"), P.evt_scores(spark, sf))
 
 
 @query("provenance_purge", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY")

@@ -59,9 +59,15 @@ def _string(name: str) -> Column:
     return F.nullif(F.try_variant_get(F.try_parse_json(f"f_{name}"), "$", "string"), F.lit(""))
 
 
+def event_content(type_: Column, event_id: Column, sent_at: Column, body: Column) -> Column:
+    """What an event without an id is known by: the canonical JSON list of its type, id, time and body."""
+    head = F.to_json(F.array(type_, event_id, sent_at))
+    return F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), F.lit(","), F.coalesce(text.canonical_json(body), F.lit("null")), F.lit("]"))
+
+
 def _record_id() -> Column:
     """The body's id, or one made from what the event holds."""
-    content = F.to_json(F.array(F.col("first.type"), F.col("first.event_id"), F.coalesce("first.sent_at", F.lit("")), F.coalesce(text.canonical_json(F.col("first.body")), F.lit(""))))
+    content = event_content(F.col("first.type"), F.col("first.event_id"), F.col("first.sent_at"), F.col("first.body"))
     return F.coalesce(text.identifier(_string("id")), text.record_id(content))
 
 
@@ -109,7 +115,7 @@ def scores(rows: DataFrame) -> DataFrame:
     value = F.try_variant_get(F.try_parse_json("body"), "$.value", "variant")
     get = lambda f: F.nullif(F.get_json_object("body", f"$.{f}"), F.lit(""))
     numeric = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
-    content = F.to_json(F.array(F.col("type"), F.col("event_id"), F.coalesce("sent_at", F.lit("")), F.coalesce(text.canonical_json(F.col("body")), F.lit(""))))
+    content = event_content(F.col("type"), F.col("event_id"), F.col("sent_at"), F.col("body"))
     return rows.where("kind = 'score'").where(value.isNotNull() & ~F.is_variant_null(value) & get("traceId").isNotNull() & get("name").isNotNull()).select(
         "project_id", "batch_id", "received_at", "ordinal", "place", F.coalesce(get("id"), text.record_id(content)).alias("id"), get("traceId").alias("trace_id"), get("observationId").alias("observation_id"), get("name").alias("name"),
         F.when(numeric, "numeric").otherwise("categorical").alias("data_type"), F.when(numeric, F.try_variant_get(value, "$", "double")).alias("value"), F.when(~numeric, F.try_variant_get(value, "$", "string")).alias("string_value"),

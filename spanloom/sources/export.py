@@ -15,7 +15,7 @@ from spanloom.functions.time import to_iso, to_unix_nano
 #: Exported columns and their types.
 TRACE_TABLE = {"id": "string", "timestamp": "timestamp", "name": "string", "user_id": "string", "session_id": "string", "environment": "string", "release": "string", "version": "string", "tags": "array<string>", "metadata": "map<string,string>", "input": "string", "output": "string", "trace_version": "string"}
 OBSERVATION_TABLE = {"id": "string", "trace_id": "string", "parent_observation_id": "string", "type": "string", "name": "string", "start_time": "timestamp", "end_time": "timestamp", "level": "string", "status_message": "string", "model": "string", "model_parameters": "map<string,string>", "input": "string", "output": "string", "usage_details": "map<string,decimal(20,0)>", "cost_details": "map<string,decimal(18,9)>", "completion_start_time": "timestamp", "metadata": "map<string,string>", "trace_version": "string"}
-SCORE_TABLE = {"id": "string", "trace_id": "string", "observation_id": "string", "name": "string", "data_type": "string", "value": "double", "string_value": "string", "source": "string", "comment": "string", "timestamp": "timestamp", "trace_version": "string"}
+SCORE_TABLE = {"id": "string", "trace_id": "string", "observation_id": "string", "name": "string", "data_type": "string", "value": "double", "string_value": "string", "source": "string", "comment": "string", "metadata": "map<string,string>", "timestamp": "timestamp", "trace_version": "string"}
 TABLES = {"traces": TRACE_TABLE, "observations": OBSERVATION_TABLE, "scores": SCORE_TABLE}
 
 
@@ -24,6 +24,11 @@ def table(df: DataFrame, kind: str) -> DataFrame:
     return df.select(*[(F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in TABLES[kind].items()])
 
 
+def filled(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` with what it lacks of the exported columns as nulls; other columns stay."""
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in TABLES[kind].items() if c not in df.columns})
+
+
 def stamped(df: DataFrame, versions: DataFrame, trace_id: str = "trace_id") -> DataFrame:
     """Rows of the traces in ``versions`` (project_id, trace_id, version), with trace_version."""
     at = versions.select("project_id", F.col("trace_id").alias(trace_id), to_iso(F.col("version")).alias("trace_version"))
@@ -45,13 +50,14 @@ def _event(kind: str, key: Column, body: Column) -> Column:
 def json_lines(traces: DataFrame, observations: DataFrame, scores: DataFrame) -> DataFrame:
     """(trace_id, place, line): native events without project, a trace's row first, then its observations and
     scores. Times are ISO text, so that ingest takes the lines as they are."""
+    traces, observations, scores = filled(traces, "traces"), filled(observations, "observations"), filled(scores, "scores")
     iso = lambda c: to_iso(F.col(c))
-    trace = F.struct("id", iso("timestamp").alias("timestamp"), "name", F.col("user_id").alias("userId"), F.col("session_id").alias("sessionId"), "environment", "tags", "metadata", "input", "output")
+    trace = F.struct("id", iso("timestamp").alias("timestamp"), "name", F.col("user_id").alias("userId"), F.col("session_id").alias("sessionId"), "environment", "release", "version", "tags", "metadata", "input", "output")
     observation = F.struct(
-        "id", F.col("trace_id").alias("traceId"), F.col("parent_observation_id").alias("parentObservationId"), "type", "name", iso("start_time").alias("startTime"), iso("end_time").alias("endTime"), "level", "model", "input", "output",
-        F.when(F.size("usage_details") > 0, F.col("usage_details")).alias("usageDetails"), F.when(F.size("cost_details") > 0, F.col("cost_details")).alias("costDetails"),
+        "id", F.col("trace_id").alias("traceId"), F.col("parent_observation_id").alias("parentObservationId"), "type", "name", iso("start_time").alias("startTime"), iso("end_time").alias("endTime"), "level", F.col("status_message").alias("statusMessage"), "model", F.when(F.size("model_parameters") > 0, F.col("model_parameters")).alias("modelParameters"),
+        iso("completion_start_time").alias("completionStartTime"), "metadata", "input", "output", F.when(F.size("usage_details") > 0, F.col("usage_details")).alias("usageDetails"), F.when(F.size("cost_details") > 0, F.col("cost_details")).alias("costDetails"),
     )
-    score = F.struct("id", F.col("trace_id").alias("traceId"), F.col("observation_id").alias("observationId"), "name", F.col("data_type").alias("dataType"), "value", F.col("string_value").alias("stringValue"), "source", iso("timestamp").alias("timestamp"))
+    score = F.struct("id", F.col("trace_id").alias("traceId"), F.col("observation_id").alias("observationId"), "name", F.col("data_type").alias("dataType"), "value", F.col("string_value").alias("stringValue"), "source", "comment", "metadata", iso("timestamp").alias("timestamp"))
     parts = [
         traces.select(F.col("id").alias("trace_id"), F.struct(F.lit(0).alias("table"), F.col("timestamp").alias("at"), "id").alias("place"), _event("trace", F.col("id"), trace).alias("line")),
         observations.select("trace_id", F.struct(F.lit(1).alias("table"), F.col("start_time").alias("at"), "id").alias("place"), _event("observation", F.col("id"), observation).alias("line")),
@@ -85,27 +91,35 @@ def attach(traces: DataFrame, observations: DataFrame, scores: DataFrame) -> Dat
 
 def otlp_spans(traces: DataFrame, tree: DataFrame, observations: DataFrame) -> DataFrame:
     """A span per observation, with ids made from ours; a trace without observations gets one span of its own
-    name and time."""
+    name and time. What isn't an error has status 1, a span without a name has its id, and an end that isn't
+    known stays out."""
     key = ["project_id", "trace_id"]
-    placed = tree.select(*key, "id", "parent_id", "place").join(observations, [*key, "id"])
+    string = lambda k, v: F.struct(k.alias("key"), F.struct(v.alias("stringValue"), F.lit(None).cast("string").alias("intValue")).alias("value"))
+    number = lambda k: F.try_element_at("usage_details", F.lit(k)).cast("string")
+    count = lambda k: F.struct(F.lit(f"gen_ai.usage.{k}").alias("key"), F.struct(F.lit(None).cast("string").alias("stringValue"), number(k).alias("intValue")).alias("value"))
+    model = F.when(F.coalesce("model", F.lit("")) != "", string(F.lit("gen_ai.request.model"), F.col("model")))
+    counts = [F.when(number(k).isNotNull(), count(k)) for k in ("input_tokens", "output_tokens")]
+    own = F.transform(F.map_entries(F.coalesce("metadata", F.expr("cast(map() as map<string,string>)"))), lambda e: string(e["key"], e["value"]))
+    placed = tree.select(*key, "id", "parent_id", "place").join(filled(observations, "observations"), [*key, "id"])
     spans = placed.select(
-        *key, "place", text.otlp_trace_id(F.col("trace_id")).alias("traceId"), text.otlp_span_id(F.col("id")).alias("spanId"), text.otlp_span_id(F.col("parent_id")).alias("parentSpanId"), "name",
-        to_unix_nano(F.col("start_time")).alias("startTimeUnixNano"), to_unix_nano(F.coalesce("end_time", "start_time")).alias("endTimeUnixNano"),
-        F.when(F.col("level") == "error", 2).otherwise(0).alias("statusCode"), F.col("model").alias("model"),
+        *key, "place", text.otlp_trace_id(F.col("trace_id")).alias("traceId"), text.otlp_span_id(F.col("id")).alias("spanId"), text.otlp_span_id(F.col("parent_id")).alias("parentSpanId"), F.coalesce("name", "id").alias("name"),
+        to_unix_nano(F.col("start_time")).alias("startTimeUnixNano"), to_unix_nano(F.col("end_time")).alias("endTimeUnixNano"), F.concat(own, F.array_compact(F.array(model, *counts))).alias("attributes"),
+        F.when(F.col("level") == "error", 2).otherwise(1).alias("statusCode"), F.nullif("status_message", F.lit("")).alias("statusMessage"),
     )
     bare = traces.withColumnRenamed("id", "trace_id").join(tree.select(*key).distinct(), key, "left_anti")
+    none = F.lit(None).cast("string")
     alone = bare.select(
-        *key, F.lit(0).alias("place"), text.otlp_trace_id(F.col("trace_id")).alias("traceId"), text.otlp_span_id(F.col("trace_id")).alias("spanId"), F.lit(None).cast("string").alias("parentSpanId"), "name",
-        to_unix_nano(F.col("timestamp")).alias("startTimeUnixNano"), to_unix_nano(F.col("timestamp")).alias("endTimeUnixNano"), F.lit(0).alias("statusCode"), F.lit(None).cast("string").alias("model"),
+        *key, F.lit(0).alias("place"), text.otlp_trace_id(F.col("trace_id")).alias("traceId"), text.otlp_span_id(F.col("trace_id")).alias("spanId"), none.alias("parentSpanId"), F.coalesce("name", "trace_id").alias("name"),
+        to_unix_nano(F.col("timestamp")).alias("startTimeUnixNano"), none.alias("endTimeUnixNano"), F.array().cast(spans.schema["attributes"].dataType).alias("attributes"), F.lit(1).alias("statusCode"), none.alias("statusMessage"),
     )
     return spans.unionByName(alone)
 
 
 def otlp_requests(spans: DataFrame, service: str = "spanloom") -> DataFrame:
     """(project_id, trace_id, body): one export request per trace, as JSON."""
-    attribute = F.when(F.col("model").isNotNull(), F.array(F.struct(F.lit("gen_ai.request.model").alias("key"), F.struct(F.col("model").alias("stringValue")).alias("value"))))
-    span = F.struct("place", F.struct("traceId", "spanId", "parentSpanId", "name", "startTimeUnixNano", "endTimeUnixNano", attribute.alias("attributes"), F.struct(F.col("statusCode").alias("code")).alias("status")).alias("span"))
-    lists = spans.groupBy("project_id", "trace_id").agg(F.transform(F.array_sort(F.collect_list(span)), lambda s: s["span"]).alias("spans"))
+    status = F.struct(F.col("statusCode").alias("code"), F.col("statusMessage").alias("message"))
+    span = F.struct("place", F.struct("traceId", "spanId", "parentSpanId", "name", "startTimeUnixNano", "endTimeUnixNano", "attributes", status.alias("status")).alias("span"))
+    lists = spans.groupBy("project_id", "trace_id").agg(F.transform(F.array_sort(F.collect_list(span), lambda a, b: a["place"] - b["place"]), lambda s: s["span"]).alias("spans"))
     name = F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit(service).alias("stringValue")).alias("value")))
     scope = F.array(F.struct(F.struct(F.lit(service).alias("name")).alias("scope"), F.col("spans").alias("spans")))
     return lists.select("project_id", "trace_id", F.to_json(F.struct(F.array(F.struct(F.struct(name.alias("attributes")).alias("resource"), scope.alias("scopeSpans"))).alias("resourceSpans"))).alias("body"))

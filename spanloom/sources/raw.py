@@ -33,12 +33,33 @@ def bad_batches(batches: DataFrame) -> DataFrame:
     return batches.select("object_key", why.alias("message")).where("message is not null")
 
 
+_OTLP_IDS = "resourceSpans array<struct<scopeSpans:array<struct<spans:array<struct<traceId:string>>>>>>"
+_COMPAT_IDS = "batch array<struct<type:string,body:struct<id:string,traceId:string>>>"
+
+
 def concerns(trace_id: Column) -> Column:
-    """EXACT, POSSIBLE or NO: whether an event (type, source, body) is about a trace. Bodies of compatible and
-    OTLP requests are searched, not parsed, so they are only possible."""
+    """EXACT, POSSIBLE or NO: whether an event (type, source, body) is about a trace. A request is possibly about
+    it if one of its parts doesn't say what it is about, as updates do that leave the trace out."""
+    lost = lambda c: F.coalesce(c, F.lit(True))
+    some = lambda c: F.coalesce(c, F.lit(False))
     own = F.when(F.col("type") == "trace-upsert", F.get_json_object("body", "$.id")).otherwise(F.get_json_object("body", "$.traceId"))
-    found = F.contains("body", F.concat(F.lit('"'), trace_id, F.lit('"')))
-    return F.when(F.col("source") == "native", F.when(own == trace_id, "EXACT").otherwise("NO")).when(found, "POSSIBLE").otherwise("NO")
+    parts = F.from_json("body", _OTLP_IDS)["resourceSpans"]
+    told = _any_span(parts, lambda x: some(x["traceId"] == trace_id), F.lit(False))
+    gaps = _any_span(parts, lambda x: x["traceId"].isNull(), F.lit(True))
+    otlp = F.when(some(told), "EXACT").when(lost(gaps), "POSSIBLE").otherwise("NO")
+    items = F.from_json("body", _COMPAT_IDS)["batch"]
+    of_trace = lambda e: some(e["type"].startswith("trace"))
+    named = F.exists(items, lambda e: some(e["body"]["traceId"] == trace_id) | (of_trace(e) & some(e["body"]["id"] == trace_id)))
+    unnamed = F.exists(items, lambda e: e["body"]["traceId"].isNull() & ~(of_trace(e) & e["body"]["id"].isNotNull()))
+    compat = F.when(some(named), "EXACT").when(lost(unnamed), "POSSIBLE").otherwise("NO")
+    return F.when(F.col("type") == "otlp-export", otlp).when(F.col("type") == "langfuse-ingestion", compat).when(some(own == trace_id), "EXACT").otherwise("NO")
+
+
+def _any_span(parts: Column, test, missing: Column) -> Column:
+    """Whether any span of a parsed export passes; a part without spans counts as ``missing``. Null if the body
+    is no export."""
+    within = lambda a, f: F.when(a.isNull(), missing).otherwise(F.exists(a, f))
+    return F.exists(parts, lambda r: within(r["scopeSpans"], lambda s: within(s["spans"], test)))
 
 
 def land(batches: DataFrame, path: str) -> None:

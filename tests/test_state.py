@@ -125,9 +125,9 @@ def test_tree_response(spark, sf_dir):
 
 def test_raw_slice(spark):
     index = spark.createDataFrame([("p", "t", f"o{i}", datetime(2024, 1, i + 1)) for i in range(3)], "project_id string, trace_id string, object_key string, received_at timestamp")
-    events = spark.createDataFrame([("p", "o0", "e0", "trace-upsert", "native", '{"id":"t"}'), ("p", "o0", "e1", "trace-upsert", "native", '{"id":"u"}'), ("p", "o1", "e2", "otlp-export", "otlp", '{"x":"t"}'), ("p", "o2", "e3", "otlp-export", "otlp", '{"x":"t"}')], "project_id string, object_key string, id string, type string, source string, body string").withColumn("received_at", F.lit(NOW))
+    events = spark.createDataFrame([("p", "o0", "e0", "trace-upsert", "native", '{"id":"t"}'), ("p", "o0", "e1", "trace-upsert", "native", '{"id":"u"}'), ("p", "o1", "e2", "otlp-export", "otlp", '{"x":"t"}'), ("p", "o1", "e4", "otlp-export", "otlp", '{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"u"},{"traceId":"t"}]}]}]}'), ("p", "o1", "e5", "otlp-export", "otlp", '{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"u"}]}]}]}'), ("p", "o1", "e6", "langfuse-ingestion", "langfuse", '{"batch":[{"type":"span-update","body":{"id":"o"}}]}'), ("p", "o1", "e7", "langfuse-ingestion", "langfuse", '{"batch":[{"type":"trace-create","body":{"id":"t"}}]}'), ("p", "o1", "e8", "langfuse-ingestion", "langfuse", '{"batch":[{"type":"trace-create","body":{"id":"u"}}]}'), ("p", "o2", "e3", "otlp-export", "otlp", '{"x":"t"}')], "project_id string, object_key string, id string, type string, source string, body string").withColumn("received_at", F.lit(NOW))
     got = {(r.object_key, r.event_id, r.match, r.truncated) for r in export.raw_slice(index, events, 2, 1000).collect()}
-    assert got == {("o0", "e0", "EXACT", None), ("o1", "e2", "POSSIBLE", None), ("o2", None, None, "object_limit")}
+    assert got == {("o0", "e0", "EXACT", None), ("o1", "e2", "POSSIBLE", None), ("o1", "e4", "EXACT", None), ("o1", "e6", "POSSIBLE", None), ("o1", "e7", "EXACT", None), ("o2", None, None, "object_limit")}
 
 
 def test_export_batches_follow_the_feed(spark):
