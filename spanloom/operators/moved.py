@@ -19,20 +19,21 @@ def last_of_batch(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def resolve(rows: DataFrame, stored: DataFrame, received_at: datetime | Column) -> tuple[DataFrame, DataFrame]:
+def resolve(rows: DataFrame, stored: DataFrame, received_at: datetime | Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows to write, stored rows to delete) for a batch of whole-row upserts.
 
     ``rows`` and ``stored`` have the record key and sort_time; ``stored`` also event_ts. A record with a newer
-    stored row isn't written, and its older rows go. Otherwise the stored rows of other days go."""
-    at = (received_at if isinstance(received_at, Column) else F.lit(received_at)).cast("timestamp")
+    stored row isn't written, and its older rows go. Otherwise the stored rows of other days go. Without
+    ``received_at`` each row brings its own event_ts, and the rows to delete have it as ``_at``."""
     mine = last_of_batch(rows)
-    newer = stored.where(F.col("event_ts") > at).select(*RECORD_KEY).distinct()
+    at = F.col("event_ts") if received_at is None else received_at if isinstance(received_at, Column) else F.lit(received_at)
+    met = stored.join(mine.select(*RECORD_KEY, F.col("sort_time").alias("_new"), at.cast("timestamp").alias("_at")), RECORD_KEY)
+    newer = met.where("event_ts > _at").select(*RECORD_KEY).distinct()
     written = mine.join(newer, RECORD_KEY, "left_anti")
-    asked = mine.select(*RECORD_KEY, F.col("sort_time").alias("_new"))
-    joined = stored.join(asked, RECORD_KEY).join(newer.withColumn("_newer", F.lit(True)), RECORD_KEY, "left")
-    other_day = (sort_day(F.col("sort_time")) != sort_day(F.col("_new"))) & (F.col("event_ts") <= at)
-    gone = F.when(F.col("_newer"), F.col("event_ts") < at).otherwise(F.coalesce(other_day, F.lit(False)))
-    return written, joined.where(gone).drop("_new", "_newer")
+    joined = met.join(newer.withColumn("_newer", F.lit(True)), RECORD_KEY, "left")
+    other_day = (sort_day(F.col("sort_time")) != sort_day(F.col("_new"))) & (F.col("event_ts") <= F.col("_at"))
+    gone = joined.where(F.when(F.col("_newer"), F.col("event_ts") < F.col("_at")).otherwise(F.coalesce(other_day, F.lit(False)))).drop("_new", "_newer")
+    return written, gone if received_at is None else gone.drop("_at")
 
 
 def fold_fields(rows: DataFrame, key: list[str], fields: list[str], order: list[str]) -> DataFrame:
@@ -41,10 +42,11 @@ def fold_fields(rows: DataFrame, key: list[str], fields: list[str], order: list[
     return rows.groupBy(*key).agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields])
 
 
-def by_recency(incoming: DataFrame, stored: DataFrame, key: list[str], fields: list[str], received_at: Column) -> DataFrame:
+def by_recency(incoming: DataFrame, stored: DataFrame, key: list[str], fields: list[str], received_at: Column, times: Column | None = None) -> DataFrame:
     """Field by field, what was received later wins, equal times going to the incoming row.
 
-    ``incoming`` has ``provided`` (names of the fields that were really sent); ``stored`` has event_ts and
+    ``incoming`` has ``provided`` (names of the fields that were really sent); ``times`` says when each was received
+    where rows of several batches were folded, else all were at ``received_at``. ``stored`` has event_ts and
     ``sent_at`` (field to time; null for rows from before times were kept, which then count as sent at
     event_ts where they hold anything). Returns the key, the fields, ``sent_at`` and ``from_incoming``."""
     old = stored.select(*key, F.struct(*fields).alias("_old"), F.col("sent_at").alias("_sent"), F.col("event_ts").alias("_version"))
@@ -52,17 +54,18 @@ def by_recency(incoming: DataFrame, stored: DataFrame, key: list[str], fields: l
     out, sent, taken = {}, [], []
     for f in fields:
         mine = F.array_contains("provided", f)
+        came = received_at if times is None else F.coalesce(F.try_element_at(times, F.lit(f)), received_at)
         held = F.col("_old")[f]
         implicit = F.when(holds(held, dict(stored.dtypes)[f]), F.col("_version"))
-        again = F.when(mine, received_at)
+        again = F.when(mine, came)
         at = F.when(F.col("_sent").isNotNull(), F.try_element_at("_sent", F.lit(f))).when(F.col("_version") == received_at, again).otherwise(implicit)
-        new = F.col("_version").isNull() | (mine & (at.isNull() | (received_at >= at)))
+        new = F.col("_version").isNull() | (mine & (at.isNull() | (came >= at)))
         keep = F.coalesce(~new & (at.isNotNull() | held.isNotNull()), F.lit(False))
         out[f] = F.when(keep, held).otherwise(F.col(f))
-        sent.append(F.struct(F.lit(f).alias("key"), F.when(mine & new, received_at).otherwise(at).alias("value")))
+        sent.append(F.struct(F.lit(f).alias("key"), F.when(mine & new, came).otherwise(at).alias("value")))
         taken.append(F.when(~keep, F.lit(f)))
-    times = F.map_from_entries(F.filter(F.array(*sent), lambda e: e["value"].isNotNull()))
-    return joined.select(*key, *[v.alias(k) for k, v in out.items()], times.alias("sent_at"), F.array_compact(F.array(*taken)).alias("from_incoming"), F.col("_old").alias("stored"))
+    kept = F.map_from_entries(F.filter(F.array(*sent), lambda e: e["value"].isNotNull()))
+    return joined.select(*key, *[v.alias(k) for k, v in out.items()], kept.alias("sent_at"), F.array_compact(F.array(*taken)).alias("from_incoming"), F.col("_old").alias("stored"))
 
 
 def holds(value: Column, kind: str) -> Column:

@@ -1,18 +1,23 @@
 """Micro-batch ingest: landed batches become versions of traces, observations and scores.
 
 Every file is read at least once. A row's version is its batch's receive time, so that a replay writes the
-same versions again and reading sees them once. Writes go in this order: references as pending, rows,
-deletions of moved rows, the feed, references as applied. A failure in between leaves the references
-pending, which hides the traces from feeds until the batch is replayed.
+same versions again and reading sees them once. Whole rows replace what is stored, unless that is newer. Rows of
+a compatible client hold only what it sent: they are merged with the stored row field by field, and the time
+that each field was received is kept beside it. Writes go in this order: references as pending, rows with the
+deletions of moved rows, the feeds, references as applied, times of fields. A failure in between leaves the
+references pending, which hides the traces from feeds until the batch is replayed.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import pricing
-from spanloom.operators import refs, versions
+from spanloom.operators import moved, refs, versions
 from spanloom.schemas import INGEST_BATCH, RECORD, SORT_TIME, TABLES, require_utc, struct_of
 from spanloom.sources import compat, native, otlp, raw
 
@@ -27,9 +32,24 @@ class Store:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def _there(self, name: str) -> bool:
+    def _path(self, name: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.at(name))
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _there(self, name: str) -> bool:
+        at, files = self._path(name)
+        return files.exists(at)
+
+    def staged(self, df: DataFrame, batch: str) -> DataFrame:
+        """The rows as a table of the batch's own: events are parsed once, plans stay short, and what a lost
+        executor did isn't done again."""
+        at = self.at(f"{batch}/{uuid.uuid4().hex}")
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def forget(self, batch: str) -> None:
+        at, files = self._path(batch)
+        files.delete(at, True)
 
     def read(self, name: str, ddl: str | None = None) -> DataFrame:
         ddl = ddl or TABLES[name]
@@ -38,69 +58,154 @@ class Store:
 
 REFS = "project_id string, trace_id string, object_key string, received_at timestamp, event_ts timestamp, applied tinyint"
 FEED = "project_id string, trace_id string, activity_id string, version timestamp, published_at timestamp"
+SCORE_FEED = "project_id string, trace_id string, published_at timestamp"
+FIELD_TIMES = "kind string, project_id string, trace_id string, id string, sent_at map<string,timestamp>, event_ts timestamp, seq bigint"
 FAILED = "project_id string, batch_id string, object_key string, event_id string, source string, stage string, message string, created_at timestamp"
 
 
+BATCH = ["project_id", "batch_id"]
+EVENT = [*BATCH, "ordinal"]
+
+
 def mapped(events: DataFrame) -> dict[str, DataFrame]:
-    """Rows of all sources by table; ``received_at`` is their version and ``ordinal`` their order."""
+    """Rows of all sources by table; ``event_ts`` is their version and ``seq`` their order. Nothing stored is looked at."""
     spans, requests = otlp.spans(events), compat.events(events)
-    order = lambda df, part: df.withColumn("seq", part.cast("long"))
-    own = lambda df: order(df, F.col("ordinal"))
-    traces = [own(native.traces(events)), order(otlp.traces(spans), F.lit(0)), own(compat.fold_requests(compat.traces(requests), ["project_id", "id"]).withColumn("ordinal", F.lit(0)))]
-    observations = [own(native.observations(events)), order(otlp.observations(spans).drop("place"), F.lit(0)), own(compat.fold_requests(compat.observations(requests), ["project_id", "trace_id", "id"]).withColumn("ordinal", F.lit(0)))]
-    scores = [own(native.scores(events)), own(compat.scores(requests))]
-    return {"traces": _union(traces, "traces"), "observations": _union(observations, "observations"), "scores": _union(scores, "scores")}
+    rows = {k: v.drop("batch_id") for k, v in whole_rows(events, spans, requests).items()}
+    for kind, df in partial_rows(requests).items():
+        rows[kind] = rows[kind].unionByName(_shaped(folded(df, kind).withColumn("seq", F.lit(0)), kind))
+    return rows
+
+
+def whole_rows(events: DataFrame, spans: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
+    """Rows that replace what is stored, with their batch_id. Of a span that comes twice the last counts."""
+    order = lambda df, by: df.withColumn("seq", F.col(by).cast("long"))
+    newest = W.partitionBy("project_id", "trace_id", "id").orderBy(F.desc("received_at"), F.desc("place"))
+    observed = otlp.observations(spans).withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+    parts = {
+        "traces": [order(native.traces(events), "ordinal"), otlp.traces(spans).withColumn("seq", F.lit(0))],
+        "observations": [order(native.observations(events), "ordinal"), order(observed, "place.ordinal")],
+        "scores": [order(native.scores(events), "ordinal"), order(compat.scores(requests), "ordinal")],
+    }
+    return {k: _shaped(a, k, "batch_id").unionByName(_shaped(b, k, "batch_id")) for k, (a, b) in parts.items()}
+
+
+def partial_rows(requests: DataFrame) -> dict[str, DataFrame]:
+    """Rows a compatible client sent parts of, one a record and request."""
+    return {"traces": compat.traces(requests), "observations": compat.observations(requests)}
 
 
-def _union(parts: list[DataFrame], kind: str) -> DataFrame:
+def folded(rows: DataFrame, kind: str) -> DataFrame:
+    """One row a record, in the order of receipt, with ``times``: when each sent field was last received."""
+    key = _key(kind)
+    sent = rows.select(*key, "received_at", F.explode("provided").alias("field")).groupBy(*key, "field").agg(F.max("received_at").alias("at"))
+    times = sent.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("field", "at"))).alias("times"))  # an entry a column
+    ordered = rows.withColumn("ordinal", F.struct("received_at", "batch_id", "ordinal"))
+    return compat.fold_requests(ordered, key).join(times, key, "left")
+
+
+def _key(kind: str) -> list[str]:
+    return ["project_id", *RECORD[kind]]
+
+
+def _shaped(rows: DataFrame, kind: str, *more: str) -> DataFrame:
     fields = [f for f in struct_of(TABLES[kind]) if f.name not in ("event_ts", "is_deleted")]
-    shaped = [p.select(*[(F.col(f.name).cast(f.dataType) if f.name in p.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields], F.col("received_at").alias("event_ts"), F.lit(False).alias("is_deleted")) for p in parts]
-    out = shaped[0]
-    for s in shaped[1:]:
-        out = out.unionByName(s)
-    return out
+    own = [(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields]
+    return rows.select(*own, F.col("received_at").alias("event_ts"), F.lit(False).alias("is_deleted"), *more)
+
+
+def merged_rows(store: Store, kind: str, rows: DataFrame) -> DataFrame:
+    """Rows of ``folded`` put together with the newest stored ones, and ``sent_at``, the times of their fields.
+
+    A row received before the stored version takes that version, and the next ``seq`` of it."""
+    key = _key(kind)
+    fields = [f.name for f in struct_of(TABLES[kind]) if f.name not in (*key, "event_ts", "is_deleted", "seq")]
+    mine = _shaped(rows.withColumn("seq", F.lit(0)), kind, "received_at", "provided", "times")
+    asked = mine.select(*key)
+    recorded = store.read("field_times", FIELD_TIMES).where(F.col("kind") == kind[:-1]).join(asked, key, "left_semi")
+    times = recorded.groupBy(*key).agg(F.max_by("sent_at", F.struct("event_ts", "seq")).alias("sent_at"))
+    stored = versions.of_ids(store.read(kind), asked, kind).join(times, key, "left")
+    made = moved.by_recency(mine, stored, key, fields, F.col("received_at"), F.col("times"))
+    held = stored.select(*key, F.col("event_ts").alias("_version"), F.col("seq").alias("_seq"))
+    made = made.join(mine.select(*key, "received_at", "provided"), key).join(held, key, "left")
+    if kind == "observations":
+        made = moved.consistent_cost(made)
+    late = F.coalesce(F.col("_version") >= F.col("received_at"), F.lit(False))
+    made = made.withColumns({"event_ts": F.greatest("received_at", "_version"), "seq": F.when(late, F.coalesce("_seq", F.lit(0)) + 1).otherwise(0), "is_deleted": F.lit(False)})
+    return made.select(*struct_of(TABLES[kind]).names, "sent_at")
 
 
 def _records(rows: DataFrame, kind: str) -> DataFrame:
-    trace = F.lit("") if kind == "traces" else F.col("trace_id")
-    return rows.select(F.lit(kind[:-1]).alias("kind"), "project_id", trace.alias("trace_id"), "id", F.col(SORT_TIME[kind]).alias("sort_time"), F.col("seq").alias("ordinal"), "event_ts")
+    """``rows`` with the columns of ``moved.RECORD_KEY`` and sort_time."""
+    rows = rows.withColumn("trace_id", F.lit("")) if kind == "traces" else rows
+    return rows.withColumns({"kind": F.lit(kind[:-1]), "sort_time": F.col(SORT_TIME[kind])})
+
+
+def settled_rows(store: Store, kind: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to write, tombstones): late rows of whole records aren't written, rows left on other days go."""
+    mine = _records(rows, kind).withColumn("ordinal", F.struct("event_ts", "seq"))
+    live = versions.latest(store.read(kind).join(rows.select(*_key(kind)), _key(kind), "left_semi"), kind)
+    written, gone = moved.resolve(mine, _records(live, kind))
+    names = struct_of(TABLES[kind]).names
+    return written.select(*names), versions.tombstones(gone, F.col("_at")).withColumn("seq", F.lit(1 << 40)).select(*names)
+
+
+def bad_exports(spans: DataFrame) -> DataFrame:
+    """(project_id, batch_id, ordinal) of exports that fail for the times of a span."""
+    return otlp.unmapped(spans).select(*BATCH, F.col("place.ordinal").alias("ordinal")).distinct()
+
+
+def failures(events: DataFrame, bad: DataFrame, requests: DataFrame) -> DataFrame:
+    """Dead letters of all sources: native events, whole exports, single events of compatible requests."""
+    sent = events.select(*EVENT, "object_key", F.col("id").alias("event"), "source")
+    shape = [*BATCH, "object_key", "event_id", "source", "message"]
+    exports = sent.join(bad, EVENT).withColumns({"event_id": F.col("event"), "message": F.lit("a span's times are no unsigned nanoseconds")}).select(*shape)
+    refused = sent.join(compat.responses(requests).where("status = 400").select(*EVENT, "event_id", "message"), EVENT).select(*shape)
+    return raw.dead_letters(native.errors(events).unionByName(exports).unionByName(refused), None).withColumn("created_at", F.current_timestamp())
+
+
+def _touched(whole: dict[str, DataFrame], spans: DataFrame, parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(project_id, batch_id, trace_id) that rows concern, and those that only scores do; late rows count too."""
+    of = lambda df, trace: df.select(*BATCH, F.col(trace).alias("trace_id"))
+    rows = of(whole["traces"], "id").unionByName(of(whole["observations"], "trace_id")).unionByName(of(spans, "span.traceId"))
+    rows = rows.unionByName(of(parts["traces"], "id")).unionByName(of(parts["observations"], "trace_id")).distinct()
+    return rows, of(whole["scores"], "trace_id").distinct().join(rows, [*BATCH, "trace_id"], "left_anti")
 
 
 def write_batch(store: Store, batches: DataFrame, prices: DataFrame | None = None, overrides: DataFrame | None = None) -> None:
     """Maps and writes one micro-batch of batch files."""
-    events = raw.events(batches).persist()
-    rows = {k: v.persist() for k, v in mapped(events).items()}
-    if prices is not None:
-        rows["observations"] = pricing.enrich(rows["observations"], overrides, prices)
-    touched = rows["traces"].select("project_id", F.col("id").alias("trace_id"), "event_ts").unionByName(rows["observations"].select("project_id", "trace_id", "event_ts"))
-    keys = events.select("project_id", "object_key", F.col("received_at").alias("event_ts")).distinct()
-    links = touched.unionByName(rows["scores"].select("project_id", "trace_id", "event_ts")).distinct().join(keys, ["project_id", "event_ts"]).withColumn("received_at", F.col("event_ts"))
-    pending = refs.new_refs(links, refs.PENDING).select("project_id", "trace_id", "object_key", "received_at", "event_ts", "applied").persist()
-    pending.write.mode("append").parquet(store.at("raw_event_refs"))
-    for kind, df in rows.items():
-        stored = store.read(kind)
-        mine = _records(df, kind)
-        asked = mine.select("project_id", "trace_id", "id").distinct()
-        key = ["project_id", "id"] if kind == "traces" else ["project_id", *RECORD[kind]]
-        live = versions.latest(stored.join(asked.select(*key).distinct(), key, "left_semi"), kind)
-        # a record's version in this batch is its own; rows on other days that aren't newer go
-        old = live.select(*key, F.col(SORT_TIME[kind]).alias("_old"), F.col("event_ts").alias("_version"))
-        new = mine.select(*key, "sort_time", F.col("event_ts").alias("_now")).groupBy(*key).agg(F.max_by("sort_time", "_now").alias("sort_time"), F.max("_now").alias("_now"))
-        gone = old.join(new, key).where((F.to_date("_old") != F.to_date("sort_time")) & (F.col("_version") <= F.col("_now"))).select(*key, F.col("_old").alias(SORT_TIME[kind]), F.col("_now"))
-        dead = live.join(gone, [*key, SORT_TIME[kind]])
-        deletions = versions.tombstones(dead, F.col("_now")).drop("_now").withColumn("seq", F.lit(1 << 40)).persist()
-        deletions.count()  # read before the table grows
-        versions.append(df, store.at(kind), kind)
-        versions.append(deletions, store.at(kind), kind)
-        deletions.unpersist()
-    activity = touched.groupBy("project_id", "trace_id").agg(F.max("event_ts").alias("version"))
+    batch = f"_staged/{uuid.uuid4().hex}"
+    staged = lambda df: store.staged(df, batch)
+    events = staged(raw.events(batches))
+    requests, all_spans = staged(compat.events(events)), staged(otlp.spans(events))
+    bad = staged(bad_exports(all_spans))
+    spans = all_spans.withColumn("ordinal", F.col("place.ordinal")).join(bad, EVENT, "left_anti").drop("ordinal")
+    whole = {k: staged(v) for k, v in whole_rows(events, spans, requests).items()}
+    parts = {k: staged(v) for k, v in partial_rows(requests).items()}
+    touched, scored = _touched(whole, spans, parts)
+    keys = events.select(*BATCH, "object_key", "received_at", F.col("received_at").alias("event_ts")).distinct()
+    links = staged(touched.join(keys, BATCH))
+    scored = staged(scored.join(keys, BATCH))
+    columns = ["project_id", "trace_id", "object_key", "received_at", "event_ts", "applied"]
+    refs.new_refs(links, refs.PENDING).select(*columns).unionByName(refs.new_refs(scored, refs.APPLIED).select(*columns)).write.mode("append").parquet(store.at("raw_event_refs"))
+    times = []
+    for kind, df in whole.items():
+        rows = df.drop("batch_id")
+        if kind in parts:
+            made = staged(merged_rows(store, kind, staged(folded(parts[kind], kind))))
+            times.append(_records(made, kind).select(*struct_of(FIELD_TIMES).names))
+            rows = rows.unionByName(made.drop("sent_at"))
+        written, gone = settled_rows(store, kind, rows)
+        if kind == "observations" and prices is not None:
+            written = pricing.enrich(written, overrides, prices)
+        versions.append(written.unionByName(gone), store.at(kind), kind)
+    scored.select("project_id", "trace_id", F.col("received_at").alias("published_at")).distinct().write.mode("append").parquet(store.at("score_feed"))
+    activity = links.groupBy("project_id", "trace_id").agg(F.max("event_ts").alias("version"))
     feed = activity.select("project_id", "trace_id", F.date_format("version", "yyyyMMddHHmmssSSSSSS").alias("activity_id"), "version", F.col("version").alias("published_at"))
     feed.write.mode("append").parquet(store.at("trace_feed"))
-    failed = raw.dead_letters(native.errors(events), None).withColumn("created_at", F.current_timestamp())
-    failed.write.mode("append").parquet(store.at("ingest_failures"))
-    pending.withColumn("applied", F.lit(refs.APPLIED).cast("tinyint")).write.mode("append").parquet(store.at("raw_event_refs"))
-    for df in (pending, events, *rows.values()):
-        df.unpersist()
+    failures(events, bad, requests).write.mode("append").parquet(store.at("ingest_failures"))
+    refs.new_refs(links, refs.APPLIED).select(*columns).write.mode("append").parquet(store.at("raw_event_refs"))
+    times[0].unionByName(times[1]).write.mode("append").parquet(store.at("field_times"))
+    store.forget(batch)
 
 
 def start(store: Store, landing: str, checkpoint: str, available_now: bool = True, **prices: DataFrame):

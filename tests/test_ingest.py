@@ -129,6 +129,58 @@ def test_stream_replay_and_moved_rows(spark, tmp_path):
     assert store.read("ingest_failures", ingest.FAILED).select("event_id").distinct().count() == 1
 
 
+def run(spark, store, landing, checkpoint):
+    ingest.start(store, f"{landing}/raw", str(checkpoint)).awaitTermination()
+
+
+def test_updates_meet_rows_of_earlier_batches(spark, tmp_path):
+    landing, store = tmp_path / "land", ingest.Store(spark, str(tmp_path / "store"))
+    live = lambda kind: versions.latest(store.read(kind), kind).collect()
+    started = ("generation-create", {**CREATE[1], "startTime": "2024-05-01T09:00:00Z"})
+    land(landing, "b1", [compat_batch(started)])
+    run(spark, store, landing, tmp_path / "ck")
+    land(landing, "b2", [compat_batch((UPDATE[0], {**UPDATE[1], "traceId": "t1"}))], at="2024-05-01T11:00:00.000Z")
+    run(spark, store, landing, tmp_path / "ck")
+    (o,) = live("observations")
+    assert (o.model, o.input, o.output, o.start_time.hour, o.end_time.minute, o.level, str(o.event_ts)) == ("m", '{"a":1}', '"done"', 9, 40, "warning", "2024-05-01 11:00:00")
+    # received before both, read after both: only what neither says comes in, and the version stays
+    land(landing, "b0", [compat_batch(("generation-update", {"id": "g1", "traceId": "t1", "model": "old", "name": "late"}))], at="2024-05-01T08:00:00.000Z")
+    run(spark, store, landing, tmp_path / "ck")
+    (o,) = live("observations")
+    assert (o.model, o.name, o.output, str(o.event_ts)) == ("m", "late", '"done"', "2024-05-01 11:00:00")
+    run(spark, store, landing, tmp_path / "all")  # everything once more, in one micro-batch
+    assert [(r.model, r.name, r.input, r.output, str(r.event_ts)) for r in live("observations")] == [("m", "late", '{"a":1}', '"done"', "2024-05-01 11:00:00")]
+
+
+def test_creates_after_updates_on_another_day(spark, tmp_path):
+    landing, store = tmp_path / "land", ingest.Store(spark, str(tmp_path / "store"))
+    update = ("generation-update", {"id": "g1", "traceId": "t1", "output": "done"})  # has no start: the event's time stands in
+    land(landing, "b2", [compat_batch(update)], at="2024-05-03T11:00:00.000Z")
+    run(spark, store, landing, tmp_path / "ck")
+    land(landing, "b1", [compat_batch(("generation-create", {**CREATE[1], "startTime": "2024-04-30T09:00:00Z"}))])
+    run(spark, store, landing, tmp_path / "ck")
+    (o,) = versions.latest(store.read("observations"), "observations").collect()
+    assert (o.model, o.output, o.start_time.day, str(o.event_ts)) == ("m", '"done"', 30, "2024-05-03 11:00:00")
+
+
+def test_late_rows_failures_and_score_feed(spark, tmp_path):
+    landing, store = tmp_path / "land", ingest.Store(spark, str(tmp_path / "store"))
+    trace = lambda day, name: event(1, "trace-upsert", "native", {"id": "t9", "timestamp": f"2024-05-0{day}T09:00:00Z", "name": name})
+    land(landing, "b1", [trace(3, "new")], at="2024-05-03T12:00:00.000Z")
+    run(spark, store, landing, tmp_path / "ck")
+    broken = {"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "x", "spanId": "a", "name": "n", "startTimeUnixNano": "soon"}, {"traceId": "x", "spanId": "b", "name": "n", "startTimeUnixNano": "1714554000500000000"}]}]}]}
+    score = event(4, "score-upsert", "native", {"id": "s1", "traceId": "t9", "name": "good", "source": "api", "value": 1})
+    land(landing, "b2", [trace(1, "late"), event(2, "otlp-export", "otlp", broken), {**compat_batch(("what", {})), "id": "e3"}], at="2024-05-03T10:00:00.000Z")
+    land(landing, "b3", [score], at="2024-05-03T10:00:00.000Z")  # the same time, another batch
+    run(spark, store, landing, tmp_path / "ck")
+    assert [(r.name, r.timestamp.day) for r in versions.latest(store.read("traces"), "traces").collect()] == [("new", 3)]
+    assert store.read("observations").count() == 0
+    assert {(r.event_id, r.source) for r in store.read("ingest_failures", ingest.FAILED).collect()} == {("e2", "otlp"), ("x0", "langfuse")}
+    assert [(r.trace_id, str(r.published_at)) for r in store.read("score_feed", ingest.SCORE_FEED).collect()] == [("t9", "2024-05-03 10:00:00")]
+    linked = {(r.trace_id, r.object_key.rsplit("/", 1)[1]) for r in store.read("raw_event_refs", ingest.REFS).collect()}
+    assert linked == {("t9", "b1.json"), ("t9", "b2.json"), ("t9", "b3.json")} and ingest.unfinished(store).count() == 0
+
+
 def test_json_lines_map_back(spark, tmp_path):
     land(tmp_path, "b1", NATIVE[:3])
     rows = ingest.mapped(raw.events(read(spark, tmp_path)))
