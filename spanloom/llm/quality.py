@@ -20,12 +20,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from spanloom.llm.common import durable, joined_bytes, pieces, table, unused
+from spanloom.llm.common import durable, forget, joined_bytes, pieces, table, unused
 
 ORDER = 5
 #: A language's limit is this quantile of the log perplexity of its held-back trusted documents: one trusted
@@ -116,7 +117,8 @@ def discounts(level: DataFrame) -> DataFrame:
 
 def answers(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, logp) for the asked (lang, gram) of languages that have trusted text: log probabilities of
-    the last byte after the others, in the precision of 32 bits."""
+    the last byte after the others, in the precision of 32 bits. Each length is written before the next asks
+    for it: five short plans instead of one long one, which the driver would hold and plan again whole."""
     tables = levels(counts, order)
     cut = durable(reduce(DataFrame.unionByName, [discounts(t).withColumn("n", F.lit(n)) for n, t in enumerate(tables, 1)]))
     asked = durable(asked.join(tables[0].select("lang").distinct(), "lang", "left_semi"))
@@ -133,7 +135,10 @@ def answers(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFram
             wanted = wanted.join(p, ["lang", "tail"])
         wanted = wanted.join(contexts, ["lang", "context"], "left").join(cutted.select("lang", "gram", (F.col("c") - F.col("d")).alias("seen")), ["lang", "gram"], "left")
         told = (F.coalesce("seen", F.lit(0.0)) + F.col("left") * F.col("lower")) / F.col("total")
-        p = wanted.select("lang", F.col("gram").alias("tail"), F.coalesce(told, "lower").alias("lower"))
+        found, before = wanted.select("lang", F.col("gram").alias("tail"), F.coalesce(told, "lower").alias("lower")), p
+        p = durable(found) if n < order else found
+        if before is not None and n < order:
+            forget(before)
     return p.select("lang", F.col("tail").alias("gram"), F.log("lower").cast("float").alias("logp"))
 
 
@@ -145,17 +150,23 @@ def _per_document(raw: np.ndarray, bounds: np.ndarray, keys: np.ndarray, logp: n
     return np.where(size > 0, -(total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(size, 1), np.nan)
 
 
-def scored(docs: DataFrame, table_: DataFrame, lang: str = "model_lang", out: str = "log_ppl") -> DataFrame:
+def small(table_: DataFrame) -> Broadcast | None:
+    """The answers by language for every task, if there are few; else None."""
+    if table_.count() > BROADCAST_GRAMS:
+        return None
+    rows = table_.select("lang", "gram", "logp").toArrow()
+    model = {}
+    for name in rows.column("lang").unique().to_pylist():
+        own = rows.filter(pa.compute.equal(rows.column("lang"), name)).sort_by("gram")
+        model[name] = tuple(own.column(c).to_numpy() for c in ("gram", "logp"))
+    return table_.sparkSession.sparkContext.broadcast(model)
+
+
+def scored(docs: DataFrame, table_: DataFrame, shipped: Broadcast | None, lang: str = "model_lang", out: str = "log_ppl") -> DataFrame:
     """``docs`` with ``out``, the mean negative log probability of a byte; null where the text is empty or
-    its language has no model. Needs ``lang`` without nulls; ``out`` must be no column yet."""
-    spark = docs.sparkSession
-    if table_.count() <= BROADCAST_GRAMS:
-        rows = table_.select("lang", "gram", "logp").toArrow()
-        model = {}
-        for name in rows.column("lang").unique().to_pylist():
-            own = rows.filter(pa.compute.equal(rows.column("lang"), name)).sort_by("gram")
-            model[name] = tuple(own.column(c).to_numpy() for c in ("gram", "logp"))
-        shipped = spark.sparkContext.broadcast(model)
+    its language has no model. ``shipped`` is ``small(table_)``. Needs ``lang`` without nulls; ``out`` must be
+    no column yet."""
+    if shipped is not None:
         at = docs.columns.index(lang)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,15 +216,16 @@ def verdicts(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     counts = durable(gram_counts(trusted.where("not held_back").select(F.col("model_lang").alias("lang"), "text")))
     asked = gram_counts(docs.select(F.col(lang).alias("lang"), "text")).select("lang", "gram")
     table_ = durable(answers(counts, asked))
+    shipped = small(table_)
     short = SHORT / F.sqrt(F.greatest(F.octet_length("text"), F.lit(1)))
-    bins = scored(trusted.select("model_lang", "held_back", "text"), table_).where("log_ppl is not null")
+    bins = scored(trusted.select("model_lang", "held_back", "text"), table_, shipped).where("log_ppl is not null")
     bins = durable(bins.groupBy("model_lang", "held_back", F.ceil(F.col("log_ppl") / STEP).alias("bin")).agg(F.count("*").alias("n")))
     upto = W.partitionBy("model_lang").orderBy("bin")
     whole = W.partitionBy("model_lang")
     bins = bins.withColumn("any", F.max("held_back").over(whole)).where("held_back = any")  # all, where none is held back
     ranked = bins.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(whole))
     limits = ranked.groupBy(F.col("model_lang").alias(lang)).agg((F.min(F.when(F.col("share") >= quantile, F.col("bin"))) * STEP).alias(limit))
-    out = scored(docs, table_, lang, ppl).join(durable(limits), lang, "left")
+    out = scored(docs, table_, shipped, lang, ppl).join(durable(limits), lang, "left")
     threshold = F.col(limit) + short
     keep = (F.coalesce(F.octet_length("text"), F.lit(0)) > 0) & F.coalesce(F.col(ppl) <= threshold, F.lit(True))
     return out, F.col(ppl), threshold, keep
