@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat, decontaminate, html, infill, langid, mixing, pii, quality, search, simhash, suffix_dedup
+from spanloom.llm import chat, decontaminate, html, infill, langid, mixing, negatives, pii, quality, search, simhash, suffix_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_pii_spans": pii.op9_pii_spans,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_fill_in_middle": infill.op12_fill_in_middle,
 }
 
 ORACLE = {
     "op2_bm25_search": search.OP2_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
     "op12_fill_in_middle": infill.OP12_SQL,
 }
