@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import chat, decontaminate, html, infill, langid, mixing, negatives, pii, quality, search, simhash, suffix_dedup
+from spanloom.llm import chat, decontaminate, html, infill, langid, licenses, mixing, negatives, pii, quality, search, simhash, suffix_dedup
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_fill_in_middle": infill.op12_fill_in_middle,
+    "op13_license_scan": licenses.op13_license_scan,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op8_mix_sources": mixing.OP8_SQL,
     "op11_hard_negatives": negatives.OP11_SQL,
     "op12_fill_in_middle": infill.OP12_SQL,
+    "op13_license_scan": licenses.OP13_SQL,
 }
