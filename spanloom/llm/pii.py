@@ -87,20 +87,36 @@ AGAINST = frozenset("version page isbn issn order invoice item figure table sect
 ENDINGS = frozenset("com net org edu gov info io de fr es eu uk co us ch at it nl be".split())
 TITLES = frozenset("mr mrs ms dr prof herr frau señor señora sr sra monsieur madame mme".split())
 
-_SPELLED = re.compile(
-    r"(?<![\w.])[A-Za-z0-9][A-Za-z0-9._+-]*+\s?(?:\(at\)|\[at\]|\{at\}|\bat\b)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\bdot\b)\s?[A-Za-z]{2,20})+(?!\w)", re.I
-)
+_SPELLED = re.compile(r"\s?(?:\(at\)|\[at\]|\{at\}|\bat\b)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\bdot\b)\s?[A-Za-z]{2,20})+(?!\w)", re.I)
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+-")
 _NUMBER = re.compile(r"(?<![\w.,$€£+-])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{2,6}(?:[ .-][0-9]{2,6}){0,2}(?![\w,%]|[.-][0-9])")
 _SECRET = re.compile(r"(?i)\b(?:api[_-]?key|token|secret|passw(?:or)?d|pwd)\b\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.~-]{12,}+)[\"']?")
 _NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame|Mme)\.?\s([A-ZÀ-Ý][\w'-]{1,30}(?:\s[A-ZÀ-Ý][\w'-]{1,30})?)")
 _WORD = re.compile(r"[^\W_]+(?:[-_][^\W_]+)*")
 
 
+def spelled_addresses(text: str) -> list[tuple[str, int, int]]:
+    """Addresses with "at" and "dot" in words. The sign is looked for first and the name read leftwards from it: a run
+    of names without a sign costs nothing, and no name is read twice, as what follows its sign ends before the next."""
+    out, done = [], 0
+    for m in _SPELLED.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        if start == done or not (text[start - 1].isalnum() or text[start - 1] == "_"):
+            while start < m.start() and text[start] in "._+-":  # names begin with a letter or a digit
+                start += 1
+            if start < m.start() and not (start and text[start - 1] in "._"):
+                out.append(("email", start, m.end()))
+                done = m.end()
+    return out
+
+
 def proposals(text: str) -> list[tuple[str, int, int]]:
     out = []
     low = text.lower()
     if "dot" in low:
-        out += [("email", m.start(), m.end()) for m in _SPELLED.finditer(text)]
+        out += spelled_addresses(text)
     if _DIGIT.search(text):
         out += [("phone", m.start(), m.end()) for m in _NUMBER.finditer(text)]
     if any(x in low for x in ("token", "secret", "key", "passw", "pwd")):
