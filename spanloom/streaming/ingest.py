@@ -3,9 +3,13 @@
 Every file is read at least once. A row's version is its batch's receive time, so that a replay writes the
 same versions again and reading sees them once. Whole rows replace what is stored, unless that is newer. Rows of
 a compatible client hold only what it sent: they are merged with the stored row field by field, and the time
-that each field was received is kept beside it. Writes go in this order: references as pending, rows with the
-deletions of moved rows, the feeds, references as applied, times of fields. A failure in between leaves the
-references pending, which hides the traces from feeds until the batch is replayed.
+that each field was received is kept beside it; a whole row of the same micro-batch counts as stored. Writes go in
+this order: references as pending, rows with the deletions of moved rows, the registry of environments, the feeds,
+references as applied, times of fields. A failure in between leaves the references pending, which hides the traces
+from feeds until the batch is replayed.
+
+A batch is published when its rows are written, at a time of its project that is later than all before: a batch that
+was received early and written late comes after the cursor of who has read the feed meanwhile.
 """
 
 from __future__ import annotations
@@ -17,49 +21,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions import pricing
-from spanloom.operators import moved, refs, versions
-from spanloom.schemas import INGEST_BATCH, RECORD, SORT_TIME, TABLES, require_utc, struct_of
+from spanloom.operators import environments, moved, refs, settlement, versions
+from spanloom.schemas import INGEST_BATCH, RECORD, SORT_TIME, TABLES, struct_of
 from spanloom.sources import compat, native, otlp, raw
-
-
-class Store:
-    """The tables under one folder. ``read`` gives an empty table where nothing was written."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        require_utc(spark)
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def at(self, name: str) -> str:
-        return f"{self.path}/{name}"
-
-    def _path(self, name: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.at(name))
-        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _there(self, name: str) -> bool:
-        at, files = self._path(name)
-        return files.exists(at)
-
-    def staged(self, df: DataFrame, batch: str) -> DataFrame:
-        """The rows as a table of the batch's own: events are parsed once, plans stay short, and what a lost
-        executor did isn't done again."""
-        at = self.at(f"{batch}/{uuid.uuid4().hex}")
-        df.write.parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def forget(self, batch: str) -> None:
-        at, files = self._path(batch)
-        files.delete(at, True)
-
-    def read(self, name: str, ddl: str | None = None) -> DataFrame:
-        ddl = ddl or TABLES[name]
-        return self.spark.read.schema(ddl).parquet(self.at(name)) if self._there(name) else self.spark.createDataFrame([], struct_of(ddl))
+from spanloom.streaming.ledger import Ledger
+from spanloom.streaming.store import FIELD_TIMES, Store, trace_of
 
 
 REFS = "project_id string, trace_id string, object_key string, received_at timestamp, event_ts timestamp, applied tinyint"
-FEED = "project_id string, trace_id string, activity_id string, version timestamp, published_at timestamp"
 SCORE_FEED = "project_id string, trace_id string, published_at timestamp"
-FIELD_TIMES = "kind string, project_id string, trace_id string, id string, sent_at map<string,timestamp>, event_ts timestamp, seq bigint"
+CLOCK = "project_id string, published_at timestamp"
+ENVIRONMENTS = "project_id string, name string, first_seen_at timestamp, last_seen_at timestamp, hidden boolean"
 FAILED = "project_id string, batch_id string, object_key string, event_id string, source string, stage string, message string, created_at timestamp"
 
 
@@ -113,17 +85,25 @@ def _shaped(rows: DataFrame, kind: str, *more: str) -> DataFrame:
     return rows.select(*own, F.col("received_at").alias("event_ts"), F.lit(False).alias("is_deleted"), *more)
 
 
-def merged_rows(store: Store, kind: str, rows: DataFrame) -> DataFrame:
-    """Rows of ``folded`` put together with the newest stored ones, and ``sent_at``, the times of their fields.
+def _traces_of(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.select("project_id", trace_of(kind).alias("trace_id")).distinct()
+
+
+def merged_rows(store: Store, kind: str, rows: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Rows of ``folded`` put together with the newest stored ones (``whole`` rows of the same micro-batch among
+    them), and ``sent_at``, the times of their fields.
 
     A row received before the stored version takes that version, and the next ``seq`` of it."""
     key = _key(kind)
     fields = [f.name for f in struct_of(TABLES[kind]) if f.name not in (*key, "event_ts", "is_deleted", "seq")]
     mine = _shaped(rows.withColumn("seq", F.lit(0)), kind, "received_at", "provided", "times")
     asked = mine.select(*key)
-    recorded = store.read("field_times", FIELD_TIMES).where(F.col("kind") == kind[:-1]).join(asked, key, "left_semi")
+    traces = _traces_of(mine, kind)
+    recorded = _of_kind(store.of_traces("field_times", traces), kind).join(asked, key, "left_semi")
     times = recorded.groupBy(*key).agg(F.max_by("sent_at", F.struct("event_ts", "seq")).alias("sent_at"))
-    stored = versions.of_ids(store.read(kind), asked, kind).join(times, key, "left")
+    kept = store.of_traces(kind, traces)
+    kept = kept if whole is None else kept.unionByName(whole.select(*kept.columns))
+    stored = versions.of_ids(kept, asked, kind).join(times, key, "left")
     made = moved.by_recency(mine, stored, key, fields, F.col("received_at"), F.col("times"))
     held = stored.select(*key, F.col("event_ts").alias("_version"), F.col("seq").alias("_seq"))
     made = made.join(mine.select(*key, "received_at", "provided"), key).join(held, key, "left")
@@ -134,6 +114,10 @@ def merged_rows(store: Store, kind: str, rows: DataFrame) -> DataFrame:
     return made.select(*struct_of(TABLES[kind]).names, "sent_at")
 
 
+def _of_kind(times: DataFrame, kind: str) -> DataFrame:
+    return times.where(F.col("kind") == kind[:-1])
+
+
 def _records(rows: DataFrame, kind: str) -> DataFrame:
     """``rows`` with the columns of ``moved.RECORD_KEY`` and sort_time."""
     rows = rows.withColumn("trace_id", F.lit("")) if kind == "traces" else rows
@@ -143,7 +127,7 @@ def _records(rows: DataFrame, kind: str) -> DataFrame:
 def settled_rows(store: Store, kind: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows to write, tombstones): late rows of whole records aren't written, rows left on other days go."""
     mine = _records(rows, kind).withColumn("ordinal", F.struct("event_ts", "seq"))
-    live = versions.latest(store.read(kind).join(rows.select(*_key(kind)), _key(kind), "left_semi"), kind)
+    live = versions.latest(store.of_traces(kind, _traces_of(rows, kind)).join(rows.select(*_key(kind)), _key(kind), "left_semi"), kind)
     written, gone = moved.resolve(mine, _records(live, kind))
     names = struct_of(TABLES[kind]).names
     return written.select(*names), versions.tombstones(gone, F.col("_at")).withColumn("seq", F.lit(1 << 40)).select(*names)
@@ -171,9 +155,78 @@ def _touched(whole: dict[str, DataFrame], spans: DataFrame, parts: dict[str, Dat
     return rows, of(whole["scores"], "trace_id").distinct().join(rows, [*BATCH, "trace_id"], "left_anti")
 
 
+def published(store: Store, links: DataFrame, scored: DataFrame) -> None:
+    """Adds a micro-batch's activities to both feeds. The batches of a project get rising times, the later of now and
+    a microsecond after the project's last; the clock moves before the feeds are written, so that no time is given
+    twice. An activity that the trace feed has stays where it is; scores that are written again are sent again."""
+    feed = links.groupBy("project_id", "trace_id", F.col("batch_id").alias("activity_id")).agg(F.max("event_ts").alias("version"))
+    held = store.of_traces("trace_feed", links.select("project_id", "trace_id"))
+    feed = feed.join(held, ["project_id", "trace_id", "activity_id"], "left_anti")
+    clock = Ledger(store.spark, store.at("feed_clock"), CLOCK)
+    received = lambda df: df.groupBy("project_id", "batch_id").agg(F.min("received_at").alias("at"))
+    fresh = feed.select("project_id", F.col("activity_id").alias("batch_id")).distinct()
+    batches = received(links).join(fresh, BATCH, "left_semi").withColumn("feed", F.lit(0)).unionByName(received(scored).withColumn("feed", F.lit(1)))
+    batches = batches.select("project_id", "batch_id", F.col("feed").cast("string").alias("trace_id"), F.struct("at", "batch_id", "feed").alias("activity_id"), F.current_timestamp().alias("received_at"))
+    given: list[DataFrame] = []
+
+    def tick(last: DataFrame) -> DataFrame:
+        known = last.select("project_id", F.col("published_at").alias("last"))
+        ticks = settlement.publication_clock(batches.join(known, "project_id", "left"), F.col("last")).select("project_id", "batch_id", F.col("trace_id").cast("int").alias("feed"), "published_at")
+        given[:] = [store.spark.createDataFrame(ticks.toArrow())]  # a row a batch file of the micro-batch
+        return last.unionByName(given[0].select("project_id", "published_at")).groupBy("project_id").agg(F.max("published_at").alias("published_at"))
+
+    clock.update(tick)
+    times = given[0]
+    at = times.where("feed = 0").select("project_id", F.col("batch_id").alias("activity_id"), "published_at")
+    rows = feed.join(F.broadcast(at), ["project_id", "activity_id"])
+    store.append("trace_feed", rows)
+    sent = scored.select(*BATCH, "trace_id").join(F.broadcast(times.where("feed = 1")), BATCH)
+    sent.groupBy("project_id", "trace_id").agg(F.max("published_at").alias("published_at")).write.mode("append").parquet(store.at("score_feed"))
+    clock.forget()
+
+
+def registry(store: Store) -> Ledger:
+    """The environments that each project's traces name, at most ``environments.CAPACITY`` a project."""
+    return Ledger(store.spark, store.at("environments"), ENVIRONMENTS)
+
+
+def observed(store: Store, traces: DataFrame) -> None:
+    """Adds the environments of written traces to the registry; a commit notes how many names found no room."""
+    seen = environments.statistics(traces.where("not is_deleted"))
+    if not seen.head(1):
+        return
+
+    def change(known: DataFrame) -> tuple[DataFrame, dict]:
+        after = environments.admitted(known, seen)
+        return after, {"refused": seen.join(after, ["project_id", "name"], "left_anti").count()}
+
+    book = registry(store)
+    book.update(change)
+    book.forget()
+
+
+def rebuild_registry(store: Store, watermark) -> int:
+    """The registry anew from the stored traces; hidden names stay hidden. If the stream commits while this reads,
+    it reads again, so a rebuild beside a running stream ends like one after it."""
+
+    def change(known: DataFrame) -> tuple[DataFrame, dict]:
+        hidden = known.where("hidden").select("project_id", "name", "hidden")
+        built = environments.rebuilt(versions.latest(store.read("traces"), "traces"), watermark)
+        return built.join(hidden, ["project_id", "name"], "left").withColumn("hidden", F.coalesce("hidden", F.lit(False))), {"rebuilt": True}
+
+    return registry(store).update(change)
+
+
 def write_batch(store: Store, batches: DataFrame, prices: DataFrame | None = None, overrides: DataFrame | None = None) -> None:
-    """Maps and writes one micro-batch of batch files."""
+    """Maps and writes one micro-batch of batch files. What it staged goes, whether it ends well or not."""
     batch = f"_staged/{uuid.uuid4().hex}"
+    try:
+        _write_staged(store, batch, batches, prices, overrides)
+    finally:
+        store.forget(batch)
+
+
+def _write_staged(store: Store, batch: str, batches: DataFrame, prices: DataFrame | None, overrides: DataFrame | None) -> None:
     staged = lambda df: store.staged(df, batch)
     events = staged(raw.events(batches))
     requests, all_spans = staged(compat.events(events)), staged(otlp.spans(events))
@@ -189,23 +242,25 @@ def write_batch(store: Store, batches: DataFrame, prices: DataFrame | None = Non
     refs.new_refs(links, refs.PENDING).select(*columns).unionByName(refs.new_refs(scored, refs.APPLIED).select(*columns)).write.mode("append").parquet(store.at("raw_event_refs"))
     times = []
     for kind, df in whole.items():
-        rows = df.drop("batch_id")
-        if kind in parts:
-            made = staged(merged_rows(store, kind, staged(folded(parts[kind], kind))))
+        rows, sent_in_part = df.drop("batch_id"), kind in parts and parts[kind].head(1)
+        if not sent_in_part and not rows.head(1):
+            continue
+        if sent_in_part:
+            made = staged(merged_rows(store, kind, staged(folded(parts[kind], kind)), rows))
             times.append(_records(made, kind).select(*struct_of(FIELD_TIMES).names))
             rows = rows.unionByName(made.drop("sent_at"))
         written, gone = settled_rows(store, kind, rows)
         if kind == "observations" and prices is not None:
             written = pricing.enrich(written, overrides, prices)
-        versions.append(written.unionByName(gone), store.at(kind), kind)
-    scored.select("project_id", "trace_id", F.col("received_at").alias("published_at")).distinct().write.mode("append").parquet(store.at("score_feed"))
-    activity = links.groupBy("project_id", "trace_id").agg(F.max("event_ts").alias("version"))
-    feed = activity.select("project_id", "trace_id", F.date_format("version", "yyyyMMddHHmmssSSSSSS").alias("activity_id"), "version", F.col("version").alias("published_at"))
-    feed.write.mode("append").parquet(store.at("trace_feed"))
+        out = staged(written.unionByName(gone))
+        store.append(kind, out)
+        if kind == "traces":
+            observed(store, out)
+    published(store, links, scored)
     failures(events, bad, requests).write.mode("append").parquet(store.at("ingest_failures"))
     refs.new_refs(links, refs.APPLIED).select(*columns).write.mode("append").parquet(store.at("raw_event_refs"))
-    times[0].unionByName(times[1]).write.mode("append").parquet(store.at("field_times"))
-    store.forget(batch)
+    for rows in times:
+        store.append("field_times", rows)
 
 
 def start(store: Store, landing: str, checkpoint: str, available_now: bool = True, **prices: DataFrame):
@@ -223,6 +278,10 @@ def unfinished(store: Store) -> DataFrame:
 
 
 def current_feed(store: Store) -> DataFrame:
-    from spanloom.operators.settlement import publish
+    """One row a trace, in the place of its last activity."""
+    return settlement.publish(store.read("trace_feed"))
+
 
-    return publish(store.read("trace_feed", FEED))
+def current_score_feed(store: Store) -> DataFrame:
+    """(project_id, trace_id, published_at): traces with new scores, each in its last place."""
+    return store.read("score_feed", SCORE_FEED).groupBy("project_id", "trace_id").agg(F.max("published_at").alias("published_at"))
