@@ -127,38 +127,38 @@ def attach_children(spark, sf):
     return made.select("id", F.size("observations").cast("long").alias("n"), F.array_join(ids, ",").alias("ids"), F.size(F.filter("observations", lambda o: o["output"].isNotNull())).cast("long").alias("answers"))
 
 
-EXPORT = with_sql("evt_observations", "evt_traces", "evt_scores") + """, v AS (SELECT project_id, trace_id, strftime(max(event_ts), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(max(event_ts)) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z' AS trace_version FROM evt_observations GROUP BY ALL)"""
+EXPORT = with_sql("evt_observations", "evt_traces", "evt_scores") + """, v AS (SELECT project_id, trace_id, strftime(max(event_ts), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(max(event_ts)) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z' AS trace_version, epoch_us(max(event_ts)) AS version_us FROM evt_observations GROUP BY ALL)"""
 
 
 def _versions(spark, sf) -> DataFrame:
     return settlement.activity(*_evt(spark, sf))
 
 
-@query("exported_traces", f"{EXPORT} SELECT t.id, trace_version, coalesce(o.n, 0) AS observations, coalesce(s.n, 0) AS scores FROM evt_traces t LEFT JOIN (SELECT trace_id, count(*) AS n FROM evt_observations GROUP BY ALL) o ON o.trace_id = t.id LEFT JOIN (SELECT trace_id, count(*) AS n FROM evt_scores GROUP BY ALL) s ON s.trace_id = t.id JOIN v ON v.trace_id = t.id")
+@query("exported_traces", f"{EXPORT} SELECT t.id, version_us AS trace_version, coalesce(o.n, 0) AS observations, coalesce(s.n, 0) AS scores FROM evt_traces t LEFT JOIN (SELECT trace_id, count(*) AS n FROM evt_observations GROUP BY ALL) o ON o.trace_id = t.id LEFT JOIN (SELECT trace_id, count(*) AS n FROM evt_scores GROUP BY ALL) s ON s.trace_id = t.id JOIN v ON v.trace_id = t.id")
 def exported_traces(spark, sf):
     traces, observations = _evt(spark, sf)
     some = export.stamped(traces, _versions(spark, sf), "id")
     made = export.attach(some, observations, P.evt_scores(spark, sf))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c)
-    return made.select("id", "trace_version", F.greatest(size("observations"), F.lit(0)).alias("observations"), F.greatest(size("scores"), F.lit(0)).alias("scores"))
+    return made.select("id", us("trace_version"), F.greatest(size("observations"), F.lit(0)).alias("observations"), F.greatest(size("scores"), F.lit(0)).alias("scores"))
 
 
-@query("export_traces_table", f"{EXPORT} SELECT t.id, epoch_us(timestamp) AS timestamp, t.name, t.user_id, t.environment, CAST(NULL AS VARCHAR) AS release, trace_version FROM evt_traces t JOIN v ON v.trace_id = t.id")
+@query("export_traces_table", f"{EXPORT} SELECT t.id, epoch_us(timestamp) AS timestamp, t.name, t.user_id, t.environment, CAST(NULL AS VARCHAR) AS release, version_us AS trace_version FROM evt_traces t JOIN v ON v.trace_id = t.id")
 def export_traces_table(spark, sf):
     out = export.table(export.stamped(P.evt_traces(spark, sf), _versions(spark, sf), "id"), "traces")
-    return out.select("id", us("timestamp"), "name", "user_id", "environment", "release", "trace_version")
+    return out.select("id", us("timestamp"), "name", "user_id", "environment", "release", us("trace_version"))
 
 
-@query("export_observations_table", f"{EXPORT} SELECT o.id, o.trace_id, o.name, o.level, epoch_us(start_time) AS start_time, epoch_us(end_time) AS end_time, input, trace_version FROM evt_observations o JOIN v ON v.trace_id = o.trace_id")
+@query("export_observations_table", f"{EXPORT} SELECT o.id, o.trace_id, o.name, o.level, epoch_us(start_time) AS start_time, epoch_us(end_time) AS end_time, input, version_us AS trace_version FROM evt_observations o JOIN v ON v.trace_id = o.trace_id")
 def export_observations_table(spark, sf):
     out = export.table(export.stamped(P.evt_observations(spark, sf), _versions(spark, sf)), "observations")
-    return out.select("id", "trace_id", "name", "level", us("start_time"), us("end_time"), "input", "trace_version")
+    return out.select("id", "trace_id", "name", "level", us("start_time"), us("end_time"), "input", us("trace_version"))
 
 
-@query("export_scores_table", f"{EXPORT} SELECT s.id, s.trace_id, s.observation_id, value, 'numeric' AS data_type, epoch_us(timestamp) AS timestamp, trace_version FROM evt_scores s JOIN v ON v.trace_id = s.trace_id")
+@query("export_scores_table", f"{EXPORT} SELECT s.id, s.trace_id, s.observation_id, value, 'numeric' AS data_type, epoch_us(timestamp) AS timestamp, version_us AS trace_version FROM evt_scores s JOIN v ON v.trace_id = s.trace_id")
 def export_scores_table(spark, sf):
     out = export.table(export.stamped(P.evt_scores(spark, sf), _versions(spark, sf)), "scores")
-    return out.select("id", "trace_id", "observation_id", "value", "data_type", us("timestamp"), "trace_version")
+    return out.select("id", "trace_id", "observation_id", "value", "data_type", us("timestamp"), us("trace_version"))
 
 
 @query("json_lines_export", f"""{EXPORT}, lines AS (SELECT id AS trace_id, 'trace:' || id AS event, user_id AS a, environment AS b FROM evt_traces UNION ALL SELECT trace_id, 'observation:' || id, name, level FROM evt_observations UNION ALL SELECT trace_id, 'score:' || id, 'numeric', observation_id FROM evt_scores)

@@ -13,9 +13,9 @@ from spanloom.functions import text
 from spanloom.functions.time import to_iso, to_unix_nano
 
 #: Exported columns and their types.
-TRACE_TABLE = {"id": "string", "timestamp": "timestamp", "name": "string", "user_id": "string", "session_id": "string", "environment": "string", "release": "string", "version": "string", "tags": "array<string>", "metadata": "map<string,string>", "input": "string", "output": "string", "trace_version": "string"}
-OBSERVATION_TABLE = {"id": "string", "trace_id": "string", "parent_observation_id": "string", "type": "string", "name": "string", "start_time": "timestamp", "end_time": "timestamp", "level": "string", "status_message": "string", "model": "string", "model_parameters": "map<string,string>", "input": "string", "output": "string", "usage_details": "map<string,decimal(20,0)>", "cost_details": "map<string,decimal(18,9)>", "completion_start_time": "timestamp", "metadata": "map<string,string>", "trace_version": "string"}
-SCORE_TABLE = {"id": "string", "trace_id": "string", "observation_id": "string", "name": "string", "data_type": "string", "value": "double", "string_value": "string", "source": "string", "comment": "string", "metadata": "map<string,string>", "timestamp": "timestamp", "trace_version": "string"}
+TRACE_TABLE = {"id": "string", "timestamp": "timestamp", "name": "string", "user_id": "string", "session_id": "string", "environment": "string", "release": "string", "version": "string", "tags": "array<string>", "metadata": "map<string,string>", "input": "string", "output": "string", "trace_version": "timestamp"}
+OBSERVATION_TABLE = {"id": "string", "trace_id": "string", "parent_observation_id": "string", "type": "string", "name": "string", "start_time": "timestamp", "end_time": "timestamp", "level": "string", "status_message": "string", "model": "string", "model_parameters": "map<string,string>", "input": "string", "output": "string", "usage_details": "map<string,decimal(20,0)>", "cost_details": "map<string,decimal(18,9)>", "completion_start_time": "timestamp", "metadata": "map<string,string>", "trace_version": "timestamp"}
+SCORE_TABLE = {"id": "string", "trace_id": "string", "observation_id": "string", "name": "string", "data_type": "string", "value": "double", "string_value": "string", "source": "string", "comment": "string", "metadata": "map<string,string>", "timestamp": "timestamp", "trace_version": "timestamp"}
 TABLES = {"traces": TRACE_TABLE, "observations": OBSERVATION_TABLE, "scores": SCORE_TABLE}
 
 
@@ -31,7 +31,7 @@ def filled(df: DataFrame, kind: str) -> DataFrame:
 
 def stamped(df: DataFrame, versions: DataFrame, trace_id: str = "trace_id") -> DataFrame:
     """Rows of the traces in ``versions`` (project_id, trace_id, version), with trace_version."""
-    at = versions.select("project_id", F.col("trace_id").alias(trace_id), to_iso(F.col("version")).alias("trace_version"))
+    at = versions.select("project_id", F.col("trace_id").alias(trace_id), F.col("version").cast("timestamp").alias("trace_version"))
     return df.join(at, ["project_id", trace_id])
 
 
@@ -44,7 +44,7 @@ def write_parquet(parts: dict[str, DataFrame], path: str) -> None:
 
 
 def _event(kind: str, key: Column, body: Column) -> Column:
-    return F.to_json(F.struct(F.concat(F.lit(f"{kind}:"), key).alias("id"), F.lit(f"{kind}-upsert").alias("type"), F.lit("native").alias("source"), F.lit(1).alias("schemaVersion"), F.concat(F.lit(f"{kind}:"), key).alias("idempotencyKey"), body.alias("body"), F.col("trace_version").alias("traceVersion")))
+    return F.to_json(F.struct(F.concat(F.lit(f"{kind}:"), key).alias("id"), F.lit(f"{kind}-upsert").alias("type"), F.lit("native").alias("source"), F.lit(1).alias("schemaVersion"), F.concat(F.lit(f"{kind}:"), key).alias("idempotencyKey"), body.alias("body"), to_iso(F.col("trace_version")).alias("traceVersion")))
 
 
 def json_lines(traces: DataFrame, observations: DataFrame, scores: DataFrame) -> DataFrame:
@@ -131,9 +131,36 @@ def webhook_bodies(traces: DataFrame, secret: str) -> DataFrame:
     return traces.select("project_id", "id", body.alias("body")).withColumn("signature", text.hmac_sha256(F.col("body"), secret))
 
 
+def _compat(df: DataFrame, fields: dict[str, Column | str]) -> Column:
+    """JSON of the fields in the compatible read form; what is null stays out, and so do the columns that ``df`` lacks."""
+    known = {k: v for k, v in fields.items() if not isinstance(v, str) or v in df.columns}
+    return F.to_json(F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in known.items()]))
+
+
 def compat_item(df: DataFrame) -> Column:
-    """A trace as the compatible read form: camel case, absent fields left out."""
-    return F.to_json(F.struct("id", to_iso(F.col("timestamp")).alias("timestamp"), "name", F.col("user_id").alias("userId"), F.col("session_id").alias("sessionId"), "tags", "environment"))
+    """A trace in the compatible read form: camel case, absent fields left out."""
+    return _compat(df, {
+        "id": "id", "timestamp": to_iso(F.col("timestamp")), "name": "name", "userId": "user_id", "sessionId": "session_id", "environment": "environment", "release": "release", "version": "version",
+        "tags": "tags", "metadata": "metadata", "input": "input", "output": "output",
+    })
+
+
+def compat_observation(df: DataFrame) -> Column:
+    """An observation in the compatible read form; types and levels are upper case."""
+    filled_map = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return _compat(df, {
+        "id": "id", "traceId": "trace_id", "parentObservationId": "parent_observation_id", "type": F.upper("type"), "name": "name", "startTime": to_iso(F.col("start_time")), "endTime": to_iso(F.col("end_time")),
+        "completionStartTime": to_iso(F.col("completion_start_time")) if "completion_start_time" in df.columns else "completion_start_time", "level": F.upper("level"), "statusMessage": "status_message", "model": "model",
+        "modelParameters": "model_parameters", "input": "input", "output": "output", "metadata": "metadata", "usageDetails": filled_map("usage_details"), "costDetails": filled_map("cost_details"),
+    })
+
+
+def compat_score(df: DataFrame) -> Column:
+    """A score in the compatible read form; types and sources are upper case."""
+    return _compat(df, {
+        "id": "id", "traceId": "trace_id", "observationId": "observation_id", "name": "name", "dataType": F.upper("data_type"), "value": "value", "stringValue": "string_value", "source": F.upper("source"),
+        "comment": "comment", "metadata": "metadata", "timestamp": to_iso(F.col("timestamp")),
+    })
 
 
 def tree_response(traces: DataFrame, tree: DataFrame, observations: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ was received early and written late comes after the cursor of who has read the f
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -48,17 +49,27 @@ def mapped(events: DataFrame) -> dict[str, DataFrame]:
     return rows
 
 
-def whole_rows(events: DataFrame, spans: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
+#: The events of each shape: what a batch lacks isn't planned at all.
+NATIVE = {"traces": "trace-upsert", "observations": "observation-upsert", "scores": "score-upsert"}
+EXPORT, COMPAT = "otlp-export", "langfuse-ingestion"
+ALL = frozenset([*NATIVE.values(), EXPORT, COMPAT])
+
+
+def whole_rows(events: DataFrame, spans: DataFrame, requests: DataFrame, present: frozenset = ALL) -> dict[str, DataFrame]:
     """Rows that replace what is stored, with their batch_id. Of a span that comes twice the last counts."""
     order = lambda df, by: df.withColumn("seq", F.col(by).cast("long"))
     newest = W.partitionBy("project_id", "trace_id", "id").orderBy(F.desc("received_at"), F.desc("place"))
-    observed = otlp.observations(spans).withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+
+    def observed_spans() -> DataFrame:
+        return otlp.observations(spans).withColumn("_n", F.row_number().over(newest)).where("_n = 1")
+
     parts = {
-        "traces": [order(native.traces(events), "ordinal"), otlp.traces(spans).withColumn("seq", F.lit(0))],
-        "observations": [order(native.observations(events), "ordinal"), order(observed, "place.ordinal")],
-        "scores": [order(native.scores(events), "ordinal"), order(compat.scores(requests), "ordinal")],
+        "traces": [(NATIVE["traces"], lambda: order(native.traces(events), "ordinal")), (EXPORT, lambda: otlp.traces(spans).withColumn("seq", F.lit(0)))],
+        "observations": [(NATIVE["observations"], lambda: order(native.observations(events), "ordinal")), (EXPORT, lambda: order(observed_spans(), "place.ordinal"))],
+        "scores": [(NATIVE["scores"], lambda: order(native.scores(events), "ordinal")), (COMPAT, lambda: order(compat.scores(requests), "ordinal"))],
     }
-    return {k: _shaped(a, k, "batch_id").unionByName(_shaped(b, k, "batch_id")) for k, (a, b) in parts.items()}
+    made = {k: [_shaped(rows(), k, "batch_id") for kind, rows in found if kind in present] for k, found in parts.items()}
+    return {k: reduce(DataFrame.unionByName, v) for k, v in made.items() if v}
 
 
 def partial_rows(requests: DataFrame) -> dict[str, DataFrame]:
@@ -138,21 +149,26 @@ def bad_exports(spans: DataFrame) -> DataFrame:
     return otlp.unmapped(spans).select(*BATCH, F.col("place.ordinal").alias("ordinal")).distinct()
 
 
-def failures(events: DataFrame, bad: DataFrame, requests: DataFrame) -> DataFrame:
+def failures(events: DataFrame, bad: DataFrame | None, requests: DataFrame | None) -> DataFrame:
     """Dead letters of all sources: native events, whole exports, single events of compatible requests."""
     sent = events.select(*EVENT, "object_key", F.col("id").alias("event"), "source")
     shape = [*BATCH, "object_key", "event_id", "source", "message"]
-    exports = sent.join(bad, EVENT).withColumns({"event_id": F.col("event"), "message": F.lit("a span's times are no unsigned nanoseconds")}).select(*shape)
-    refused = sent.join(compat.responses(requests).where("status = 400").select(*EVENT, "event_id", "message"), EVENT).select(*shape)
-    return raw.dead_letters(native.errors(events).unionByName(exports).unionByName(refused), None).withColumn("created_at", F.current_timestamp())
+    found = [native.errors(events)]
+    if bad is not None:
+        found.append(sent.join(bad, EVENT).withColumns({"event_id": F.col("event"), "message": F.lit("a span's times are no unsigned nanoseconds")}).select(*shape))
+    if requests is not None:
+        found.append(sent.join(compat.responses(requests).where("status = 400").select(*EVENT, "event_id", "message"), EVENT).select(*shape))
+    return raw.dead_letters(reduce(DataFrame.unionByName, found), None).withColumn("created_at", F.current_timestamp())
 
 
-def _touched(whole: dict[str, DataFrame], spans: DataFrame, parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+def _touched(store: Store, whole: dict[str, DataFrame], spans: DataFrame | None, parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(project_id, batch_id, trace_id) that rows concern, and those that only scores do; late rows count too."""
     of = lambda df, trace: df.select(*BATCH, F.col(trace).alias("trace_id"))
-    rows = of(whole["traces"], "id").unionByName(of(whole["observations"], "trace_id")).unionByName(of(spans, "span.traceId"))
-    rows = rows.unionByName(of(parts["traces"], "id")).unionByName(of(parts["observations"], "trace_id")).distinct()
-    return rows, of(whole["scores"], "trace_id").distinct().join(rows, [*BATCH, "trace_id"], "left_anti")
+    found = [of(v, "id" if k == "traces" else "trace_id") for rows in (whole, parts) for k, v in rows.items() if k != "scores"]
+    found += [] if spans is None else [of(spans, "span.traceId")]
+    none = store.spark.createDataFrame([], "project_id string, batch_id string, trace_id string")
+    rows = reduce(DataFrame.unionByName, found, none).distinct()
+    return rows, (of(whole["scores"], "trace_id").distinct().join(rows, [*BATCH, "trace_id"], "left_anti") if "scores" in whole else none)
 
 
 def published(store: Store, links: DataFrame, scored: DataFrame) -> None:
@@ -229,26 +245,28 @@ def write_batch(store: Store, batches: DataFrame, prices: DataFrame | None = Non
 def _write_staged(store: Store, batch: str, batches: DataFrame, prices: DataFrame | None, overrides: DataFrame | None) -> None:
     staged = lambda df: store.staged(df, batch)
     events = staged(raw.events(batches))
-    requests, all_spans = staged(compat.events(events)), staged(otlp.spans(events))
-    bad = staged(bad_exports(all_spans))
-    spans = all_spans.withColumn("ordinal", F.col("place.ordinal")).join(bad, EVENT, "left_anti").drop("ordinal")
-    whole = {k: staged(v) for k, v in whole_rows(events, spans, requests).items()}
-    parts = {k: staged(v) for k, v in partial_rows(requests).items()}
-    touched, scored = _touched(whole, spans, parts)
+    present = frozenset(r.type for r in events.where(F.col("type").isin(*ALL)).select("type").distinct().collect())
+    requests = staged(compat.events(events)) if COMPAT in present else None
+    bad = spans = None
+    if EXPORT in present:
+        all_spans = staged(otlp.spans(events))
+        bad = staged(bad_exports(all_spans))
+        spans = all_spans.withColumn("ordinal", F.col("place.ordinal")).join(bad, EVENT, "left_anti").drop("ordinal")
+    whole = {k: staged(v) for k, v in whole_rows(events, spans, requests, present).items()}
+    parts = {k: staged(v) for k, v in partial_rows(requests).items()} if requests is not None else {}
+    touched, scored = _touched(store, whole, spans, parts)
     keys = events.select(*BATCH, "object_key", "received_at", F.col("received_at").alias("event_ts")).distinct()
     links = staged(touched.join(keys, BATCH))
     scored = staged(scored.join(keys, BATCH))
     columns = ["project_id", "trace_id", "object_key", "received_at", "event_ts", "applied"]
     refs.new_refs(links, refs.PENDING).select(*columns).unionByName(refs.new_refs(scored, refs.APPLIED).select(*columns)).write.mode("append").parquet(store.at("raw_event_refs"))
     times = []
-    for kind, df in whole.items():
-        rows, sent_in_part = df.drop("batch_id"), kind in parts and parts[kind].head(1)
-        if not sent_in_part and not rows.head(1):
-            continue
-        if sent_in_part:
+    for kind in [k for k in TABLES if k in whole or k in parts]:
+        rows = whole[kind].drop("batch_id") if kind in whole else None
+        if kind in parts:
             made = staged(merged_rows(store, kind, staged(folded(parts[kind], kind)), rows))
             times.append(_records(made, kind).select(*struct_of(FIELD_TIMES).names))
-            rows = rows.unionByName(made.drop("sent_at"))
+            rows = made.drop("sent_at") if rows is None else rows.unionByName(made.drop("sent_at"))
         written, gone = settled_rows(store, kind, rows)
         if kind == "observations" and prices is not None:
             written = pricing.enrich(written, overrides, prices)
