@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Providers whose prefix a table may carry, in the order they are tried.
@@ -31,17 +34,38 @@ def candidates(model: Column) -> Column:
 
 
 def usable_overrides(rows: list[tuple]) -> list[tuple]:
-    """The (project_id, position, pattern, input, output, cache_read, cache_write) whose pattern compiles."""
+    """The (project_id, position, pattern, input, output, cache_read, cache_write) whose pattern compiles in the engine
+    that matches it. Needs a session."""
+    java = SparkSession.getActiveSession()._jvm.java.util.regex.Pattern
     out = []
     for r in rows:
         try:
-            re.compile(r[2])
-        except re.error:
+            java.compile(r[2])
+        except IllegalArgumentException:
             continue
         out.append(r)
     return out
 
 
+def _well_formed(patterns: pd.Series) -> pd.Series:
+    def fine(p: object) -> bool:
+        try:
+            re.compile(p)
+        except (re.error, TypeError):
+            return False
+        return True
+
+    return patterns.map(fine)
+
+
+def ordered_overrides(rules: DataFrame) -> DataFrame:
+    """(project_id, position, pattern) of (project_id, ordinal, pattern): a project's rules in their order, counted
+    from 0; a pattern that isn't well formed takes no place. A project's rules are a list that a person keeps."""
+    compiled = F.pandas_udf(_well_formed, "boolean")
+    order = W.partitionBy("project_id").orderBy("ordinal")
+    return rules.where(compiled("pattern")).select("project_id", (F.row_number().over(order) - 1).alias("position"), "pattern")
+
+
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
     """A price list as JSON: {"syncedAt": ..., "models": {name: {provider, input, output, cache_read, cache_write}}}."""
     entry = "provider:string," + ",".join(f"{c}:decimal(24,15)" for c in COMPONENTS)

@@ -83,7 +83,7 @@ def children_ordered(spark, sf):
     return live.groupBy("project_id", "trace_id").agg(F.array_join(ids, ",").alias("ids"))
 
 
-@query("langfuse_trace_items", f"""{with_sql('evt_observations', 'evt_traces')} SELECT id, '{{"id":"' || id || '","timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(timestamp) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z","name":"day","userId":"' || user_id || '","tags":[],"environment":"' || environment || '"}}' AS item FROM evt_traces""")
+@query("langfuse_trace_items", f"""{with_sql('evt_observations', 'evt_traces')} SELECT id, '{{"id":"' || id || '","timestamp":"' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(timestamp) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z","name":"day","userId":"' || user_id || '","environment":"' || environment || '","tags":[],"metadata":{{}}}}' AS item FROM evt_traces""")
 def langfuse_trace_items(spark, sf):
     t = P.evt_traces(spark, sf)
     return t.select("id", export.compat_item(t).alias("item"))

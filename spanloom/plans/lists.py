@@ -111,6 +111,8 @@ LEVEL = "EXISTS (FROM live_obs o WHERE o.project_id = t.project_id AND o.trace_i
 MODEL = "EXISTS (FROM live_obs o WHERE o.project_id = t.project_id AND o.trace_id = t.id AND o.model = 'model-7')"
 DURATION = "EXISTS (FROM metrics m WHERE m.project_id = t.project_id AND m.id = t.id AND m.duration_ms >= 240000)"
 COST = "EXISTS (FROM metrics m WHERE m.project_id = t.project_id AND m.id = t.id AND m.total_cost >= 150000.7)"
+SETTLED_BY = """greatest((SELECT max(x.event_ts) FROM live_traces x WHERE x.project_id = t.project_id AND x.id = t.id),
+  (SELECT max(o.event_ts) FROM live_obs o WHERE o.project_id = t.project_id AND o.trace_id = t.id)) <= TIMESTAMP '1997-06-01'"""
 FILTERS = {
     "filter_project": (TraceFilter(project_id="p2"), "project_id = 'p2'"),
     "filter_time_range": (TraceFilter(since=SINCE, until=UNTIL), RANGE_SQL),
@@ -123,6 +125,7 @@ FILTERS = {
     "filter_model": (TraceFilter(model="model-7"), MODEL),
     "filter_min_duration": (TraceFilter(min_duration_ms=240_000), DURATION),
     "filter_min_cost": (TraceFilter(min_cost=Decimal("150000.7")), COST),
+    "filter_settled": (TraceFilter(settled_before=datetime(1997, 6, 1)), SETTLED_BY),
     "filter_all_combined": (TraceFilter(since=SINCE, until=UNTIL, tags=("O",), level="error", min_duration_ms=240_000, min_cost=Decimal("150000.7")), f"{RANGE_SQL} AND list_contains(tags, 'O') AND {LEVEL} AND {DURATION} AND {COST}"),
 }
 

@@ -111,18 +111,6 @@ def _ord(spark, sf):
     return P.ord_traces(spark, sf), P.ord_observations(spark, sf)
 
 
-@query("retention_cutoffs", f"WITH {LIMITS} SELECT project_id, CAST(days AS INTEGER) AS days, epoch_us(cutoff) AS cutoff FROM limits")
-def retention_cutoffs(spark, sf):
-    P.utc(spark)
-    return limits(spark).select("project_id", "days", us("cutoff"))
-
-
-@query("retention_floor", f"WITH {LIMITS} SELECT CAST(max(days) AS INTEGER) AS days, epoch_us(min(cutoff)) AS cutoff FROM limits")
-def retention_floor(spark, sf):
-    P.utc(spark)
-    return retention.floor_days(limits(spark)).select("days", us("cutoff"))
-
-
 @query("retention_row_deletes", f"{KEEP} SELECT project_id, id, epoch_us(timestamp) AS timestamp FROM live_traces JOIN limits USING (project_id) WHERE timestamp < cutoff")
 def retention_row_deletes(spark, sf):
     return retention.expired_rows(P.ord_traces(spark, sf), "traces", limits(spark)).select("project_id", "id", us("timestamp"))
@@ -337,12 +325,6 @@ def price_override_first_match(spark, sf):
     return pricing.resolve(parts(spark, sf), overrides(spark), prices(spark)).select("project_id", "model", "source", "matched")
 
 
-@query("price_overrides_ordered", "SELECT position, pattern FROM (VALUES (1, '^red'), (2, 'WIDGET$')) t(position, pattern)")
-def price_overrides_ordered(spark, sf):
-    P.utc(spark)
-    return overrides(spark).where("project_id = 'p1'").orderBy("position").select("position", "pattern")
-
-
 @query("cost_enriched", f"""{PARTS}, amounts AS (SELECT p_partkey, matched, tokens * CASE matched WHEN '^red' THEN 0.25 WHEN 'WIDGET$' THEN 0.5 WHEN 'small ring' THEN 0.000003 WHEN 'openai/red widget' THEN 0.00001 END AS i,
   2 * tokens * CASE matched WHEN '^red' THEN 0.125 WHEN 'small ring' THEN 0.000015 WHEN 'blue bolt' THEN 0.00002 END AS o FROM priced)
 SELECT p_partkey, round(CAST(i AS DOUBLE), 9) AS input, round(CAST(o AS DOUBLE), 9) AS output, CASE WHEN coalesce(i, o) IS NOT NULL THEN round(CAST(coalesce(i, 0) + coalesce(o, 0) AS DOUBLE), 9) END AS total, CASE WHEN coalesce(i, o) IS NOT NULL THEN matched END AS matched FROM amounts""")
