@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from spanloom.functions import attributes as A
 from spanloom.functions import text, usage
 from spanloom.functions.time import from_unix_nano
 from spanloom.schemas import OTLP_REQUEST
+from spanloom.sources import messages
 
 #: Attribute names, the preferred first.
 MODEL = ("gen_ai.request.model", "gen_ai.response.model")
@@ -27,8 +24,6 @@ COUNTS = {
     "cache_creation_input_tokens": ("gen_ai.usage.cache_creation.input_tokens", "gen_ai.usage.cache_write.input_tokens"),
 }
 PARAMETERS = tuple(f"gen_ai.request.{n}" for n in ("temperature", "max_tokens", "top_p", "top_k", "frequency_penalty", "presence_penalty", "seed"))
-#: Bytes and messages of a projected payload at most.
-MOST_BYTES, MOST_MESSAGES = 128 * 1024, 200
 
 
 def spans(events: DataFrame) -> DataFrame:
@@ -65,50 +60,9 @@ def traces(rows: DataFrame) -> DataFrame:
     ).drop("_u")
 
 
-def _value(v: object) -> object:
-    """An attribute value as plain data."""
-    if not isinstance(v, dict):
-        raise ValueError("no value")
-    if "stringValue" in v:
-        return v["stringValue"]
-    if "intValue" in v:
-        return int(v["intValue"])
-    if "doubleValue" in v:
-        return float(v["doubleValue"])
-    if "boolValue" in v:
-        return bool(v["boolValue"])
-    if "arrayValue" in v:
-        return [_value(x) for x in (v["arrayValue"] or {}).get("values", [])]
-    if "kvlistValue" in v:
-        return {x["key"]: _value(x["value"]) for x in (v["kvlistValue"] or {}).get("values", [])}
-    raise ValueError("no value")
-
-
-@F.pandas_udf(StringType())
-def messages(flat: pd.Series, nested: pd.Series) -> pd.Series:
-    """Messages as JSON text, from JSON in a string or from a nested array; null if they aren't a list of
-    messages with a role or are over the bounds."""
-
-    def one(s: str | None, a: str | None) -> str | None:
-        try:
-            if s is not None:
-                found = json.loads(s) if len(s.encode()) <= MOST_BYTES else None
-            elif a is not None and len(a.encode()) <= MOST_BYTES:
-                found = _value({"arrayValue": json.loads(a)})
-            else:
-                found = None
-        except (ValueError, KeyError, TypeError, AttributeError):
-            return None
-        if not isinstance(found, list) or not 0 < len(found) <= MOST_MESSAGES:
-            return None
-        if not all(isinstance(m, dict) and isinstance(m.get("role"), str) for m in found):
-            return None
-        return json.dumps(found, ensure_ascii=False, separators=(",", ":"))
-
-    return pd.Series([one(s, a) for s, a in zip(flat, nested, strict=True)], dtype=object)
-
-
 def observations(rows: DataFrame) -> DataFrame:
+    """An observation a span. ``rows`` are to hold whole exports, since messages are read within an export's budget."""
+    rows = messages.with_messages(rows, F.coalesce("span.attributes", F.expr("array()").cast(_ATTRIBUTES)), (INPUT, OUTPUT), ["project_id", "batch_id", "place.ordinal"])
     s = F.coalesce("span.attributes", F.expr("array()").cast(_ATTRIBUTES))
     model = _first(s, MODEL)
     counts = [F.struct(F.lit(k).alias("key"), F.coalesce(*[usage.token_count(A.number_of(s, n)) for n in names]).alias("value")) for k, names in COUNTS.items()]
@@ -118,13 +72,12 @@ def observations(rows: DataFrame) -> DataFrame:
     own = A.as_map(s)
     metadata = F.when(provider != "", F.map_concat(F.map_filter(own, lambda k, _: k != PROVIDER[0]), F.create_map(F.lit(PROVIDER[0]), provider))).otherwise(own)
     operation = F.exists(s, lambda a: a["key"] == OPERATION)
-    text_of = lambda key: messages(A.value_of(s, key)["stringValue"], A.value_of(s, key)["arrayValue"])
     return rows.select(
         "project_id", "batch_id", "received_at", "place", F.col("span.spanId").alias("id"), F.col("span.traceId").alias("trace_id"), F.nullif("span.parentSpanId", F.lit("")).alias("parent_observation_id"),
         F.when(operation | model.isNotNull(), "generation").otherwise("span").alias("type"), F.col("span.name").alias("name"), from_unix_nano(F.col("span.startTimeUnixNano")).alias("start_time"),
         from_unix_nano(F.col("span.endTimeUnixNano")).alias("end_time"), F.when(F.col("span.status.code") == 2, "error").otherwise("default").alias("level"), F.nullif("span.status.message", F.lit("")).alias("status_message"),
         F.nullif(model, F.lit("")).alias("model"), A.model_parameters(s, PARAMETERS, "gen_ai.request.").alias("model_parameters"), F.when(F.size(sent) > 0, F.map_from_entries(sent)).alias("usage_details"),
-        F.when(cost.isNotNull(), F.create_map(F.lit("total"), cost)).alias("cost_details"), F.coalesce(metadata, own).alias("metadata"), text_of(INPUT).alias("input"), text_of(OUTPUT).alias("output"),
+        F.when(cost.isNotNull(), F.create_map(F.lit("total"), cost)).alias("cost_details"), F.coalesce(metadata, own).alias("metadata"), F.col("input_messages").alias("input"), F.col("output_messages").alias("output"),
     )
 
 

@@ -68,7 +68,7 @@ OTLP = {
             {"traceId": "t", "spanId": "root", "name": "r", "startTimeUnixNano": "1714554000123999999", "endTimeUnixNano": "1714554001000000000", "attributes": [attribute("user.id", stringValue="u"), attribute("x", intValue="1"), attribute("x", boolValue=True)]},
             {"traceId": "t", "spanId": "kid", "parentSpanId": "root", "name": "k", "startTimeUnixNano": "1714554000500000000", "status": {"code": 2, "message": "bad"}, "attributes": [
                 attribute("gen_ai.response.model", stringValue="m"), attribute("gen_ai.system", stringValue="old"), attribute("gen_ai.usage.input_tokens", intValue="120"), attribute("gen_ai.usage.output_tokens", doubleValue=339.5), attribute("gen_ai.usage.cost", doubleValue=-1.0),
-                attribute("gen_ai.usage.cache_write.input_tokens", intValue="5"), attribute("gen_ai.request.temperature", doubleValue=0.5), attribute("gen_ai.input.messages", stringValue='[{"role":"user","content":"hi"}]'), attribute("gen_ai.output.messages", stringValue='[{"content":"no role"}]')]},
+                attribute("gen_ai.usage.cache_write.input_tokens", intValue="5"), attribute("gen_ai.request.temperature", doubleValue=0.5), attribute("gen_ai.input.messages", stringValue='[{"role":"user","parts":[{"type":"text","content":"hi"}]}]'), attribute("gen_ai.output.messages", stringValue='[{"role":"assistant","parts":[]}]')]},
             {"traceId": "t", "spanId": "second", "name": "other root", "startTimeUnixNano": "1714554000500000000"},
         ]}],
     }]
@@ -84,7 +84,7 @@ def test_otlp_export(spark, tmp_path):
     assert (o["root"].type, o["kid"].type, o["kid"].level, o["kid"].status_message, o["kid"].model) == ("span", "generation", "error", "bad", "m")
     assert {k: int(v) for k, v in o["kid"].usage_details.items()} == {"input_tokens": 120, "output_tokens": 340, "cache_creation_input_tokens": 5}
     assert o["kid"].cost_details is None and o["kid"].metadata["gen_ai.provider.name"] == "old" and o["root"].metadata["x"] == "true"
-    assert o["kid"].model_parameters == {"temperature": "0.5"} and o["kid"].input == '[{"role":"user","content":"hi"}]' and o["kid"].output is None
+    assert o["kid"].model_parameters == {"temperature": "0.5"} and o["kid"].input == '[{"role":"user","parts":[{"type":"text","content":"hi"}]}]' and o["kid"].output is None
     assert otlp.unmapped(spans).count() == 0
 
 
