@@ -119,12 +119,15 @@ def stored_row_roundtrip(spark, sf):
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), kind.alias("kind"))
 
 
-@query("attach_children", f"""{with_sql('conv')} SELECT trace_id AS id, count(*) AS n, string_agg(id, ',' ORDER BY start_time, id) AS ids, count(*) FILTER (output IS NOT NULL) AS answers FROM conv GROUP BY ALL""")
+@query("attach_children", f"""{with_sql('conv', 'doc_scores')} SELECT trace_id AS id, count(*) AS n, string_agg(id, ',' ORDER BY start_time, id) AS ids, count(*) FILTER (output IS NOT NULL) AS answers,
+(SELECT count(*) FROM doc_scores s WHERE s.trace_id = conv.trace_id) AS scores FROM conv GROUP BY ALL""")
 def attach_children(spark, sf):
+    """Conversations with their turns, and with the scores of the document of the same number."""
     traces = P.conv_traces(spark, sf)
-    made = export.attach(traces, P.conv_observations(spark, sf), P.doc_scores(spark, sf).where("false"))
+    made = export.attach(traces, P.conv_observations(spark, sf), P.doc_scores(spark, sf))
     ids = F.transform("observations", lambda o: o["id"])
-    return made.select("id", F.size("observations").cast("long").alias("n"), F.array_join(ids, ",").alias("ids"), F.size(F.filter("observations", lambda o: o["output"].isNotNull())).cast("long").alias("answers"))
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return made.select("id", count("observations").alias("n"), F.array_join(ids, ",").alias("ids"), F.size(F.filter("observations", lambda o: o["output"].isNotNull())).cast("long").alias("answers"), count("scores").alias("scores"))
 
 
 EXPORT = with_sql("evt_observations", "evt_traces", "evt_scores") + """, v AS (SELECT project_id, trace_id, strftime(max(event_ts), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(max(event_ts)) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z' AS trace_version, epoch_us(max(event_ts)) AS version_us FROM evt_observations GROUP BY ALL)"""

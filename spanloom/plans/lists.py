@@ -152,10 +152,11 @@ def filter_counts(spark, sf):
     return out
 
 
-@query("filter_search", f"{with_sql('docs')} SELECT id, name FROM docs WHERE contains(lower(input), lower('ÉTION')) OR contains(lower(name), lower('ÉTION')) OR id = 'ÉTION'")
+@query("filter_search", f"""{with_sql('docs', 'conv')} SELECT id, name FROM docs WHERE contains(lower(input), lower('ÉTION')) OR contains(lower(name), lower('ÉTION')) OR id = 'ÉTION'
+OR EXISTS (FROM conv c WHERE c.trace_id = docs.id AND (contains(lower(c.input), lower('ÉTION')) OR contains(lower(c.output), lower('ÉTION')) OR contains(lower(c.name), lower('ÉTION'))))""")
 def filter_search(spark, sf):
-    none = P.conv_observations(spark, sf).where("false")
-    return filters.matched(P.doc_traces(spark, sf), none, TraceFilter(search="ÉTION"))[0].select("id", "name")
+    """Documents as traces; the turns of the conversation of the same number are searched with them."""
+    return filters.matched(P.doc_traces(spark, sf), P.conv_observations(spark, sf), TraceFilter(search="ÉTION"))[0].select("id", "name")
 
 
 @query("filter_search_or_id", f"{with_sql('conv')} SELECT DISTINCT trace_id AS id FROM conv WHERE trace_id = '12' OR contains(lower(input), '12') OR contains(lower(output), '12') OR contains(lower(name), '12') OR contains('conversation ' || trace_id, '12')")
@@ -163,11 +164,13 @@ def filter_search_or_id(spark, sf):
     return filters.matched(P.conv_traces(spark, sf), P.conv_observations(spark, sf), TraceFilter(search="12"))[0].select("id")
 
 
-@query("scoped_equals_unscoped", "SELECT CAST(0 AS BIGINT) AS differing")
+@query("scoped_equals_unscoped", f"""{with_sql('live_traces', 'metrics')} SELECT scope, {TRACE_COLUMNS} FROM live_traces t, (VALUES ('scoped'), ('unscoped')) v(scope)
+WHERE {RANGE_SQL} AND {LEVEL} AND EXISTS (FROM metrics m WHERE m.project_id = t.project_id AND m.id = t.id AND m.total_cost >= 100000)""")
 def scoped_equals_unscoped(spark, sf):
+    """The same list twice: observations limited to the traces that the range leaves, and all of them."""
     f = TraceFilter(since=SINCE, until=UNTIL, level="error", min_cost=Decimal("100000"))
-    one, two = (_trace_rows(filters.matched(*_ord(spark, sf), f, scope=s)[0]) for s in (True, False))
-    return one.exceptAll(two).unionByName(two.exceptAll(one)).agg(F.count("*").alias("differing"))
+    one, two = (_trace_rows(filters.matched(*_ord(spark, sf), f, scope=s)[0]).withColumn("scope", F.lit("scoped" if s else "unscoped")) for s in (True, False))
+    return one.unionByName(two)
 
 
 @query("destination_filter", f"{with_sql('live_traces')} SELECT project_id, id FROM live_traces WHERE {RANGE_SQL} AND list_contains(tags, 'F') AND third = '1'")

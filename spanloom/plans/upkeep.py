@@ -140,10 +140,10 @@ def retention_droppable_months(spark, sf):
 
 
 @query("retention_held_months", f"""{KEEP} SELECT month FROM (SELECT strftime(start_time, '%Y-%m') AS month, max(start_time) AS last FROM ord_observations GROUP BY ALL) m WHERE last < TIMESTAMP '1996-05-01' - INTERVAL 24 HOUR
-AND NOT EXISTS (FROM ord_observations o JOIN retained r USING (project_id, trace_id) WHERE strftime(o.start_time, '%Y-%m') = m.month AND CAST(trace_id AS BIGINT) % 500 = 1)""")
+AND NOT EXISTS (FROM ord_observations o JOIN retained r USING (project_id, trace_id) WHERE strftime(o.start_time, '%Y-%m') = m.month)""")
 def retention_held_months(spark, sf):
     traces, observations = _ord(spark, sf)
-    parents = retention.retained_parents(traces, limits(spark)).where(F.col("trace_id").cast("long") % 500 == 1)
+    parents = retention.retained_parents(traces, limits(spark))
     return retention.droppable_months(observations, "observations", F.lit(datetime(1996, 5, 1)).cast("timestamp"), parents)
 
 
@@ -210,10 +210,13 @@ def import_expired(spark, sf):
     return versions.expire_snapshot(P.ord_traces(spark, sf).where("project_id = 'p3'"), AT, "traces").select("id", us("event_ts"), "is_deleted")
 
 
-@query("import_scores_replace", f"{with_sql('evt_scores')} SELECT id, epoch_us(TIMESTAMP '2003-01-01') - 1 AS event_ts, true AS is_deleted FROM evt_scores WHERE import_source = 'langsmith'")
+@query("import_scores_replace", f"""{with_sql('evt_scores')} SELECT id, epoch_us(TIMESTAMP '2003-01-01') - 1 AS event_ts, true AS is_deleted, value FROM evt_scores WHERE import_source = 'langsmith'
+UNION ALL SELECT id, epoch_us(TIMESTAMP '2003-01-01'), false, value + 1 FROM evt_scores WHERE import_source = 'langsmith' AND value > 50""")
 def import_scores_replace(spark, sf):
+    """A later import holds a part of the scores, with other values."""
     stored = P.evt_scores(spark, sf)
-    return versions.replace_scores(stored, stored.where("false"), "langsmith", AT).select("id", us("event_ts"), "is_deleted")
+    fresh = stored.where("import_source = 'langsmith' AND value > 50").withColumn("value", F.col("value") + 1)
+    return versions.replace_scores(stored, fresh, "langsmith", AT).select("id", us("event_ts"), "is_deleted", "value")
 
 
 @query("import_identity_check", f"{with_sql('evt_observations', 'evt_traces')} SELECT trace_id, id FROM evt_observations o WHERE EXISTS (FROM evt_traces t WHERE t.project_id = o.project_id AND t.id = o.trace_id AND t.user_id = '9')")
@@ -312,12 +315,15 @@ def parts(spark, sf) -> DataFrame:
     return p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "p1").otherwise("p0").alias("project_id"), model.alias("model"), F.col("p_size").alias("tokens"))
 
 
-@query("model_candidates", """SELECT p_partkey, 1 AS first, p_name AS model FROM part""")
+PROVIDERS_SQL = ", ".join(f"'{p}'" for p in pricing.PROVIDERS)
+
+
+@query("model_candidates", f"""SELECT p_partkey, array_to_string(list_concat(['openai/' || upper(p_name) || '-20240501', 'openai/' || p_name || '-20240501', p_name || '-20240501', 'openai/' || p_name, p_name],
+flatten(list_transform(list_filter([{PROVIDERS_SQL}], lambda p: p <> 'openai'), lambda p: [p || '/' || p_name || '-20240501', p || '/' || p_name]))), '|') AS names FROM part""")
 def model_candidates(spark, sf):
-    """Where the part's plain name stands among the candidates of its lower-cased name with a date."""
-    p = P._read(spark, sf, "part")
+    """All candidates in order: as written, in lower case, without provider and date, then behind each other provider."""
     found = pricing.candidates(F.concat(F.lit("openai/"), F.upper("p_name"), F.lit("-20240501")))
-    return p.select("p_partkey", F.when(F.array_position(found, F.col("p_name")) > 0, 1).otherwise(0).alias("first"), F.col("p_name").alias("model"))
+    return P._read(spark, sf, "part").select("p_partkey", F.array_join(found, "|").alias("names"))
 
 
 @query("price_override_first_match", f"{PARTS} SELECT DISTINCT project_id, model, CASE WHEN matched IN ('^red', 'WIDGET$') THEN 'override' ELSE 'table' END AS source, matched FROM priced WHERE matched IS NOT NULL")
