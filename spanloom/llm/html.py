@@ -63,6 +63,10 @@ CHROME_NAMES = frozenset(
     " header site-header page-header masthead footer site-footer page-footer comments comment-list comment-section comments-area disqus disqus_thread replies respond"
     " related related-posts related-articles recommended recommendations share-buttons share-bar sharing social social-links social-share popup modal overlay login signup search-form".split()
 )
+#: Class names and ids of what readers write.
+READERS = frozenset("comment commentlist comment-body comment-content comment-thread comments-section comments-list reader-comments user-comments responses".split())
+#: Within an article only elements that hold blocks are judged by name: a paragraph or a word of it is the article's.
+HOLDERS = frozenset("div section article main ul ol li dl table form fieldset details figure blockquote".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 #: An end tag closes these if they stand open inside.
 P_ENDS = BLOCKS - frozenset(("html", "body"))
@@ -73,14 +77,19 @@ _SPACE = re.compile(r"[\s]+")
 _END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SILENT}
 
 
-def _is_chrome(tag: str, attributes: str) -> bool:
+def _is_chrome(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element isn't the article: by what it is, by its role, by its class names and its id. ``inside`` an
+    article a header is the article's own."""
     if tag in CHROME:
-        return True
-    if tag in ARTICLE or tag in ("html", "body"):
+        return not (tag == "header" and inside)
+    if tag in ("html", "body") or (inside and tag not in HOLDERS):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         names = (m[2] or m[3] or m[4] or "").lower().split()
-        if not (CHROME_ROLES if m[1].lower() == "role" else CHROME_NAMES).isdisjoint(names):
+        kind = m[1].lower()
+        if kind != "role" and not READERS.isdisjoint(names):
+            return True
+        if tag not in ARTICLE and not (CHROME_ROLES if kind == "role" else CHROME_NAMES).isdisjoint(names):
             return True
     return False
 
@@ -93,8 +102,11 @@ def blocks_of(page: str) -> list[tuple[bool, str]]:
     opened: dict[str, int] = {}
     at = 0
 
+    def say(text: str) -> None:  # references are decoded before the next markup: it ends them
+        words.append(entities.unescape(text) if "&" in text else text)
+
     def flush(article: bool) -> None:
-        text = _SPACE.sub(" ", entities.unescape("".join(words))).strip()
+        text = _SPACE.sub(" ", "".join(words)).strip()
         words.clear()
         if text:
             out.append((article, text))
@@ -113,11 +125,11 @@ def blocks_of(page: str) -> list[tuple[bool, str]]:
         chrome, article = place()
         if start >= 0 and found is None:  # a bare "<" is text
             if not chrome:
-                words.append(page[at : start + 1])
+                say(page[at : start + 1])
             at = start + 1
             continue
         if not chrome:
-            words.append(page[at : start if start >= 0 else len(page)])
+            say(page[at : start if start >= 0 else len(page)])
         if start < 0:
             break
         at, tag = found.end(), (found[2] or "").lower()
@@ -142,7 +154,7 @@ def blocks_of(page: str) -> list[tuple[bool, str]]:
         elif tag == "br":
             words.append("\n")
         if tag not in VOID and not found[3].endswith("/"):
-            stack.append((tag, chrome or _is_chrome(tag, found[3]), article or tag in ARTICLE))
+            stack.append((tag, chrome or _is_chrome(tag, found[3], article), article or tag in ARTICLE))
             opened[tag] = opened.get(tag, 0) + 1
     flush(place()[1])
     return out

@@ -99,3 +99,20 @@ def test_odd_rows(spark):
     got = sorted((r.page_id or 0, len(r.text), r.url) for r in html.extract(pages).fillna("", ["url"]).collect())
     assert got == [(0, 7, "http://a/1"), (1, 0, ""), (2, len("many words here " * 100_000) - 1, "http://a/1"), (2, len("many words here " * 100_000) - 1, "http://a/1"), (3, 4, "http://a/2")]
     assert html.extract(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><header><h1>Title</h1></header><p>main</p></article>", "Title\nmain"),
+    ("<header><h1>Site</h1></header><article><p>main</p><footer>by us</footer></article>", "main"),
+    ('<article><p>main</p><article class="comment"><p>nice</p></article></article>', "main"),
+    ('<article><p>main</p><div class="comment">nice</div></article>', "main"),
+    ('<article><p>main</p><section id="reader-comments"><p>nice</p></section></article>', "main"),
+    ('<article><p>main</p><ul class="commentlist"><li>nice</li></ul></article>', "main"),
+    ('<article><p class="widget">A widget</p><p>and a <span class="banner">banner</span>, <a class="comment">noted</a></p></article>', "A widget\nand a banner, noted"),
+    ('<article><p>main</p><div class="social">share</div><div role="complementary">more</div></article>', "main"),
+    ("<article><p>a &amp;amp; b &am<b>p;</b> c &lt;i&gt;</p></article>", "a &amp; b &amp; c <i>"),
+    ('<div class="comment">nice</div><p class="notice">note</p><p>main</p>', "main"),
+])
+def test_what_the_article_is(page, text):
+    """From the contract, not from the parser's own lists."""
+    assert "\n".join(html.parsed(page)[1]) == text
