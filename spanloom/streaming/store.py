@@ -118,30 +118,51 @@ class Store:
         out = rows.repartition("month", "bucket").sortWithinPartitions("month", "bucket", *order)
         out.write.mode("append").partitionBy("month", "bucket").option("compression", "zstd").parquet(self.at(kind))
 
+    def _folders(self, kind: str, least_files: int) -> tuple[list[str], list[str]]:
+        """Folders with so many files, and these files."""
+        found, files = [], []
+        for month, folder, _ in self.files.listed(self.at(kind)):
+            for bucket, _, _ in self.files.listed(self.at(f"{kind}/{month}")) if folder else []:
+                at = self.at(f"{kind}/{month}/{bucket}")
+                mine = [f"{at}/{n}" for n, _, _ in self.files.listed(at) if n.endswith(".parquet")]
+                if len(mine) >= least_files:
+                    found.append(at)
+                    files += mine
+        return found, files
+
+    def _replace(self, kind: str, change, least_files: int = 1) -> int:
+        """Puts ``change`` of the rows of the folders in the place of their files. New files stand before old ones go."""
+        folders, old = self._folders(kind, least_files)
+        if folders:
+            rows = self.spark.read.schema(f"{KEYED[kind]}, month string, bucket int").option("basePath", self.at(kind)).parquet(*folders)
+            self._write(change(rows), kind, ["project_id", *([MONTH[kind]] if MONTH[kind] else []), trace_of(kind)])
+            for path in old:
+                self.files.delete(path)
+        return len(folders)
+
     def compact(self, kind: str, tombstones_since: datetime, least_files: int = 8) -> int:
         """Puts the newest versions of every folder of ``least_files`` and more into one file, tombstones with them
         while older versions may still come. The number of folders. One writer at a time; who reads an old file
         meanwhile has to ask again."""
-        crowded, old = [], []
-        for month, folder, _ in self.files.listed(self.at(kind)):
-            for bucket, _, _ in self.files.listed(self.at(f"{kind}/{month}")) if folder else []:
-                at = self.at(f"{kind}/{month}/{bucket}")
-                files = [f"{at}/{n}" for n, _, _ in self.files.listed(at) if n.endswith(".parquet")]
-                if len(files) >= least_files:
-                    crowded.append(at)
-                    old += files
-        if not crowded:
-            return 0
-        ddl = f"{KEYED[kind]}, month string, bucket int"
-        rows = self.spark.read.schema(ddl).option("basePath", self.at(kind)).parquet(*crowded)
-        if kind == "field_times":
-            key = ["month", "bucket", "kind", "project_id", "trace_id", "id"]
-            newest = rows.groupBy(*key).agg(F.max_by(F.struct("sent_at", "event_ts", "seq"), F.struct("event_ts", "seq")).alias("n")).select(*key, "n.*")
-        elif kind == "trace_feed":
-            newest = rows.groupBy("project_id", "trace_id", "activity_id", "month", "bucket").agg(F.min_by(F.struct("version", "published_at"), "published_at").alias("n")).select("*", "n.*").drop("n")
-        else:
-            newest = versions.compact(rows, kind, tombstones_since)
-        self._write(newest, kind, ["project_id", *([MONTH[kind]] if MONTH[kind] else []), trace_of(kind)])
-        for path in old:
-            self.files.delete(path)
-        return len(crowded)
+
+        def newest(rows: DataFrame) -> DataFrame:
+            if kind == "field_times":
+                key = ["month", "bucket", "kind", "project_id", "trace_id", "id"]
+                return rows.groupBy(*key).agg(F.max_by(F.struct("sent_at", "event_ts", "seq"), F.struct("event_ts", "seq")).alias("n")).select(*key, "n.*")
+            if kind == "trace_feed":
+                return rows.groupBy("project_id", "trace_id", "activity_id", "month", "bucket").agg(F.min_by(F.struct("version", "published_at"), "published_at").alias("n")).select("*", "n.*").drop("n")
+            return versions.compact(rows, kind, tombstones_since)
+
+        return self._replace(kind, newest, least_files)
+
+    def prune(self, kind: str, gone: DataFrame) -> int:
+        """Takes the rows of the traces in ``gone`` (project_id, trace_id) out for good. Tables of few rows only."""
+        traces = gone.select(F.col("project_id").alias("_project"), F.col("trace_id").alias("_trace")).distinct()
+        return self._replace(kind, lambda rows: rows.join(traces, (rows.project_id == F.col("_project")) & (trace_of(kind) == F.col("_trace")), "left_anti"))
+
+    def months(self, kind: str) -> list[str]:
+        return sorted(n.split("=")[1] for n, folder, _ in self.files.listed(self.at(kind)) if folder and n.startswith("month="))
+
+    def drop_month(self, kind: str, month: str) -> bool:
+        """Drops a month's folder. The map keeps its keys: it may name more folders than there are."""
+        return self.files.delete(self.at(f"{kind}/month={month}"))

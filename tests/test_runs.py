@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import evaluator, refs
 from spanloom.operators.filters import TraceFilter
 from spanloom.schemas import TABLES
-from spanloom.streaming import export_run, retention_log
+from spanloom.streaming import export_run, retention_log, retention_pass
 from spanloom.streaming.ingest import REFS, SCORE_FEED, Store
 from spanloom.streaming.ledger import Ledger
 from spanloom.streaming.store import FEED
@@ -249,3 +249,23 @@ def test_diagnostics_go_whole_or_not_at_all(spark):
     got = {r.object_key: r.action for r in retention_log.diagnostics(failures, sidecars, at(60)).collect()}
     assert got == {"whole": "delete", "bare": "sidecar_missing", "broken": "sidecar_invalid", "part": "sets_differ", "fresh": "inside_window"}
     assert {r.action for r in retention_log.diagnostics(failures, sidecars, at(60), most=0).where("object_key = 'whole'").collect()} == {"row_cap"}
+
+
+def test_retention_pass(spark, tmp_path):
+    store, now = Store(spark, str(tmp_path / "store"), buckets=2), datetime(2024, 6, 1)
+    days = {"old": 400, "due": 40, "held": 40, "new": 3}  # projects keep 30 days, p2 keeps 365
+    day = lambda n: now - timedelta(days=n)
+    rows = [{"id": i, "timestamp": day(d), "event_ts": day(d), "project_id": "p2" if i == "held" else "p"} for i, d in days.items()]
+    store.append("traces", table(spark, "traces", rows))
+    kids = [("o1", "old", 400), ("o2", "due", 39), ("o3", "held", 39), ("o4", "new", 50), ("o5", "due", 2)]
+    store.append("observations", table(spark, "observations", [{"id": i, "trace_id": t, "start_time": day(d), "event_ts": day(d), "project_id": "p2" if t == "held" else "p"} for i, t, d in kids]))
+    store.append("trace_feed", spark.createDataFrame([("p2" if i == "held" else "p", i, "a", day(d), day(d)) for i, d in days.items()], FEED))
+    projects = spark.createDataFrame([("p", 30), ("p2", 365)], "project_id string, retention_days int")
+    done = retention_pass.run_pass(store, projects, now, 90)
+    left = lambda kind: sorted(r.id for r in retention_pass.live(store, kind).collect())
+    assert left("traces") == ["held", "new"] and left("observations") == ["o3", "o4"]  # o4 is old, but its trace stays; o5 is new, but its trace went
+    assert (done["traces_months"], done["observations_months"], done["traces"], done["orphan_observations"]) == (1, 1, 1, 1)
+    assert "2023-04" not in store.months("traces") and sorted(r.trace_id for r in store.read("trace_feed").collect()) == ["held", "new"]
+    assert sorted(r.trace_id for r in retention_pass.expired_parents(store).collect()) == ["due", "old"]
+    again = retention_pass.run_pass(store, projects, now, 90)
+    assert set(again.values()) == {0} and left("traces") == ["held", "new"] and store.files.listed(store.at("_staged")) == []

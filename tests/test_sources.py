@@ -6,7 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.sources import messages, objects, otlp, raw
+from spanloom import schemas
+from spanloom.functions import text
+from spanloom.operators import paging
+from spanloom.sources import importers, messages, objects, otlp, raw
 from spanloom.streaming.ledger import Files
 from test_ingest import attribute, event, land, read
 
@@ -99,3 +102,40 @@ def test_batches_of_a_page(spark, tmp_path):
     land(tmp_path, "b1", [event(1, "trace-upsert", "native", {"id": "t"})])
     found = objects.page(Files(spark), str(tmp_path), "raw/")
     assert raw.events(objects.batches_of(spark, str(tmp_path), found)).select(F.col("object_key")).first().object_key == found.objects[0][0]
+
+
+def test_inventories_of_raw_objects_and_media(spark, tmp_path):
+    at = "timestamp'2024-05-01 00:00:00'"
+    found = spark.createDataFrame([("raw/p/2024/05/01/a.json", 5), ("raw/p/2024/05/02/b.json", 7), ("raw/p/2024/05/03/c.json", 9), ("else", 1)], "object_key string, size long").withColumn("modified_at", F.expr(at))
+    key = lambda *k: spark.createDataFrame([(x,) for x in k], "object_key string")
+    told = {r.state: (r.objects, r.bytes) for r in raw.inventory(found, key("raw/p/2024/05/01/a.json", "raw/p/2024/05/01/a.json"), key("raw/p/2024/05/02/b.json")).collect()}
+    assert told == {"pending": (1, 5), "failed": (1, 7), "done": (2, 10)}
+    due = raw.due_objects(found, F.to_date(F.lit("2024-05-03")))
+    assert sorted(r.object_key[-6:] for r in due.collect()) == ["a.json", "b.json"]
+    media = spark.createDataFrame([("m1", bytearray(b"x")), ("m2", bytearray(b"x")), ("m3", bytearray(b"yy")), ("m4", bytearray(b"zzz"))], "path string, content binary").withColumn("modificationTime", F.expr(at))
+    known = media.where("path = 'm4'").select(F.sha2("content", 256).alias("sha256"))
+    new = raw.media_assets(media, known)
+    assert sorted((r.path, r.bytes) for r in new.collect()) == [("m1", 1), ("m3", 2)]
+    (t,) = raw.media_totals(new).collect()
+    assert (t.assets, t.bytes) == (2, 3) and raw.media_totals(new.where("false")).first().bytes == 0
+
+
+def test_landed_batches_are_read_back(spark, tmp_path):
+    events = "array<struct<id:string,type:string,source:string,schemaVersion:int,idempotencyKey:string,body:string>>"
+    batches = spark.createDataFrame([("p", "b1", "2024-05-01T10:00:00Z", [("e1", "trace-upsert", "native", 1, "e1", "{}")])], f"projectId string, batchId string, receivedAt string, events {events}")
+    raw.land(batches, str(tmp_path / "landed"))
+    got = raw.events(raw.read_batches(spark, f"{tmp_path}/landed/*/*.txt"))
+    assert [(r.project_id, r.batch_id, r.id, r.type) for r in got.collect()] == [("p", "b1", "e1", "trace-upsert")]
+
+
+def test_small_helpers(spark):
+    assert paging.cut_page([1, 2, 3], 2) == ([1, 2], True) and paging.cut_page([1], 2) == ([1], False)
+    row = spark.sql("select map('a', 1, 'b', null) m").select(text.stringified(F.col("m")).alias("m")).first()
+    assert row.m == {"a": "1", "b": ""}
+    mixed = importers.mixed_identity(spark.createDataFrame([("t", "p1"), ("t", "p2"), ("u", "p1"), ("u", "p1")], "id string, project_id string"))
+    assert [r.id for r in mixed.collect()] == ["t"]
+    schemas.require_utc(spark)
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    with pytest.raises(ValueError, match="Paris"):
+        schemas.require_utc(spark)
+    schemas.utc(spark)
