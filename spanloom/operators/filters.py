@@ -92,6 +92,13 @@ def scoped(observations: DataFrame, traces: DataFrame) -> DataFrame:
     return observations.join(ids, ["project_id", "trace_id"], "left_semi")
 
 
+def possible(observations: DataFrame, condition: Column) -> DataFrame:
+    """Observations of traces that have any version for which the condition holds, so that only these are ranked: no
+    other trace can have a live one. The first look reads three columns, and the condition reaches the scan."""
+    key = ["project_id", "trace_id"]
+    return observations.join(observations.where(condition).select(*key).distinct(), key, "left_semi")
+
+
 def whole_days(traces: DataFrame, f: TraceFilter) -> DataFrame:
     """All versions of the days that the range touches. The day is part of the key, so this may come before
     versions collapse, and it reaches the scan."""
@@ -112,6 +119,8 @@ def matched(traces: DataFrame, observations: DataFrame, f: TraceFilter, scope: b
     live = _where(latest(whole_days(traces, f), "traces"), trace_conditions(f))
     if f.narrows if scope is None else scope:
         observations = scoped(observations, live)
+    if f.model:
+        observations = possible(observations, F.col("model") == f.model)
     seen = latest(observations, "observations")
     key = ["project_id", "id"]
     of = seen.withColumnRenamed("id", "observation_id").withColumnRenamed("trace_id", "id")
