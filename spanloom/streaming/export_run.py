@@ -39,10 +39,12 @@ class Tables:
     pending: DataFrame
 
     @staticmethod
-    def of(store: Store, project_id: str) -> Tables:
+    def of(store: Store, project_id: str, book_path: str | None = None) -> Tables:
+        """The project's tables. With the ledger of an export, of the feeds only what comes from its cursors on."""
+        c = Ledger(store.spark, book_path, CURSORS).read().first() if book_path else None
         mine = lambda df: df.where(F.col("project_id") == project_id)
         refs = pending(store.read("raw_event_refs", REFS))
-        return Tables(*(mine(d) for d in (store.read("traces"), store.read("observations"), store.read("scores"), current_feed(store), current_score_feed(store), refs)))
+        return Tables(*(mine(d) for d in (store.read("traces"), store.read("observations"), store.read("scores"), current_feed(store, c and c.feed_at), current_score_feed(store, c and c.score_at), refs)))
 
 
 @dataclass

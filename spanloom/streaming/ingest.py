@@ -15,6 +15,7 @@ was received early and written late comes after the cursor of who has read the f
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +27,10 @@ from spanloom.operators import environments, moved, refs, settlement, versions
 from spanloom.schemas import INGEST_BATCH, RECORD, SORT_TIME, TABLES, struct_of
 from spanloom.sources import compat, native, otlp, raw
 from spanloom.streaming.ledger import Ledger
-from spanloom.streaming.store import FIELD_TIMES, Store, trace_of
+from spanloom.streaming.store import FIELD_TIMES, SCORE_FEED, Store, trace_of  # noqa: F401
 
 
 REFS = "project_id string, trace_id string, object_key string, received_at timestamp, event_ts timestamp, applied tinyint"
-SCORE_FEED = "project_id string, trace_id string, published_at timestamp"
 CLOCK = "project_id string, published_at timestamp"
 ENVIRONMENTS = "project_id string, name string, first_seen_at timestamp, last_seen_at timestamp, hidden boolean"
 FAILED = "project_id string, batch_id string, object_key string, event_id string, source string, stage string, message string, created_at timestamp"
@@ -197,7 +197,7 @@ def published(store: Store, links: DataFrame, scored: DataFrame) -> None:
     rows = feed.join(F.broadcast(at), ["project_id", "activity_id"])
     store.append("trace_feed", rows)
     sent = scored.select(*BATCH, "trace_id").join(F.broadcast(times.where("feed = 1")), BATCH)
-    sent.groupBy("project_id", "trace_id").agg(F.max("published_at").alias("published_at")).write.mode("append").parquet(store.at("score_feed"))
+    store.append("score_feed", sent.groupBy("project_id", "trace_id").agg(F.max("published_at").alias("published_at")))
     clock.forget()
 
 
@@ -295,11 +295,12 @@ def unfinished(store: Store) -> DataFrame:
     return refs.pending(store.read("raw_event_refs", REFS)).select("project_id", "object_key").distinct()
 
 
-def current_feed(store: Store) -> DataFrame:
-    """One row a trace, in the place of its last activity."""
-    return settlement.publish(store.read("trace_feed"))
+def current_feed(store: Store, since: datetime | None = None) -> DataFrame:
+    """One row a trace, in the place of its last activity. ``since`` leaves out what was published before, and with it
+    the months before: times only rise, so the last activity of a trace that has one later is among the later rows."""
+    return settlement.publish(store.read_since("trace_feed", since))
 
 
-def current_score_feed(store: Store) -> DataFrame:
+def current_score_feed(store: Store, since: datetime | None = None) -> DataFrame:
     """(project_id, trace_id, published_at): traces with new scores, each in its last place."""
-    return store.read("score_feed", SCORE_FEED).groupBy("project_id", "trace_id").agg(F.max("published_at").alias("published_at"))
+    return store.read_since("score_feed", since).groupBy("project_id", "trace_id").agg(F.max("published_at").alias("published_at"))

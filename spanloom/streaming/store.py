@@ -21,9 +21,10 @@ from spanloom.streaming.ledger import Files
 
 FIELD_TIMES = "kind string, project_id string, trace_id string, id string, sent_at map<string,timestamp>, event_ts timestamp, seq bigint"
 FEED = "project_id string, trace_id string, activity_id string, version timestamp, published_at timestamp"
-KEYED = {**TABLES, "field_times": FIELD_TIMES, "trace_feed": FEED}
+SCORE_FEED = "project_id string, trace_id string, published_at timestamp"
+KEYED = {**TABLES, "field_times": FIELD_TIMES, "trace_feed": FEED, "score_feed": SCORE_FEED}
 #: The column whose month is the partition; times of fields aren't parted by months.
-MONTH = {**SORT_TIME, "trace_feed": "published_at", "field_times": None}
+MONTH = {**SORT_TIME, "trace_feed": "published_at", "score_feed": "published_at", "field_times": None}
 #: Keys of one question that are pushed down to the map's files; beyond that they are joined only.
 PUSHED = 1000
 
@@ -68,6 +69,16 @@ class Store:
             return self._empty(ddl)
         return self.spark.read.schema(ddl).parquet(self.at(name)).select(*struct_of(ddl).names)
 
+    def read_since(self, kind: str, since: datetime | None) -> DataFrame:
+        """The rows from the time ``since`` on: only folders of its month and later ones are opened."""
+        if since is None:
+            return self.read(kind)
+        there = [self.at(f"{kind}/month={m}") for m in self.months(kind) if m >= since.strftime("%Y-%m")]
+        if not there:
+            return self._empty(KEYED[kind])
+        rows = self.spark.read.schema(KEYED[kind]).option("basePath", self.at(kind)).parquet(*there).select(*struct_of(KEYED[kind]).names)
+        return rows.where(F.col(MONTH[kind]) >= F.lit(since))
+
     def _hashed(self, trace: Column) -> tuple[Column, Column]:
         key = F.xxhash64("project_id", trace)
         return key.alias("key"), F.pmod(key, F.lit(self.buckets)).cast("int").alias("bucket")
@@ -151,6 +162,8 @@ class Store:
                 return rows.groupBy(*key).agg(F.max_by(F.struct("sent_at", "event_ts", "seq"), F.struct("event_ts", "seq")).alias("n")).select(*key, "n.*")
             if kind == "trace_feed":
                 return rows.groupBy("project_id", "trace_id", "activity_id", "month", "bucket").agg(F.min_by(F.struct("version", "published_at"), "published_at").alias("n")).select("*", "n.*").drop("n")
+            if kind == "score_feed":
+                return rows.groupBy("project_id", "trace_id", "month", "bucket").agg(F.max("published_at").alias("published_at"))
             return versions.compact(rows, kind, tombstones_since)
 
         return self._replace(kind, newest, least_files)

@@ -11,7 +11,7 @@ from test_ingest import compat_batch, event, land, run
 from spanloom.operators import environments, versions
 from spanloom.streaming import ingest, ledger
 from spanloom.streaming.ledger import Ledger
-from spanloom.streaming.store import Store
+from spanloom.streaming.store import FEED, SCORE_FEED, Store
 
 
 def trace(i, day, name="n", project="p1", environment=None):
@@ -53,6 +53,20 @@ def test_keys_in_several_months_and_compaction(spark, tmp_path):
     assert store.read("traces").count() == 4 and store.compact("traces", datetime(2019, 1, 1), least_files=2) == 0
 
 
+def test_feeds_from_a_time_on_open_later_months_only(spark, tmp_path):
+    store, at = Store(spark, str(tmp_path), buckets=2), lambda m, d=1: datetime(2024, m, d)
+    store.append("trace_feed", spark.createDataFrame([("p", i, f"{i}{m}", at(m), at(m, d)) for i, m, d in (("a", 1, 1), ("b", 2, 1), ("a", 3, 1), ("c", 3, 2), ("d", 4, 1))], FEED))
+    told = lambda since: sorted((r.published_at, r.trace_id) for r in ingest.current_feed(store, since).collect())
+    whole = told(None)
+    assert whole == [(at(2), "b"), (at(3), "a"), (at(3, 2), "c"), (at(4), "d")]
+    assert told(at(3, 2)) == whole[2:] and told(at(5)) == []
+    assert len(store.read_since("trace_feed", at(4)).inputFiles()) == 1 < len(store.read("trace_feed").inputFiles())
+    store.append("score_feed", spark.createDataFrame([("p", "a", at(1)), ("p", "a", at(1, 2)), ("p", "b", at(2))], SCORE_FEED))
+    store.append("score_feed", spark.createDataFrame([("p", "a", at(1, 3))], SCORE_FEED))
+    assert store.compact("score_feed", at(1), least_files=2) == 1 and store.read("score_feed").count() == 2
+    assert [(r.trace_id, r.published_at) for r in ingest.current_score_feed(store, at(1, 2)).orderBy("trace_id").collect()] == [("a", at(1, 3)), ("b", at(2))]
+
+
 def test_ledger_commits_only_after_what_was_seen(spark, tmp_path, monkeypatch):
     book = Ledger(spark, str(tmp_path / "book"), "k string, n long")
     one = lambda n: spark.createDataFrame([("a", n)], "k string, n long")
