@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import pricing
 from spanloom.functions import time as T
-from spanloom.operators import evaluator, moved, retention, settlement, versions
+from spanloom.operators import evaluator, moved, paging, retention, settlement, versions
 from spanloom.plans import feeds, ingest, upkeep
 from spanloom.plans import projections as P
 from spanloom.plans.lists import us
@@ -76,6 +76,31 @@ def compat_score_items(spark, sf):
     )
 
 
+@query("stored_turn_objects", f"""{with_sql('conv')} SELECT trace_id, id, name, parent_observation_id AS parent, coalesce(input, output) AS payload, {ISO.format('start_time')} AS started,
+array_to_string(list_filter(['projectId', 'id', 'traceId', CASE WHEN parent_observation_id IS NOT NULL THEN 'parentObservationId' END, 'name', 'startTime', CASE WHEN input IS NOT NULL THEN 'input' END, CASE WHEN output IS NOT NULL THEN 'output' END], lambda x: x IS NOT NULL), ',') AS fields FROM conv""")
+def stored_turn_objects(spark, sf):
+    """Turns as objects; their texts aren't JSON and stay text."""
+    rows = P.conv_observations(spark, sf).select("project_id", "id", "trace_id", "parent_observation_id", "name", "start_time", "input", "output", F.expr("cast(map() as map<string,string>)").alias("metadata"))
+    items = rows.select(export.stored_object(rows).alias("item"))
+    return items.select(_field("traceId").alias("trace_id"), _field("id").alias("id"), _field("name").alias("name"), _field("parentObservationId").alias("parent"), F.coalesce(_field("input"), _field("output")).alias("payload"), _field("startTime").alias("started"), _names())
+
+
+@query("stored_event_objects", """SELECT CAST(event_id AS VARCHAR) AS id, event_type AS name, props ->> '$.k' AS k, epoch_us(ts) // 1000 AS started FROM events""")
+def stored_event_objects(spark, sf):
+    """Events as objects; their payload is JSON and comes as its value."""
+    rows = P.evt_observations(spark, sf).drop("user_id", "value")
+    items = rows.select(export.stored_object(rows).alias("item"))
+    return items.select(_field("id").alias("id"), _field("name").alias("name"), _field("input.k").alias("k"), F.unix_millis(F.to_timestamp(_field("startTime"))).alias("started"))
+
+
+@query("retention_keyset_page", f"""{upkeep.KEEP} SELECT project_id, id, epoch_us(timestamp) AS timestamp FROM live_traces JOIN limits USING (project_id)
+WHERE timestamp < cutoff AND project_id = 'p1' AND (CAST(timestamp AS DATE), id) > (DATE '1994-01-01', '500') ORDER BY CAST(timestamp AS DATE), id LIMIT 201""")
+def retention_keyset_page(spark, sf):
+    """A project's rows past the cutoff, by day and id, from a key on: the order in which one deletes piece by piece."""
+    due = retention.expired_rows(P.ord_traces(spark, sf), "traces", upkeep.limits(spark)).where("project_id = 'p1'").withColumn("day", F.to_date("timestamp"))
+    return paging.keyset_page(due, ["day", "id"], 200, (date(1994, 1, 1), "500")).select("project_id", "id", us("timestamp"))
+
+
 FROZEN = (datetime(2024, 1, 10), "u3")
 
 

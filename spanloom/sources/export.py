@@ -163,6 +163,22 @@ def compat_score(df: DataFrame) -> Column:
     })
 
 
+def stored_object(df: DataFrame) -> Column:
+    """A stored row as the object it stands for, as JSON: nulls and empty maps are absent, and a payload that is JSON is
+    its value, any other its text."""
+    payload = lambda c: F.coalesce(text.parsed(F.col(c)), F.col(c).cast("variant"))
+
+    def value(name: str, kind: str) -> Column:
+        if name in ("input", "output"):
+            return payload(name)
+        if kind.startswith("map"):
+            return F.when(F.size(name) > 0, F.col(name))
+        return to_iso(F.col(name)) if kind == "timestamp" else F.col(name)
+
+    camel = lambda n: n.split("_")[0] + "".join(x.title() for x in n.split("_")[1:])
+    return F.to_json(F.struct(*[value(n, t).alias(camel(n)) for n, t in df.dtypes if n not in ("event_ts", "is_deleted", "seq")]))
+
+
 def tree_response(traces: DataFrame, tree: DataFrame, observations: DataFrame) -> DataFrame:
     """(project_id, id, body): a trace with its observations nested below their parents, as JSON."""
     rows = tree.join(observations, ["project_id", "trace_id", "id"]).select(
