@@ -59,9 +59,9 @@ def _judged(events: DataFrame, kind: str) -> DataFrame:
 
 
 def errors(events: DataFrame) -> DataFrame:
-    """(project_id, batch_id, object_key, event_id, source, message) of events that don't map."""
-    parts = [_judged(events, k).where("message is not null").select("project_id", "batch_id", "object_key", "event_id", "source", "message") for k in TYPES]
-    unknown = events.where((F.col("source") == "native") & ~F.col("type").isin(*TYPES)).select("project_id", "batch_id", "object_key", F.col("id").alias("event_id"), "source", F.lit("type is unknown").alias("message"))
+    """(project_id, batch_id, object_key, event_id, event_type, source, message) of events that don't map."""
+    parts = [_judged(events, k).where("message is not null").select("project_id", "batch_id", "object_key", "event_id", F.lit(k).alias("event_type"), "source", "message") for k in TYPES]
+    unknown = events.where((F.col("source") == "native") & ~F.col("type").isin(*TYPES)).select("project_id", "batch_id", "object_key", F.col("id").alias("event_id"), F.col("type").alias("event_type"), "source", F.lit("type is unknown").alias("message"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(unknown)
 
 

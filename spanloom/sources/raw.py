@@ -83,7 +83,7 @@ def media_totals(assets: DataFrame) -> DataFrame:
 
 def dead_letters(errors: DataFrame, at) -> DataFrame:
     """Rows for the table of failed events."""
-    return errors.select("project_id", "batch_id", "object_key", "event_id", "source", F.lit("mapping").alias("stage"), "message", F.lit(at).cast("timestamp").alias("created_at"))
+    return errors.select("project_id", "batch_id", "object_key", "event_id", "event_type", "source", F.lit("mapping").alias("stage"), "message", F.lit(at).cast("timestamp").alias("created_at"))
 
 
 def inventory(objects: DataFrame, pending: DataFrame, failed: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from spanloom.streaming.store import FIELD_TIMES, SCORE_FEED, Store, trace_of  #
 REFS = "project_id string, trace_id string, object_key string, received_at timestamp, event_ts timestamp, applied tinyint"
 CLOCK = "project_id string, published_at timestamp"
 ENVIRONMENTS = "project_id string, name string, first_seen_at timestamp, last_seen_at timestamp, hidden boolean"
-FAILED = "project_id string, batch_id string, object_key string, event_id string, source string, stage string, message string, created_at timestamp"
+FAILED = "project_id string, batch_id string, object_key string, event_id string, event_type string, source string, stage string, message string, created_at timestamp"
 
 
 BATCH = ["project_id", "batch_id"]
@@ -152,12 +152,12 @@ def bad_exports(spans: DataFrame) -> DataFrame:
 def failures(events: DataFrame, bad: DataFrame | None, requests: DataFrame | None) -> DataFrame:
     """Dead letters of all sources: native events, whole exports, single events of compatible requests."""
     sent = events.select(*EVENT, "object_key", F.col("id").alias("event"), "source")
-    shape = [*BATCH, "object_key", "event_id", "source", "message"]
+    shape = [*BATCH, "object_key", "event_id", "event_type", "source", "message"]
     found = [native.errors(events)]
     if bad is not None:
-        found.append(sent.join(bad, EVENT).withColumns({"event_id": F.col("event"), "message": F.lit("a span's times are no unsigned nanoseconds")}).select(*shape))
+        found.append(sent.join(bad, EVENT).withColumns({"event_id": F.col("event"), "event_type": F.lit(EXPORT), "message": F.lit("a span's times are no unsigned nanoseconds")}).select(*shape))
     if requests is not None:
-        found.append(sent.join(compat.responses(requests).where("status = 400").select(*EVENT, "event_id", "message"), EVENT).select(*shape))
+        found.append(sent.join(compat.responses(requests).where("status = 400").select(*EVENT, "event_id", "message"), EVENT).withColumn("event_type", F.lit(COMPAT)).select(*shape))
     return raw.dead_letters(reduce(DataFrame.unionByName, found), None).withColumn("created_at", F.current_timestamp())
 
 

@@ -176,7 +176,7 @@ def test_late_rows_failures_and_score_feed(spark, tmp_path):
     run(spark, store, landing, tmp_path / "ck")
     assert [(r.name, r.timestamp.day) for r in versions.latest(store.read("traces"), "traces").collect()] == [("new", 3)]
     assert store.read("observations").count() == 0
-    assert {(r.event_id, r.source) for r in store.read("ingest_failures", ingest.FAILED).collect()} == {("e2", "otlp"), ("x0", "langfuse")}
+    assert {(r.event_id, r.event_type, r.source) for r in store.read("ingest_failures", ingest.FAILED).collect()} == {("e2", "otlp-export", "otlp"), ("x0", "langfuse-ingestion", "langfuse")}
     (trace,), (scores,) = ingest.current_feed(store).collect(), ingest.current_score_feed(store).collect()
     assert (trace.trace_id, trace.activity_id, scores.trace_id) == ("t9", "b2", "t9")
     assert scores.published_at > trace.published_at > datetime.now() - timedelta(hours=1)  # of the writing, not of the receipt
