@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import pricing
 from spanloom.functions import time as T
-from spanloom.operators import evaluator, moved, paging, retention, settlement, versions
+from spanloom.operators import evaluator, moved, paging, projects, retention, settlement, versions
 from spanloom.plans import feeds, ingest, upkeep
 from spanloom.plans import projections as P
 from spanloom.plans.lists import us
@@ -216,3 +216,37 @@ def price_overrides_ordered(spark, sf):
     p = P._read(spark, sf, "part")
     rules = p.select(F.concat(F.lit("p"), F.col("p_partkey") % 4).alias("project_id"), (-F.col("p_partkey")).alias("ordinal"), F.concat(F.when(F.col("p_partkey") % 9 == 0, "(").otherwise("^"), "p_name").alias("pattern"))
     return pricing.ordered_overrides(rules)
+
+
+PROJECTS = """projects AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS organization_id, c_name AS name, TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 40 AS INTEGER)) AS created_at,
+CASE WHEN c_custkey % 3 = 0 THEN 60 END AS quiet_seconds FROM customer)"""
+
+
+def project_rows(spark, sf) -> DataFrame:
+    """A project a customer, its nation the organization."""
+    c, key = P._read(spark, sf, "customer"), F.col("c_custkey")
+    created = F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + key % 40 * 86_400_000_000)
+    return c.select(F.concat(F.lit("c"), key).alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("organization_id"), F.col("c_name").alias("name"), created.alias("created_at"), F.when(key % 3 == 0, 60).alias("quiet_seconds"))
+
+
+@query("projects_of_organization", f"WITH {PROJECTS} SELECT id, name, epoch_us(created_at) AS created_at FROM projects WHERE organization_id = 'n3'")
+def projects_of_organization(spark, sf):
+    return projects.of_organization(project_rows(spark, sf), "n3").select("id", "name", us("created_at"))
+
+
+@query("projects_oldest", f"WITH {PROJECTS} SELECT id, organization_id, epoch_us(created_at) AS created_at FROM projects ORDER BY created_at, id LIMIT 21")
+def projects_oldest(spark, sf):
+    return projects.oldest(project_rows(spark, sf), 20).select("id", "organization_id", us("created_at"))
+
+
+@query("projects_by_ids", f"WITH {PROJECTS} SELECT id, name FROM projects WHERE id IN (SELECT 'c' || o_custkey FROM orders)")
+def projects_by_ids(spark, sf):
+    """The projects that have orders."""
+    asked = P._read(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("id"))
+    return projects.by_ids(project_rows(spark, sf), asked).select("id", "name")
+
+
+@query("project_settlement", f"WITH {PROJECTS} SELECT id, epoch_us(TIMESTAMP '2024-06-01') - coalesce(quiet_seconds, 300) * 1000000 AS settled_before FROM projects")
+def project_settlement(spark, sf):
+    at = projects.settled_before(F.lit("2024-06-01").cast("timestamp"))
+    return project_rows(spark, sf).select("id", F.unix_micros(at).alias("settled_before"))
