@@ -168,3 +168,15 @@ def test_failed_batch_leaves_nothing_staged(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     run(spark, store, landing, tmp_path / "ck")
     assert ingest.unfinished(store).count() == 0 and store.read("traces").count() == 1
+
+
+def test_batches_that_map_to_nothing(spark, tmp_path):
+    landing, store = tmp_path / "land", Store(spark, str(tmp_path / "store"), buckets=4)
+    land(landing, "b1", [event(1, "strange", "native", {}), event(2, "trace-upsert", "native", "no json")])
+    (landing / "raw/p1/2024/05/01/b2.json").write_text("{broken")
+    run(spark, store, landing, tmp_path / "ck")
+    failed = sorted((r.event_id, r.event_type) for r in store.read("ingest_failures", ingest.FAILED).collect())
+    assert failed == [("e1", "strange"), ("e2", "trace-upsert")] and ingest.current_feed(store).count() == 0
+    land(landing, "b3", [event(3, "score-upsert", "native", {"id": "s1", "traceId": "t1", "name": "good", "source": "api", "value": 1})], at="2024-05-01T11:00:00.000Z")
+    run(spark, store, landing, tmp_path / "ck")
+    assert [r.trace_id for r in ingest.current_score_feed(store).collect()] == ["t1"] and store.read("scores").count() == 1
