@@ -118,29 +118,3 @@ def parse_raw_key(key: Column) -> Column:
     text = F.concat_ws("-", part(2), part(3), part(4))
     day = F.try_to_date(text, "yyyy-MM-dd")
     return F.when(key.rlike(pattern) & (F.date_format(day, "yyyy-MM-dd") == text), F.struct(part(1).alias("project_id"), day.alias("day"), part(5).alias("batch_id")))
-
-
-def compact_number(value: Column) -> Column:
-    number = lambda v, unit: F.concat(F.regexp_replace(F.format_string("%.1f", v), r"\.0$", ""), F.lit(unit))
-    return F.when(value >= 1e9, number(value / 1e9, "B")).when(value >= 1e6, number(value / 1e6, "M")).when(value >= 1e3, number(value / 1e3, "K")).otherwise(number(value, ""))
-
-
-def latency_text(ms: Column) -> Column:
-    return F.when(ms.isNull(), "-").when(ms < 1000, F.format_string("%d ms", ms.cast("long"))).when(ms < 60_000, F.format_string("%.2f s", ms / 1000)).otherwise(F.format_string("%.1f min", ms / 60_000))
-
-
-def payload_shape(text: Column) -> Column:
-    """What a payload looks like to a reader: messages, choices, text, json, or null where there is none."""
-    first = lambda path: F.get_json_object(text, path)
-    listed = first("$[0].role").isNotNull() | first("$.messages[0].role").isNotNull()
-    answer = first("$.choices[0].message").isNotNull() | first("$.choices[0].text").isNotNull()
-    plain = F.schema_of_variant(parsed(text)) == "STRING"
-    return F.when(text.isNull(), None).when(listed, "messages").when(answer, "choices").when(F.coalesce(plain, F.lit(True)), "text").otherwise("json")
-
-
-def unwrapped(text: Column, depth: int = 3) -> Column:
-    """JSON that was put into a JSON string, up to ``depth`` times, taken out again."""
-    for _ in range(depth):
-        inner = F.try_variant_get(parsed(text), "$", "string")
-        text = F.when((F.schema_of_variant(parsed(text)) == "STRING") & parsed(inner).isNotNull(), inner).otherwise(text)
-    return text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import text
+from spanloom.functions import display, text
 from spanloom.functions import time as T
 from spanloom.plans import projections as P
 from spanloom.plans.lists import us
@@ -188,7 +188,47 @@ def import_list_traces(spark, sf):
     return importers.map_list_traces(pulled, "p").select("id", us("timestamp"), "name", F.array_join("tags", ",").alias("tags"), F.col("metadata")["status"].alias("status"))
 
 
-@query("display_numbers", "SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN replace(printf('%.1f', o_totalprice / 1000) || 'K', '.0K', 'K') ELSE replace(printf('%.1f', o_totalprice), '.0', '') END AS compact FROM orders WHERE o_totalprice < 1000000 AND abs(o_totalprice / 100 - floor(o_totalprice / 100) - 0.5) > 0.01")
+def _fixed_sql(value: str, digits: int) -> str:
+    """Exact ties, which only these multiples can be, go up as they do here and not to the even digit."""
+    tie = {0: 2, 1: 4, 2: 8, 4: 32}[digits]
+    return f"printf('%.{digits}f', CASE WHEN ({value}) * {tie} = floor(({value}) * {tie}) THEN nextafter({value}, 'inf'::DOUBLE) ELSE {value} END)"
+
+
+def _compact_sql(v: str) -> str:
+    units = "".join(f" WHEN {v} >= {size} THEN CASE WHEN {v} / {size} < 100 THEN regexp_replace({_fixed_sql(f'{v} / {size}', 1)}, '\\.0$', '') ELSE {_fixed_sql(f'{v} / {size}', 0)} END || '{unit}'" for size, unit in (("1e9", "B"), ("1e6", "M"), ("1e3", "K")))
+    return f"CASE WHEN {v} < 10000 THEN format('{{:,}}', {_fixed_sql(v, 0)}::BIGINT){units} END"
+
+
+def _usd_sql(v: str) -> str:
+    return f"CASE WHEN {v} = 0 THEN '$0.00' WHEN {v} < 0.01 THEN '<$0.01' WHEN {v} >= 1000 THEN '$' || {_compact_sql(v)} WHEN {v} < 1 THEN '$' || {_fixed_sql(v, 4)} ELSE '$' || {_fixed_sql(v, 2)} END"
+
+
+@query("display_numbers", f"SELECT o_orderkey, {_compact_sql('v')} AS compact, {_usd_sql('v')} AS usd FROM (SELECT o_orderkey, o_totalprice::DOUBLE AS v FROM orders)")
 def display_numbers(spark, sf):
-    o = P._read(spark, sf, "orders").where("o_totalprice < 1000000 and abs(o_totalprice / 100 - floor(o_totalprice / 100) - 0.5) > 0.01")
-    return o.select("o_orderkey", text.compact_number(F.col("o_totalprice")).alias("compact"))
+    price = F.col("o_totalprice").cast("double")
+    return P._read(spark, sf, "orders").select("o_orderkey", display.compact_number(price).alias("compact"), display.usd(price).alias("usd"))
+
+
+@query("display_texts", f"""WITH v AS (SELECT l_orderkey, l_linenumber, l_extendedprice::DOUBLE * l_quantity::DOUBLE * l_quantity::DOUBLE AS big, l_discount::DOUBLE * l_tax::DOUBLE / 8 AS small, CASE WHEN l_linenumber < 7 THEN l_extendedprice::DOUBLE * l_linenumber * l_linenumber / 8 END AS ms FROM lineitem)
+SELECT l_orderkey, l_linenumber, {_compact_sql('big')} AS big, CASE WHEN small = 0 THEN '$0.00' WHEN small < 0.0001 THEN '<$0.0001' WHEN small < 1 THEN '$' || {_fixed_sql('small', 4)} ELSE {_usd_sql('small')} END AS cost, {_usd_sql('small')} AS usd,
+CASE WHEN ms IS NULL THEN chr(8212) WHEN ms < 1000 THEN {_fixed_sql('ms', 0)} || 'ms' WHEN ms < 10000 THEN {_fixed_sql('ms / 1000', 2)} || 's' WHEN ms < 60000 THEN {_fixed_sql('ms / 1000', 1)} || 's' ELSE {_fixed_sql('ms / 60000', 1)} || 'm' END AS latency FROM v""")
+def display_texts(spark, sf):
+    of = lambda c: F.col(c).cast("double")
+    line = F.col("l_linenumber")
+    big, small, ms = of("l_extendedprice") * of("l_quantity") * of("l_quantity"), of("l_discount") * of("l_tax") / 8, F.when(line < 7, of("l_extendedprice") * line * line / 8)
+    return P._read(spark, sf, "lineitem").select("l_orderkey", line, display.compact_number(big).alias("big"), display.trace_cost(small).alias("cost"), display.usd(small).alias("usd"), display.latency(ms).alias("latency"))
+
+
+_ROLES_SQL = "role IN ('system', 'developer', 'user', 'assistant', 'tool', 'function') AND text IS NOT NULL"
+
+
+@query("payload_turns", f"""SELECT conv_id, turn, CASE WHEN NOT coalesce({_ROLES_SQL}, FALSE) THEN 'json' WHEN turn % 2 = 0 THEN 'choices' ELSE 'messages' END AS kind, CASE WHEN {_ROLES_SQL} THEN role END AS role, CASE WHEN {_ROLES_SQL} AND turn % 2 = 0 THEN CAST(turn AS VARCHAR) END AS index,
+CASE WHEN {_ROLES_SQL} THEN text END AS text FROM conversations""")
+def payload_turns(spark, sf):
+    """Every turn of the conversations as the payload of a request or of an answer, and read back from it."""
+    turns = P._read(spark, sf, "conversations")
+    message = F.struct("role", F.col("text").alias("content"))
+    answer = F.struct(F.array(F.struct(F.col("turn").alias("index"), message.alias("message"))).alias("choices"))
+    got = turns.withColumn("p", display.interpreted(F.when(F.col("turn") % 2 == 0, F.to_json(answer)).otherwise(F.to_json(message))))
+    one = F.try_element_at("p.turns", F.lit(1))
+    return got.select("conv_id", "turn", "p.kind", one["role"].alias("role"), one["index"].alias("index"), display.unwrapped(one["content"]).alias("text"))
