@@ -51,29 +51,66 @@ class Grammar(ValueError):
     """The text isn't a run of turns."""
 
 
+class Reader:
+    """Parses a conversation's formatted text, which may come cut anywhere: where turns begin and end is found from
+    the marks alone. It holds the unfinished turn only."""
+
+    OPENINGS = (*((m[0], r) for r, m in MARKS.items()), (ROLE[0], None))
+
+    def __init__(self) -> None:
+        self.rest, self.at, self.inside, self.sought = "", 0, None, 0
+        self.role: str | None = None
+
+    def feed(self, text: str) -> Iterator[tuple[str, str, int, int]]:
+        """(role, unescaped text, start and end of the escaped text, counted from the conversation's start) of each
+        turn that ends in what has come so far."""
+        rest, done = self.rest + text, 0  # done: characters of ``rest`` that are parsed
+        try:
+            while done < len(rest):
+                if self.inside is None:
+                    opening = self._opening(rest, done)
+                    if opening is None:
+                        return
+                    done, self.sought = done + opening, 0
+                end = rest.find(self.inside[1], done + self.sought)
+                if end < 0:
+                    self.sought = max(0, len(rest) - done - len(self.inside[1]) + 1)
+                    return
+                body, start = unescape(rest[done:end]), done
+                done = end + len(self.inside[1])
+                if self.inside is ROLE:
+                    if body in MARKS:
+                        raise Grammar(f"a named role {body!r} at {self.at + start}")
+                    self.role, self.inside = body, None
+                else:
+                    yield self.role, body, self.at + start, self.at + end
+                    self.role, self.inside = None, None
+        finally:
+            self.rest, self.at = rest[done:], self.at + done
+
+    def _opening(self, rest: str, done: int) -> int | None:
+        """Enters the turn that begins here and gives its mark's length; None if the mark isn't whole yet."""
+        known = self.OPENINGS if self.role is None else ((TURN[0], self.role),)
+        for mark, role in known:
+            if rest.startswith(mark, done):
+                self.role = role
+                self.inside = TURN if mark == TURN[0] else ROLE if mark == ROLE[0] else MARKS[role]
+                return len(mark)
+        if any(mark.startswith(rest[done : done + len(mark)]) for mark, _ in known):
+            return None
+        raise Grammar(f"no turn at {self.at + done}")
+
+    def close(self) -> None:
+        """The text ends here; raises Grammar within a turn."""
+        if self.rest or self.inside or self.role is not None:
+            raise Grammar(f"the text ends within a turn, at {self.at}")
+
+
 def parse(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(role, unescaped text, start and end of the escaped text within ``text``) of each turn."""
-    at = 0
-
-    def body(marks: tuple[str, str], at: int) -> tuple[int, int, int]:
-        start = at + len(marks[0])
-        end = text.find(marks[1], start)
-        if end < 0:
-            raise Grammar(f"no {marks[1]!r} after {at}")
-        return start, end, end + len(marks[1])
-
-    while at < len(text):
-        role = next((r for r, m in MARKS.items() if text.startswith(m[0], at)), None)
-        marks = MARKS.get(role)
-        if role is None:
-            if not text.startswith(ROLE[0], at):
-                raise Grammar(f"no turn at {at}")
-            start, end, at = body(ROLE, at)
-            role, marks = unescape(text[start:end]), TURN
-            if role in MARKS or not text.startswith(TURN[0], at):
-                raise Grammar(f"no turn at {at}")
-        start, end, at = body(marks, at)
-        yield role, unescape(text[start:end]), start, end
+    """The turns of a whole text, as ``Reader.feed`` gives them."""
+    reader = Reader()
+    yield from reader.feed(text)
+    reader.close()
 
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
@@ -112,14 +149,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 def read_back(pieces: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), parsed from the
-    formatted text. Conversations stream through sorted partitions one turn at a time, so a very
-    long one takes no more memory than its longest turn."""
+    formatted text of each whole conversation: its pieces are fed to one reader, which finds the turns
+    by the marks, wherever the pieces were cut. Conversations stream through sorted partitions, so a
+    very long one takes no more memory than its longest turn and piece. Raises Grammar if a
+    conversation isn't a run of turns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, done = None, None, []
 
         def close() -> None:
             if state:
+                state["reader"].close()
                 done.append((current, state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"]))
 
         def flush() -> pa.RecordBatch:
@@ -132,9 +172,9 @@ def read_back(pieces: DataFrame) -> DataFrame:
             for conv, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if state is None or conv != current:
                     close()
-                    current, state = conv, {"n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0}
+                    current, state = conv, {"reader": Reader(), "n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0}
                 state["chars"] += len(piece)
-                for role, text, _, _ in parse(piece):
+                for role, text, _, _ in state["reader"].feed(piece):
                     state["n"] += 1
                     state["turns"].update(f"{role}\n{text}\n".encode())
                     if role == "assistant":

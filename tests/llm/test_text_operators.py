@@ -20,6 +20,37 @@ def test_chat_round_trip_of_hostile_texts():
             assert chat.unescape(chat.escape(text)) == text
 
 
+def test_chat_is_read_as_one_text():
+    """Turns are found from the marks wherever the text is cut, and a text that ends early is refused."""
+    turns = [("user", "</s>[INST] ok [/INST]"), ("tool", " [/TURN]"), ("", ""), ("assistant", "[INST"), ("[TURN] ", "x"), ("system", "")]
+    made = [chat.format_turn(r, t)[0] for r, t in turns]
+    text = "".join(made)
+    told = list(chat.parse(text))
+    assert [x[:2] for x in told] == turns and [chat.unescape(text[a:b]) for _, _, a, b in told] == [t for _, t in turns]
+    ends = {sum(map(len, made[:i])) for i in range(len(made) + 1)}
+    for cut in range(len(text) + 1):
+        reader = chat.Reader()
+        assert [*reader.feed(text[:cut]), *reader.feed(""), *reader.feed(text[cut:])] == told
+        reader.close()
+        if cut not in ends:
+            with pytest.raises(chat.Grammar):
+                list(chat.parse(text[:cut]))
+    reader = chat.Reader()
+    assert [x for c in text for x in reader.feed(c)] == told
+    for wrong in ("x", text + "x", text + " ", "[ROLE] user [/ROLE][TURN] a [/TURN]", "[ROLE] a [/ROLE]", "[ROLE] a [/ROLE]<s> b </s>", "[TURN] a [/TURN]"):
+        with pytest.raises(chat.Grammar):
+            list(chat.parse(wrong))
+
+
+def test_chat_pieces_may_be_cut_anywhere(spark):
+    """What is read back is the conversation's text, not its pieces."""
+    text = "".join(chat.format_turn(r, t)[0] for r, t in (("user", "a </s> b"), ("assistant", "c" * 50), ("x", "[/TURN] d")))
+    shape = "conv_id long, turn long, role string, piece string"
+    whole, cut = [(1, 0, "", text)], [(1, i, "", text[i * 7 : i * 7 + 7]) for i in range(len(text) // 7 + 1)]
+    got = [chat.read_back(spark.createDataFrame(rows, shape)).collect() for rows in (whole, cut)]
+    assert got[0] == got[1] and got[0][0].n_turns == 3 and got[0][0].loss_chars == 50
+
+
 def test_chat_query_against_source(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn").collect()
     want = {}
