@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import pricing
 from spanloom.functions import time as T
-from spanloom.operators import evaluator, moved, paging, projects, retention, settlement, versions
+from spanloom.operators import evaluator, moved, paging, projects, retention, settlement, snapshots, versions
 from spanloom.plans import feeds, ingest, upkeep
 from spanloom.plans import projections as P
 from spanloom.plans.lists import us
@@ -250,3 +250,66 @@ def projects_by_ids(spark, sf):
 def project_settlement(spark, sf):
     at = projects.settled_before(F.lit("2024-06-01").cast("timestamp"))
     return project_rows(spark, sf).select("id", F.unix_micros(at).alias("settled_before"))
+
+
+_SNAPSHOT_SQL = """WITH runs AS (SELECT CAST(c_custkey AS VARCHAR) AS project_id, CASE WHEN c_custkey % 4 = 0 THEN 'failed' ELSE 'running' END AS status, 't' || c_nationkey AS run_token, CASE WHEN c_custkey % 9 > 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 7 AS INT)) END AS lease FROM customer),
+state AS (SELECT CAST(o_custkey AS VARCHAR) AS project_id, CAST(o_orderkey AS VARCHAR) AS trace_id, o_orderstatus AS content_hash, CASE WHEN o_orderkey % 5 > 0 THEN substr(o_orderpriority, 1, 1) END AS tree_hash, 'a' || o_orderkey AS activity_id, o_orderdate::TIMESTAMP AS at, o_orderkey % 2 = 0 AS pending, o_orderkey % 4 < 2 AS publish_required FROM orders WHERE o_orderkey % 3 > 0),
+live AS (SELECT * FROM runs WHERE status = 'running' AND lease > TIMESTAMP '2024-01-03')"""
+_NOW = datetime(2024, 1, 3)
+
+
+def _runs_and_state(spark, sf):
+    """Runs by customer, and two thirds of the orders as staged traces."""
+    key, order = F.col("c_custkey"), F.col("o_orderkey")
+    runs = P._read(spark, sf, "customer").select(
+        key.cast("string").alias("project_id"), F.lit("s").alias("source"), F.when(key % 4 == 0, "failed").otherwise("running").alias("status"), F.concat(F.lit("t"), "c_nationkey").alias("run_token"),
+        F.when(key % 9 > 0, F.timestamp_seconds(F.lit(1704067200) + key % 7 * 86400)).alias("lease_expires_at"),
+    )
+    orders = P._read(spark, sf, "orders")
+    state = orders.where(order % 3 > 0).select(
+        F.col("o_custkey").cast("string").alias("project_id"), F.lit("s").alias("source"), order.cast("string").alias("trace_id"), F.col("o_orderstatus").alias("content_hash"), F.when(order % 5 > 0, F.substring("o_orderpriority", 1, 1)).alias("tree_hash"),
+        F.concat(F.lit("a"), order).alias("activity_id"), F.col("o_orderdate").cast("timestamp").alias("source_activity_at"), F.lit("{}").alias("snapshot"), F.lit("old").alias("run_token"), (order % 2 == 0).alias("pending"), (order % 4 < 2).alias("publish_required"),
+        F.col("o_orderdate").cast("timestamp").alias("staged_at"),
+    )
+    return runs, state, orders
+
+
+@query("staged_snapshots", _SNAPSHOT_SQL + """, pulled AS (SELECT CAST(o_custkey AS VARCHAR) AS project_id, CAST(o_orderkey AS VARCHAR) AS trace_id, CASE WHEN o_orderkey % 7 < 4 THEN o_orderstatus ELSE 'X' END AS content_hash, CASE WHEN o_orderkey % 11 < 5 THEN substr(o_orderpriority, 1, 1) END AS tree_hash, 't' || (o_orderkey % 25) AS run_token, TIMESTAMP '1995-01-01' AS at FROM orders)
+SELECT p.trace_id, CASE WHEN s.content_hash = p.content_hash THEN s.activity_id ELSE 'new' END AS activity_id, epoch_us(CASE WHEN s.content_hash = p.content_hash THEN s.at WHEN s.at IS NOT NULL THEN greatest(p.at, s.at + INTERVAL 1 MILLISECOND) ELSE p.at END) AS at,
+CASE WHEN s.content_hash = p.content_hash AND NOT s.pending THEN 'old' ELSE p.run_token END AS run_token, NOT coalesce(s.content_hash = p.content_hash AND NOT s.pending, FALSE) AS pending, CASE WHEN s.content_hash = p.content_hash THEN s.publish_required WHEN s.trace_id IS NOT NULL THEN s.tree_hash IS DISTINCT FROM p.tree_hash ELSE TRUE END AS publish_required
+FROM pulled p JOIN live r ON r.project_id = p.project_id AND r.run_token = p.run_token LEFT JOIN state s ON s.project_id = p.project_id AND s.trace_id = p.trace_id""")
+def staged_snapshots(spark, sf):
+    runs, state, orders = _runs_and_state(spark, sf)
+    order = F.col("o_orderkey")
+    pulled = orders.select(
+        F.col("o_custkey").cast("string").alias("project_id"), F.lit("s").alias("source"), order.cast("string").alias("trace_id"), F.concat(F.lit("t"), order % 25).alias("run_token"), F.lit(0).alias("ordinal"), F.when(order % 7 < 4, F.col("o_orderstatus")).otherwise("X").alias("content_hash"),
+        F.when(order % 11 < 5, F.substring("o_orderpriority", 1, 1)).alias("tree_hash"), F.lit("new").alias("activity_id"), F.lit(datetime(1995, 1, 1)).alias("source_activity_at"), F.lit("{}").alias("snapshot"),
+    )
+    return snapshots.stage(state, pulled, runs, _NOW).select("trace_id", "activity_id", F.unix_micros("source_activity_at").alias("at"), "run_token", "pending", "publish_required")
+
+
+@query("claimed_snapshots", _SNAPSHOT_SQL + " SELECT s.trace_id, r.run_token FROM state s JOIN live r ON r.project_id = s.project_id WHERE s.pending")
+def claimed_snapshots(spark, sf):
+    runs, state, _ = _runs_and_state(spark, sf)
+    return snapshots.claim_pending(state, runs, _NOW).select("trace_id", "run_token")
+
+
+@query("recovery_candidates", _SNAPSHOT_SQL + " SELECT DISTINCT s.project_id FROM state s JOIN runs r ON r.project_id = s.project_id WHERE s.pending AND (r.status <> 'running' OR r.lease IS NULL OR r.lease <= TIMESTAMP '2024-01-03')")
+def recovery_candidates(spark, sf):
+    runs, state, _ = _runs_and_state(spark, sf)
+    return snapshots.recovery_candidates(state, runs, _NOW).select("project_id")
+
+
+_SUMS = lambda kind: "count(*) FILTER (kind = '%s')" % kind + "".join(f" || ',' || coalesce(sum(CAST('0x' || substr(sha, {8 * i + 1}, 8) AS BIGINT)) FILTER (kind = '{kind}'), 0)" for i in range(8))
+
+
+@query("snapshot_hashes", f"""WITH parts AS (SELECT l_orderkey, CASE WHEN l_linenumber % 3 = 0 THEN 'score' ELSE 'observation' END AS kind, sha256('{{"id":' || l_linenumber || ',"part":' || l_partkey || '}}') AS sha FROM lineitem),
+sums AS (SELECT l_orderkey, {_SUMS('observation')} AS o, {_SUMS('score')} AS s FROM parts GROUP BY 1),
+told AS (SELECT o_orderkey, sha256('{{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}}') || ';' || coalesce(o, '0,0,0,0,0,0,0,0,0') AS tree, coalesce(s, '0,0,0,0,0,0,0,0,0') AS s FROM orders LEFT JOIN sums ON l_orderkey = o_orderkey)
+SELECT CAST(o_orderkey AS VARCHAR) AS trace_id, sha256(tree || ';' || s) AS content_hash, sha256(tree) AS tree_hash FROM told""")
+def snapshot_hashes(spark, sf):
+    body = lambda *fields: F.to_json(F.struct(*[F.col(c).alias(n) for n, c in fields]))
+    traces = P._read(spark, sf, "orders").select(F.lit("p").alias("project_id"), F.col("o_orderkey").cast("string").alias("trace_id"), body(("status", "o_orderstatus"), ("id", "o_orderkey")).alias("body"))
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "score").otherwise("observation")
+    parts = P._read(spark, sf, "lineitem").select(F.lit("p").alias("project_id"), F.col("l_orderkey").cast("string").alias("trace_id"), kind.alias("kind"), body(("part", "l_partkey"), ("id", "l_linenumber")).alias("body"))
+    return snapshots.content_hashes(traces, parts).drop("project_id")
