@@ -114,7 +114,7 @@ def enrich(observations: DataFrame, overrides: DataFrame, prices: DataFrame) ->
     metadata where it came from."""
     bare = F.coalesce(F.size("cost_details") <= 0, F.lit(True)) & (F.col("model") != "") & F.coalesce(F.size("usage_details") > 0, F.lit(False))
     found = resolve(observations.where(bare), overrides, prices)
-    joined = observations.join(F.broadcast(found), ["project_id", "model"], "left")  # a row per model name in use
+    joined = observations.join(found, ["project_id", "model"], "left")  # clients choose the names: their number decides how
     derived = F.when(bare, cost_details(F.col("usage_details"), F.col("price")))
     notes = F.map_filter(F.create_map(F.lit(PROVENANCE[0]), "source", F.lit(PROVENANCE[1]), "matched", F.lit(PROVENANCE[2]), "table_version"), lambda _, v: v.isNotNull())
     others = F.map_filter("metadata", lambda k, _: ~k.isin(*PROVENANCE))

@@ -28,12 +28,12 @@ def floor_days(limits: DataFrame) -> DataFrame:
 
 def expired_rows(df: DataFrame, kind: str, limits: DataFrame) -> DataFrame:
     """Live rows past their project's cutoff."""
-    return latest(df, kind).join(F.broadcast(limits.select("project_id", "cutoff")), "project_id").where(F.col(SORT_TIME[kind]) < F.col("cutoff")).drop("cutoff")
+    return latest(df, kind).join(limits.select("project_id", "cutoff"), "project_id").where(F.col(SORT_TIME[kind]) < F.col("cutoff")).drop("cutoff")
 
 
 def retained_parents(traces: DataFrame, limits: DataFrame) -> DataFrame:
     """(project_id, trace_id) of live traces that aren't past the cutoff."""
-    live = latest(traces, "traces").join(F.broadcast(limits.select("project_id", "cutoff")), "project_id")
+    live = latest(traces, "traces").join(limits.select("project_id", "cutoff"), "project_id")
     return live.where(F.col("timestamp") >= F.col("cutoff")).select("project_id", F.col("id").alias("trace_id")).distinct()
 
 

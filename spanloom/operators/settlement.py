@@ -84,7 +84,7 @@ def score_feed(scores: DataFrame, trace_feed: DataFrame) -> DataFrame:
 
 def stale_scores(score_feed_: DataFrame, projects: DataFrame, trace_feed: DataFrame) -> DataFrame:
     """Score feed rows past their project's cutoff whose trace isn't in the trace feed."""
-    old = score_feed_.join(F.broadcast(projects.select("project_id", "cutoff")), "project_id").where("published_at < cutoff")
+    old = score_feed_.join(projects.select("project_id", "cutoff"), "project_id").where("published_at < cutoff")
     return old.join(trace_feed.select(*FEED_KEY), FEED_KEY, "left_anti").drop("cutoff")
 
 

@@ -68,7 +68,7 @@ def settle_pending(snapshots: DataFrame, runs: DataFrame, cutoffs: DataFrame, no
     """What to do with pending snapshots: discard (past the project's cutoff), wait (their run is alive) or
     publish (their run was abandoned)."""
     alive = leased(runs, now).select("run_id").distinct().withColumn("_alive", F.lit(True))
-    joined = snapshots.where("status = 'pending'").join(F.broadcast(cutoffs), "project_id", "left").join(alive, "run_id", "left")
+    joined = snapshots.where("status = 'pending'").join(cutoffs, "project_id", "left").join(alive, "run_id", "left")
     action = F.when(F.col("timestamp") < F.col("cutoff"), "discard").when(F.col("_alive"), "wait").otherwise("publish")
     return joined.withColumn("action", action).drop("cutoff", "_alive")
 
