@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 from datetime import datetime, timedelta
-from decimal import Decimal
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import LEVELS, MOST_ENVIRONMENT
 from spanloom.functions.time import duration_ms
 from spanloom.operators.figures import observation_cost, reported
 from spanloom.operators.versions import latest
@@ -17,6 +19,29 @@ from spanloom.operators.versions import latest
 MOST_LIMIT, DEFAULT_LIMIT, MOST_TEXT, MOST_DURATION, MOST_COST = 100, 20, 200, 2**53 - 1, Decimal(10) ** 12
 
 
+def _number(text: str, most: Decimal | int, least: int = 0, whole: bool = False) -> Decimal:
+    try:
+        number = Decimal(text.strip())
+    except InvalidOperation:
+        raise ValueError(f"{text!r} is no number") from None
+    if not number.is_finite() or not least <= number <= most or (whole and number != number.to_integral_value()):
+        raise ValueError(f"{text} is out of range")
+    return number
+
+
+def _environment(name: str) -> str:
+    clean = unicodedata.normalize("NFC", name).strip()
+    if not clean or len(clean) > MOST_ENVIRONMENT or any(unicodedata.category(c) in ("Cc", "Cf", "Cs") for c in clean):
+        raise ValueError("no name of an environment")
+    return clean
+
+
+def page_limit(params: dict[str, str]) -> int:
+    """How many rows a page has: what was asked, from 1 to 100, else 20. Raises ValueError for anything else."""
+    asked = params.get("limit")
+    return DEFAULT_LIMIT if asked is None else int(_number(asked, MOST_LIMIT, least=1, whole=True))
+
+
 @dataclass(frozen=True)
 class TraceFilter:
     """Unset conditions are None; blank text and an empty tag list count as unset."""
@@ -38,19 +63,23 @@ class TraceFilter:
 
     @staticmethod
     def from_params(params: dict[str, str]) -> TraceFilter:
-        """From request parameters: trimmed text, blank as unset, numbers within bounds."""
-        given = {k: v.strip() for k, v in params.items() if v is not None and v.strip()}
-        if any(len(given.get(k, "")) > MOST_TEXT for k in ("user_id", "session_id", "environment", "search", "model")):
+        """From request parameters: blank as unset, searched text and model trimmed, environments in composed form,
+        ids and metadata as they are. Raises ValueError for what is out of bounds or no number."""
+        given = {k: v for k, v in params.items() if v is not None and v.strip()}
+        given |= {k: given[k].strip() for k in ("search", "model", "level", "since", "until") if k in given}
+        if any(len(given.get(k, "").encode("utf-16-le", "surrogatepass")) > 2 * MOST_TEXT for k in ("search", "model")):
             raise ValueError(f"text of over {MOST_TEXT} characters")
-        duration = int(given["min_duration_ms"]) if "min_duration_ms" in given else None
-        cost = Decimal(given["min_cost"]) if "min_cost" in given else None
-        if duration is not None and not 0 <= duration <= MOST_DURATION or cost is not None and not 0 <= cost <= MOST_COST:
-            raise ValueError("number out of range")
+        if given.get("level", LEVELS[0]) not in LEVELS:
+            raise ValueError("unknown level")
+        if "environment" in given:
+            given["environment"] = _environment(given["environment"])
+        duration = _number(given["min_duration_ms"], MOST_DURATION, whole=True) if "min_duration_ms" in given else None
+        cost = _number(given["min_cost"], MOST_COST) if "min_cost" in given else None
         times = {k: datetime.fromisoformat(given[k]) for k in ("since", "until") if k in given}
         key, value = given.get("metadata_key"), given.get("metadata_value")
         tags = tuple(t for t in (x.strip() for x in given.get("tags", "").split(",")) if t)
         text = {k: given.get(k) for k in ("project_id", "user_id", "session_id", "environment", "search", "level", "model")}
-        return TraceFilter(**text, **times, tags=tags, metadata=(key, value) if key and value else None, min_duration_ms=duration, min_cost=cost)
+        return TraceFilter(**text, **times, tags=tags, metadata=(key, value) if key and value else None, min_duration_ms=None if duration is None else int(duration), min_cost=cost)
 
     @property
     def narrows(self) -> bool:

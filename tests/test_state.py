@@ -64,9 +64,16 @@ def test_cursors_and_parameters():
     assert paging.decode_cursor(cursor, ("id",)) is None and paging.decode_cursor("!!", ("id",)) is None
     f = filters.TraceFilter.from_params({"user_id": " ", "model": " m ", "tags": "a, ,b", "min_cost": "0.8", "metadata_key": "k", "metadata_value": ""})
     assert (f.user_id, f.model, f.tags, f.min_cost, f.metadata) == (None, "m", ("a", "b"), Decimal("0.8"), None)
-    for bad in ({"search": "x" * 201}, {"min_cost": "-1"}, {"min_duration_ms": str(2**53)}):
+    bad = ({"search": "x" * 201}, {"model": "\U0001f600" * 101}, {"min_cost": "-1"}, {"min_cost": "NaN"}, {"min_cost": "x"}, {"min_cost": "1e13"}, {"min_duration_ms": str(2**53)}, {"min_duration_ms": "1.5"}, {"level": "loud"}, {"environment": "x" * 65}, {"environment": "a\u200bb"})
+    for params in bad:
         with pytest.raises(ValueError):
-            filters.TraceFilter.from_params(bad)
+            filters.TraceFilter.from_params(params)
+    f = filters.TraceFilter.from_params({"user_id": "u" * 300, "session_id": " s", "min_duration_ms": " 1e3 ", "min_cost": " ", "level": "error", "environment": " e\u0301 "})
+    assert (len(f.user_id), f.session_id, f.min_duration_ms, f.min_cost, f.level, f.environment) == (300, " s", 1000, None, "error", "\u00e9")
+    assert [filters.page_limit(p) for p in ({}, {"limit": "1"}, {"limit": "100"})] == [20, 1, 100]
+    for asked in ("0", "101", "-1", "2.5", "", "x"):
+        with pytest.raises(ValueError):
+            filters.page_limit({"limit": asked})
 
 
 def test_publication_clock_rises(spark):
