@@ -106,7 +106,7 @@ def otlp_spans(traces: DataFrame, tree: DataFrame, observations: DataFrame) -> D
         to_unix_nano(F.col("start_time")).alias("startTimeUnixNano"), to_unix_nano(F.col("end_time")).alias("endTimeUnixNano"), F.concat(own, F.array_compact(F.array(model, *counts))).alias("attributes"),
         F.when(F.col("level") == "error", 2).otherwise(1).alias("statusCode"), F.nullif("status_message", F.lit("")).alias("statusMessage"),
     )
-    bare = traces.withColumnRenamed("id", "trace_id").join(tree.select(*key).distinct(), key, "left_anti")
+    bare = traces.withColumnRenamed("id", "trace_id").join(observations.select(*key).distinct(), key, "left_anti")
     none = F.lit(None).cast("string")
     alone = bare.select(
         *key, F.lit(0).alias("place"), text.otlp_trace_id(F.col("trace_id")).alias("traceId"), text.otlp_span_id(F.col("trace_id")).alias("spanId"), none.alias("parentSpanId"), F.coalesce("name", "trace_id").alias("name"),
@@ -119,7 +119,7 @@ def otlp_requests(spans: DataFrame, service: str = "spanloom") -> DataFrame:
     """(project_id, trace_id, body): one export request per trace, as JSON."""
     status = F.struct(F.col("statusCode").alias("code"), F.col("statusMessage").alias("message"))
     span = F.struct("place", F.struct("traceId", "spanId", "parentSpanId", "name", "startTimeUnixNano", "endTimeUnixNano", "attributes", status.alias("status")).alias("span"))
-    lists = spans.groupBy("project_id", "trace_id").agg(F.transform(F.array_sort(F.collect_list(span), lambda a, b: a["place"] - b["place"]), lambda s: s["span"]).alias("spans"))
+    lists = spans.groupBy("project_id", "trace_id").agg(F.transform(F.array_sort(F.collect_list(span)), lambda s: s["span"]).alias("spans"))
     name = F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit(service).alias("stringValue")).alias("value")))
     scope = F.array(F.struct(F.struct(F.lit(service).alias("name")).alias("scope"), F.col("spans").alias("spans")))
     return lists.select("project_id", "trace_id", F.to_json(F.struct(F.array(F.struct(F.struct(name.alias("attributes")).alias("resource"), scope.alias("scopeSpans"))).alias("resourceSpans"))).alias("body"))

@@ -2,7 +2,9 @@
 
 import random
 
-from spanloom.operators import tree
+from spanloom.operators import figures, filters, settlement, tree, versions
+from spanloom.plans import exports, lists
+from spanloom.plans import projections as P
 
 
 def planned(df) -> str:
@@ -32,3 +34,7 @@ def test_a_trace_may_span_batches(spark):
         assert {(r.trace_id, r.id, r.depth, r.place, r["last"]) for r in tree.observation_tree(chains).collect()} == {(str(t), str(i), i, i, 29) for t in range(3) for i in range(30)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_spans_build_their_trees_once(spark, sf_dir):
+    assert planned(exports.otlp_reemission_spans(spark, sf_dir)).count("MapInArrow") == 1
