@@ -24,8 +24,9 @@ def latest(df: DataFrame, kind: str, deleted: bool = False) -> DataFrame:
     """One row per key, the newest; keys whose newest row is a tombstone go unless ``deleted``.
 
     Only key columns may be filtered before this. Of equal versions the higher ``seq`` (the later
-    insert) wins. Rank 1 lets Spark drop older versions before the shuffle."""
-    ranked = df.withColumn("_rank", F.row_number().over(_newest(key_of(kind)))).where("_rank = 1").drop("_rank")
+    insert) wins. Rows are dealt by trace before they are ranked: a task sorts its share of the shuffle and never
+    a whole split of the input, and joins and groupings by trace after this move nothing again."""
+    ranked = df.repartition("project_id", RECORD[kind][0]).withColumn("_rank", F.row_number().over(_newest(key_of(kind)))).where("_rank = 1").drop("_rank")
     return ranked if deleted else ranked.where(~F.col("is_deleted"))
 
 

@@ -38,3 +38,14 @@ def test_a_trace_may_span_batches(spark):
 
 def test_spans_build_their_trees_once(spark, sf_dir):
     assert planned(exports.otlp_reemission_spans(spark, sf_dir)).count("MapInArrow") == 1
+
+
+def test_versions_are_dealt_by_trace_before_they_are_ranked(spark, sf_dir):
+    """No task sorts a split of the input, and a grouping by trace moves nothing again."""
+    live = versions.latest(P.ord_observations(spark, sf_dir), "observations")
+    for df in (live, live.groupBy("project_id", "trace_id").count()):
+        plan = planned(df)
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert not any(step in plan[plan.index("Exchange hashpartitioning") :] for step in ("Sort", "WindowGroupLimit"))
+    scans = planned(settlement.activity(P.ord_traces(spark, sf_dir), P.ord_observations(spark, sf_dir)))
+    assert "WindowGroupLimit" not in scans[scans.rindex("Exchange hashpartitioning") :]
