@@ -29,13 +29,23 @@ def observation_tokens(usage: Column) -> Column:
     return F.coalesce(of("total_tokens"), F.coalesce(of("input_tokens"), zero) + F.coalesce(of("output_tokens"), zero)).cast("decimal(28,0)")
 
 
+def figured(observations: DataFrame) -> DataFrame:
+    """The observations with ``cost`` and ``tokens``, null where none are reported, in the place of their maps, which are
+    wider. May come before versions collapse."""
+    for name, details, figure in (("cost", "cost_details", observation_cost), ("tokens", "usage_details", observation_tokens)):
+        if details in observations.columns:
+            observations = observations.withColumn(name, F.when(reported(F.col(details)), figure(F.col(details)))).drop(details)
+    return observations
+
+
 def trace_metrics(observations: DataFrame) -> DataFrame:
-    """A row per trace over live observations: duration_ms, total_cost, total_tokens, error_count, models."""
-    costs, tokens = reported(F.col("cost_details")), reported(F.col("usage_details"))
+    """A row per trace over live observations, as they are or ``figured``: duration_ms, total_cost, total_tokens,
+    error_count, models."""
+    observations = figured(observations) if "cost_details" in observations.columns else observations
     return observations.groupBy("project_id", F.col("trace_id").alias("id")).agg(
         duration_ms(F.min("start_time"), F.max("end_time")).alias("duration_ms"),
-        F.sum(F.when(costs, observation_cost(F.col("cost_details")))).alias("total_cost"),
-        F.sum(F.when(tokens, observation_tokens(F.col("usage_details")))).alias("total_tokens"),
+        F.sum("cost").alias("total_cost"),
+        F.sum("tokens").alias("total_tokens"),
         F.count_if(F.col("level") == "error").alias("error_count"),
         F.array_sort(F.collect_set("model")).alias("models"),
     )

@@ -194,7 +194,7 @@ def _figures(df: DataFrame) -> list:
 
 @query("trace_metrics", f"{with_sql('metrics')} SELECT project_id, id, {METRICS_SQL}, error_count, array_to_string(models, ',') AS models FROM metrics")
 def trace_metrics(spark, sf):
-    m = figures.trace_metrics(versions.latest(P.ord_observations(spark, sf), "observations"))
+    m = figures.trace_metrics(versions.latest(figures.figured(P.ord_observations(spark, sf)), "observations"))
     return m.select("project_id", "id", *_figures(m))
 
 

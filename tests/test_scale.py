@@ -49,3 +49,13 @@ def test_versions_are_dealt_by_trace_before_they_are_ranked(spark, sf_dir):
         assert not any(step in plan[plan.index("Exchange hashpartitioning") :] for step in ("Sort", "WindowGroupLimit"))
     scans = planned(settlement.activity(P.ord_traces(spark, sf_dir), P.ord_observations(spark, sf_dir)))
     assert "WindowGroupLimit" not in scans[scans.rindex("Exchange hashpartitioning") :]
+
+
+def test_figures_come_before_versions_collapse(spark, sf_dir):
+    """What is shuffled for a trace's figures are two numbers and no maps."""
+    plan = planned(lists.trace_metrics(spark, sf_dir))
+    moved = plan[plan.index("Exchange hashpartitioning") :].split("Project", 1)[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "_details" not in moved
+    whole = P.ord_observations(spark, sf_dir)
+    same = [figures.trace_metrics(versions.latest(o, "observations")) for o in (whole, figures.figured(whole))]
+    assert same[0].exceptAll(same[1]).isEmpty() and same[1].exceptAll(same[0]).isEmpty()
