@@ -8,11 +8,12 @@ from datetime import datetime, timedelta
 from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import LEVELS, MOST_ENVIRONMENT
 from spanloom.functions.time import duration_ms
-from spanloom.operators.figures import observation_cost, reported
+from spanloom.operators.figures import figured
 from spanloom.operators.versions import latest
 
 #: Bounds of what a caller may ask.
@@ -138,6 +139,72 @@ def whole_days(traces: DataFrame, f: TraceFilter) -> DataFrame:
     return traces
 
 
+def _all(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & F.coalesce(c, F.lit(False))
+    return out
+
+
+def _any(column: str, value: str) -> str:
+    return f"_{column}={value}"
+
+
+def _facts(observations: DataFrame, filters: list[TraceFilter]) -> DataFrame:
+    """What the filters ask of a trace's live observations (figured), a row per trace, all from one pass."""
+    asked = {_any(c, getattr(f, c)): F.bool_or(F.col(c) == getattr(f, c)) for f in filters for c in ("level", "model") if getattr(f, c)}
+    if any(f.min_duration_ms is not None for f in filters):
+        asked["_ms"] = duration_ms(F.min("start_time"), F.max("end_time"))
+    if any(f.min_cost is not None for f in filters):
+        asked["_cost"] = F.sum("cost")
+    if any(f.settled_before is not None for f in filters):
+        asked["_version"] = F.max("event_ts")
+    for text in {f.search for f in filters if f.search}:
+        asked[_any("search", text)] = F.bool_or(_own_text(text))
+    return observations.groupBy("project_id", "trace_id").agg(*[c.alias(n) for n, c in asked.items()])
+
+
+def _of_observations(f: TraceFilter) -> list[Column]:
+    """Conditions on ``_facts`` that a trace without observations never meets."""
+    out = [F.col(f"`{_any(c, getattr(f, c))}`") for c in ("level", "model") if getattr(f, c)]
+    if f.min_duration_ms is not None:
+        out.append(F.col("_ms") >= f.min_duration_ms)
+    if f.min_cost is not None:
+        out.append(F.col("_cost") >= F.lit(str(f.min_cost)).cast("decimal(28,9)"))
+    return out
+
+
+def _own_text(text: str) -> Column:
+    return has_text("name", text) | has_text("input", text) | has_text("output", text)
+
+
+def counted(traces: DataFrame, observations: DataFrame, filters: dict[str, TraceFilter]) -> DataFrame:
+    """(filter, traces): how many live traces each of the named filters matches, as long as its list. Takes all versions;
+    each table is read and ranked once for all filters, by the few columns that they ask for."""
+    asked = list(filters.values())
+    if not asked:
+        raise ValueError("no filters")
+    own = [_all(trace_conditions(f)) & (((F.col("id") == f.search) | _own_text(f.search)) if f.search else F.lit(True)) for f in asked]
+    narrow = [_all(trace_conditions(f)) for f in asked]
+    flags = {f"_own{i}": c for i, c in enumerate(own)} | {f"_may{i}": c for i, (f, c) in enumerate(zip(asked, narrow, strict=True)) if f.search}
+    live = latest(traces.select("project_id", "id", "timestamp", "event_ts", "is_deleted", "seq", *[c.alias(n) for n, c in flags.items()]), "traces")
+    version = F.lit(None).cast("timestamp")
+    if any(f.settled_before is not None for f in asked):  # live rows of any day count for a trace's version
+        live = live.withColumn("_newest", F.max("event_ts").over(W.partitionBy("project_id", "id")))
+        version = F.greatest("_newest", "_version")
+    if any(f.search or f.settled_before is not None or _of_observations(f) for f in asked):
+        facts = _facts(latest(figured(observations), "observations"), asked).withColumnRenamed("trace_id", "id")
+        live = live.join(facts, ["project_id", "id"], "left")
+    counts = []
+    for i, (name, f) in enumerate(filters.items()):
+        fits = F.col(f"_own{i}")
+        if f.search:
+            fits = fits | (F.col(f"_may{i}") & F.coalesce(F.col(f"`{_any('search', f.search)}`"), F.lit(False)))
+        settled = [] if f.settled_before is None else [version <= F.lit(f.settled_before)]
+        counts.append(F.struct(F.lit(name).alias("filter"), F.count_if(_all([fits, *_of_observations(f), *settled])).alias("traces")))
+    return live.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
+
+
 def matched(traces: DataFrame, observations: DataFrame, f: TraceFilter, scope: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Live traces that match, and the live observations that may count for them. Takes all versions.
 
@@ -154,19 +221,13 @@ def matched(traces: DataFrame, observations: DataFrame, f: TraceFilter, scope: b
     key = ["project_id", "id"]
     of = seen.withColumnRenamed("id", "observation_id").withColumnRenamed("trace_id", "id")
     if f.search:
-        hits = of.where(has_text("name", f.search) | has_text("input", f.search) | has_text("output", f.search)).select(*key).distinct()
+        hits = of.where(_own_text(f.search)).select(*key).distinct()
         marked = live.join(hits.withColumn("_hit", F.lit(True)), key, "left")
-        own = has_text("name", f.search) | has_text("input", f.search) | has_text("output", f.search)
-        live = marked.where((F.col("id") == f.search) | own | F.col("_hit").isNotNull()).drop("_hit")
-    for name in ("level", "model"):
-        if getattr(f, name):
-            live = live.join(of.where(F.col(name) == getattr(f, name)).select(*key), key, "left_semi")
-    if f.min_duration_ms is not None:
-        spans = of.groupBy(*key).agg(duration_ms(F.min("start_time"), F.max("end_time")).alias("ms"))
-        live = live.join(spans.where(F.col("ms") >= f.min_duration_ms), key, "left_semi")
-    if f.min_cost is not None:
-        spent = of.where(reported(F.col("cost_details"))).groupBy(*key).agg(F.sum(observation_cost(F.col("cost_details"))).alias("cost"))
-        live = live.join(spent.where(F.col("cost") >= F.lit(str(f.min_cost)).cast("decimal(28,9)")), key, "left_semi")
+        live = marked.where((F.col("id") == f.search) | _own_text(f.search) | F.col("_hit").isNotNull()).drop("_hit")
+    wanted = _of_observations(f)
+    if wanted:
+        slim = latest(figured(observations), "observations")
+        live = live.join(_facts(slim, [f]).where(_all(wanted)).select("project_id", F.col("trace_id").alias("id")), key, "left_semi")
     if f.settled_before is not None:
         from spanloom.operators.settlement import activity
 

@@ -145,11 +145,7 @@ for _name, (_f, _sql) in FILTERS.items():
 @query("filter_counts", with_sql("live_traces", "metrics") + " " + " UNION ALL ".join(f"SELECT '{n}' AS filter, count(*) AS traces FROM live_traces t WHERE {s}" for n, (_, s) in FILTERS.items()))
 def filter_counts(spark, sf):
     """The aggregates' count for each filter; equals the length of the list."""
-    parts = [filters.matched(*_ord(spark, sf), f)[0].agg(F.count("*").alias("traces")).select(F.lit(n).alias("filter"), "traces") for n, (f, _) in FILTERS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return filters.counted(*_ord(spark, sf), {n: f for n, (f, _) in FILTERS.items()})
 
 
 @query("filter_search", f"""{with_sql('docs', 'conv')} SELECT id, name FROM docs WHERE contains(lower(input), lower('ÉTION')) OR contains(lower(name), lower('ÉTION')) OR id = 'ÉTION'

@@ -59,3 +59,17 @@ def test_figures_come_before_versions_collapse(spark, sf_dir):
     whole = P.ord_observations(spark, sf_dir)
     same = [figures.trace_metrics(versions.latest(o, "observations")) for o in (whole, figures.figured(whole))]
     assert same[0].exceptAll(same[1]).isEmpty() and same[1].exceptAll(same[0]).isEmpty()
+
+
+def test_counts_of_all_filters_take_one_pass(spark, sf_dir):
+    """Each filter's count is its list's length, searches and combinations too."""
+    assert planned(lists.filter_counts(spark, sf_dir)).count("lineitem.parquet") == 1
+    traces, observations = P.conv_traces(spark, sf_dir), P.conv_observations(spark, sf_dir)
+    some = {"hit": filters.TraceFilter(search="12"), "none": filters.TraceFilter(search="12", project_id="p9"), "level": filters.TraceFilter(search="a", level="default"), "model": filters.TraceFilter(model="m"), "all": filters.TraceFilter()}
+    counted = {r["filter"]: r["traces"] for r in filters.counted(traces, observations, some).collect()}
+    assert counted == {n: filters.matched(traces, observations, f)[0].count() for n, f in some.items()}
+
+
+def test_a_filters_conditions_on_observations_take_one_pass(spark, sf_dir):
+    f = filters.TraceFilter(level="error", min_cost=lists.FILTERS["filter_min_cost"][0].min_cost, min_duration_ms=1)
+    assert planned(filters.matched(*lists._ord(spark, sf_dir), f)[0]).count("lineitem.parquet") == 1
