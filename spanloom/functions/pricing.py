@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions.attributes import let
+
 #: Providers whose prefix a table may carry, in the order they are tried.
 PROVIDERS = (
     "openai", "anthropic", "gemini", "vertex_ai", "bedrock", "azure", "mistral", "groq", "deepseek", "xai", "cohere", "together_ai", "fireworks_ai", "openrouter",
@@ -23,14 +25,17 @@ PROVENANCE = ("spanloom:cost_source", "spanloom:cost_model", "spanloom:cost_tabl
 def candidates(model: Column) -> Column:
     """Names to look a model up by, in order: as sent, lower-cased, without provider, without date or
     ``latest``, then each of those behind every provider."""
-    trimmed = F.regexp_replace(model, r"^\s+|\s+$", "")
-    low = F.lower(trimmed)
-    bare = F.when(F.contains(low, F.lit("/")), F.regexp_replace(low, r"^[^/]*/", "")).otherwise(low)
-    cut = [F.regexp_replace(F.regexp_replace(n, pattern, ""), r"^\s+|\s+$", "") for n in (low, bare) for pattern in (r"[-@]([0-9]{8}|[0-9]{4}-[0-9]{2}-[0-9]{2})$", "[-:]latest$")]
-    names = F.array_distinct(F.filter(F.array(trimmed, low, bare, *cut), lambda n: n != ""))
-    plain = F.filter(names, lambda n: ~F.contains(n, F.lit("/")))
-    behind = F.flatten(F.transform(F.array(*map(F.lit, PROVIDERS)), lambda p: F.transform(plain, lambda n: F.concat(p, F.lit("/"), n))))
-    return F.array_distinct(F.concat(names, behind))
+    def spread(names: Column, plain: Column) -> Column:
+        behind = F.flatten(F.transform(F.array(*map(F.lit, PROVIDERS)), lambda p: F.transform(plain, lambda n: F.concat(p, F.lit("/"), n))))
+        return F.array_distinct(F.concat(names, behind))
+
+    def named(trimmed: Column, low: Column, bare: Column) -> Column:
+        cut = [F.regexp_replace(F.regexp_replace(n, pattern, ""), r"^\s+|\s+$", "") for n in (low, bare) for pattern in (r"[-@]([0-9]{8}|[0-9]{4}-[0-9]{2}-[0-9]{2})$", "[-:]latest$")]
+        return F.array_distinct(F.filter(F.array(trimmed, low, bare, *cut), lambda n: n != ""))
+
+    without = lambda low: F.when(F.contains(low, F.lit("/")), F.regexp_replace(low, r"^[^/]*/", "")).otherwise(low)
+    names = let(F.regexp_replace(model, r"^\s+|\s+$", ""), lambda t: let(F.lower(t), lambda low: let(without(low), lambda bare: named(t, low, bare))))
+    return let(names, lambda all_: let(F.filter(all_, lambda n: ~F.contains(n, F.lit("/"))), lambda plain: spread(all_, plain)))
 
 
 def usable_overrides(rows: list[tuple]) -> list[tuple]:

@@ -2,9 +2,13 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from spanloom.functions import pricing, usage
 from spanloom.operators import figures, filters, settlement, tree, versions
-from spanloom.plans import exports, lists
+from spanloom.plans import exports, ingest, lists, services
 from spanloom.plans import projections as P
+from spanloom.sources import otlp
 
 
 def planned(df) -> str:
@@ -73,3 +77,11 @@ def test_counts_of_all_filters_take_one_pass(spark, sf_dir):
 def test_a_filters_conditions_on_observations_take_one_pass(spark, sf_dir):
     f = filters.TraceFilter(level="error", min_cost=lists.FILTERS["filter_min_cost"][0].min_cost, min_duration_ms=1)
     assert planned(filters.matched(*lists._ord(spark, sf_dir), f)[0]).count("lineitem.parquet") == 1
+
+
+def test_usage_is_renamed_from_one_reading(spark):
+    """Spark computes equal parts of a higher-order function again, so the cleaned map stands there once."""
+    sent = spark.sql("SELECT map('promptTokens', 5D, 'input', 6D, 'output_tokens', 2.5D, 'completion_tokens', 9D, 'bad', -1D, 'x', 0D) AS m UNION ALL SELECT map('bad', -1D) UNION ALL SELECT null")
+    out = sent.select(usage.counts(F.col("m")).alias("m"))
+    assert usage.counts(F.col("m"))._jc.toString().count("transform_values") == 1
+    assert [r.m and {k: int(v) for k, v in r.m.items()} for r in out.collect()] == [{"output_tokens": 3, "x": 0, "input_tokens": 5}, None, None]
