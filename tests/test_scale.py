@@ -85,3 +85,9 @@ def test_usage_is_renamed_from_one_reading(spark):
     out = sent.select(usage.counts(F.col("m")).alias("m"))
     assert usage.counts(F.col("m"))._jc.toString().count("transform_values") == 1
     assert [r.m and {k: int(v) for k, v in r.m.items()} for r in out.collect()] == [{"output_tokens": 3, "x": 0, "input_tokens": 5}, None, None]
+
+
+def test_model_names_are_cut_once(spark):
+    out = spark.sql("SELECT ' OpenAI/GPT-20240501 ' AS m").select(pricing.candidates(F.col("m")).alias("m"))
+    assert len(pricing.candidates(F.col("m"))._jc.toString()) < 12_000  # the names stood in it many times over
+    assert out.first().m[:5] == ["OpenAI/GPT-20240501", "openai/gpt-20240501", "gpt-20240501", "openai/gpt", "gpt"]
