@@ -32,8 +32,9 @@ def query(name: str, sql: str):
 ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us({0}) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z'"
 
 
-def _field(name: str) -> str:
-    return F.get_json_object("item", f"$.{name}")
+def _read_back(items: DataFrame, shape: str) -> DataFrame:
+    """The items with ``i``, their fields as text by ``shape``; a text is parsed once for all fields."""
+    return items.withColumn("i", F.from_json("item", shape))
 
 
 def _names():
@@ -45,11 +46,11 @@ def _names():
 def compat_trace_items(spark, sf):
     """Every field of a trace's item, and the names of the fields that are there."""
     live = versions.latest(P.ord_traces(spark, sf), "traces")
-    items = live.select("project_id", "id", export.compat_item(live).alias("item"))
-    tags = F.concat_ws("/", F.from_json(_field("tags"), "array<string>"))
+    shape = "id string, timestamp string, name string, userId string, sessionId string, environment string, release string, tags array<string>, metadata struct<status:string,third:string>"
+    items = _read_back(live.select("project_id", "id", export.compat_item(live).alias("item")), shape)
     return items.select(
-        "project_id", _field("id").alias("id"), _field("timestamp").alias("timestamp"), _field("name").alias("name"), _field("userId").alias("user_id"), _field("sessionId").alias("session_id"),
-        _field("environment").alias("environment"), _field("release").alias("release"), tags.alias("tags"), _field("metadata.status").alias("status"), _field("metadata.third").alias("third"), _names(),
+        "project_id", F.col("i.id").alias("id"), F.col("i.timestamp").alias("timestamp"), F.col("i.name").alias("name"), F.col("i.userId").alias("user_id"), F.col("i.sessionId").alias("session_id"),
+        F.col("i.environment").alias("environment"), F.col("i.release").alias("release"), F.concat_ws("/", "i.tags").alias("tags"), F.col("i.metadata.status").alias("status"), F.col("i.metadata.third").alias("third"), _names(),
     )
 
 
@@ -59,20 +60,22 @@ def compat_trace_items(spark, sf):
     CASE WHEN tok_in IS NOT NULL THEN 'usageDetails' END, CASE WHEN cost_in IS NOT NULL THEN 'costDetails' END], lambda x: x IS NOT NULL), ',') AS fields FROM live_obs""")
 def compat_observation_items(spark, sf):
     live = versions.latest(P.ord_observations(spark, sf), "observations")
-    items = live.select("project_id", export.compat_observation(live).alias("item"))
+    shape = "traceId string, id string, parentObservationId string, type string, level string, startTime string, endTime string, model string, name string, usageDetails struct<input_tokens:string>, costDetails struct<input:string>"
+    items = _read_back(live.select("project_id", export.compat_observation(live).alias("item")), shape)
     return items.select(
-        "project_id", _field("traceId").alias("trace_id"), _field("id").alias("id"), _field("parentObservationId").alias("parent"), _field("type").alias("type"), _field("level").alias("level"), _field("startTime").alias("started"),
-        _field("endTime").alias("ended"), _field("model").alias("model"), _field("name").alias("name"), _field("usageDetails.input_tokens").cast("long").alias("input_tokens"), _field("costDetails.input").cast("double").alias("input_cost"), _names(),
+        "project_id", F.col("i.traceId").alias("trace_id"), F.col("i.id").alias("id"), F.col("i.parentObservationId").alias("parent"), F.col("i.type").alias("type"), F.col("i.level").alias("level"), F.col("i.startTime").alias("started"),
+        F.col("i.endTime").alias("ended"), F.col("i.model").alias("model"), F.col("i.name").alias("name"), F.col("i.usageDetails.input_tokens").cast("long").alias("input_tokens"), F.col("i.costDetails.input").cast("double").alias("input_cost"), _names(),
     )
 
 
 @query("compat_score_items", f"""{with_sql('evt_scores')} SELECT id, trace_id, observation_id, 'NUMERIC' AS data_type, 'API' AS source, value, {ISO.format('timestamp')} AS timestamp, 'id,traceId,observationId,name,dataType,value,source,timestamp' AS fields FROM evt_scores""")
 def compat_score_items(spark, sf):
     rows = P.evt_scores(spark, sf)
-    items = rows.select(export.compat_score(rows).alias("item"))
+    shape = "id string, traceId string, observationId string, dataType string, source string, value string, timestamp string"
+    items = _read_back(rows.select(export.compat_score(rows).alias("item")), shape)
     return items.select(
-        _field("id").alias("id"), _field("traceId").alias("trace_id"), _field("observationId").alias("observation_id"), _field("dataType").alias("data_type"), _field("source").alias("source"),
-        _field("value").cast("double").alias("value"), _field("timestamp").alias("timestamp"), _names(),
+        F.col("i.id").alias("id"), F.col("i.traceId").alias("trace_id"), F.col("i.observationId").alias("observation_id"), F.col("i.dataType").alias("data_type"), F.col("i.source").alias("source"),
+        F.col("i.value").cast("double").alias("value"), F.col("i.timestamp").alias("timestamp"), _names(),
     )
 
 
@@ -82,7 +85,7 @@ def stored_turn_objects(spark, sf):
     """Turns as objects; their texts aren't JSON and stay text."""
     rows = P.conv_observations(spark, sf).select("project_id", "id", "trace_id", "parent_observation_id", "name", "start_time", "input", "output", F.expr("cast(map() as map<string,string>)").alias("metadata"))
     items = rows.select(export.stored_object(rows).alias("item"))
-    return items.select(_field("traceId").alias("trace_id"), _field("id").alias("id"), _field("name").alias("name"), _field("parentObservationId").alias("parent"), F.coalesce(_field("input"), _field("output")).alias("payload"), _field("startTime").alias("started"), _names())
+    return items.select(F.col("i.traceId").alias("trace_id"), F.col("i.id").alias("id"), F.col("i.name").alias("name"), F.col("i.parentObservationId").alias("parent"), F.coalesce(F.col("i.input"), F.col("i.output")).alias("payload"), F.col("i.startTime").alias("started"), _names())
 
 
 @query("stored_event_objects", """SELECT CAST(event_id AS VARCHAR) AS id, event_type AS name, props ->> '$.k' AS k, epoch_us(ts) // 1000 AS started FROM events""")
@@ -90,7 +93,7 @@ def stored_event_objects(spark, sf):
     """Events as objects; their payload is JSON and comes as its value."""
     rows = P.evt_observations(spark, sf).drop("user_id", "value")
     items = rows.select(export.stored_object(rows).alias("item"))
-    return items.select(_field("id").alias("id"), _field("name").alias("name"), _field("input.k").alias("k"), F.unix_millis(F.to_timestamp(_field("startTime"))).alias("started"))
+    return items.select(F.col("i.id").alias("id"), F.col("i.name").alias("name"), F.col("i.input.k").alias("k"), F.unix_millis(F.to_timestamp(F.col("i.startTime"))).alias("started"))
 
 
 @query("retention_keyset_page", f"""{upkeep.KEEP} SELECT project_id, id, epoch_us(timestamp) AS timestamp FROM live_traces JOIN limits USING (project_id)

@@ -91,3 +91,9 @@ def test_model_names_are_cut_once(spark):
     out = spark.sql("SELECT ' OpenAI/GPT-20240501 ' AS m").select(pricing.candidates(F.col("m")).alias("m"))
     assert len(pricing.candidates(F.col("m"))._jc.toString()) < 12_000  # the names stood in it many times over
     assert out.first().m[:5] == ["OpenAI/GPT-20240501", "openai/gpt-20240501", "gpt-20240501", "openai/gpt", "gpt"]
+
+
+def test_items_are_parsed_once(spark, sf_dir):
+    for query in (services.compat_observation_items, services.compat_trace_items, services.compat_score_items):
+        plan = planned(query(spark, sf_dir))
+        assert "get_json_object" not in plan and plan.count("from_json") == 1
