@@ -64,19 +64,19 @@ def observations(rows: DataFrame) -> DataFrame:
     """An observation a span. ``rows`` are to hold whole exports, since messages are read within an export's budget."""
     rows = messages.with_messages(rows, F.coalesce("span.attributes", F.expr("array()").cast(_ATTRIBUTES)), (INPUT, OUTPUT), ["project_id", "batch_id", "place.ordinal"])
     s = F.coalesce("span.attributes", F.expr("array()").cast(_ATTRIBUTES))
-    model = _first(s, MODEL)
-    counts = [F.struct(F.lit(k).alias("key"), F.coalesce(*[usage.token_count(A.number_of(s, n)) for n in names]).alias("value")) for k, names in COUNTS.items()]
-    sent = F.filter(F.array(*counts), lambda e: e["value"].isNotNull())
-    cost = usage.cost_amount(A.number_of(s, COST))
-    provider = _first(s, PROVIDER)
-    own = A.as_map(s)
+    rows = rows.withColumns({"_by_key": A.firsts(s), "_own": A.as_map(s)})  # read once; all fields look up in these
+    of = lambda n: F.try_element_at("_by_key", F.lit(n))
+    text_of = lambda names: F.coalesce(*[of(n)["stringValue"] for n in names])
+    rows = rows.withColumns({f"_{k}": F.coalesce(*[usage.token_count(A.number(of(n))) for n in names]) for k, names in COUNTS.items()} | {"_model": text_of(MODEL), "_provider": text_of(PROVIDER), "_cost": usage.cost_amount(A.number(of(COST)))})
+    counts = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"_{k}").alias("value")) for k in COUNTS])
+    model, provider, cost, own = F.col("_model"), F.col("_provider"), F.col("_cost"), F.col("_own")
     metadata = F.when(provider != "", F.map_concat(F.map_filter(own, lambda k, _: k != PROVIDER[0]), F.create_map(F.lit(PROVIDER[0]), provider))).otherwise(own)
-    operation = F.exists(s, lambda a: a["key"] == OPERATION)
+    operation = F.map_contains_key("_by_key", OPERATION)
     return rows.select(
         "project_id", "batch_id", "received_at", "place", F.col("span.spanId").alias("id"), F.col("span.traceId").alias("trace_id"), F.nullif("span.parentSpanId", F.lit("")).alias("parent_observation_id"),
         F.when(operation | model.isNotNull(), "generation").otherwise("span").alias("type"), F.col("span.name").alias("name"), from_unix_nano(F.col("span.startTimeUnixNano")).alias("start_time"),
         from_unix_nano(F.col("span.endTimeUnixNano")).alias("end_time"), F.when(F.col("span.status.code") == 2, "error").otherwise("default").alias("level"), F.nullif("span.status.message", F.lit("")).alias("status_message"),
-        F.nullif(model, F.lit("")).alias("model"), A.model_parameters(s, PARAMETERS, "gen_ai.request.").alias("model_parameters"), F.when(F.size(sent) > 0, F.map_from_entries(sent)).alias("usage_details"),
+        F.nullif(model, F.lit("")).alias("model"), A.model_parameters(s, PARAMETERS, "gen_ai.request.", lambda n: A.number(of(n))).alias("model_parameters"), A.present(counts).alias("usage_details"),
         F.when(cost.isNotNull(), F.create_map(F.lit("total"), cost)).alias("cost_details"), F.coalesce(metadata, own).alias("metadata"), F.col("input_messages").alias("input"), F.col("output_messages").alias("output"),
     )
 

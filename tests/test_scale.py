@@ -97,3 +97,8 @@ def test_items_are_parsed_once(spark, sf_dir):
     for query in (services.compat_observation_items, services.compat_trace_items, services.compat_score_items):
         plan = planned(query(spark, sf_dir))
         assert "get_json_object" not in plan and plan.count("from_json") == 1
+
+
+def test_span_attributes_are_read_once(spark, sf_dir):
+    o = otlp.observations(otlp.spans(ingest.otlp_events(spark, sf_dir)))
+    assert "filter(span#" not in planned(o) and planned(o.select("usage_details", "model_parameters", "model")).count("map_from_entries(transform(") == 1
