@@ -38,8 +38,12 @@ def resolve(rows: DataFrame, stored: DataFrame, received_at: datetime | Column |
 
 def fold_fields(rows: DataFrame, key: list[str], fields: list[str], order: list[str]) -> DataFrame:
     """One row per key: each field's last value that isn't null, by ``order``. A null never erases."""
-    at = F.struct(*order)
-    return rows.groupBy(*key).agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields])
+    return rows.groupBy(*key).agg(*last_sent(fields, F.struct(*order)))
+
+
+def last_sent(fields: list[str], at: Column) -> list[Column]:
+    """Aggregates: each field's last value that isn't null, by ``at``."""
+    return [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields]
 
 
 def by_recency(incoming: DataFrame, stored: DataFrame, key: list[str], fields: list[str], received_at: Column, times: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import text, usage
-from spanloom.operators.moved import fold_fields
+from spanloom.operators.moved import fold_fields, last_sent
 from spanloom.schemas import COMPAT_REQUEST
 
 #: Event types by what they are about.
@@ -36,22 +36,22 @@ GROUP = ["project_id", "batch_id", "ordinal", "kind_group", "key"]
 
 
 def _field(name: str) -> Column:
-    """JSON text of a body's field; a sent null counts as not sent."""
-    value = F.try_variant_get(F.try_parse_json("body"), f"$.{name}", "variant")
+    """JSON text of a field of the parsed body; a sent null counts as not sent."""
+    value = F.try_variant_get("_parsed", f"$.{name}", "variant")
     return F.when(~F.coalesce(F.is_variant_null(value), F.lit(True)), F.to_json(value))
 
 
 def _merged(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """One row per record and request: creates first, then updates, each field's last value."""
-    flat = rows.withColumns({f"f_{f}": _field(f) for f in fields}).withColumns({"update": F.when(F.col("type").endswith("-update"), 1).otherwise(0), "f_id": _field("id")})
+    named = [f"f_{f}" for f in (*fields, "id")]
+    flat = rows.withColumn("_parsed", F.try_parse_json("body"))
+    flat = flat.withColumns({f: _field(f.removeprefix("f_")) for f in named}).withColumn("_order", F.when(F.col("type").endswith("-update"), 1 << 32).otherwise(0) + F.col("place")).drop("_parsed")
     typed = F.when(~F.col("type").startswith("observation-"), F.col("kind"))
     flat = flat.withColumns({"kind_group": F.when(F.col("kind") == "trace", "trace").otherwise("observation"), "typed": typed})
-    made = fold_fields(flat, GROUP, [*[f"f_{f}" for f in fields], "f_id"], ["update", "place"])
-    facts = flat.groupBy(*GROUP).agg(
-        F.min_by(F.struct("kind", "type", "event_id", "sent_at", "body"), "place").alias("first"), F.max_by("sent_at", F.when(F.coalesce("sent_at", F.lit("")) != "", F.col("place"))).alias("last_sent"), F.max("received_at").alias("received_at"),
+    return flat.groupBy(*GROUP).agg(
+        *last_sent(named, F.col("_order")), F.min_by(F.struct("kind", "type", "event_id", "sent_at", "body"), "place").alias("first"), F.max_by("sent_at", F.when(F.coalesce("sent_at", F.lit("")) != "", F.col("place"))).alias("last_sent"), F.max("received_at").alias("received_at"),
         F.max(F.col("typed").isNotNull()).alias("is_typed"), F.max("place").alias("place"), F.array_sort(F.collect_list("event_id")).alias("event_ids"),
     )
-    return made.join(facts, GROUP)
 
 
 def _string(name: str) -> Column:

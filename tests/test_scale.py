@@ -102,3 +102,9 @@ def test_items_are_parsed_once(spark, sf_dir):
 def test_span_attributes_are_read_once(spark, sf_dir):
     o = otlp.observations(otlp.spans(ingest.otlp_events(spark, sf_dir)))
     assert "filter(span#" not in planned(o) and planned(o.select("usage_details", "model_parameters", "model")).count("map_from_entries(transform(") == 1
+
+
+def test_merged_requests_are_one_grouping(spark, sf_dir):
+    for query in (services.langfuse_map_traces, ingest.langfuse_map):
+        plan = planned(query(spark, sf_dir))
+        assert "Join" not in plan and plan.count("try_parse_json(body") <= 1
