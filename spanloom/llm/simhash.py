@@ -43,6 +43,8 @@ BROADCAST_IDS = 1_000_000
 FEW = 8
 #: Members of a crowded key that the others are compared with before all that are left are.
 HUBS = 4
+#: Bits of a set's sketch: the parity of the number of its shingles in each of so many bins.
+SKETCH = 512
 #: Against rounding where a bound is met exactly.
 EPS = 1e-9
 
@@ -244,10 +246,22 @@ def prefix_of(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: f
     return found[: found.size - math.ceil(least * found.size - EPS) + 1]
 
 
+def sketch_of(found: np.ndarray) -> bytes:
+    """Parities of a set of hashes by bin. Two sets differ in at least as many members as their sketches in bits."""
+    bins = (found >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(bins, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def _near(size: np.ndarray, sketch: np.ndarray, x: int, other: np.ndarray, least: float) -> np.ndarray:
+    """Which of the others the sketches leave possible for x: sets that are alike differ in few members."""
+    differ = np.bitwise_count(sketch[other] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+    return differ <= ((1 - least) / (1 + least) + 1e-6) * (size[other] + size[x]) + EPS
+
+
 def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(node, key, first, fp, size, keys) of the distinct texts of (key, first, text): a number, the smallest
-    ``first``, the fingerprint, the number of distinct shingles of ``words`` words, and the prefix (8
-    bytes each). Written; texts themselves aren't shuffled."""
+    """(node, key, first, fp, size, keys, sketch) of the distinct texts of (key, first, text): a number, the smallest
+    ``first``, the fingerprint, the number of distinct shingles of ``words`` words, the prefix (8 bytes
+    each) and the set's sketch. Written; texts themselves aren't shuffled."""
     shipped = texts.sparkSession.sparkContext.broadcast(frequent(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,14 +274,14 @@ def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
                         known.clear()
                     hashes = shingle_hashes(text.as_py() or b"", words)
                     own = np.unique(hashes)
-                    known[key] = (fingerprint_of(hashes), own.size, prefix_of(own, shipped.value, least).tobytes())
+                    known[key] = (fingerprint_of(hashes), own.size, prefix_of(own, shipped.value, least).tobytes(), sketch_of(own))
                 made.append(known[key])
-            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("first"), *columns], names=["key", "first", "fp", "size", "keys"])
+            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("first"), *columns], names=["key", "first", "fp", "size", "keys", "sketch"])
 
-    fields = StructType([*texts.schema.fields[:2], *StructType.fromDDL("fp bigint, size int, keys binary").fields])
+    fields = StructType([*texts.schema.fields[:2], *StructType.fromDDL("fp bigint, size int, keys binary, sketch binary").fields])
     made = texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, fields)
-    each = made.groupBy("key").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", "keys")])
+    each = made.groupBy("key").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("fp", "size", "keys", "sketch")])
     return durable(each.withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -326,9 +340,10 @@ def _possible(size: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, l
     return shared >= least / (1 + least) * (size[a] + size[b]) - EPS
 
 
-def _across(node: np.ndarray, size: np.ndarray, pos: np.ndarray, root: np.ndarray, least: float, step: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _across(node: np.ndarray, size: np.ndarray, pos: np.ndarray, root: np.ndarray, least: float, step: int, sketch: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Pairs (as places) of members of one crowded key that aren't in one component yet: those with a few
-    members (the same ones under every key, others each ``step``), or, with a ``step`` of -1, all."""
+    members (the same ones under every key, others each ``step``), or, with a ``step`` of -1, all that their
+    sketches leave possible."""
     names, of, n = np.unique(root, return_inverse=True, return_counts=True)
     if names.size < 2:
         return [], []
@@ -346,27 +361,29 @@ def _across(node: np.ndarray, size: np.ndarray, pos: np.ndarray, root: np.ndarra
         if step < 0:
             other = other[(rank[other] < 0) | (rank[other] > rank[x])]
         other = other[_possible(size, pos, np.full(other.size, x), other, least)]
+        if sketch is not None:
+            other = other[_near(size, sketch, x, other, least)]
         left.append(np.full(other.size, x))
         right.append(other)
     return left, right
 
 
 def prefix_pairs(spread: DataFrame, least: float, step: int) -> DataFrame:
-    """(u, v, key, size, pos) of (key, node, size, pos, root): the pairs that meet under a key and can be
-    alike, key null. Of keys of over FEW members only some of the pairs, see ``_across``; with a
+    """(u, v, key, size, pos) of (key, node, size, pos, root), and a sketch if there is one: the pairs that meet
+    under a key and can be alike, key null. Of keys of over FEW members only some of the pairs, see ``_across``; with a
     ``step`` of 0 their members come too, v null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def out(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            key, node, size, pos, root = (np.concatenate(x) for x in zip(*parts, strict=True))
+            key, node, size, pos, root, *sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
             starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
             lengths = np.diff(np.concatenate((starts, [key.size])))
             left, right = [], []
             for at in np.flatnonzero(lengths > FEW):
                 inside = slice(starts[at], starts[at] + lengths[at])
-                a, b = _across(node[inside], size[inside], pos[inside], root[inside], least, step)
+                a, b = _across(node[inside], size[inside], pos[inside], root[inside], least, step, *[s[inside] for s in sketch])
                 left += [x + starts[at] for x in a]
                 right += [x + starts[at] for x in b]
             run_of = np.repeat(np.arange(starts.size), lengths)
@@ -398,6 +415,8 @@ def prefix_pairs(spread: DataFrame, least: float, step: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = tuple(np.asarray(batch.column(i)).astype(np.int64) for i in range(5))
+            if batch.num_columns > 5:
+                rows += (np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, SKETCH // 64),)
             if held and held[-1][0][-1] != rows[0][0]:
                 yield from out(held)
                 held = []
@@ -410,7 +429,7 @@ def prefix_pairs(spread: DataFrame, least: float, step: int) -> DataFrame:
         if held:
             yield from out(held)
 
-    dealt = spread.select("key", "node", "size", "pos", "root").repartition("key").sortWithinPartitions("key", "node")
+    dealt = spread.select("key", "node", "size", "pos", "root", *[c for c in spread.columns if c == "sketch"]).repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(run, "u bigint, v bigint, key bigint, size bigint, pos bigint")
 
 
@@ -419,7 +438,8 @@ def near_roots(nodes: DataFrame, texts: DataFrame, words: int, least: float, bit
 
     Nothing is lost: two sets with a similarity of ``least`` share a shingle of their prefixes. What near
     fingerprints have brought together counts as one then. Crowded keys send pairs with a few members
-    first, and in the last step all pairs that are still apart are compared."""
+    first, and in the last step all pairs that are still apart are compared, but for those whose sketches show that
+    they differ in too many shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "keys"):
@@ -438,6 +458,9 @@ def near_roots(nodes: DataFrame, texts: DataFrame, words: int, least: float, bit
     if not crowd.isEmpty():
         for step in (1, -1):
             rooted = crowd.join(few(components(found)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            if step < 0:  # sketches go to keys only whose members are still apart
+                apart = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
+                rooted = rooted.join(apart, "key", "left_semi").join(nodes.select("node", "sketch"), "node")
             found = found.unionByName(sure(prefix_pairs(rooted, least, step)))
     roots = components(found)
     forget(met)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from spanloom.llm import simhash
@@ -95,3 +96,20 @@ def test_rows(spark):
     assert kept.schema == docs.schema
     assert sorted(r.doc_id for r in kept.collect()) == [10, 15, 16, 17, 18, 19, 20, 22, 23]
     assert simhash.drop_near_copies(docs.where("false")).count() == 0
+
+
+def test_sketches_lose_no_pair_and_leave_few_others():
+    rnd = np.random.default_rng(3)
+    sets, base = [], rnd.integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2)
+    for _ in range(120):
+        kept = base[rnd.random(base.size) > rnd.uniform(0, 0.2)]
+        sets.append(np.unique(np.concatenate((kept, rnd.integers(0, 2**63, rnd.integers(0, 30)).astype(np.uint64)))))
+    size, sketch = np.array([s.size for s in sets]), np.frombuffer(b"".join(map(simhash.sketch_of, sets)), np.uint64).reshape(len(sets), -1)
+    left = far = 0
+    for x in range(len(sets)):
+        other = np.delete(np.arange(len(sets)), x)
+        near = simhash._near(size, sketch, x, other, 0.8)
+        like = np.array([simhash.alike(sets[x].tobytes(), sets[o].tobytes()) >= 0.8 for o in other])
+        assert near[like].all()
+        left, far = left + np.count_nonzero(near & ~like), far + np.count_nonzero(~like)
+    assert left < far / 3
