@@ -252,10 +252,14 @@ def sketch_of(found: np.ndarray) -> bytes:
     return np.packbits((np.bincount(bins, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
 
 
+def _sketches_allow(a: np.ndarray, b: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs the sketches leave possible: sets that are alike differ in few of their members, ``size`` in all."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= ((1 - least) / (1 + least) + 1e-6) * size + EPS
+
+
 def _near(size: np.ndarray, sketch: np.ndarray, x: int, other: np.ndarray, least: float) -> np.ndarray:
-    """Which of the others the sketches leave possible for x: sets that are alike differ in few members."""
-    differ = np.bitwise_count(sketch[other] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-    return differ <= ((1 - least) / (1 + least) + 1e-6) * (size[other] + size[x]) + EPS
+    """Which of the others the sketches leave possible for x."""
+    return _sketches_allow(sketch[other], sketch[x], size[other] + size[x], least)
 
 
 def prefixes(texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -312,23 +316,37 @@ def few(rows: DataFrame) -> DataFrame:
 
 
 def verified(found: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The links of ``found`` whose shingle sets have a similarity of ``least`` or more, written. Sets are made
-    anew from the texts that are in a link, so that no table of all sets is kept."""
+    """The links of ``found`` whose shingle sets have a similarity of ``least`` or more, written. Links go first whose
+    sketches show that the sets differ too much; sets are made anew from the texts that are in the others, so that no
+    table of all sets is kept, and are shuffled for the comparison alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [alike(a.as_py(), b.as_py()) >= least - EPS for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                u, v = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for i in (4, 5))
+                size = np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))
+                yield batch.select(["u", "v"]).filter(pa.array(_sketches_allow(u, v, size, least)))
+
+    both = lambda: found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct()
     found = durable(found.select("u", "v").distinct())
-    ids = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).distinct()
-    ids = durable(nodes.select("node", "key", "first").join(ids, "node", "left_semi"))
-    at = texts.join(few(ids), ["key", "first"]).select("node", "text")
-    # equal rows give a set each: one of them stays
-    at = durable(shingle_sets(at, words).groupBy("node").agg(F.first("shingles").alias("shingles")))
+    ends = durable(nodes.select("node", "size", "sketch").join(both(), "node", "left_semi"))
+    one = found.join(ends.withColumnsRenamed({"node": "u", "size": "size_u", "sketch": "sketch_u"}), "u")
+    one = one.join(ends.withColumnsRenamed({"node": "v", "size": "size_v", "sketch": "sketch_v"}), "v")
+    all_, found = found, durable(one.select("u", "v", "size_u", "size_v", "sketch_u", "sketch_v").mapInArrow(possible, "u bigint, v bigint"))
+    forget(all_, ends)
+    ids = durable(nodes.select("node", "key", "first").join(both(), "node", "left_semi"))
+    at = durable(shingle_sets(texts.join(few(ids), ["key", "first"]).select("node", "text"), words))
+    if at.count() > ids.count():  # equal rows give a set each: one of them stays
+        all_, at = at, durable(at.groupBy("node").agg(F.first("shingles").alias("shingles")))
+        forget(all_)
     one = found.join(at.withColumnsRenamed({"node": "u", "shingles": "a"}), "u")
-    both = one.join(at.withColumnsRenamed({"node": "v", "shingles": "b"}), "v").select("u", "v", "a", "b")
-    sure = durable(both.mapInArrow(run, "u bigint, v bigint"))
+    one = one.join(at.withColumnsRenamed({"node": "v", "shingles": "b"}), "v").select("u", "v", "a", "b")
+    sure = durable(one.mapInArrow(run, "u bigint, v bigint"))
     forget(found, ids, at)
     return sure
 
@@ -484,8 +502,9 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> Dat
     roots = near_roots(nodes, texts, words, least)
     rooted = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     mark, twin = unused("mark", docs), unused("twin", docs)
-    kept = rooted.groupBy("root").agg(F.min("first").alias(mark)).select(mark)
-    left = docs.withColumn(mark, first).join(kept, mark, "left_semi")
+    kept = durable(rooted.groupBy("root").agg(F.min("first").alias(mark)).select(mark))
+    # a broadcast known before the rows move, or one exchange for join and window: never an exchange for each
+    left = docs.withColumn(mark, first).join(few(kept), mark, "left_semi")
     return left.withColumn(twin, F.row_number().over(W.partitionBy(mark).orderBy(F.lit(1)))).where(F.col(twin) == 1).select(*docs.columns)
 
 

@@ -113,3 +113,21 @@ def test_sketches_lose_no_pair_and_leave_few_others():
         assert near[like].all()
         left, far = left + np.count_nonzero(near & ~like), far + np.count_nonzero(~like)
     assert left < far / 3
+
+
+def test_sets_are_made_for_possible_pairs_and_rows_move_once(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = [rng.choice("abcdefgh") * 3 + str(i) for i in range(30)]
+    texts = [" ".join([*passage, *(f"w{rng.randrange(10**6)}" for _ in range(100))]) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0] + " more"])), "doc_id long, text string")
+    rows = docs.selectExpr("unhex(md5(text)) AS key", "doc_id AS first", "text")
+    rows = rows.unionByName(rows.where("first = 0"))  # an equal row gives no second link
+    nodes = simhash.prefixes(rows, 5, 0.8)
+    pairs = nodes.select("node").withColumnRenamed("node", "u").crossJoin(nodes.selectExpr("node AS v")).where("u < v")
+    made, plain = [], simhash.shingle_sets
+    monkeypatch.setattr(simhash, "shingle_sets", lambda t, words: made.append(t.count()) or plain(t, words))
+    found = simhash.verified(pairs, nodes, rows, 5, 0.8).collect()
+    ends = {r.node for r in nodes.where("first IN (0, 20)").collect()}
+    assert [{r.u, r.v} for r in found] == [ends] and made == [3]
+    plan = simhash.drop_near_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(mark") == 1 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
