@@ -323,7 +323,9 @@ flatten(list_transform(list_filter([{PROVIDERS_SQL}], lambda p: p <> 'openai'),
 def model_candidates(spark, sf):
     """All candidates in order: as written, in lower case, without provider and date, then behind each other provider."""
     found = pricing.candidates(F.concat(F.lit("openai/"), F.upper("p_name"), F.lit("-20240501")))
-    return P._read(spark, sf, "part").select("p_partkey", F.array_join(found, "|").alias("names"))
+    # the file is small and the names of a row are dear: rows go out to all cores before any is made
+    part = P._read(spark, sf, "part").select("p_partkey", "p_name").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    return part.select("p_partkey", F.array_join(found, "|").alias("names"))
 
 
 @query("price_override_first_match", f"{PARTS} SELECT DISTINCT project_id, model, CASE WHEN matched IN ('^red', 'WIDGET$') THEN 'override' ELSE 'table' END AS source, matched FROM priced WHERE matched IS NOT NULL")

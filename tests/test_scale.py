@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import pricing, usage
 from spanloom.operators import figures, filters, settlement, tree, versions
-from spanloom.plans import exports, ingest, lists, services
+from spanloom.plans import exports, ingest, lists, services, upkeep
 from spanloom.plans import projections as P
 from spanloom.sources import otlp
 
@@ -108,3 +108,9 @@ def test_merged_requests_are_one_grouping(spark, sf_dir):
     for query in (services.langfuse_map_traces, ingest.langfuse_map):
         plan = planned(query(spark, sf_dir))
         assert "Join" not in plan and plan.count("try_parse_json(body") <= 1
+
+
+def test_candidates_are_made_on_all_cores(spark, sf_dir):
+    """Names cost far more than the reading of a model, and a file of many models is one task's."""
+    df = upkeep.model_candidates(spark, sf_dir)
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
