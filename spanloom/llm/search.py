@@ -5,9 +5,11 @@ postings (document, frequency), cut into blocks of ``BLOCK`` neighbouring docume
 impact of each block. Within a shard documents stand by their commonest term, then by length, so that
 neighbours are alike and block maxima tight.
 
-A query visits blocks by their bound, the sum of its terms' block maxima: once the bound of the next block
-is below the k-th best score, no document of the remaining blocks can enter, and they are skipped
-unread. Document frequencies, document count and mean length are those of the whole table, so that the
+Queries go through a shard many at a time, those together whose best block is the same. A block is skipped, unread,
+if for none of them its bound reaches the k-th best score: the sum of the block maxima of a query's common terms and the
+shard's maxima of the others. In the blocks that are left common terms are scored by a matrix product in float32, others by their
+postings; what comes within the rounding error of the k-th best score is scored again exactly.
+Document frequencies, document count and mean length are those of the whole table, so that the
 shards' lists merge exactly. Queries go out in blocks of at most ``QUERY_TERMS`` terms.
 """
 
@@ -28,8 +30,13 @@ from spanloom.llm.suffix_dedup import BASES, Prefixes, mix
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_BYTES, BLOCK = 16 << 20, 64
-#: Blocks that a query scores first, and how many times more from step to step.
-FIRST_BLOCKS, GROWTH = 8, 4
+#: A term that stands in one document of SPARSE or more is common; of a shard's common terms so many at most, with so
+#: many impacts in all, are held as a dense matrix (float32).
+SPARSE, DENSE_TERMS, DENSE_CELLS = 32, 1500, 8 << 20
+#: Relative error of a sum of DENSE_TERMS products in float32, bounded: (terms + 4) * 2^-24.
+SLACK = 1e-4
+#: Documents whose whole scores are added up at once.
+EXACT = 256
 #: Tasks of a search, as a multiple of the cluster's cores: a task goes through its shards one by one, and
 #: the threshold that a query has reached in one holds in the next.
 TASKS_PER_CORE = 2
@@ -142,19 +149,22 @@ class ShardIndex:
     def __init__(self, batch: pa.RecordBatch, row: int, mean: float, block: int = BLOCK):
         packed = lambda name, kind: np.frombuffer(batch.column(name)[row].as_buffer(), kind)  # noqa: E731  no copy
         self.ids, self.terms, self.block = batch.column("ids")[row].as_py(), packed("terms", "<u8"), block
-        self.docs = packed("docs", "<i4")
+        self.docs, n = packed("docs", "<i4"), len(self.ids)
         tf, length = packed("tfs", "<i4").astype(np.float64), packed("lengths", "<i4").astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / max(mean, 1e-9)))[self.docs])
-        ends = packed("ends", "<i4").astype(np.int64)
-        of = self.docs // block
-        cut = np.ones(of.size, bool)
-        cut[1:] = of[1:] != of[:-1]
-        cut[ends[:-1]] = True
-        self.piece = np.flatnonzero(cut)  # a piece: the postings of a term in a block
-        self.piece_block = of[self.piece]
-        self.piece_max = np.maximum.reduceat(self.impact, self.piece) if of.size else np.zeros(0)
-        self.piece = np.append(self.piece, of.size)
-        self.term_piece = np.searchsorted(self.piece, np.concatenate(([0], ends)))
+        self.last = packed("ends", "<i4").astype(np.int64)
+        self.first = np.concatenate(([0], self.last))[:-1]
+        df = self.last - self.first
+        self.place = np.repeat(np.arange(df.size) * n, df) + self.docs  # a posting by term, then document: ascends
+        self.most = np.maximum.reduceat(self.impact, self.first) if df.size else np.zeros(0)
+        common = np.flatnonzero(df * SPARSE >= n)
+        common = np.sort(common[np.argsort(-df[common], kind="stable")[: min(DENSE_TERMS, DENSE_CELLS // n)]])
+        self.row = np.full(df.size, -1)  # of a common term in the dense impacts
+        self.row[common] = np.arange(common.size)
+        self.dense = np.zeros((common.size, n), np.float32)
+        flat = ragged(self.first[common], self.last[common])
+        self.dense[np.repeat(np.arange(common.size), df[common]), self.docs[flat]] = self.impact[flat]
+        self.dense_most = np.maximum.reduceat(self.dense, np.arange(0, n, block), axis=1)
 
     def places(self, terms: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of queries whose terms lie end to end: the rows of the terms that the shard has, which of all the terms
@@ -164,32 +174,58 @@ class ShardIndex:
         known = self.terms[at] == terms if self.terms.size else np.zeros(terms.size, bool)
         return at[known], np.flatnonzero(known), np.concatenate(([0], np.cumsum(known)))[bounds]
 
-    def top(self, at: np.ndarray, weights: np.ndarray, k: int, best: list) -> list:
-        """The k best of ``best`` and the shard for terms in the rows ``at``, as (-score, id is null, id), in
-        order; documents that share no term are none."""
-        pieces_ = ragged(self.term_piece[at], self.term_piece[at + 1])
-        weight = np.repeat(weights, self.term_piece[at + 1] - self.term_piece[at])
-        block = self.piece_block[pieces_]
-        bound = np.bincount(block, weights=weight * self.piece_max[pieces_], minlength=-(-len(self.ids) // self.block)) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        done, step = 0, FIRST_BLOCKS
-        while done < order.size and (len(best) < k or bound[order[done]] >= -best[k - 1][0]):
-            chosen = order[done : done + step]
-            if len(best) >= k:
-                chosen = chosen[bound[chosen] >= -best[k - 1][0]]
-            pick = np.zeros(bound.size, bool)
-            pick[chosen] = True
-            use = np.flatnonzero(pick[block])
-            first, last = self.piece[pieces_[use]], self.piece[pieces_[use] + 1]
-            flat = ragged(first, last)
-            score = np.bincount(self.docs[flat], weights=np.repeat(weight[use], last - first) * self.impact[flat], minlength=len(self.ids))
-            hit = np.flatnonzero(score)
-            if hit.size > k:  # all that reach the k-th score
-                hit = hit[score[hit] >= np.partition(score[hit], hit.size - k)[hit.size - k]]
-            best = sorted(best + [(-float(score[d]), self.ids[d] is None, self.ids[d] or 0) for d in hit])[:k]
-            done, step = done + step, step * GROWTH
-        return best
+    def search(self, at: np.ndarray, weights: np.ndarray, bounds: np.ndarray, k: int, best: list[list]) -> None:
+        """Puts into ``best`` the k best of each query's list there and the shard, as (-score, id is null, id), in
+        order; documents that share no term are none. Queries' terms, in the rows ``at``, lie end to end."""
+        n, blocks = len(self.ids), self.dense_most.shape[1]
+        some, each = max(1, min(2048, DENSE_CELLS // blocks)), max(1, min(128, DENSE_CELLS // 4 // n))
+        for start in range(0, len(best), some):
+            stop = min(start + some, len(best))
+            inside = slice(bounds[start], bounds[stop])
+            term, weight = at[inside], weights[inside]
+            of, row = np.repeat(np.arange(stop - start), np.diff(bounds[start : stop + 1])), self.row[term]
+            common = row >= 0
+            asked = np.zeros((stop - start, self.dense.shape[0]), np.float32)
+            asked[of[common], row[common]] = weight[common]
+            rare = np.bincount(of[~common], weights=(weight * self.most[term])[~common], minlength=stop - start)
+            bound = (asked @ self.dense_most) * (1 + SLACK) + rare[:, None]
+            least = np.array([-best[q][k - 1][0] if len(best[q]) >= k else 0.0 for q in range(start, stop)])
+            alive = (bound > 0) & (bound * (1 + SLACK) >= least[:, None])
+            order = np.argsort(bound.argmax(axis=1), kind="stable")  # queries that look for the same blocks go together
+            order = order[alive.any(axis=1)[order]]
+            for i in range(0, order.size, each):
+                group = order[i : i + each]
+                open_ = np.repeat(alive[group].any(axis=0), self.block)[:n]
+                docs = np.flatnonzero(open_)
+                score = asked[group] @ (self.dense if docs.size == n else self.dense[:, docs])
+                for q, dense in zip(group.tolist(), score, strict=True):
+                    a, b = bounds[start + q], bounds[start + q + 1]
+                    best[start + q] = self._best(at[a:b], weights[a:b], docs, dense, least[q], k, best[start + q])
+
+    def _best(self, at: np.ndarray, weights: np.ndarray, docs: np.ndarray, dense: np.ndarray, least: float, k: int, best: list) -> list:
+        """The k best of ``best`` and ``docs``, whose common terms' scores are known but for SLACK."""
+        rare = self.row[at] < 0
+        first, last = self.first[at[rare]], self.last[at[rare]]
+        flat = ragged(first, last)
+        near = dense + np.bincount(self.docs[flat], weights=np.repeat(weights[rare], last - first) * self.impact[flat], minlength=len(self.ids))[docs]
+        hit = np.flatnonzero((near >= least * (1 - 2 * SLACK)) & (near > 0))
+        if hit.size > k:
+            hit = hit[near[hit] >= np.partition(near[hit], hit.size - k)[hit.size - k] * (1 - 3 * SLACK)]
+        if not hit.size:
+            return best
+        docs = docs[hit]
+        score = np.concatenate([self._exact(at, weights, docs[i : i + EXACT]) for i in range(0, docs.size, EXACT)])
+        if docs.size > k:  # all that reach the k-th score
+            reach = score >= np.partition(score, docs.size - k)[docs.size - k]
+            docs, score = docs[reach], score[reach]
+        return sorted(best + [(-s, self.ids[d] is None, self.ids[d] or 0) for d, s in zip(docs.tolist(), score.tolist(), strict=True)])[:k]
+
+    def _exact(self, at: np.ndarray, weights: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Whole scores, added up in the order of the query's terms: equal documents have equal ones in every shard."""
+        wanted = (at[:, None] * len(self.ids) + docs).ravel()
+        posting = np.minimum(np.searchsorted(self.place, wanted), self.place.size - 1)
+        held = np.flatnonzero(self.place[posting] == wanted)
+        return np.bincount(held % docs.size, weights=weights[held // docs.size] * self.impact[posting[held]], minlength=docs.size)
 
 
 def ragged(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -227,9 +263,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, shard_bytes: int =
                 for row in range(batch.num_rows):
                     shard = ShardIndex(batch, row, mean)
                     at, which, ends = shard.places(terms, bounds)
-                    own = weights[which]
-                    for q, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-                        best[q] = shard.top(at[a:b], own[a:b], k, best[q])
+                    shard.search(at, weights[which], ends, k, best)
             found = [(q, None if none else d, -s) for q, some in zip(ids.tolist(), best, strict=True) for s, none, d in some]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 

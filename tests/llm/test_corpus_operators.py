@@ -1,6 +1,7 @@
 """Search, repeated strings, near copies, mixing, quality, contamination and the pipeline."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -165,3 +166,33 @@ def test_pipeline(spark, sf_dir):
     assert out.columns[: len(columns)] == columns and 0 < out.count()
     assert out.select("doc_id").distinct().count() == out.count() and out.where(F.col("taken") <= 0).count() == 0
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
+
+
+def test_search_scores_few_postings_one_by_one(spark, sf_dir, monkeypatch):
+    """Common terms go by matrix products; what is found is that of all scores, and blocks are skipped."""
+    docs = search.lowered(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    index = search.build_index(docs.where("doc_id is not null")).toArrow().combine_chunks().to_batches()[0]
+    shard, k = search.ShardIndex(index, 0, 300.0, block=8), 10
+    n, rng = len(shard.ids), random.Random(3)
+    asked = []
+    for d in rng.sample(range(n), 40):
+        at = np.flatnonzero(np.bincount(np.repeat(np.arange(shard.terms.size), shard.last - shard.first)[shard.docs == d], minlength=shard.terms.size))
+        asked.append((at, np.array([rng.uniform(0.001, 8) for _ in at])))
+    want, whole = [], 0
+    for at, weight in asked:
+        score = np.zeros(n)
+        for t, w in zip(at, weight, strict=True):
+            score[shard.docs[shard.first[t] : shard.last[t]]] += w * shard.impact[shard.first[t] : shard.last[t]]
+            whole += shard.last[t] - shard.first[t]
+        want.append(sorted((-s, False, i) for s, i in zip(score.tolist(), shard.ids, strict=True) if s > 0)[:k])
+    seen, plain = [], search.ragged
+    monkeypatch.setattr(search, "ragged", lambda a, b: seen.append((b - a).sum()) or plain(a, b))
+    best = [[] for _ in asked]
+    bounds = np.cumsum([0] + [at.size for at, _ in asked])
+    shard.search(np.concatenate([at for at, _ in asked]), np.concatenate([w for _, w in asked]), bounds, k, best)
+    assert best == want and sum(seen) < whole / 2
+    again = [list(b) for b in best]
+    none = search.build_index(docs.limit(2).withColumn("text", docs.text.substr(1, 0))).toArrow().combine_chunks().to_batches()[0]
+    empty = search.ShardIndex(none, 0, 300.0)
+    empty.search(np.zeros(0, np.int64), np.zeros(0), np.zeros(41, np.int64), k, best)
+    assert best == again
