@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -310,9 +310,20 @@ def alike(a: bytes, b: bytes) -> float:
     return shared / (both.size - shared)
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """A written table of one row a node: broadcast up to BROADCAST_IDS rows, else left to Spark's joins."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+def few(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """A written table of one row (``n`` in all, if known) a node: broadcast up to BROADCAST_IDS rows, else left to Spark's joins."""
+    return F.broadcast(rows) if (rows.count() if n is None else n) <= BROADCAST_IDS else rows
+
+
+def hashed(*columns: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of columns, which are broadcast in their place: a table by one long holds the fewest bytes, and
+    the driver holds it."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+
+
+def same(a: Column, a2: Column, b: Column, b2: Column) -> Column:
+    """Whether both hashes agree. Only the first one is the join's key."""
+    return (a == b) & (a2.bitwiseXOR(b2) == 0)
 
 
 def verified(found: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -339,9 +350,12 @@ def verified(found: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, l
     one = one.join(ends.withColumnsRenamed({"node": "v", "size": "size_v", "sketch": "sketch_v"}), "v")
     all_, found = found, durable(one.select("u", "v", "size_u", "size_v", "sketch_u", "sketch_v").mapInArrow(possible, "u bigint, v bigint"))
     forget(all_, ends)
-    ids = durable(nodes.select("node", "key", "first").join(both(), "node", "left_semi"))
-    at = durable(shingle_sets(texts.join(few(ids), ["key", "first"]).select("node", "text"), words))
-    if at.count() > ids.count():  # equal rows give a set each: one of them stays
+    a, b = hashed(F.col("key"), F.col("first"))
+    ids = durable(nodes.select("node", a.alias("id"), b.alias("id2")).join(both(), "node", "left_semi"))
+    n = ids.count()
+    wanted = few(ids, n)
+    at = durable(shingle_sets(texts.join(wanted, same(*hashed(texts["key"], texts["first"]), wanted["id"], wanted["id2"])).select("node", "text"), words))
+    if at.count() > n:  # equal rows give a set each: one of them stays
         all_, at = at, durable(at.groupBy("node").agg(F.first("shingles").alias("shingles")))
         forget(all_)
     one = found.join(at.withColumnsRenamed({"node": "u", "shingles": "a"}), "u")
@@ -468,19 +482,18 @@ def near_roots(nodes: DataFrame, texts: DataFrame, words: int, least: float, bit
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), node, size, pos, root)], names=["key", "node", "size", "pos", "root"])
 
     sure = lambda pairs: verified(pairs, nodes, texts, words, least)
-    found = sure(links(nodes.select("fp", "node"), bits))
-    rooted = nodes.select("node", "size", "keys").join(few(components(found)), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "keys")
+    roots = components(sure(links(nodes.select("fp", "node"), bits)))
+    rooted = nodes.select("node", "size", "keys").join(few(roots), "node", "left").select("node", "size", F.coalesce("root", "node").alias("root"), "keys")
     met = durable(prefix_pairs(rooted.mapInArrow(run, "key bigint, node bigint, size int, pos int, root bigint"), least, 0))
     crowd = met.where("v is null").select("key", F.col("u").alias("node"), "size", "pos")
-    found = found.unionByName(sure(met.where("v is not null")))
+    roots = components(roots.union(sure(met.where("v is not null"))))
     if not crowd.isEmpty():
         for step in (1, -1):
-            rooted = crowd.join(few(components(found)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            rooted = crowd.join(few(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
             if step < 0:  # sketches go to keys only whose members are still apart
                 apart = rooted.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
                 rooted = rooted.join(apart, "key", "left_semi").join(nodes.select("node", "sketch"), "node")
-            found = found.unionByName(sure(prefix_pairs(rooted, least, step)))
-    roots = components(found)
+            roots = components(roots.union(sure(prefix_pairs(rooted, least, step))))
     forget(met)
     return roots
 
@@ -501,11 +514,14 @@ def drop_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> Dat
     nodes = prefixes(texts, words, least)
     roots = near_roots(nodes, texts, words, least)
     rooted = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    mark, twin = unused("mark", docs), unused("twin", docs)
-    kept = durable(rooted.groupBy("root").agg(F.min("first").alias(mark)).select(mark))
+    mark, mark2, twin = (unused(c, docs) for c in ("mark", "mark2", "twin"))
+    a, b = hashed(F.col("first"))
+    kept = durable(rooted.groupBy("root").agg(F.min("first").alias("first")).select(a.alias("id"), b.alias("id2")))
     # a broadcast known before the rows move, or one exchange for join and window: never an exchange for each
-    left = docs.withColumn(mark, first).join(few(kept), mark, "left_semi")
-    return left.withColumn(twin, F.row_number().over(W.partitionBy(mark).orderBy(F.lit(1)))).where(F.col(twin) == 1).select(*docs.columns)
+    a, b = hashed(first)
+    left, wanted = docs.withColumns({mark: a, mark2: b}), few(kept)
+    left = left.join(wanted, same(left[mark], left[mark2], wanted["id"], wanted["id2"]), "left_semi")
+    return left.withColumn(twin, F.row_number().over(W.partitionBy(mark, mark2).orderBy(F.lit(1)))).where(F.col(twin) == 1).select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

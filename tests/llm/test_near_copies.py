@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from spanloom.llm import simhash
+from spanloom.llm import components, simhash
 
 
 def shingles(text, words=5):
@@ -131,3 +131,30 @@ def test_sets_are_made_for_possible_pairs_and_rows_move_once(spark, monkeypatch)
     assert [{r.u, r.v} for r in found] == [ends] and made == [3]
     plan = simhash.drop_near_copies(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(mark") == 1 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize(("chunk", "most"), [(1 << 18, 0), (7, 9)])
+def test_links_are_contracted_before_rounds(spark, monkeypatch, chunk, most):
+    """A round is many jobs, whose plans the driver holds: one task's links take none."""
+    rng = random.Random(8)
+    pairs = [(10 * i, 10 * i + rng.randrange(1, 10)) for i in range(200)] + [(5000 + i, 5001 + i) for i in range(90)] + [(9000, 9001 + i) for i in range(90)]
+    pairs = [rng.choice([p, p[::-1]]) for p in pairs]
+    rng.shuffle(pairs)
+    links = spark.createDataFrame(pairs, "u long, v long")
+    rounds, plain = [], components._small_star
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    monkeypatch.setattr(components, "_small_star", lambda x: rounds.append(1) or plain(x))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(chunk, 10_000))
+    try:
+        got = {r.node: r.root for r in components.components(links).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = {max(p): 10 * (min(p) // 10) for p in pairs if max(p) < 5000}
+    assert got == wanted | {5001 + i: 5000 for i in range(90)} | {9001 + i: 9000 for i in range(90)}
+    assert len(rounds) <= most and bool(rounds) == bool(most)
+
+
+def test_documents_are_broadcast_by_one_long(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words")], "doc_id long, text string")
+    plan = simhash.drop_near_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "HashedRelationBroadcastMode(List(input[0, bigint" in plan
