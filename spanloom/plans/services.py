@@ -92,7 +92,8 @@ def stored_turn_objects(spark, sf):
 def stored_event_objects(spark, sf):
     """Events as objects; their payload is JSON and comes as its value."""
     rows = P.evt_observations(spark, sf).drop("user_id", "value")
-    items = rows.select(export.stored_object(rows).alias("item"))
+    shape = "id string, name string, startTime string, input struct<k:string>"
+    items = _read_back(rows.select(export.stored_object(rows).alias("item")), shape)
     return items.select(F.col("i.id").alias("id"), F.col("i.name").alias("name"), F.col("i.input.k").alias("k"), F.unix_millis(F.to_timestamp(F.col("i.startTime"))).alias("started"))
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from spanloom import schemas
 from spanloom.functions import text
 from spanloom.operators import paging
+from spanloom.plans import services
 from spanloom.sources import importers, messages, objects, otlp, raw
 from spanloom.streaming.ledger import Files
 from test_ingest import attribute, event, land, read
+from test_scale import planned
 
 
 def listing(n, parts=1, content="x", **more):
@@ -139,3 +141,14 @@ def test_small_helpers(spark):
     with pytest.raises(ValueError, match="Paris"):
         schemas.require_utc(spark)
     schemas.utc(spark)
+
+
+def test_stored_events_of_any_payload(spark, tmp_path):
+    """An event keeps its other fields whatever its payload is, and only an object's own ``k`` is read."""
+    told = {'{"k": 7}': "7", '{"j": {"k": 3}, "k": "a\\"b"}': 'a"b', '{"k": {"a": [1, 2]}}': '{"a":[1,2]}', '{"k": null}': None, "{}": None, "[1]": None, '[{"k": 1}]': None, '"{\\"k\\": 1}"': None, "5": None, "null": None, "no {": None, "": None, None: None}
+    rows = [(n, n, "click", 1.0, props) for n, props in enumerate(told)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").withColumn("ts", F.timestamp_millis(F.lit(1704067200123) + F.col("event_id")))
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got = services.stored_event_objects(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((str(n), "click", k, 1704067200123 + n) for n, k in enumerate(told.values()))
+    assert planned(got).count("from_json") == 1 and "get_json_object" not in planned(got)
