@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import pricing
+from spanloom.functions import pricing, text
 from spanloom.functions import time as T
 from spanloom.operators import evaluator, moved, paging, projects, retention, settlement, snapshots, versions
 from spanloom.plans import feeds, ingest, upkeep
@@ -82,9 +82,11 @@ def compat_score_items(spark, sf):
 @query("stored_turn_objects", f"""{with_sql('conv')} SELECT trace_id, id, name, parent_observation_id AS parent, coalesce(input, output) AS payload, {ISO.format('start_time')} AS started,
 array_to_string(list_filter(['projectId', 'id', 'traceId', CASE WHEN parent_observation_id IS NOT NULL THEN 'parentObservationId' END, 'name', 'startTime', CASE WHEN input IS NOT NULL THEN 'input' END, CASE WHEN output IS NOT NULL THEN 'output' END], lambda x: x IS NOT NULL), ',') AS fields FROM conv""")
 def stored_turn_objects(spark, sf):
-    """Turns as objects; their texts aren't JSON and stay text."""
-    rows = P.conv_observations(spark, sf).select("project_id", "id", "trace_id", "parent_observation_id", "name", "start_time", "input", "output", F.expr("cast(map() as map<string,string>)").alias("metadata"))
-    items = rows.select(export.stored_object(rows).alias("item"))
+    """Turns as objects; their texts stay text. One that reads as JSON is stored quoted, or its value would come."""
+    kept = lambda c: F.when(text.parsed(F.col(c)).isNotNull(), F.to_json(F.col(c).cast("variant"))).otherwise(F.col(c)).alias(c)
+    rows = P.conv_observations(spark, sf).select("project_id", "id", "trace_id", "parent_observation_id", "name", "start_time", kept("input"), kept("output"), F.expr("cast(map() as map<string,string>)").alias("metadata"))
+    shape = "id string, traceId string, parentObservationId string, name string, startTime string, input string, output string"
+    items = _read_back(rows.select(export.stored_object(rows).alias("item")), shape)
     return items.select(F.col("i.traceId").alias("trace_id"), F.col("i.id").alias("id"), F.col("i.name").alias("name"), F.col("i.parentObservationId").alias("parent"), F.coalesce(F.col("i.input"), F.col("i.output")).alias("payload"), F.col("i.startTime").alias("started"), _names())
 
 

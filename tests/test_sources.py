@@ -152,3 +152,16 @@ def test_stored_events_of_any_payload(spark, tmp_path):
     got = services.stored_event_objects(spark, str(tmp_path))
     assert sorted(tuple(r) for r in got.collect()) == sorted((str(n), "click", k, 1704067200123 + n) for n, k in enumerate(told.values()))
     assert planned(got).count("from_json") == 1 and "get_json_object" not in planned(got)
+
+
+def test_stored_turns_keep_their_text(spark, tmp_path):
+    """Whatever a turn says is its payload, also what reads as JSON or as a field of the object."""
+    said = ["plain", "a\tb\n\"q\" \\ \u2028 \U0001f600", "", " ", "1.50", "007", "null", "true", '"abc"', '{ "a" : [1, 2.0] }', '{"a":1,"a":2}', '{"input": "x", "id": "y"}', "[]", " 12 ", "1e400", "NaN", '{"k": 1} x', None]
+    turns = spark.createDataFrame([(c, n, role, said[n]) for c, role in enumerate(("user", "assistant")) for n in range(len(said))], "conv_id long, turn long, role string, text string")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    got = services.stored_turn_objects(spark, str(tmp_path))
+    assert {(r.trace_id, int(r.id)): r.payload for r in got.collect()} == {(str(c), n): t for c in range(2) for n, t in enumerate(said)}
+    fields = {(r.trace_id, int(r.id)): r.fields for r in got.collect()}
+    assert fields["0", 0] == "projectId,id,traceId,name,startTime,input" and fields["1", 6] == "projectId,id,traceId,parentObservationId,name,startTime,output"
+    assert fields["1", len(said) - 1] == "projectId,id,traceId,parentObservationId,name,startTime"
+    assert planned(got).count("from_json") == 1 and "get_json_object" not in planned(got)
